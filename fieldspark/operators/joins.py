@@ -39,7 +39,8 @@ def stations_for_boxes(sites: DataFrame, boxes: DataFrame, box: str, proxies: Se
     hits = points_in_boxes(sites, boxes, size=size).select(box, site)
     inside = hits.select(box, site, F.lit(True).alias("within_box"), F.lit(0.0).alias("distance_km"))
     empty = boxes.join(hits.select(box).distinct(), box, "left_anti")
-    listed = empty.withColumn(site, F.explode(F.array(*[F.lit(s) for s in proxies])).cast(sites.schema[site].dataType))
+    kind = sites.schema[site].dataType
+    listed = empty.withColumn(site, F.explode(F.array(*[F.lit(s).cast(kind) for s in proxies])))
     outside = listed.join(sites.select(site, "lon", "lat").where(F.col(site).isin(list(proxies))), site).select(
         box,
         site,
@@ -118,7 +119,8 @@ def rank_donors(requests: DataFrame, donors: DataFrame, delivered: DataFrame | N
 
 
 def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", site: str = "site", size: float = 0.25, grow: float = 6.0) -> DataFrame:
-    """The nearest site to each point, longitude scaled by the point's own cosine (ties: the lower id).
+    """The nearest site to each point, longitude scaled by the point's own cosine. Distances equal to twelve
+    decimals tie, and the lower id wins.
 
     Sites within one tile ring are certain to include the nearest when the best found is closer than a tile;
     points without such a site go on with larger tiles. The last ring spans the globe, so every point is
@@ -137,7 +139,7 @@ def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", s
         cos = F.cos(F.radians("_plat"))
         dx, dy = (F.col("_slon") - F.col("_plon")) * cos, F.col("_slat") - F.col("_plat")
         best = probe.join(held, ["_tx", "_ty"], "left").groupBy(point, "_plon", "_plat").agg(
-            F.min(F.when(F.col(site).isNotNull(), F.struct((dx * dx + dy * dy).alias("d2"), F.col(site).alias(site)))).alias("_best")
+            F.min(F.when(F.col(site).isNotNull(), F.struct(F.round(dx * dx + dy * dy, 12).alias("d2"), F.col(site).alias(site)))).alias("_best")
         )
         sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2")) <= cos * size, F.lit(False))
         done = best.where(sure).select(point, F.col(f"_best.{site}").alias(site), F.col("_best.d2").alias("d2"))

@@ -14,8 +14,8 @@ from fieldspark.functions import geo, times
 
 def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float = 6.0, *, point: str = "point") -> DataFrame:
     """(point, iy, ix, km, w): up to `k` nearest cells not farther than `max_km`, weights 1/d^2 normalised; a
-    point on a cell's centre takes that cell alone. Give water cells only. Ties of distance go by cell. Points
-    look up the tiles their own reach touches."""
+    point on a cell's centre takes that cell alone. Give water cells only. Distances equal to a micrometre tie and
+    go by cell. Points look up the tiles their own reach touches."""
     size = max_km / geo.KM_PER_DEG_LAT
     reach_lat = F.lit(size)
     reach_lon = F.lit(max_km / geo.KM_PER_DEG_LON) / F.greatest(F.cos(F.radians("_plat")), F.lit(0.01))
@@ -26,7 +26,7 @@ def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float =
     c = c.withColumns({"_tx": geo.tile(F.col("_lon"), size), "_ty": geo.tile(F.col("_lat"), size)})
     km = geo.planar_km(F.col("_lon"), F.col("_lat"), F.col("_plon"), F.col("_plat"))
     near = p.join(c, ["_tx", "_ty"]).withColumn("km", km).where(F.col("km") <= max_km).select(point, "iy", "ix", "km")
-    order = Window.partitionBy(point).orderBy("km", "iy", "ix")
+    order = Window.partitionBy(point).orderBy(F.round("km", 9), "iy", "ix")
     top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
     every = Window.partitionBy(point)
     exact = F.min("km").over(every) < 1e-6

@@ -55,10 +55,10 @@ def canonical_fields(x):
 
 
 @query("B5", sql="""
-SELECT time, -layer AS z, round(39 + iy / 10e0, 6) AS lat, round(CASE WHEN ix * 40 + 5 >= 180 THEN ix * 40e0 + 5 - 360 ELSE ix * 40e0 + 5 END, 6) AS lon, round(u, 6) AS u FROM grid""")
+SELECT time, -layer AS z, round(39 + iy / 10e0, 6) AS lat, round(CASE WHEN ix * 22.5e0 + 5 >= 180 THEN ix * 22.5e0 + 5 - 360 ELSE ix * 22.5e0 + 5 END, 6) AS lon, round(u, 6) AS u FROM grid""")
 def normalise_legacy(x):
-    legacy = x.grid.where("ix < 16").select(
-        "time", F.col("layer").alias("depth"), (F.lit(39.0) + F.col("iy") / F.lit(10.0)).alias("latitude"), F.pmod(F.col("ix") * 40.0 + 5.0, F.lit(360.0)).alias("longitude"), "u"
+    legacy = x.grid.select(
+        "time", F.col("layer").alias("depth"), (F.lit(39.0) + F.col("iy") / F.lit(10.0)).alias("latitude"), (F.col("ix") * 22.5 + 5.0).alias("longitude"), "u"
     )
     out = scan.normalise(legacy, "legacy")
     return out.select("time", "z", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("u", 6).alias("u"))
