@@ -15,9 +15,10 @@ def build_columns(layers: DataFrame, key: Sequence[str], *, z: str = "z", values
     as long as the model has layers."""
     packed = F.sort_array(F.collect_list(F.struct((-F.col(z)).alias("d"), *[F.col(v).alias(v) for v in values])))
     rows = layers.groupBy(*key).agg(packed.alias("_l"))
-    return rows.select(
-        *key, F.transform("_l", lambda e: -e["d"]).alias(z), *[F.transform("_l", lambda e, v=v: e[v]).alias(v) for v in values]
-    )
+    def field(name: str) -> Column:
+        return F.transform("_l", lambda e: e[name]).alias(name)
+
+    return rows.select(*key, F.transform("_l", lambda e: -e["d"]).alias(z), *[field(v) for v in values])
 
 
 def sigma_to_z(columns: DataFrame, key: Sequence[str], levels: Sequence[float], bed: Column, *, z: str = "z", values: Sequence[str] = ("value",)) -> DataFrame:
@@ -40,7 +41,8 @@ def faces_to_centres(
     partial sums before the shuffle."""
     v = F.coalesce(F.col(value), F.lit(0.0)) if land_as_zero else F.col(value)
     offsets = F.array(F.lit(0), F.lit(1)) if before else F.array(F.lit(0), F.lit(-1))
-    rows = faces.select(*key, v.alias("_v"), (F.col(index) + F.explode(offsets)).alias(index)).where(F.col(index) >= 0)
+    rows = faces.select(*key, index, v.alias("_v"), F.explode(offsets).alias("_o"))
+    rows = rows.withColumn(index, F.col(index) + F.col("_o")).where(F.col(index) >= 0)
     if centres is not None:
         rows = rows.where(F.col(index) < centres)
     return rows.groupBy(*key, index).agg(F.when(F.count("_v") == F.count(F.lit(1)), F.avg("_v")).alias(value))

@@ -1 +1,94 @@
+"""Streaming operators run over the events and line items as they would arrive, compared on closed windows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldspark import streaming
+from fieldspark.functions import times
+from fieldspark.operators import forecast
+from fieldspark.registry import query
+from fieldspark.session import work_dir
+
+
+def events(x):
+    """The events folder as a stream in the shape of `obs`."""
+    raw = streaming.read_folder(x.spark, x.folder, x.events.schema, "events.parquet")
+    quality = F.when(F.col("event_id") % 7 == 0, "p").otherwise("v")
+    return raw.select(
+        F.col("user_id").alias("station"), F.col("event_type").alias("parameter"), F.col("ts").alias("time"), "value", quality.alias("quality"), F.col("event_id").alias("arrival")
+    )
+
+
+def run(x, stream, name, partition_by=()):
+    """Run a stream over what has arrived and return what it wrote."""
+    base = work_dir(x.spark, name)
+    streaming.run_available(stream, base + "/out", base + "/checkpoint", partition_by)
+    return x.spark.read.parquet(base + "/out")
+
+
+@query("S1", sql="""
+SELECT parameter, date_trunc('day', time)::TIMESTAMP AS day, count(*) AS readings FROM obs GROUP BY 1, 2 HAVING date_trunc('day', min(time)) + INTERVAL '1' DAY <= (SELECT max(time) FROM obs) - INTERVAL '6' HOUR""")
+def stream_ready_days(x):
+    return run(x, streaming.ready_days(events(x).select("parameter", "time"), ["parameter"]), "ready_days")
+
+
+@query("S2", sql="SELECT station, parameter, time, value, CAST(time AS DATE) AS day FROM obs")
+def stream_first_write(x):
+    # Every reading arrives twice.
+    twice = events(x).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).select("station", "parameter", "time", "value")
+    return run(x, streaming.first_write(twice, ["station", "parameter"]), "first_write", ["day"]).select("station", "parameter", "time", "value", "day")
+
+
+@query("S3", sql="""
+WITH h AS (SELECT DISTINCT parameter, CAST(time AS DATE) AS day, date_trunc('hour', time)::TIMESTAMP AS time FROM obs)
+SELECT parameter, day, count(*) AS records, min(time) AS first_time, max(time) AS last_time FROM h GROUP BY 1, 2 HAVING count(*) = 24""")
+def stream_publish(x):
+    base = work_dir(x.spark, "publish")
+    records = events(x).select("parameter", F.to_date("time").alias("day"), times.floor_hour(F.col("time")).alias("time"), "value")
+    gate = streaming.append_records(records, ["parameter", "day"], ["value"], 24, base + "/staging", base + "/checkpoint")
+    return gate.where("complete").select("parameter", "day", "records", "first_time", "last_time")
+
+
+@query("S4", sql="""
+WITH e AS (SELECT unnest(generate_series(TIMESTAMP '1994-12-05', TIMESTAMP '2010-01-01', INTERVAL '10' DAY)) AS time),
+r AS (SELECT e.time, p.iy, p.ix, p.value, p.sensor, p.time AS t, row_number() OVER (PARTITION BY e.time, p.iy, p.ix ORDER BY p.time DESC, p.sensor DESC, p.value DESC) AS k
+      FROM pixel p JOIN e ON p.time >= e.time - INTERVAL '30' DAY AND p.time < e.time WHERE p.value IS NOT NULL AND e.time <= (SELECT max(time) FROM pixel WHERE value IS NOT NULL) - INTERVAL '1' DAY)
+SELECT time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 6) AS age_days, sensor FROM r WHERE k = 1""")
+def stream_composite(x):
+    raw = streaming.read_folder(x.spark, x.folder, x.lineitem.schema, "lineitem.parquet")
+    sensor = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    pixels = raw.select(
+        sensor.alias("sensor"), F.col("l_shipdate").alias("time"), (F.col("l_suppkey") % 20).cast("int").alias("iy"), (F.col("l_partkey") % 20).cast("int").alias("ix"),
+        F.when(F.col("l_tax") >= 0.02, F.col("l_quantity")).alias("value"),
+    )
+    return run(x, streaming.rolling_composite(pixels, 30, 10), "composite").withColumn("age_days", F.round("age_days", 6))
+
+
+@query("S5", sql="""
+WITH h AS (SELECT station, date_trunc('hour', time)::TIMESTAMP AS hour, value, quality, arrival FROM obs)
+SELECT station, hour, value, quality, arrival FROM (SELECT *, row_number() OVER (PARTITION BY station, hour ORDER BY quality = 'v' DESC, arrival DESC) AS k FROM h) a WHERE k = 1""")
+def stream_upsert_quality(x):
+    arrivals = events(x).select("station", times.floor_hour(F.col("time")).alias("hour"), "value", "quality", "arrival")
+    return streaming.upsert_quality(run(x, arrivals, "quality_log"), ["station", "hour"])
+
+
+@query("S6", sql="SELECT issue_time AS cycle, count(*) AS rows FROM forecast GROUP BY 1 HAVING issue_time <= TIMESTAMP '2024-01-20 02:00:00' - INTERVAL '7' HOUR")
+def usable_cycles(x):
+    cycles = x.forecast.groupBy(F.col("issue_time").alias("cycle")).agg(F.count(F.lit(1)).alias("rows"))
+    return forecast.usable_cycles(cycles, times.ts("2024-01-20 02:00:00"))
+
+
+@query("S6", sql="""
+WITH c AS (SELECT date_trunc('day', time)::TIMESTAMP + CASE WHEN hour(time) >= 12 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END AS cycle FROM obs)
+SELECT cycle, count(*) AS rows FROM c GROUP BY 1 HAVING cycle <= (SELECT max(cycle) FROM c) - INTERVAL '7' HOUR""")
+def stream_usable_cycles(x):
+    cycles = events(x).select(times.cycle_floor(F.col("time")).alias("cycle"))
+    return run(x, streaming.usable_cycles(cycles), "cycles")
+
+
+@query("S7", sql="""
+SELECT station, parameter, date_trunc('hour', time + INTERVAL '30' MINUTE)::TIMESTAMP AS time, round(avg(value), 6) AS value FROM obs GROUP BY 1, 2, 3
+HAVING date_trunc('hour', min(time) + INTERVAL '30' MINUTE)::TIMESTAMP + INTERVAL '30' MINUTE <= (SELECT max(time) FROM obs) - INTERVAL '1' HOUR""")
+def stream_hourly(x):
+    return run(x, streaming.hourly_mean(events(x), ["station", "parameter"]), "hourly").withColumn("value", F.round("value", 6))

@@ -1 +1,104 @@
+"""Adapters, contracts and whole requests."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldspark.functions import times
+from fieldspark.operators import mesh, sets, weights
+from fieldspark.plans import requests as plans
+from fieldspark.registry import query
+from fieldspark.sources import adapters, scan
+
+
+@query("U1", sql="""
+SELECT time, CAST(station AS VARCHAR) AS place, parameter AS field, value, 'gauge' AS origin FROM obs WHERE time >= TIMESTAMP '2024-01-10' AND time < TIMESTAMP '2024-01-12'
+UNION ALL SELECT time::TIMESTAMP, concat(layer, '/', iy, '/', ix), 'temp', temp, 'model' FROM grid WHERE time >= DATE '1997-01-01' AND time < DATE '1998-01-01'""")
+def adapter_union(x):
+    def gauge(spark, box, window):
+        rows = scan.scan_window(x.obs, *window)
+        return rows.select("time", F.col("station").cast("string").alias("place"), F.col("parameter").alias("field"), "value")
+
+    def model(spark, box, window):
+        rows = scan.scan_window(x.grid.withColumn("time", F.col("time").cast("timestamp_ntz")), *window)
+        return rows.select("time", F.concat_ws("/", "layer", "iy", "ix").alias("place"), F.lit("temp").alias("field"), F.col("temp").alias("value"))
+
+    windows = {"gauge": ("2024-01-10 00:00:00", "2024-01-12 00:00:00"), "model": ("1997-01-01 00:00:00", "1998-01-01 00:00:00")}
+    parts = {}
+    for name, fn in (("gauge", gauge), ("model", model)):
+        adapters.drop_adapter(name)
+        adapters.register_adapter(name)(fn)
+        parts[name] = adapters.read_adapter(x.spark, name, None, windows[name])
+    return sets.union_parts(parts)
+
+
+@query("U2", sql="""
+WITH n AS (SELECT CASE WHEN node % 91 = 1 THEN node + 1 ELSE node END AS node, CASE WHEN node % 333 = 7 THEN 361e0 ELSE lon END AS lon, lat FROM mesh_node WHERE node % 97 <> 5),
+e AS (SELECT elem, n0, n1, CASE WHEN elem % 401 = 3 THEN n1 ELSE n2 END AS n2 FROM mesh_element UNION ALL SELECT elem, n0, n1, n2 FROM mesh_element WHERE elem % 203 = 8),
+f AS (SELECT * FROM mesh_field WHERE NOT (elem % 211 = 4 AND layer = 2))
+SELECT 'corner without a node' AS rule, CAST(elem AS BIGINT) AS id, count(*) AS n FROM (SELECT elem, unnest([n0, n1, n2]) AS node FROM e) a WHERE node NOT IN (SELECT node FROM n) GROUP BY elem
+UNION ALL SELECT 'repeated corner', elem, 1 FROM e WHERE n0 = n1 OR n1 = n2 OR n0 = n2
+UNION ALL SELECT 'element listed twice', elem, count(*) FROM e GROUP BY elem HAVING count(*) > 1
+UNION ALL SELECT 'node listed twice', node, count(*) FROM n GROUP BY node HAVING count(*) > 1
+UNION ALL SELECT 'coordinate out of range', node, 1 FROM n WHERE abs(lat) > 90 OR lon > 360
+UNION ALL SELECT 'layer count', elem, count(DISTINCT layer) FROM f GROUP BY elem HAVING count(DISTINCT layer) < (SELECT max(c) FROM (SELECT count(DISTINCT layer) AS c FROM f GROUP BY elem) m)
+UNION ALL SELECT 'field without an element', elem, count(*) FROM f WHERE elem NOT IN (SELECT elem FROM e) GROUP BY elem""")
+def mesh_contract(x):
+    node = F.col("node")
+    nodes = x.mesh_node.where(node % 97 != 5).select(
+        F.when(node % 91 == 1, node + 1).otherwise(node).alias("node"), F.when(node % 333 == 7, 361.0).otherwise(F.col("lon")).alias("lon"), "lat"
+    )
+    elements = x.mesh_element.withColumn("n2", F.when(F.col("elem") % 401 == 3, F.col("n1")).otherwise(F.col("n2"))).unionByName(x.mesh_element.where("elem % 203 = 8"))
+    fields = x.mesh_field.where("NOT (elem % 211 = 4 AND layer = 2)")
+    return mesh.contract_violations(nodes, elements, fields)
+
+
+@query("A1", "C16", "D4", "E12", name="satellite_request", sql="""
+WITH p AS (SELECT DISTINCT iy, ix FROM pixel),
+r AS (SELECT iy, ix, value, time, sensor, row_number() OVER (PARTITION BY iy, ix ORDER BY time DESC, sensor, value DESC) AS k FROM pixel WHERE value IS NOT NULL AND time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-04-16 12:00:00'),
+u AS (SELECT sensor, row_number() OVER (ORDER BY sensor) - 1 AS product_index FROM (SELECT DISTINCT sensor FROM pixel WHERE time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-04-16 12:00:00') a),
+b AS (SELECT p.iy, p.ix, r.value, r.time, u.product_index FROM p LEFT JOIN r ON p.iy = r.iy AND p.ix = r.ix AND r.k = 1 LEFT JOIN u ON r.sensor = u.sensor)
+SELECT iy, ix, value, round(datediff('second', time, TIMESTAMP '1999-06-15 12:00:00') / 86400e0, 6) AS age_days, product_index FROM b
+WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b l WHERE l.value IS NULL AND abs(l.iy - b.iy) + abs(l.ix - b.ix) <= 1)""")
+def satellite_request(x):
+    out = plans.satellite(x.pixel, times.ts("1999-06-15 12:00:00"), 60, 1)
+    return out.withColumn("age_days", F.round("age_days", 6))
+
+
+@query("C6", "E7", "B10", name="parent_ocean_field", sql="""
+WITH g AS (SELECT time, layer, iy % 4 AS iy, ix % 4 AS ix, CAST(sum(CAST(round(temp * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS value FROM grid WHERE time >= DATE '1996-01-01' AND time < DATE '1998-01-01' GROUP BY 1, 2, 3, 4),
+w AS (SELECT s_suppkey AS target, CAST(s_suppkey % 3 + k.id AS INT) AS iy, CAST(s_suppkey % 4 AS INT) AS ix, CASE WHEN k.id = 0 THEN 0.25e0 ELSE 0.75e0 END AS w FROM supplier CROSS JOIN range(2) AS k(id)),
+t AS (SELECT g.time, g.layer, w.target, sum(w.w * g.value) AS v, count(*) AS n FROM g JOIN w ON g.iy = w.iy AND g.ix = w.ix GROUP BY 1, 2, 3),
+c AS (SELECT time, target, -2e0 * layer + 1 AS z, v FROM t WHERE n = 2),
+l AS (SELECT CAST(id AS INT) AS level, -1.5e0 - 3 * id AS zt FROM range(5) AS t(id)),
+p AS (SELECT time, target, level, zt, min(z) FILTER (WHERE z >= zt) AS zu, arg_min(v, z) FILTER (WHERE z >= zt) AS vu, max(z) FILTER (WHERE z < zt) AS zl, arg_max(v, z) FILTER (WHERE z < zt) AS vl FROM c CROSS JOIN l GROUP BY 1, 2, 3, 4)
+SELECT time, target, level, zt AS z, CASE WHEN zt >= -(6e0 + target % 9) THEN round(CASE WHEN zu IS NULL THEN vl WHEN zl IS NULL THEN vu ELSE vu + (vl - vu) * (zu - zt) / (zu - zl) END, 5) END AS value FROM p""")
+def parent_ocean_field(x):
+    coarse = x.grid.withColumn("time", F.col("time").cast("timestamp_ntz")).groupBy("time", "layer", (F.col("iy") % 4).alias("iy"), (F.col("ix") % 4).alias("ix")).agg(
+        (F.sum(F.round(F.col("temp") * 100000).cast("long")).cast("double") / F.count(F.lit(1)) / 100000.0).alias("value")
+    )
+    step = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    cell_weights = x.supplier.select(F.col("s_suppkey").alias("target"), step).select(
+        "target", (F.col("target") % 3 + F.col("k")).cast("int").alias("iy"), (F.col("target") % 4).cast("int").alias("ix"), F.when(F.col("k") == 0, 0.25).otherwise(0.75).alias("w")
+    )
+    delivered = x.domain.select(F.lit(0).cast("long").alias("request"), "domain")
+    _, out = plans.parent_ocean(
+        x.request, x.domain, delivered, coarse, cell_weights, "1996-01-01 00:00:00", "1998-01-01 00:00:00", [-1.5 - 3 * k for k in range(5)],
+        layer_z=F.col("layer") * -2.0 + 1.0, bed=-(F.col("target") % 9 + 6.0),
+    )
+    return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 5).alias("value"))
+
+
+@query("C14", "D14", name="trajectory_missing", sql="""
+WITH p AS (SELECT (lon + 75) / 0.5e0 AS fx, (lat - 39) / 0.5e0 AS fy, datediff('hour', TIMESTAMP '1995-01-01', time) / 2160e0 AS ft FROM track)
+SELECT 'u' AS field, count(*) AS n, count(*) FILTER (WHERE NOT (fx BETWEEN 0 AND 3 AND fy BETWEEN 0 AND 3 AND ft BETWEEN 0 AND 27) OR (floor(fx) >= 2 AND floor(fy) >= 2)) AS n_missing FROM p""")
+def trajectory_missing(x):
+    # Every cell but the land corner is filled, so only the land and the axes decide.
+    span = F.sequence(F.lit(0), F.lit(27))
+    every = x.supplier.agg(F.lit(1).alias("one")).select(F.explode(span).alias("it")).select("it", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("iz"))
+    cells = x.cell.where("iy < 4 AND ix < 4 AND NOT (iy = 3 AND ix = 3)").select("iy", "ix")
+    grid = every.join(F.broadcast(cells)).withColumn("u", F.lit(1.0))
+    _, missing = plans.trajectory(
+        x.track, grid, weights.Axis(-75.0, 0.5, 4), weights.Axis(39.0, 0.5, 4), "1995-01-01 00:00:00", 2160, 28, [-7.0, -6.0, -5.0, -4.0, -3.0, -2.0, -1.0], ["u"]
+    )
+    return missing

@@ -24,8 +24,7 @@ def plain(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float):
-        v = round(v, 6) + 0.0
-        return repr(v)
+        return repr(v + 0.0)
     if isinstance(v, dict):
         return "{" + ",".join(f"{k}={plain(x)}" for k, x in v.items()) + "}"
     if hasattr(v, "asDict"):
