@@ -51,7 +51,7 @@ def stream_publish(x):
 
 
 @query("S4", sql="""
-WITH e AS (SELECT unnest(generate_series(TIMESTAMP '1994-12-05', TIMESTAMP '2010-01-01', INTERVAL '10' DAY)) AS time),
+WITH e AS (SELECT unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '2010-01-01', INTERVAL '10' DAY)) AS time),
 r AS (SELECT e.time, p.iy, p.ix, p.value, p.sensor, p.time AS t, row_number() OVER (PARTITION BY e.time, p.iy, p.ix ORDER BY p.time DESC, p.sensor DESC, p.value DESC) AS k
       FROM pixel p JOIN e ON p.time >= e.time - INTERVAL '30' DAY AND p.time < e.time WHERE p.value IS NOT NULL AND e.time <= (SELECT max(time) FROM pixel WHERE value IS NOT NULL) - INTERVAL '1' DAY)
 SELECT time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 6) AS age_days, sensor FROM r WHERE k = 1""")
