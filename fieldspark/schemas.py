@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.types import StructField, StructType
+
+_TYPES = {
+    "string": T.StringType(), "timestamp_ntz": T.TimestampNTZType(), "int": T.IntegerType(), "bigint": T.LongType(), "smallint": T.ShortType(),
+    "tinyint": T.ByteType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _layout(columns: str) -> StructType:
+    """`name type, name type, ...`; no session is needed, as none exists when this module is read."""
+    pairs = [c.split() for c in columns.split(", ")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
+
 
 SCHEMAS: dict[str, StructType] = {
-    name: StructType.fromDDL(ddl)
-    for name, ddl in {
+    name: _layout(columns)
+    for name, columns in {
         "grid_cell": "store_id string, time timestamp_ntz, iz int, iy int, ix int, u float, v float, temp float, salt float",
         "grid_surface": "store_id string, time timestamp_ntz, iy int, ix int, zeta float",
         "grid_static": "store_id string, iy int, ix int, lat double, lon double, h float, mask tinyint",
