@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column):
+def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, used: Sequence[str]):
     cut = df.withColumn("_piece", piece)
+    # The rows and their per-piece summary both start from here. When they need the same columns, one exchange
+    # by piece serves both and the input is computed once; else the summary is combined before its own shuffle.
+    if set(df.columns) == {*keys, *order, *used}:
+        cut = cut.repartition(*keys, "_piece")
     inside = Window.partitionBy(*keys, "_piece").orderBy(*order)
     across = Window.partitionBy(*keys).orderBy("_piece")
     return cut, inside, across
@@ -35,7 +39,8 @@ def with_neighbours(
     """Add values of the row before (`prev`: new name -> column) and after (`next`) each row. `order` must be
     unique within the keys and `piece` must never decrease along it."""
     keys, order = list(keys), list(order)
-    cut, inside, across = _pieces(df, keys, order, piece)
+    used = [*(prev or {}).values(), *(next or {}).values()]
+    cut, inside, across = _pieces(df, keys, order, piece, used)
     rank = F.struct(*order)
     rows, ends, edges = cut, [], []
     if prev:
@@ -57,48 +62,12 @@ def with_neighbours(
     return joined.select(*cols)
 
 
-def with_bounds(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    piece: Column,
-    known: Column,
-    before: Mapping[str, str],
-    after: Mapping[str, str],
-) -> DataFrame:
-    """Add values of the last row at or before, and of the first row at or after, each row for which `known`
-    holds."""
-    keys, order = list(keys), list(order)
-    cut, inside, across = _pieces(df, keys, order, piece)
-    rank = F.struct(*order)
-    down = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    up = inside.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = cut.withColumn("_b", F.last(F.when(known, _fields(before)), ignorenulls=True).over(down)).withColumn(
-        "_a", F.first(F.when(known, _fields(after)), ignorenulls=True).over(up)
-    )
-    edge = cut.groupBy(*keys, "_piece").agg(
-        F.max_by(F.when(known, _fields(before)), F.when(known, rank)).alias("_last"),
-        F.min_by(F.when(known, _fields(after)), F.when(known, rank)).alias("_first"),
-    )
-    edge = edge.select(
-        *keys,
-        "_piece",
-        F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_be"),
-        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_ae"),
-    )
-    joined = rows.join(edge, [*keys, "_piece"])
-    cols = [F.col(c) for c in df.columns]
-    cols += [F.coalesce(F.col("_b"), F.col("_be"))[name].alias(name) for name in before]
-    cols += [F.coalesce(F.col("_a"), F.col("_ae"))[name].alias(name) for name in after]
-    return joined.select(*cols)
-
-
 def with_running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column, value: Column, out: str
 ) -> DataFrame:
     """Add the running sum of `value` up to and including each row."""
     keys, order = list(keys), list(order)
-    cut, inside, across = _pieces(df.withColumn("_v", value), keys, order, piece)
+    cut, inside, across = _pieces(df.withColumn("_v", value), keys, order, piece, ["_v"])
     down = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = cut.withColumn("_s", F.sum("_v").over(down))
     before = across.rowsBetween(Window.unboundedPreceding, -1)

@@ -72,7 +72,7 @@ def resolution(spacing: DataFrame) -> DataFrame:
 def cadence(rows: DataFrame, store: Sequence[str], *, time: str = "time") -> DataFrame:
     """Median time step of each store in hours."""
     distinct = rows.select(*store, time).distinct()
-    stepped = ordered.with_neighbours(distinct, store, [time], times.day_index(F.col(time)), next={"_next": time})
+    stepped = ordered.with_neighbours(distinct, store, [time], times.hour_index(F.col(time)), next={"_next": time})
     return stepped.groupBy(*store).agg(F.median(times.hours_between(F.col(time), F.col("_next"))).alias("step_h"))
 
 

@@ -53,9 +53,9 @@ def audit_cycles(df: DataFrame, fields: Sequence[str], leads: int, *, cycle="iss
 
 def audit_stores(df: DataFrame, store: Sequence[str], *, time: str = "time") -> DataFrame:
     """Per store: records, first and last time and the largest gap in hours. Each store's series is walked in
-    day-long pieces."""
-    records = df.groupBy(*store, time).agg(F.lit(1).alias("_one"))
-    stepped = ordered.with_neighbours(records, store, [time], times.day_index(F.col(time)), prev={"_before": time})
+    hour-long pieces."""
+    records = df.select(*store, time).distinct()
+    stepped = ordered.with_neighbours(records, store, [time], times.hour_index(F.col(time)), prev={"_before": time})
     gap = times.hours_between(F.col("_before"), F.col(time))
     return stepped.groupBy(*store).agg(
         F.count(F.lit(1)).alias("records"), F.min(time).alias("first_time"), F.max(time).alias("last_time"), F.max(gap).alias("largest_gap_h")

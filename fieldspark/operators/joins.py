@@ -224,9 +224,7 @@ def merge_fields(parts: dict[str, DataFrame], key: Sequence[str], *, time: str =
         one = part.select(*key, F.col(value).alias(name))
         stacked = one if stacked is None else stacked.unionByName(one, allowMissingColumns=True)
     wide = stacked.groupBy(*key).agg(*[F.max(n).alias(n) for n in parts])
-    firsts = [F.min(F.when(F.col(n).isNotNull(), F.col(time))) for n in parts]
-    lasts = [F.max(F.when(F.col(n).isNotNull(), F.col(time))) for n in parts]
-    span = stacked.agg(
-        (F.greatest(*firsts) if len(firsts) > 1 else firsts[0]).alias("_t0"), (F.least(*lasts) if len(lasts) > 1 else lasts[0]).alias("_t1")
-    )
+    present = [F.when(F.col(n).isNotNull(), F.col(time)) for n in parts]
+    edge = wide.agg(F.array(*[F.min(t) for t in present]).alias("_first"), F.array(*[F.max(t) for t in present]).alias("_last"))
+    span = edge.select(F.array_max("_first").alias("_t0"), F.array_min("_last").alias("_t1"))
     return wide.join(F.broadcast(span)).where(F.col(time).between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")

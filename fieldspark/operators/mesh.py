@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, keys, ordered
@@ -143,15 +143,10 @@ def sample_line(lines: DataFrame, n: int, *, line: str = "line", block: int = 40
     rows = lines.join(centre, line)
     x, y = geo.to_local(F.col("lon"), F.col("lat"), F.col("_lon0"), F.col("_lat0"))
     rows = rows.select(line, "seq", "_lon0", "_lat0", x.alias("_x"), y.alias("_y"))
-    piece = F.floor(F.col("seq") / F.lit(block)).cast("long")
-    legs = ordered.with_neighbours(rows, [line], ["seq"], piece, next={"_x1": "_x", "_y1": "_y"}).where(F.col("_x1").isNotNull())
-    legs = legs.withColumn("_d", F.hypot(F.col("_x1") - F.col("_x"), F.col("_y1") - F.col("_y")))
-    legs = ordered.with_running_sum(legs, [line], ["seq"], piece, F.col("_d"), "_c1").withColumn("_c0", F.col("_c1") - F.col("_d"))
-    whole = legs.groupBy(line).agg(F.max("_c1").alias("_total"), F.max("seq").alias("_end"))
-    legs = legs.join(whole, line)
+    legs = _cumulative(rows, line, block)
     step = F.col("_total") / float(n - 1)
     k0 = F.when(F.col("_total") > 0, F.ceil(F.try_divide(F.col("_c0"), step)).cast("int")).otherwise(0)
-    k1 = F.when(F.col("seq") == F.col("_end"), n - 1).otherwise(F.ceil(F.try_divide(F.col("_c1"), step)).cast("int") - 1)
+    k1 = F.when(F.col("_closing"), n - 1).otherwise(F.ceil(F.try_divide(F.col("_c1"), step)).cast("int") - 1)
     listed = legs.withColumns({"_k0": F.coalesce(k0, F.lit(0)), "_k1": F.coalesce(k1, F.lit(-1))}).where(F.col("_k0") <= F.col("_k1"))
     listed = listed.withColumn("k", F.explode(F.sequence("_k0", "_k1"))).withColumn("distance", F.col("k") * step)
     f = F.coalesce(F.try_divide(F.col("distance") - F.col("_c0"), F.col("_d")), F.lit(0.0))
@@ -160,6 +155,39 @@ def sample_line(lines: DataFrame, n: int, *, line: str = "line", block: int = 40
     return listed.select(line, F.col("k").cast("int").alias("k"), "distance", lon.alias("lon"), lat.alias("lat"))
 
 
+def _cumulative(rows: DataFrame, line: str, block: int) -> DataFrame:
+    """Legs between consecutive vertices (line, seq, _x, _y) with the distance along the line before (_c0) and
+    after (_c1) each, the whole length (_total), and which leg is the last (_closing). Lines are walked in blocks of
+    vertices; what a block needs of the others is one row per block."""
+    cut = rows.withColumn("_piece", F.floor(F.col("seq") / F.lit(block)).cast("long"))
+    inside = Window.partitionBy(line, "_piece").orderBy("seq")
+    down = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    vertex = F.struct("_x", "_y", "seq")
+
+    def length(a: str, b: str) -> Column:
+        return F.hypot(F.col(b + "._x") - F.col(a + "._x"), F.col(b + "._y") - F.col(a + "._y"))
+
+    here = cut.withColumn("_here", vertex).withColumn("_n", F.lead("_here").over(inside))
+    blocks = here.groupBy(line, "_piece").agg(
+        F.coalesce(F.sum(length("_here", "_n")), F.lit(0.0)).alias("_own"), F.min_by("_here", "seq").alias("_first"), F.max_by("_here", "seq").alias("_last")
+    )
+    across, whole = Window.partitionBy(line).orderBy("_piece"), Window.partitionBy(line)
+    blocks = blocks.withColumn("_next", F.lead("_first").over(across)).withColumn("_len", F.col("_own") + F.coalesce(length("_last", "_next"), F.lit(0.0)))
+    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_len").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    blocks = blocks.select(
+        line, "_piece", "_next", "_off", F.lead("_off").over(across).alias("_off1"), F.sum("_len").over(whole).alias("_total"), F.max("_last.seq").over(whole).alias("_final")
+    )
+    legs = here.join(blocks, [line, "_piece"]).withColumn("_bridge", F.col("_n").isNull()).withColumn("_n", F.coalesce("_n", "_next"))
+    legs = legs.where(F.col("_n").isNotNull()).withColumn("_d", length("_here", "_n"))
+    run = F.sum("_d").over(down)
+    # A leg ends at the very number the next one starts from, also across blocks, so no sample is lost or doubled.
+    return legs.select(
+        "*", F.col("_n._x").alias("_x1"), F.col("_n._y").alias("_y1"), (F.col("_n.seq") == F.col("_final")).alias("_closing"),
+        (F.col("_off") + F.coalesce(F.sum("_d").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("_c0"),
+        F.when(F.col("_bridge"), F.coalesce("_off1", "_total")).otherwise(F.col("_off") + run).alias("_c1"),
+    )
+
+
 def section(lines: DataFrame, corners: DataFrame, field: DataFrame, n: int, *, line: str = "line", size: float = 0.1) -> DataFrame:
     """Samples along each line with their host element and that element's value in every layer of `field(elem,
     layer, value)`; the bed is interpolated from the corners' depth when they carry it. Samples outside the mesh

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, scales
+from fieldspark.operators import sizes
 
 
 def weighted_percentiles(
-    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float], *, levels: int = 2, buckets: int = 1024
+    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int = 2, buckets: int = 1024
 ) -> DataFrame:
-    """(by..., q, value): the smallest value whose cumulative weight reaches q percent of the total. Exact.
+    """(by..., q, value): the smallest value whose cumulative weight reaches q percent of the total. Exact. `qs` may be an array column over `by`.
 
     Weights are first summed per distinct value. Each level cuts the range in equal buckets, sums them, and goes
     on inside the one bucket where the running weight crosses the goal; only that bucket's values are ordered in
@@ -22,9 +23,10 @@ def weighted_percentiles(
     if not by:
         out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets)
         return out.drop("_all")
+    percents = qs if isinstance(qs, Column) else F.array(*[F.lit(float(q)) for q in qs])
     held = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
     goals = held.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_total")).select(
-        *by, "_lo", "_hi", F.lit(0.0).alias("_off"), "_total", F.explode(F.array(*[F.lit(float(q)) for q in qs])).alias("q")
+        *by, "_lo", "_hi", F.lit(0.0).alias("_off"), "_total", F.explode(percents).alias("q")
     ).withColumn("_goal", F.col("q") / 100.0 * F.col("_total")).drop("_total")
     group = [*by, "q"]
 
@@ -56,19 +58,20 @@ def shared_scale(
 ) -> DataFrame:
     """(field, lo, hi) from every value of every mesh, weighted by area: the q percentiles, or for a symmetric
     field -hi..hi with hi the q_abs percentile of the magnitude. `meta(field, symmetric)` says which."""
-    rows = long.join(F.broadcast(meta.select(field, "symmetric")), field)
-    signed = weighted_percentiles(rows.where(~F.col("symmetric")), [field], value, weight, q)
-    plain = signed.groupBy(field).agg(
-        F.max(F.when(F.col("q") == q[0], F.col("value"))).alias("lo"), F.max(F.when(F.col("q") == q[1], F.col("value"))).alias("hi")
+    rows = long.join(sizes.small(meta.select(field, "symmetric")), field)
+    size = F.when(F.col("symmetric"), F.abs(value)).otherwise(F.col(value))
+    ends = F.when(F.col("symmetric"), F.array(F.lit(q_abs))).otherwise(F.array(F.lit(q[0]), F.lit(q[1])))
+    found = weighted_percentiles(rows.withColumn("_size", size), [field, "symmetric"], "_size", weight, ends)
+    at = {p: F.max(F.when(F.col("q") == p, F.col("value"))) for p in (*q, q_abs)}
+    return found.groupBy(field).agg(
+        F.when(F.bool_or("symmetric"), -at[q_abs]).otherwise(at[q[0]]).alias("lo"), F.when(F.bool_or("symmetric"), at[q_abs]).otherwise(at[q[1]]).alias("hi")
     )
-    size = weighted_percentiles(rows.where("symmetric").withColumn("_abs", F.abs(value)), [field], "_abs", weight, [q_abs])
-    return plain.unionByName(size.select(field, (-F.col("value")).alias("lo"), F.col("value").alias("hi")))
 
 
 def encode_fields(long: DataFrame, meta: DataFrame, *, field: str = "field", value: str = "value") -> DataFrame:
     """Add `code`, each value's byte on its field's scale `meta(field, lo, hi, log)`, and `decoded`. The scales
     are one short row per field."""
-    rows = long.join(F.broadcast(meta.select(field, "lo", "hi", "log")), field)
+    rows = long.join(sizes.small(meta.select(field, "lo", "hi", "log")), field)
     lo, hi, log = F.col("lo"), F.col("hi"), F.col("log")
     rows = rows.withColumn("code", scales.encode(F.col(value), lo, hi, log))
     return rows.withColumn("decoded", scales.decode(F.col("code"), lo, hi, log)).drop("lo", "hi", "log")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ordered, times
@@ -55,45 +55,33 @@ def _gaps(hourly: DataFrame, windows: DataFrame, key: Sequence[str], time: str,
     """Every hour of each window (`windows(key..., start, end)`), with the measured value where there is one and,
     where not, the measured neighbours and the position and length of the run of missing hours.
 
-    Only measured hours are held as rows; runs come from consecutive measured hours and are then listed, so no
-    full axis is joined or filled by a window. Hours up to `pad_hours` outside the window bound runs inside it,
-    but only the window's own hours count toward a run's length."""
-    held = hourly.join(windows, list(key)).where(
-        F.col(time).between(times.add_hours(F.col("start"), -pad_hours), times.add_hours(F.col("end"), pad_hours))
-    ).select(*key, "start", "end", times.hour_index(F.col(time)).alias("_h"), F.col(value).alias("_v"))
+    Only measured hours are held as rows, at most one per hour of the window, so a series is short however many
+    readings made it. Each measured hour answers for itself and for the missing hours up to the next one, which
+    it lists; one opening row per window answers for the hours before the first. There is no full axis to join.
+
+    Hours up to `pad_hours` outside the window bound runs inside it, but only the window's own hours count
+    toward a run's length."""
     keys = [*key, "start", "end"]
-    month = F.floor(F.col("_h") / F.lit(720)).cast("long")
-    stepped = ordered.with_neighbours(held, keys, ["_h"], month, next={"_h1": "_h", "_v1": "_v"})
     first, last = times.hour_index(F.col("start")), times.hour_index(F.col("end"))
-
-    measured = stepped.where(F.col("_h").between(first, last)).select(
-        *keys, "_h", F.col("_v"), *[F.lit(None).cast("long").alias(c) for c in ("_h0", "_h1")],
-        *[F.lit(None).cast("double").alias(c) for c in ("_v0", "_v1")], *[F.lit(None).cast("long").alias(c) for c in ("_pos", "_len")],
-    )
-
-    def listed(runs: DataFrame) -> DataFrame:
-        runs = runs.withColumns({"_a": F.greatest(F.col("_from"), first), "_b": F.least(F.col("_to"), last)}).where(F.col("_a") <= F.col("_b"))
-        runs = runs.withColumn("_h", F.explode(F.sequence("_a", "_b")))
-        return runs.select(
-            *keys, "_h", F.lit(None).cast("double").alias("_v"), "_h0", "_h1", "_v0", "_v1",
-            (F.col("_h") - F.col("_a") + 1).alias("_pos"), (F.col("_b") - F.col("_a") + 1).alias("_len"),
-        )
-
-    inner = stepped.where(F.col("_h1") - F.col("_h") > 1).select(
-        *keys, F.col("_h").alias("_h0"), "_h1", F.col("_v").alias("_v0"), "_v1", (F.col("_h") + 1).alias("_from"), (F.col("_h1") - 1).alias("_to")
-    )
-    # Hours before the first and after the last measured one: a run with one open side.
-    ends = windows.select(*keys).join(
-        held.groupBy(*keys).agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi")), keys, "left"
-    )
-    none = [F.lit(None).cast("double").alias("_v0"), F.lit(None).cast("double").alias("_v1")]
-    before = ends.select(
-        *keys, F.lit(None).cast("long").alias("_h0"), F.col("_lo").alias("_h1"), *none, first.alias("_from"), F.coalesce(F.col("_lo") - 1, last).alias("_to")
-    )
-    after = ends.where(F.col("_hi").isNotNull()).select(
-        *keys, F.col("_hi").alias("_h0"), F.lit(None).cast("long").alias("_h1"), *none, (F.col("_hi") + 1).alias("_from"), last.alias("_to")
+    held = hourly.where(F.col(value).isNotNull()).join(windows.select(*keys), list(key)).where(
+        F.col(time).between(times.add_hours(F.col("start"), -pad_hours), times.add_hours(F.col("end"), pad_hours))
+    ).select(*keys, times.hour_index(F.col(time)).alias("_at"), F.col(value).alias("_v"))
+    opening = windows.select(*keys, (first - pad_hours - 1).alias("_at"), F.lit(None).cast("double").alias("_v"))
+    series = Window.partitionBy(*keys).orderBy("_at")
+    rows = held.unionByName(opening).withColumn("_next", F.lead(F.struct("_at", "_v")).over(series))
+    rows = rows.withColumns({
+        "_h0": F.when(F.col("_v").isNotNull(), F.col("_at")),
+        "_h1": F.col("_next._at"),
+        "_v1": F.col("_next._v"),
+        "_a": F.greatest(F.col("_at"), first),
+        "_b": F.least(F.coalesce(F.col("_next._at") - 1, last), last),
+        "_gap": F.greatest(F.col("_at") + 1, first),
+    }).where(F.col("_a") <= F.col("_b"))
+    listed = rows.withColumn("_h", F.explode(F.sequence("_a", "_b")))
+    return listed.select(
+        *keys, "_h", F.when(F.col("_h") == F.col("_h0"), F.col("_v")).alias("_v"), "_h0", "_h1", F.col("_v").alias("_v0"), "_v1",
+        (F.col("_h") - F.col("_gap") + 1).alias("_pos"), (F.col("_b") - F.col("_gap") + 1).alias("_len"),
     )
-    return measured.unionByName(listed(inner)).unionByName(listed(before)).unionByName(listed(after))
 
 
 def _between() -> Column:
@@ -162,7 +150,7 @@ def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1
     Brackets are found on the short list of a field's times, not along every cell's series."""
     step_us = step_hours * times.HOUR_US
     present = long.where(F.col(value).isNotNull())
-    steps = present.groupBy(field, time).agg(F.lit(1).alias("_one")).select(field, time)
+    steps = present.select(field, time).distinct()
     year = times.step_index(F.col(time), 8766 * times.HOUR_US)
     pairs = ordered.with_neighbours(steps, [field], [time], year, next={"_t1": time})
     axis = long.agg(
@@ -182,12 +170,12 @@ def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1
     share = F.timestamp_diff("MICROSECOND", F.col(time), F.col("_t")) / F.timestamp_diff("MICROSECOND", F.col(time), F.col("_t1"))
     points = points.withColumn("_w", F.when(F.col("_t") == F.col(time), 0.0).otherwise(share))
     # Each target takes weight 1 - w of the time before and w of the time after.
-    legs = points.select(field, F.col("_t"), F.explode(F.array(
+    need = F.when(F.col("_w") > 0, 2).otherwise(1)
+    legs = points.select(field, F.col("_t"), need.alias("_need"), F.explode(F.array(
         F.struct(F.col(time).alias("at"), (F.lit(1.0) - F.col("_w")).alias("w")),
         F.struct(F.col("_t1").alias("at"), F.col("_w").alias("w")),
-    )).alias("_leg")).select(field, "_t", F.col("_leg.at").alias(time), F.col("_leg.w").alias("_w")).where(F.col(time).isNotNull() & (F.col("_w") > 0))
-    need = legs.groupBy(field, "_t").agg(F.count(F.lit(1)).alias("_need"))
-    joined = present.join(legs.join(need, [field, "_t"]), [field, time])
+    )).alias("_leg")).select(field, "_t", "_need", F.col("_leg.at").alias(time), F.col("_leg.w").alias("_w")).where(F.col("_w") > 0)
+    joined = present.join(legs, [field, time])
     return joined.groupBy(field, *cell, "_t").agg(
         F.sum(F.col("_w") * F.col(value)).alias("_v"), F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need")
     ).where(F.col("_n") == F.col("_need")).select(field, *cell, F.col("_t").alias(time), F.col("_v").alias(value))

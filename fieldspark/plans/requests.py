@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import times
 from fieldspark.operators import composite, forecast, joins, rivers as river_ops, series, vertical, weights
+from fieldspark.session import materialise
 from fieldspark.sources import scan
 
 
@@ -30,7 +31,8 @@ def rivers(
     start + hours. A gauge is read earlier by its river's lag."""
     first, last = gauge_window or (start, start)
     end = times.ts(last) if gauge_window else times.add_hours(times.ts(start), hours)
-    selection = river_ops.select_gauges(sites, mouths, records, below, times.ts(first), end, min_share=min_share)
+    # A short list that the summary, the windows and the sum all need: written once, not derived in each.
+    selection = materialise(river_ops.select_gauges(sites, mouths, records, below, times.ts(first), end, min_share=min_share), "gauges")
     summary = river_ops.mouth_summary(selection)
     gauges = selection.where("kept").join(mouths.select("mouth", "lag_hours"), "mouth").select("mouth", "station", "area_sqmi", "kept", "lag_hours")
     begin = times.add_hours(times.ts(start), -F.col("lag_hours"))

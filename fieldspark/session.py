@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "fieldspark", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +43,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="fieldspark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A result that several later steps need, written once to the shared folder and read back. It cuts the
+    lineage, survives the loss of an executor, and gives the optimiser a size to plan joins with."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
