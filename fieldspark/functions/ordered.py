@@ -77,3 +77,21 @@ def with_running_sum(
     joined = rows.join(edge, [*keys, "_piece"])
     zero = F.lit(0).cast(joined.schema["_s"].dataType)
     return joined.select(*df.columns, (F.coalesce("_s", zero) + F.coalesce("_o", zero)).alias(out))
+
+
+def with_run_start(df: DataFrame, keys: Sequence[str], index: str, piece: Column, max_gap: int, out: str) -> DataFrame:
+    """Add the first index of each row's run, a run being indices (distinct within the keys) that follow each
+    other by at most `max_gap`. A piece tells its neighbours its ends and where its own last run began."""
+    keys = list(keys)
+    cut, inside, across = _pieces(df, keys, [index], piece, [])
+    before = F.lag(index).over(inside)
+    # Null on a piece's first row: whether a run begins there depends on the piece before.
+    rows = cut.withColumn("_own", F.when(F.col(index) - before > max_gap, F.col(index)))
+    edge = rows.groupBy(*keys, "_piece").agg(F.min(index).alias("_lo"), F.max(index).alias("_hi"), F.max("_own").alias("_opened"))
+    prior = F.lag("_hi").over(across)
+    edge = edge.withColumn("_first", F.when(prior.isNull() | (F.col("_lo") - prior > max_gap), F.col("_lo")))
+    carried = F.last(F.coalesce("_opened", "_first"), ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    edge = edge.select(*keys, "_piece", F.coalesce(F.col("_first"), carried).alias("_start"))
+    down = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.withColumn("_since", F.max("_own").over(down)).join(edge, [*keys, "_piece"])
+    return joined.select(*df.columns, F.coalesce("_since", "_start").alias(out))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions import geo, keys, ordered
+from fieldspark.functions import geo, ordered
 
 # Neighbour codes at the coast and outside a subset.
 COAST, OUTSIDE = -1, -2
@@ -28,22 +28,22 @@ def element_corners(elements: DataFrame, nodes: DataFrame, fields: Sequence[str]
     return rows.groupBy("elem").agg(*ids, *pick)
 
 
-def locate(points: DataFrame, corners: DataFrame, *, point: Sequence[str] = ("point",), size: float = 0.1) -> DataFrame:
-    """Add (elem, b0, b1, b2) to each point (lon, lat): the element that contains it and its weights on the
-    element's corners, null outside the mesh. On a shared edge the lowest element wins. Triangles are listed
-    under the tiles their bounding boxes touch."""
+def locate(points: DataFrame, corners: DataFrame, *, carry: Sequence[str] = (), size: float = 0.1) -> DataFrame:
+    """Add (elem, b0, b1, b2) to each point (..., lon, lat; distinct rows): the element that contains it and its
+    weights on the element's corners, null outside the mesh; `carry` brings more columns of the element along.
+    On a shared edge the lowest element wins. Triangles are listed under the tiles their bounding boxes touch, a
+    point looks in its one tile, and the best hit is kept while grouping by point, so nothing is joined back."""
     lon, lat = [F.col(f"lon{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]
     tol = 1e-9
-    t = corners.select("elem", *[f"lon{k}" for k in range(3)], *[f"lat{k}" for k in range(3)])
+    t = corners.select("elem", *[f"lon{k}" for k in range(3)], *[f"lat{k}" for k in range(3)], *carry)
     t = t.withColumn("_tx", F.explode(geo.tile_range(F.least(*lon) - tol, F.greatest(*lon) + tol, size)))
     t = t.withColumn("_ty", F.explode(geo.tile_range(F.least(*lat) - tol, F.greatest(*lat) + tol, size)))
-    p = points.select(*point, F.col("lon").alias("_px"), F.col("lat").alias("_py"))
-    p = p.withColumns({"_tx": geo.tile(F.col("_px"), size), "_ty": geo.tile(F.col("_py"), size)})
-    b = geo.barycentric(F.col("_px"), F.col("_py"), lon[0], lat[0], lon[1], lat[1], lon[2], lat[2])
-    hit = p.join(t, ["_tx", "_ty"]).select(*point, "elem", *[w.alias(f"b{k}") for k, w in enumerate(b)])
-    hit = hit.where((F.col("b0") >= EDGE_TOLERANCE) & (F.col("b1") >= EDGE_TOLERANCE) & (F.col("b2") >= EDGE_TOLERANCE))
-    first = hit.groupBy(*point).agg(F.min(F.struct("elem", "b0", "b1", "b2")).alias("_h"))
-    return points.join(first, list(point), "left").select(*points.columns, *[F.col(f"_h.{c}").alias(c) for c in ("elem", "b0", "b1", "b2")])
+    p = points.withColumns({"_tx": geo.tile(F.col("lon"), size), "_ty": geo.tile(F.col("lat"), size)})
+    b = geo.barycentric(F.col("lon"), F.col("lat"), lon[0], lat[0], lon[1], lat[1], lon[2], lat[2])
+    inside = (b[0] >= EDGE_TOLERANCE) & (b[1] >= EDGE_TOLERANCE) & (b[2] >= EDGE_TOLERANCE)
+    hit = F.when(inside, F.struct("elem", *[w.alias(f"b{k}") for k, w in enumerate(b)], *carry))
+    best = p.join(t, ["_tx", "_ty"], "left").groupBy(*points.columns).agg(F.min(hit).alias("_h"))
+    return best.select(*points.columns, *[F.col(f"_h.{c}").alias(c) for c in ("elem", "b0", "b1", "b2", *carry)])
 
 
 def neighbours(elements: DataFrame) -> DataFrame:
@@ -192,11 +192,11 @@ def section(lines: DataFrame, corners: DataFrame, field: DataFrame, n: int, *, l
     """Samples along each line with their host element and that element's value in every layer of `field(elem,
     layer, value)`; the bed is interpolated from the corners' depth when they carry it. Samples outside the mesh
     keep nulls."""
-    samples = locate(sample_line(lines, n, line=line), corners, point=(line, "k"), size=size)
-    if "h0" in corners.columns:
-        depth = corners.select("elem", "h0", "h1", "h2")
+    depth = [c for c in ("h0", "h1", "h2") if c in corners.columns]
+    samples = locate(sample_line(lines, n, line=line), corners, carry=depth, size=size)
+    if depth:
         bed = -(F.col("b0") * F.col("h0") + F.col("b1") * F.col("h1") + F.col("b2") * F.col("h2"))
-        samples = samples.join(depth, "elem", "left").withColumn("bed", bed).drop("h0", "h1", "h2")
+        samples = samples.withColumn("bed", bed).drop(*depth)
     return samples.join(field, "elem", "left").drop("b0", "b1", "b2")
 
 
@@ -279,18 +279,20 @@ def contract_violations(nodes: DataFrame, elements: DataFrame, fields: DataFrame
         n = F.lit(1).cast("long") if count is None else count
         return df.select(F.lit(rule).alias("rule"), F.col(key).cast("long").alias("id"), n.alias("n"))
 
+    def flagged(df: DataFrame, key: str, tests: dict[str, Column]) -> DataFrame:
+        """All per-id tests in one grouping; each gives a count, and a row where it is set."""
+        counted = df.groupBy(key).agg(*[c.alias(f"_{i}") for i, c in enumerate(tests.values())])
+        each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(key).cast("long").alias("id"), F.col(f"_{i}").alias("n")) for i, rule in enumerate(tests)])
+        return counted.select(F.explode(each).alias("_r")).select("_r.*").where(F.col("n").isNotNull())
+
+    many = F.when(F.count(F.lit(1)) > 1, F.count(F.lit(1)))
+    same = (F.col("n0") == F.col("n1")) | (F.col("n1") == F.col("n2")) | (F.col("n0") == F.col("n2"))
+    outside = (F.abs("lat") > 90) | (F.col("lon") < -180) | (F.col("lon") > 360)
     dangling = _corner_rows(elements).join(nodes.select("node"), "node", "left_anti").groupBy("elem").agg(F.count(F.lit(1)).alias("_n"))
-    repeated = elements.where((F.col("n0") == F.col("n1")) | (F.col("n1") == F.col("n2")) | (F.col("n0") == F.col("n2")))
-    twice_e = elements.groupBy("elem").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    twice_n = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-    why = keys.reason([(F.abs("lat") > 90, "latitude"), ((F.col("lon") < -180) | (F.col("lon") > 360), "longitude")])
-    outside = nodes.where(why.isNotNull())
     out = (
         found(dangling, "corner without a node", "elem", F.col("_n"))
-        .unionByName(found(repeated, "repeated corner", "elem"))
-        .unionByName(found(twice_e, "element listed twice", "elem", F.col("_n")))
-        .unionByName(found(twice_n, "node listed twice", "node", F.col("_n")))
-        .unionByName(found(outside, "coordinate out of range", "node"))
+        .unionByName(flagged(elements, "elem", {"element listed twice": many, "repeated corner": F.nullif(F.count_if(same), F.lit(0))}))
+        .unionByName(flagged(nodes, "node", {"node listed twice": many, "coordinate out of range": F.nullif(F.count_if(outside), F.lit(0))}))
     )
     if fields is not None:
         per = fields.groupBy("elem").agg(F.count_distinct("layer").alias("_n"))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldspark.functions import ordered, times
 
@@ -13,11 +14,18 @@ from fieldspark.functions import ordered, times
 FILL_NONE, FILL_INTERPOLATED, FILL_DAILY_MEAN, FILL_CLIMATOLOGY = 0, 1, 2, 3
 
 
+# Types whose values do not fit a fixed-width aggregation buffer.
+_WIDE = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+
+
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str], keep: str = "last") -> DataFrame:
     """One row per key: the last or the first in `order` (end it with something unique). Aggregates before the
-    shuffle; the key's rows are never sorted in one task."""
+    shuffle; the key's rows are never sorted in one task. With one order column and fixed-width values each value
+    is picked by itself, which Spark can do by hash; otherwise the row is picked as a whole."""
     rest = [c for c in df.columns if c not in key]
     pick = {"last": F.max_by, "first": F.min_by}[keep]
+    if len(order) == 1 and not any(isinstance(df.schema[c].dataType, _WIDE) for c in rest):
+        return df.groupBy(*key).agg(*[pick(c, order[0]).alias(c) for c in rest]).select(*df.columns)
     best = df.groupBy(*key).agg(pick(F.struct(*rest), F.struct(*order)).alias("_row"))
     return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
@@ -33,6 +41,18 @@ def hourly_centred(obs: DataFrame, key: Sequence[str], *, time: str = "time", va
     return obs.groupBy(*key, times.centred_hour(F.col(time)).alias(time)).agg(F.avg(value).alias(value))
 
 
+def clean_hourly(
+    obs: DataFrame, key: Sequence[str], order: str, *, time: str = "time", value: str = "value", non_negative: bool = True
+) -> DataFrame:
+    """`clean` and `hourly_centred` in one shuffle: rows move once, by key and hour, and both the duplicates of a
+    time and the readings of an hour meet there."""
+    rows = obs.select(*key, time, value, order, times.centred_hour(F.col(time)).alias("_hour")).repartition(*key, "_hour")
+    once = rows.groupBy(*key, "_hour", time).agg(F.max_by(value, order).alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
+    if non_negative:
+        once = once.where(F.col(value) >= 0)
+    return once.groupBy(*key, "_hour").agg(F.avg(value).alias(value)).withColumnRenamed("_hour", time)
+
+
 def first_valid(df: DataFrame, key: Sequence[str], fields: Sequence[str], order: str) -> DataFrame:
     """Duplicates merged: the first value present, field by field (not the first row)."""
     return df.groupBy(*key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in fields])
@@ -188,15 +208,12 @@ def runs(df: DataFrame, key: Sequence[str], index: str, *, max_gap: int = 1, max
     """Runs of an integer index (distinct within the key): a new one starts where the step exceeds `max_gap`;
     with `max_len`, runs are cut after that many members. Returns (key..., start, stop, members)."""
     piece = F.floor(F.col(index) / F.lit(block)).cast("long")
-    stepped = ordered.with_neighbours(df.select(*key, index), key, [index], piece, prev={"_before": index})
-    breaks = F.when(F.col("_before").isNull() | (F.col(index) - F.col("_before") > max_gap), 1).otherwise(0)
-    marked = ordered.with_running_sum(stepped, key, [index], piece, breaks, "_run")
+    if max_len is not None and max_gap != 1:
+        raise ValueError("max_len needs runs of consecutive members")
+    marked = ordered.with_run_start(df.select(*key, index), key, index, piece, max_gap, "_run")
     group = [*key, "_run"]
     if max_len is not None:
-        if max_gap != 1:
-            raise ValueError("max_len needs runs of consecutive members")
-        low = marked.groupBy(*group).agg(F.min(index).alias("_low"))
-        marked = marked.join(low, group).withColumn("_cut", F.floor((F.col(index) - F.col("_low")) / F.lit(max_len)).cast("long"))
+        marked = marked.withColumn("_cut", F.floor((F.col(index) - F.col("_run")) / F.lit(max_len)).cast("long"))
         group.append("_cut")
     return marked.groupBy(*group).agg(
         F.min(index).alias("start"), F.max(index).alias("stop"), F.count(F.lit(1)).alias("members")

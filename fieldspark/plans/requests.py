@@ -32,14 +32,15 @@ def rivers(
     first, last = gauge_window or (start, start)
     end = times.ts(last) if gauge_window else times.add_hours(times.ts(start), hours)
     # A short list that the summary, the windows and the sum all need: written once, not derived in each.
-    selection = materialise(river_ops.select_gauges(sites, mouths, records, below, times.ts(first), end, min_share=min_share), "gauges")
+    selected = river_ops.select_gauges(sites, mouths, records, below, times.ts(first), end, min_share=min_share)
+    selection = materialise(selected.join(mouths.select("mouth", "lag_hours"), "mouth"), "gauges")
     summary = river_ops.mouth_summary(selection)
-    gauges = selection.where("kept").join(mouths.select("mouth", "lag_hours"), "mouth").select("mouth", "station", "area_sqmi", "kept", "lag_hours")
+    gauges = selection.where("kept")
     begin = times.add_hours(times.ts(start), -F.col("lag_hours"))
     windows = gauges.select("station", begin.alias("start"), times.add_hours(begin, hours).alias("end"))
     # Only the kept gauges' readings go on.
     own = readings.join(gauges.select("station"), "station", "left_semi")
-    hourly = series.hourly_centred(series.clean(own, ["station", "time"], ["arrival"]), ["station"])
+    hourly = series.clean_hourly(own, ["station"], "arrival")
     filled = series.gap_ladder(hourly, windows, ["station"], max_gap, daily, normals, strict=strict)
     at_mouth = river_ops.apply_lag(filled, gauges).drop("mouth")
     temp = None

@@ -15,9 +15,7 @@ from fieldspark.registry import query
 WITH d AS (SELECT station, parameter, time, max_by(value, arrival) AS value FROM obs GROUP BY 1, 2, 3)
 SELECT station, parameter, date_trunc('hour', time + INTERVAL '30' MINUTE)::TIMESTAMP AS time, round(avg(value), 6) AS value FROM d WHERE value >= 0 GROUP BY 1, 2, 3""")
 def hourly_centred(x):
-    key = ["station", "parameter"]
-    clean = series.clean(x.obs.select(*key, "time", "value", "arrival"), [*key, "time"], ["arrival"])
-    return series.hourly_centred(clean, key).withColumn("value", F.round("value", 6))
+    return series.clean_hourly(x.obs, ["station", "parameter"], "arrival").withColumn("value", F.round("value", 6))
 
 
 RIVER_START, RIVER_HOURS = "2024-01-03 00:00:00", 600

@@ -37,10 +37,10 @@ WITH n AS (SELECT CASE WHEN node % 91 = 1 THEN node + 1 ELSE node END AS node, C
 e AS (SELECT elem, n0, n1, CASE WHEN elem % 401 = 3 THEN n1 ELSE n2 END AS n2 FROM mesh_element UNION ALL SELECT elem, n0, n1, n2 FROM mesh_element WHERE elem % 203 = 8),
 f AS (SELECT * FROM mesh_field WHERE NOT (elem % 211 = 4 AND layer = 2))
 SELECT 'corner without a node' AS rule, CAST(elem AS BIGINT) AS id, count(*) AS n FROM (SELECT elem, unnest([n0, n1, n2]) AS node FROM e) a WHERE node NOT IN (SELECT node FROM n) GROUP BY elem
-UNION ALL SELECT 'repeated corner', elem, 1 FROM e WHERE n0 = n1 OR n1 = n2 OR n0 = n2
+UNION ALL SELECT 'repeated corner', elem, count(*) FROM e WHERE n0 = n1 OR n1 = n2 OR n0 = n2 GROUP BY elem
 UNION ALL SELECT 'element listed twice', elem, count(*) FROM e GROUP BY elem HAVING count(*) > 1
 UNION ALL SELECT 'node listed twice', node, count(*) FROM n GROUP BY node HAVING count(*) > 1
-UNION ALL SELECT 'coordinate out of range', node, 1 FROM n WHERE abs(lat) > 90 OR lon > 360
+UNION ALL SELECT 'coordinate out of range', node, count(*) FROM n WHERE abs(lat) > 90 OR lon > 360 GROUP BY node
 UNION ALL SELECT 'layer count', elem, count(DISTINCT layer) FROM f GROUP BY elem HAVING count(DISTINCT layer) < (SELECT max(c) FROM (SELECT count(DISTINCT layer) AS c FROM f GROUP BY elem) m)
 UNION ALL SELECT 'field without an element', elem, count(*) FROM f WHERE elem NOT IN (SELECT elem FROM e) GROUP BY elem""")
 def mesh_contract(x):
