@@ -69,10 +69,10 @@ def satellite_request(x):
 WITH g AS (SELECT time, layer, iy % 4 AS iy, ix % 4 AS ix, CAST(sum(CAST(round(temp * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS value FROM grid WHERE time >= DATE '1996-01-01' AND time < DATE '1998-01-01' GROUP BY 1, 2, 3, 4),
 w AS (SELECT s_suppkey AS target, CAST(s_suppkey % 3 + k.id AS INT) AS iy, CAST(s_suppkey % 4 AS INT) AS ix, CASE WHEN k.id = 0 THEN 0.25e0 ELSE 0.75e0 END AS w FROM supplier CROSS JOIN range(2) AS k(id)),
 t AS (SELECT g.time, g.layer, w.target, sum(w.w * g.value) AS v, count(*) AS n FROM g JOIN w ON g.iy = w.iy AND g.ix = w.ix GROUP BY 1, 2, 3),
-c AS (SELECT time, target, -2e0 * layer + 1 AS z, CASE WHEN n = 2 THEN v END AS v FROM t),
+c AS (SELECT time, target, layer * -1.9e0 + 0.7e0 AS z, CASE WHEN n = 2 THEN v END AS v FROM t),
 l AS (SELECT CAST(id AS INT) AS level, -1.5e0 - 3 * id AS zt FROM range(5) AS t(id)),
 p AS (SELECT time, target, level, zt, min(z) FILTER (WHERE z >= zt) AS zu, struct_extract(arg_min(struct_pack(v := v), z) FILTER (WHERE z >= zt), 'v') AS vu, max(z) FILTER (WHERE z < zt) AS zl, struct_extract(arg_max(struct_pack(v := v), z) FILTER (WHERE z < zt), 'v') AS vl FROM c CROSS JOIN l GROUP BY 1, 2, 3, 4)
-SELECT time, target, level, zt AS z, CASE WHEN zt >= -(6e0 + target % 9) THEN round(CASE WHEN zu IS NULL THEN vl WHEN zl IS NULL THEN vu ELSE vu + (vl - vu) * (zu - zt) / (zu - zl) END, 8) END AS value FROM p""")
+SELECT time, target, level, zt AS z, CASE WHEN zt >= -(6e0 + target % 9) THEN round(CASE WHEN zu IS NULL THEN vl WHEN zl IS NULL THEN vu ELSE vu + (vl - vu) * (zu - zt) / (zu - zl) END, 6) END AS value FROM p""")
 def parent_ocean_field(x):
     coarse = x.grid.withColumn("time", F.col("time").cast("timestamp_ntz")).groupBy("time", "layer", (F.col("iy") % 4).alias("iy"), (F.col("ix") % 4).alias("ix")).agg(
         (F.sum(F.round(F.col("temp") * 100000).cast("long")).cast("double") / F.count(F.lit(1)) / 100000.0).alias("value")
@@ -84,9 +84,9 @@ def parent_ocean_field(x):
     delivered = x.domain.select(F.lit(0).cast("long").alias("request"), "domain")
     _, out = plans.parent_ocean(
         x.request, x.domain, delivered, coarse, cell_weights, "1996-01-01 00:00:00", "1998-01-01 00:00:00", [-1.5 - 3 * k for k in range(5)],
-        layer_z=F.col("layer") * -2.0 + 1.0, bed=-(F.col("target") % 9 + 6.0),
+        layer_z=F.col("layer") * -1.9 + 0.7, bed=-(F.col("target") % 9 + 6.0),
     )
-    return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 8).alias("value"))
+    return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 6).alias("value"))
 
 
 @query("C14", "D14", name="trajectory_missing", sql="""
