@@ -67,7 +67,7 @@ def satellite_request(x):
 
 @query("C6", "E7", "B10", name="parent_ocean_field", sql="""
 WITH g AS (SELECT time, layer, iy % 4 AS iy, ix % 4 AS ix, CAST(sum(CAST(round(temp * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS value FROM grid WHERE time >= DATE '1996-01-01' AND time < DATE '1998-01-01' GROUP BY 1, 2, 3, 4),
-w AS (SELECT s_suppkey AS target, CAST(s_suppkey % 3 + k.id AS INT) AS iy, CAST(s_suppkey % 4 AS INT) AS ix, CASE WHEN k.id = 0 THEN 0.25e0 ELSE 0.75e0 END AS w FROM supplier CROSS JOIN range(2) AS k(id)),
+w AS (SELECT s_suppkey AS target, CAST(s_suppkey % 3 + k.id AS INT) AS iy, CAST(s_suppkey % 4 AS INT) AS ix, CASE WHEN k.id = 0 THEN 0.35355339e0 ELSE 0.64644661e0 END AS w FROM supplier CROSS JOIN range(2) AS k(id)),
 t AS (SELECT g.time, g.layer, w.target, sum(w.w * g.value) AS v, count(*) AS n FROM g JOIN w ON g.iy = w.iy AND g.ix = w.ix GROUP BY 1, 2, 3),
 c AS (SELECT time, target, layer * -1.9e0 + 0.7e0 AS z, CASE WHEN n = 2 THEN v END AS v FROM t),
 l AS (SELECT CAST(id AS INT) AS level, -1.5e0 - 3 * id AS zt FROM range(5) AS t(id)),
@@ -79,7 +79,7 @@ def parent_ocean_field(x):
     )
     step = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
     cell_weights = x.supplier.select(F.col("s_suppkey").alias("target"), step).select(
-        "target", (F.col("target") % 3 + F.col("k")).cast("int").alias("iy"), (F.col("target") % 4).cast("int").alias("ix"), F.when(F.col("k") == 0, 0.25).otherwise(0.75).alias("w")
+        "target", (F.col("target") % 3 + F.col("k")).cast("int").alias("iy"), (F.col("target") % 4).cast("int").alias("ix"), F.when(F.col("k") == 0, 0.35355339).otherwise(0.64644661).alias("w")
     )
     delivered = x.domain.select(F.lit(0).cast("long").alias("request"), "domain")
     _, out = plans.parent_ocean(
