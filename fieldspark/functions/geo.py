@@ -109,6 +109,24 @@ def tile(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
 
+# The smallest tile side in degrees (about 7 m of latitude); each level doubles it.
+FINEST_TILE = 2.0**-14
+
+
+def box_level(width: Column, height: Column) -> Column:
+    """The first level whose tiles are at least as large as the box, so that the box touches four at most."""
+    steps = F.ceil(F.log2(F.greatest(width, height) / FINEST_TILE)).cast("int")
+    return F.greatest(F.lit(0), F.coalesce(steps, F.lit(0)))
+
+
+def level_size(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level) * FINEST_TILE
+
+
+def level_tile(x: Column, level: Column) -> Column:
+    return F.floor(x / level_size(level)).cast("long")
+
+
 def tile_range(low: Column, high: Column, size: float) -> Column:
     """All tile indices that [low, high] touches."""
     return F.sequence(tile(low, size), tile(high, size))

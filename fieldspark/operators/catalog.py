@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, ordered, times
+from fieldspark.operators import sizes
 
 # The order keywords are looked for in a store's path and attributes, and in its file stem.
 FAMILY_RULES = (
@@ -96,7 +97,7 @@ def stride_cells(grid: DataFrame, budget: int) -> DataFrame:
     shape = grid.agg((F.max("iy") + 1).alias("_ny"), (F.max("ix") + 1).alias("_nx"))
     step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("_ny") * F.col("_nx") / F.lit(float(budget)))).cast("int"))
     shape = shape.select(step.alias("stride"))
-    return grid.join(F.broadcast(shape)).where((F.col("iy") % F.col("stride") == 0) & (F.col("ix") % F.col("stride") == 0))
+    return grid.join(sizes.one_row(shape)).where((F.col("iy") % F.col("stride") == 0) & (F.col("ix") % F.col("stride") == 0))
 
 
 def target_axis(low: float, high: float, step: float, pad: float) -> list[float]:

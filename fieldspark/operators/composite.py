@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import times
+from fieldspark.operators import sizes
 
 
 def _valid(pixels: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
     window = pixels.where((F.col("time") <= as_of) & (F.col("time") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
     used = window.agg(F.array_sort(F.collect_set("sensor")).alias("_used"))
     best = _valid(window).groupBy("iy", "ix").agg(F.max(F.struct("time", (-F.col("sensor")).alias("order"), "value")).alias("_b"))
-    return best.join(F.broadcast(used)).select(
+    return best.join(sizes.one_row(used)).select(
         "iy", "ix", F.col("_b.value").alias("value"), times.age_days(F.col("_b.time"), as_of).alias("age_days"),
         (F.array_position("_used", -F.col("_b.order")) - 1).cast("int").alias("product_index"),
     )

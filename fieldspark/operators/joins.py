@@ -8,23 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, times
+from fieldspark.operators import sizes
 
 BOX = ("west", "south", "east", "north")
 
 
-def _tiles(df: DataFrame, west: Column, south: Column, east: Column, north: Column, size: float) -> DataFrame:
-    """One row per tile a box touches."""
-    df = df.withColumn("_tx", F.explode(geo.tile_range(west, east, size)))
-    return df.withColumn("_ty", F.explode(geo.tile_range(south, north, size)))
+def box_tiles(boxes: DataFrame, box: Sequence[str] = BOX) -> DataFrame:
+    """Boxes listed under the tiles they touch, on the level that fits their own size (at most four each):
+    adds (_level, _tx, _ty). Large and small boxes do not share tiles, so neither a crowd of small boxes nor one
+    huge box makes every point nearby a candidate."""
+    west, south, east, north = (F.col(c) for c in box)
+    rows = boxes.withColumn("_level", geo.box_level(east - west, north - south))
+    for mark, low, high in (("_tx", west, east), ("_ty", south, north)):
+        rows = rows.withColumn(mark, F.explode(F.sequence(geo.level_tile(low, F.col("_level")), geo.level_tile(high, F.col("_level")))))
+    return rows
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, *, size: float = 0.5, salt: int = 1, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Every (point, box) pair with the point in the box. A point lies in one tile and a box is listed under
-    each tile it touches, so a pair meets once. `salt` spreads the points of a crowded tile over that many
-    tasks, at the cost of as many copies of the boxes."""
-    p = points.withColumns({"_tx": geo.tile(F.col(lon), size), "_ty": geo.tile(F.col(lat), size)})
-    b = _tiles(boxes, *[F.col(c) for c in BOX], size)
-    on = ["_tx", "_ty"]
+def point_tiles(points: DataFrame, tiled: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Points with their one tile on each level that `tiled` boxes use: one row per level, a handful at most."""
+    used = sizes.one_row(tiled.agg(F.collect_set("_level").alias("_used")))
+    rows = points.join(used).withColumn("_level", F.explode_outer("_used")).drop("_used")
+    return rows.withColumns({"_tx": geo.level_tile(F.col(lon), F.col("_level")), "_ty": geo.level_tile(F.col(lat), F.col("_level"))})
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, *, salt: int = 1, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Every (point, box) pair with the point in the box. A point lies in one tile per level and a box is listed
+    under its tiles on one level, so a pair meets once. `salt` spreads the points of a crowded tile over that
+    many tasks, at the cost of as many copies of the boxes; without it adaptive execution splits such tiles."""
+    b = box_tiles(boxes)
+    p = point_tiles(points, b, lon, lat)
+    on = ["_level", "_tx", "_ty"]
     if salt > 1:
         p = p.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int"))
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
@@ -33,10 +46,10 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, size: float = 0.5, s
     return p.join(b, on).where(inside).drop(*on)
 
 
-def stations_for_boxes(sites: DataFrame, boxes: DataFrame, box: str, proxies: Sequence[int], site: str = "site", size: float = 0.5) -> DataFrame:
+def stations_for_boxes(sites: DataFrame, boxes: DataFrame, box: str, proxies: Sequence[int], site: str = "site") -> DataFrame:
     """(box, site, within_box, distance_km): the sites inside each box or, where there is none, the proxy sites
     with their distance, marked as outside."""
-    hits = points_in_boxes(sites, boxes, size=size).select(box, site)
+    hits = points_in_boxes(sites, boxes).select(box, site)
     inside = hits.select(box, site, F.lit(True).alias("within_box"), F.lit(0.0).alias("distance_km"))
     empty = boxes.join(hits.select(box).distinct(), box, "left_anti")
     kind = sites.schema[site].dataType
@@ -69,39 +82,51 @@ def overlap_join(
 
 
 def search_catalog(
-    catalog: DataFrame, requests: DataFrame, *, size: float = 0.5, families: Sequence[str] | None = None, kind: str | None = None
+    catalog: DataFrame, requests: DataFrame, *, bucket_days: int = 7, families: Sequence[str] | None = None, kind: str | None = None
 ) -> DataFrame:
-    """(request, store_id) of the stores whose box and time span overlap a request's. Both are listed under the
-    tiles they touch, time buckets ride along in the key, and a pair counts only in its first common tile."""
+    """(request, store_id) of the stores whose box and time span overlap a request's. Both are listed under their
+    tiles on their own level and the coarser ones in use, and time buckets ride along in the key. A pair counts
+    only on the coarser of its two levels, in the first tile both touch."""
     if families is not None:
         catalog = catalog.where(F.col("family").isin(list(families)))
     if kind is not None:
         catalog = catalog.where(F.col("kind") == kind)
 
-    def side(df: DataFrame, key: str, mark: str) -> DataFrame:
-        w, s, e, n = (F.col(c) for c in BOX)
-        slim = df.select(
-            key, F.col("time_start").alias(mark + "0"), F.col("time_end").alias(mark + "1"), *[c.alias(mark + c_) for c, c_ in zip((w, s, e, n), BOX)],
-            geo.tile(w, size).alias(mark + "tx"), geo.tile(s, size).alias(mark + "ty"), *BOX,
+    def slim(df: DataFrame, key: str, mark: str) -> DataFrame:
+        own = geo.box_level(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+        return df.select(
+            key, F.col("time_start").alias(mark + "0"), F.col("time_end").alias(mark + "1"), own.alias(mark + "level"), *[F.col(c).alias(mark + c) for c in BOX]
         )
-        return _tiles(slim, w, s, e, n, size).drop(*BOX)
 
-    a, b = side(catalog, "store_id", "_a"), side(requests, "request", "_b")
-    pairs = overlap_join(a, b, ("_a0", "_a1"), ("_b0", "_b1"), times.DAY_US, on=["_tx", "_ty"])
-    first = (F.col("_tx") == F.greatest("_atx", "_btx")) & (F.col("_ty") == F.greatest("_aty", "_bty"))
+    def side(df: DataFrame, mark: str, used: DataFrame) -> DataFrame:
+        rows = df.join(used).withColumn("_level", F.explode(F.filter("_used", lambda v: v >= F.col(mark + "level")))).drop("_used")
+        for axis, low, high in (("_tx", "west", "east"), ("_ty", "south", "north")):
+            first, last = (geo.level_tile(F.col(mark + c), F.col("_level")) for c in (low, high))
+            rows = rows.withColumn(mark + axis, first).withColumn(axis, F.explode(F.sequence(first, last)))
+        return rows
+
+    a, b = slim(catalog, "store_id", "_a"), slim(requests, "request", "_b")
+    levels = a.select(F.col("_alevel").alias("v")).union(b.select("_blevel"))
+    used = sizes.one_row(levels.agg(F.collect_set("v").alias("_used")))
+    pairs = overlap_join(side(a, "_a", used), side(b, "_b", used), ("_a0", "_a1"), ("_b0", "_b1"), bucket_days * times.DAY_US, on=["_level", "_tx", "_ty"])
+    once = (
+        (F.col("_level") == F.greatest("_alevel", "_blevel"))
+        & (F.col("_tx") == F.greatest("_a_tx", "_b_tx"))
+        & (F.col("_ty") == F.greatest("_a_ty", "_b_ty"))
+    )
     both = geo.overlaps(*[F.col("_a" + c) for c in BOX], *[F.col("_b" + c) for c in BOX])
-    return pairs.where(first & both).select("request", "store_id")
+    return pairs.where(once & both).select("request", "store_id")
 
 
 # Donors ----------------------------------------------------------------------------------------
 
 
-def rank_donors(requests: DataFrame, donors: DataFrame, delivered: DataFrame | None = None, *, size: float = 0.5) -> DataFrame:
+def rank_donors(requests: DataFrame, donors: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
     """Donors whose domain contains each request's box, ranked by domain area, resolution and id. With
     `delivered(request, domain)`, `chosen` marks the first ranked donor that delivers."""
     wide = donors.select("domain", "resolution_m", *BOX)
     asked = requests.select("request", *[F.col(c).alias("_" + c) for c in BOX], F.col("west").alias("lon"), F.col("south").alias("lat"))
-    held = points_in_boxes(asked, wide, size=size).where(
+    held = points_in_boxes(asked, wide).where(
         geo.contains(*[F.col(c) for c in BOX], *[F.col("_" + c) for c in BOX])
     )
     area = geo.box_area(*[F.col(c) for c in BOX])
@@ -118,36 +143,39 @@ def rank_donors(requests: DataFrame, donors: DataFrame, delivered: DataFrame | N
 # Nearest ---------------------------------------------------------------------------------------
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", site: str = "site", size: float = 0.25, grow: float = 6.0) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", site: str = "site", size: float = 1 / 64, grow: float = 8.0) -> DataFrame:
     """The nearest site to each point, longitude scaled by the point's own cosine. Distances equal to twelve
     decimals tie, and the lower id wins.
 
-    Sites within one tile ring are certain to include the nearest when the best found is closer than a tile;
-    points without such a site go on with larger tiles. The last ring spans the globe, so every point is
-    answered, and only points far from all sites reach the large tiles."""
-    s = sites.select(site, F.col("lon").alias("_slon"), F.col("lat").alias("_slat"))
-    left = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
+    Sites at one position count once, and a position shared by many points is looked up once. Sites within one
+    tile ring are certain to include the nearest when the best found is closer than a tile, so crowded places are
+    settled on small tiles; places without such a site go on with larger ones. The last ring spans the globe, so
+    every point is answered."""
+    s = sites.groupBy(F.col("lon").alias("_slon"), F.col("lat").alias("_slat")).agg(F.min(site).alias(site))
+    where = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
+    left = where.select("_plon", "_plat").distinct()
+    ring = F.sequence(F.lit(-1), F.lit(1))
+    cos = F.cos(F.radians("_plat"))
+    dx, dy = (F.col("_slon") - F.col("_plon")) * cos, F.col("_slat") - F.col("_plat")
+    d2 = F.round(dx * dx + dy * dy, 12)
     answers = None
     while True:
         last = size >= 360.0
-        ring = F.sequence(F.lit(-1), F.lit(1))
         probe = left.withColumn("_dx", F.explode(ring)).withColumn("_dy", F.explode(ring)).select(
-            point, "_plon", "_plat",
-            (geo.tile(F.col("_plon"), size) + F.col("_dx")).alias("_tx"), (geo.tile(F.col("_plat"), size) + F.col("_dy")).alias("_ty"),
+            "_plon", "_plat", (geo.tile(F.col("_plon"), size) + F.col("_dx")).alias("_tx"), (geo.tile(F.col("_plat"), size) + F.col("_dy")).alias("_ty")
         )
         held = s.withColumns({"_tx": geo.tile(F.col("_slon"), size), "_ty": geo.tile(F.col("_slat"), size)})
-        cos = F.cos(F.radians("_plat"))
-        dx, dy = (F.col("_slon") - F.col("_plon")) * cos, F.col("_slat") - F.col("_plat")
-        best = probe.join(held, ["_tx", "_ty"], "left").groupBy(point, "_plon", "_plat").agg(
-            F.min(F.when(F.col(site).isNotNull(), F.struct(F.round(dx * dx + dy * dy, 12).alias("d2"), F.col(site).alias(site)))).alias("_best")
+        best = probe.join(held, ["_tx", "_ty"], "left").groupBy("_plon", "_plat").agg(
+            F.min(F.when(F.col(site).isNotNull(), F.struct(d2.alias("d2"), F.col(site).alias(site)))).alias("_best")
         )
-        sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2")) <= cos * size, F.lit(False))
-        done = best.where(sure).select(point, F.col(f"_best.{site}").alias(site), F.col("_best.d2").alias("d2"))
+        sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2")) < cos * size, F.lit(False))
+        done = best.where(sure)
         answers = done if answers is None else answers.unionByName(done)
         if last:
-            return answers
-        left = best.where(~sure).select(point, "_plon", "_plat")
-        size = min(size * grow, 360.0) if size * grow < 60.0 else 360.0
+            break
+        left = best.where(~sure).select("_plon", "_plat")
+        size = size * grow if size * grow < 60.0 else 360.0
+    return where.join(answers, ["_plon", "_plat"]).select(point, F.col(f"_best.{site}").alias(site), F.col("_best.d2").alias("d2"))
 
 
 def snap_pixels(pixels: DataFrame, base: DataFrame, step: float) -> DataFrame:
@@ -184,7 +212,7 @@ def split_window(requests: DataFrame, segments: DataFrame, *, width_us: int = 30
         segments.withColumn("_next", F.lead("start").over(order))
         .withColumn("_first", F.min("start").over(Window.partitionBy(F.lit(0))))
         .select("segment", F.col("start").alias("_s0"), "_next", "tidal", "_first")
-        .join(F.broadcast(far))
+        .join(sizes.one_row(far))
         .withColumn("_s1", F.greatest(F.col("_s0"), F.coalesce(F.col("_next"), F.col("_far"))))
         .where(F.col("_s0") <= F.col("_far"))
     )
@@ -227,4 +255,4 @@ def merge_fields(parts: dict[str, DataFrame], key: Sequence[str], *, time: str =
     present = [F.when(F.col(n).isNotNull(), F.col(time)) for n in parts]
     edge = wide.agg(F.array(*[F.min(t) for t in present]).alias("_first"), F.array(*[F.max(t) for t in present]).alias("_last"))
     span = edge.select(F.array_max("_first").alias("_t0"), F.array_min("_last").alias("_t1"))
-    return wide.join(F.broadcast(span)).where(F.col(time).between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")
+    return wide.join(sizes.one_row(span)).where(F.col(time).between(F.col("_t0"), F.col("_t1"))).drop("_t0", "_t1")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, ordered
+from fieldspark.operators import joins, sizes
 
 # Neighbour codes at the coast and outside a subset.
 COAST, OUTSIDE = -1, -2
@@ -28,21 +29,26 @@ def element_corners(elements: DataFrame, nodes: DataFrame, fields: Sequence[str]
     return rows.groupBy("elem").agg(*ids, *pick)
 
 
-def locate(points: DataFrame, corners: DataFrame, *, carry: Sequence[str] = (), size: float = 0.1) -> DataFrame:
+def locate(points: DataFrame, corners: DataFrame, *, carry: Sequence[str] = ()) -> DataFrame:
     """Add (elem, b0, b1, b2) to each point (..., lon, lat; distinct rows): the element that contains it and its
     weights on the element's corners, null outside the mesh; `carry` brings more columns of the element along.
-    On a shared edge the lowest element wins. Triangles are listed under the tiles their bounding boxes touch, a
-    point looks in its one tile, and the best hit is kept while grouping by point, so nothing is joined back."""
+    On a shared edge the lowest element wins.
+
+    Each triangle is listed under the tiles of its own size that its bounding box touches, so river elements of
+    metres and ocean elements of kilometres both stand in few tiles with few others. The best hit is kept while
+    grouping by point, so nothing is joined back."""
     lon, lat = [F.col(f"lon{k}") for k in range(3)], [F.col(f"lat{k}") for k in range(3)]
     tol = 1e-9
-    t = corners.select("elem", *[f"lon{k}" for k in range(3)], *[f"lat{k}" for k in range(3)], *carry)
-    t = t.withColumn("_tx", F.explode(geo.tile_range(F.least(*lon) - tol, F.greatest(*lon) + tol, size)))
-    t = t.withColumn("_ty", F.explode(geo.tile_range(F.least(*lat) - tol, F.greatest(*lat) + tol, size)))
-    p = points.withColumns({"_tx": geo.tile(F.col("lon"), size), "_ty": geo.tile(F.col("lat"), size)})
+    boxed = corners.select(
+        "elem", *[f"lon{k}" for k in range(3)], *[f"lat{k}" for k in range(3)], *carry,
+        (F.least(*lon) - tol).alias("_w"), (F.least(*lat) - tol).alias("_s"), (F.greatest(*lon) + tol).alias("_e"), (F.greatest(*lat) + tol).alias("_n"),
+    )
+    t = joins.box_tiles(boxed, ("_w", "_s", "_e", "_n"))
+    p = joins.point_tiles(points, t)
     b = geo.barycentric(F.col("lon"), F.col("lat"), lon[0], lat[0], lon[1], lat[1], lon[2], lat[2])
     inside = (b[0] >= EDGE_TOLERANCE) & (b[1] >= EDGE_TOLERANCE) & (b[2] >= EDGE_TOLERANCE)
     hit = F.when(inside, F.struct("elem", *[w.alias(f"b{k}") for k, w in enumerate(b)], *carry))
-    best = p.join(t, ["_tx", "_ty"], "left").groupBy(*points.columns).agg(F.min(hit).alias("_h"))
+    best = p.join(t, ["_level", "_tx", "_ty"], "left").groupBy(*points.columns).agg(F.min(hit).alias("_h"))
     return best.select(*points.columns, *[F.col(f"_h.{c}").alias(c) for c in ("elem", "b0", "b1", "b2", *carry)])
 
 
@@ -188,12 +194,12 @@ def _cumulative(rows: DataFrame, line: str, block: int) -> DataFrame:
     )
 
 
-def section(lines: DataFrame, corners: DataFrame, field: DataFrame, n: int, *, line: str = "line", size: float = 0.1) -> DataFrame:
+def section(lines: DataFrame, corners: DataFrame, field: DataFrame, n: int, *, line: str = "line") -> DataFrame:
     """Samples along each line with their host element and that element's value in every layer of `field(elem,
     layer, value)`; the bed is interpolated from the corners' depth when they carry it. Samples outside the mesh
     keep nulls."""
     depth = [c for c in ("h0", "h1", "h2") if c in corners.columns]
-    samples = locate(sample_line(lines, n, line=line), corners, carry=depth, size=size)
+    samples = locate(sample_line(lines, n, line=line), corners, carry=depth)
     if depth:
         bed = -(F.col("b0") * F.col("h0") + F.col("b1") * F.col("h1") + F.col("b2") * F.col("h2"))
         samples = samples.withColumn("bed", bed).drop(*depth)
@@ -264,7 +270,7 @@ def thin_columns(columns: DataFrame, limit: int) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.avg("lon").alias("_lon0"), F.avg("lat").alias("_lat0"),
         F.greatest(F.sqrt(F.sum("area_m2") / float(limit)), F.lit(1.0)).alias("_side"),
     )
-    rows = columns.join(F.broadcast(whole))
+    rows = columns.join(sizes.one_row(whole))
     x, y = geo.to_local(F.col("lon"), F.col("lat"), F.col("_lon0"), F.col("_lat0"))
     crowded = F.col("_n") > limit
     kx = F.when(crowded, F.floor(x / F.col("_side")).cast("long")).otherwise(F.col("elem").cast("long"))
@@ -297,7 +303,7 @@ def contract_violations(nodes: DataFrame, elements: DataFrame, fields: DataFrame
     if fields is not None:
         per = fields.groupBy("elem").agg(F.count_distinct("layer").alias("_n"))
         most = per.agg(F.max("_n").alias("_most"))
-        out = out.unionByName(found(per.join(F.broadcast(most)).where(F.col("_n") < F.col("_most")), "layer count", "elem", F.col("_n")))
+        out = out.unionByName(found(per.join(sizes.one_row(most)).where(F.col("_n") < F.col("_most")), "layer count", "elem", F.col("_n")))
         unknown = fields.join(elements.select("elem"), "elem", "left_anti").groupBy("elem").agg(F.count(F.lit(1)).alias("_n"))
         out = out.unionByName(found(unknown, "field without an element", "elem", F.col("_n")))
     return out

@@ -87,7 +87,7 @@ def quantize_track(track: DataFrame, lon0: float, lat0: float, by: Sequence[str]
     rows = track.withColumns({"_x": x, "_y": y, "_z": F.col("z"), "_ok": F.coalesce(F.col("alive"), F.lit(True)) & finite})
     axes = ("x", "y", "z")
     ends = rows.groupBy(*by).agg(*[f(F.when(F.col("_ok"), F.col("_" + a))).alias(f"_{m}{a}") for a in axes for m, f in (("lo", F.min), ("hi", F.max))])
-    joined = rows.join(ends, list(by)) if by else rows.join(F.broadcast(ends))
+    joined = rows.join(ends, list(by)) if by else rows.join(sizes.one_row(ends))
     out = {}
     for a in axes:
         lo, hi = F.coalesce(F.col("_lo" + a), F.lit(0.0)), F.coalesce(F.col("_hi" + a), F.lit(0.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldspark.functions import ordered, times
+from fieldspark.operators import sizes
 
 # Fill flags, worst last.
 FILL_NONE, FILL_INTERPOLATED, FILL_DAILY_MEAN, FILL_CLIMATOLOGY = 0, 1, 2, 3
@@ -182,7 +183,7 @@ def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1
     t_to = F.when(F.col("_t1").isNull(), times.step_index(F.col(time), step_us)).otherwise(
         F.ceil(times.micros(F.col("_t1")) / F.lit(float(step_us))).cast("long") - 1
     )
-    spans = pairs.join(F.broadcast(axis)).withColumns(
+    spans = pairs.join(sizes.one_row(axis)).withColumns(
         {"_a": F.greatest(t_from, F.col("_lo")), "_b": F.least(t_to, F.col("_hi"))}
     ).where(F.col("_a") <= F.col("_b"))
     target = F.timestamp_add("HOUR", F.col("_k") * step_hours, times.ts(times.EPOCH))

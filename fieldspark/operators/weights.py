@@ -12,22 +12,33 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geo, times
 
 
-def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float = 6.0, *, point: str = "point") -> DataFrame:
+def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float = 6.0, *, point: str = "point", steps: int = 2, shrink: float = 4.0) -> DataFrame:
     """(point, iy, ix, km, w): up to `k` nearest cells not farther than `max_km`, weights 1/d^2 normalised; a
     point on a cell's centre takes that cell alone. Give water cells only. Distances equal to a micrometre tie and
-    go by cell. Points look up the tiles their own reach touches."""
-    size = max_km / geo.KM_PER_DEG_LAT
-    reach_lat = F.lit(size)
-    reach_lon = F.lit(max_km / geo.KM_PER_DEG_LON) / F.greatest(F.cos(F.radians("_plat")), F.lit(0.01))
-    p = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
-    p = p.withColumn("_tx", F.explode(geo.tile_range(F.col("_plon") - reach_lon, F.col("_plon") + reach_lon, size)))
-    p = p.withColumn("_ty", F.explode(geo.tile_range(F.col("_plat") - reach_lat, F.col("_plat") + reach_lat, size)))
+    go by cell.
+
+    The radius grows by `shrink` in `steps` steps to `max_km`: where the grid is fine, k cells are found within the
+    first, and only points that lack them look farther, so a fine grid never pairs every cell in reach with every
+    point. Cells and points meet in tiles of the radius."""
     c = cells.select("iy", "ix", geo.wrap_lon(F.col("lon")).alias("_lon"), F.col("lat").alias("_lat"))
-    c = c.withColumns({"_tx": geo.tile(F.col("_lon"), size), "_ty": geo.tile(F.col("_lat"), size)})
-    km = geo.planar_km(F.col("_lon"), F.col("_lat"), F.col("_plon"), F.col("_plat"))
-    near = p.join(c, ["_tx", "_ty"]).withColumn("km", km).where(F.col("km") <= max_km).select(point, "iy", "ix", "km")
+    left = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
     order = Window.partitionBy(point).orderBy(F.round("km", 9), "iy", "ix")
-    top = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+    top = None
+    for step in reversed(range(steps)):
+        reach = max_km / shrink**step
+        size = reach / geo.KM_PER_DEG_LAT
+        wide = F.lit(reach / geo.KM_PER_DEG_LON) / F.greatest(F.cos(F.radians("_plat")), F.lit(0.01))
+        p = left.withColumn("_tx", F.explode(geo.tile_range(F.col("_plon") - wide, F.col("_plon") + wide, size)))
+        p = p.withColumn("_ty", F.explode(geo.tile_range(F.col("_plat") - size, F.col("_plat") + size, size)))
+        held = c.withColumns({"_tx": geo.tile(F.col("_lon"), size), "_ty": geo.tile(F.col("_lat"), size)})
+        km = geo.planar_km(F.col("_lon"), F.col("_lat"), F.col("_plon"), F.col("_plat"))
+        near = p.join(held, ["_tx", "_ty"]).withColumn("km", km).where(F.col("km") <= reach)
+        best = near.select(point, "_plon", "_plat", "iy", "ix", "km").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        if step:
+            enough = best.where(F.col("_r") == k).select(point)
+            left = left.join(enough, point, "left_anti")
+            best = best.join(enough, point, "left_semi")
+        top = best if top is None else top.unionByName(best)
     every = Window.partitionBy(point)
     exact = F.min("km").over(every) < 1e-6
     raw = F.when(exact, F.when(F.col("_r") == 1, 1.0).otherwise(0.0)).otherwise(F.lit(1.0) / (F.col("km") * F.col("km")))

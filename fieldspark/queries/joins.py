@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import times
 from fieldspark.operators import forecast, joins, mesh, rivers, weights
+from fieldspark.plans import requests as plans
 from fieldspark.registry import query
 
 LOCATE_SQL = """
@@ -227,22 +228,29 @@ def stitch_segments(x):
     return joins.stitch(copies.select("station", "time", "segment", "value"), ["station", "time"], "segment")
 
 
-@query("C14", sql="""
+VOLUME_AXES = (
+    weights.Axis(-75.0, 0.5, 4), weights.Axis(39.0, 0.5, 4), "1995-01-01 00:00:00", 2160, 28, [-7.0, -6.0, -5.0, -4.0, -3.0, -2.0, -1.0], ["u"],
+)
+TRACK_SQL = """
 WITH p AS (SELECT trajectory_id, obs, (lon + 75) / 0.5e0 AS fx, (lat - 39) / 0.5e0 AS fy, datediff('hour', TIMESTAMP '1995-01-01', time) / 2160e0 AS ft, least(z, -1) + 7 AS fz FROM track),
 b AS (SELECT *, least(2, floor(fx)) AS x0, least(2, floor(fy)) AS y0, least(26, floor(ft)) AS t0, least(5, floor(fz)) AS z0 FROM p WHERE fx BETWEEN 0 AND 3 AND fy BETWEEN 0 AND 3 AND ft BETWEEN 0 AND 27 AND fz >= 0),
 c AS (SELECT trajectory_id, obs, t0 + a.id AS it, z0 + d.id AS iz, y0 + e.id AS iy, x0 + f.id AS ix,
              abs(1 - a.id - (ft - t0)) * abs(1 - d.id - (fz - z0)) * abs(1 - e.id - (fy - y0)) * abs(1 - f.id - (fx - x0)) AS w
       FROM b CROSS JOIN range(2) AS a(id) CROSS JOIN range(2) AS d(id) CROSS JOIN range(2) AS e(id) CROSS JOIN range(2) AS f(id)),
-s AS (SELECT c.trajectory_id, c.obs, sum(c.w * v.u) AS u, count(*) AS n FROM c JOIN volume v ON c.it = v.it AND 7 - c.iz = v.iz AND c.iy = v.iy AND c.ix = v.ix GROUP BY 1, 2)
-SELECT t.trajectory_id, t.obs, CASE WHEN s.n = 16 THEN round(s.u, 6) END AS u FROM track t LEFT JOIN s ON t.trajectory_id = s.trajectory_id AND t.obs = s.obs""")
+s AS (SELECT c.trajectory_id, c.obs, sum(c.w * v.u) AS u, count(*) AS n FROM c JOIN volume v ON c.it = v.it AND 7 - c.iz = v.iz AND c.iy = v.iy AND c.ix = v.ix GROUP BY 1, 2)"""
+
+
+@query("C14", sql=f"{TRACK_SQL} SELECT t.trajectory_id, t.obs, CASE WHEN s.n = 16 THEN round(s.u, 6) END AS u FROM track t LEFT JOIN s ON t.trajectory_id = s.trajectory_id AND t.obs = s.obs")
 def interpolate_track(x):
-    volume = x.volume.withColumn("iz", 7 - F.col("iz"))
-    out = weights.interpolate_track(
-        x.track, volume, weights.Axis(-75.0, 0.5, 4), weights.Axis(39.0, 0.5, 4), "1995-01-01 00:00:00", 2160, 28, [-7.0, -6.0, -5.0, -4.0, -3.0, -2.0, -1.0], ["u"]
-    )
+    out, _ = plans.trajectory(x.track, x.volume.withColumn("iz", 7 - F.col("iz")), *VOLUME_AXES)
     return out.select("trajectory_id", "obs", F.round("u", 6).alias("u"))
 
 
+@query("C14", "D14", sql=f"{TRACK_SQL} SELECT 'u' AS field, count(*) AS n, count(*) FILTER (WHERE s.n IS NULL OR s.n < 16) AS n_missing FROM track t LEFT JOIN s ON t.trajectory_id = s.trajectory_id AND t.obs = s.obs")
+def trajectory_missing(x):
+    return plans.trajectory(x.track, x.volume.withColumn("iz", 7 - F.col("iz")), *VOLUME_AXES)[1]
+
+
 @query("C14", sql="""
 SELECT trajectory_id, round(min(lon) - 0.1e0, 6) AS west, round(min(lat) - 0.1e0, 6) AS south, round(max(lon) + 0.1e0, 6) AS east, round(max(lat) + 0.1e0, 6) AS north,
        min(time) - INTERVAL '1' HOUR AS start, CAST(datediff('hour', min(time), max(time)) + 2 AS INT) AS hours FROM track GROUP BY 1""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import times
-from fieldspark.operators import mesh, sets, weights
+from fieldspark.operators import mesh, sets
 from fieldspark.plans import requests as plans
 from fieldspark.registry import query
 from fieldspark.sources import adapters, scan
@@ -87,18 +87,3 @@ def parent_ocean_field(x):
         layer_z=F.col("layer") * -1.9 + 0.7, bed=-(F.col("target") % 9 + 6.0),
     )
     return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 6).alias("value"))
-
-
-@query("C14", "D14", name="trajectory_missing", sql="""
-WITH p AS (SELECT (lon + 75) / 0.5e0 AS fx, (lat - 39) / 0.5e0 AS fy, datediff('hour', TIMESTAMP '1995-01-01', time) / 2160e0 AS ft FROM track)
-SELECT 'u' AS field, count(*) AS n, count(*) FILTER (WHERE NOT (fx BETWEEN 0 AND 3 AND fy BETWEEN 0 AND 3 AND ft BETWEEN 0 AND 27) OR (floor(fx) >= 2 AND floor(fy) >= 2)) AS n_missing FROM p""")
-def trajectory_missing(x):
-    # Every cell but the land corner is filled, so only the land and the axes decide.
-    span = F.sequence(F.lit(0), F.lit(27))
-    every = x.supplier.agg(F.lit(1).alias("one")).select(F.explode(span).alias("it")).select("it", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("iz"))
-    cells = x.cell.where("iy < 4 AND ix < 4 AND NOT (iy = 3 AND ix = 3)").select("iy", "ix")
-    grid = every.join(F.broadcast(cells)).withColumn("u", F.lit(1.0))
-    _, missing = plans.trajectory(
-        x.track, grid, weights.Axis(-75.0, 0.5, 4), weights.Axis(39.0, 0.5, 4), "1995-01-01 00:00:00", 2160, 28, [-7.0, -6.0, -5.0, -4.0, -3.0, -2.0, -1.0], ["u"]
-    )
-    return missing

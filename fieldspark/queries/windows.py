@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldspark.functions import times
-from fieldspark.operators import composite, forecast, mesh, rivers, series, vertical
+from fieldspark.operators import composite, forecast, mesh, rivers, series, sizes, vertical
 from fieldspark.registry import query
 
 GAP_SQL = """
@@ -169,7 +169,7 @@ e AS (SELECT iy, ix, v FROM y UNION ALL SELECT a.iy, -1, 2 * a.v - b.v FROM y a
 SELECT a.iy + 1 AS jy, a.ix + 1 AS jx, round((a.v + b.v + c.v + d.v) / 4, 6) AS value FROM e a JOIN e b ON b.iy = a.iy AND b.ix = a.ix + 1 JOIN e c ON c.iy = a.iy + 1 AND c.ix = a.ix JOIN e d ON d.iy = a.iy + 1 AND d.ix = a.ix + 1""")
 def cell_corners(x):
     shape = x.cell.agg((F.max("iy") + 1).alias("ny"), (F.max("ix") + 1).alias("nx"))
-    grid = x.cell.select("iy", "ix", (F.col("lon") * F.col("lat") / 10.0).alias("value")).join(F.broadcast(shape))
+    grid = x.cell.select("iy", "ix", (F.col("lon") * F.col("lat") / 10.0).alias("value")).join(sizes.one_row(shape))
     return mesh.cell_corners(grid, F.col("ny"), F.col("nx"), "value").withColumn("value", F.round("value", 6))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, keys, scales, times
+from fieldspark.operators import sizes
 
 
 def scan_window(
@@ -140,7 +141,7 @@ def crop(grid: DataFrame, box: Sequence[float], pad: int, fields: Sequence[str],
     limits = grid.where(inside).agg(
         (F.min("iy") - pad).alias("_y0"), (F.max("iy") + pad).alias("_y1"), (F.min("ix") - pad).alias("_x0"), (F.max("ix") + pad).alias("_x1")
     )
-    cut = grid.join(F.broadcast(limits), F.col("iy").between(F.col("_y0"), F.col("_y1")) & F.col("ix").between(F.col("_x0"), F.col("_x1")))
+    cut = grid.join(sizes.one_row(limits), F.col("iy").between(F.col("_y0"), F.col("_y1")) & F.col("ix").between(F.col("_x0"), F.col("_x1")))
     return cut.select(
         *[F.when(inside, F.col(c)).alias(c) if c in fields else F.col(c) for c in grid.columns]
     )
@@ -152,7 +153,7 @@ def crop_rectangles(hits: DataFrame, request: str, shape: DataFrame, pad: int) -
     box = hits.groupBy(request).agg(
         F.min("iy").alias("y0"), F.max("iy").alias("y1"), F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.count(F.lit(1)).alias("n_wet")
     )
-    return box.join(F.broadcast(shape)).select(
+    return box.join(sizes.one_row(shape)).select(
         request,
         F.greatest(F.lit(0), F.col("y0") - pad).alias("y0"),
         F.least(F.col("ny") - 1, F.col("y1") + pad).alias("y1"),

@@ -24,7 +24,7 @@ def square(spark):
 def test_locate_shared_edge_outside_and_weights(spark, square):
     corners = mesh.element_corners(square[1], square[0])
     points = spark.createDataFrame([(0, 0.5, 0.5), (1, 0.75, 0.25), (2, 0.25, 0.75), (3, 1.5, 0.5), (4, 0.0, 0.0)], "point int, lon double, lat double")
-    got = {r.point: r for r in mesh.locate(points, corners, size=0.3).collect()}
+    got = {r.point: r for r in mesh.locate(points, corners).collect()}
     assert [got[k].elem for k in range(5)] == [0, 0, 1, None, 0]
     assert (got[1].b0, got[1].b1, got[1].b2) == pytest.approx((0.25, 0.5, 0.25))
 
@@ -41,7 +41,7 @@ def test_locate_matches_brute_force(spark):
     pts = [(k, rng.uniform(-0.5, n - 0.5), rng.uniform(-0.5, n - 0.5)) for k in range(400)]
     nd = spark.createDataFrame(nodes, "node int, lon double, lat double")
     el = spark.createDataFrame([(e, *t) for e, t in enumerate(tri)], "elem int, n0 int, n1 int, n2 int")
-    got = {r.point: r.elem for r in mesh.locate(spark.createDataFrame(pts, "point int, lon double, lat double"), mesh.element_corners(el, nd), size=0.7).collect()}
+    got = {r.point: r.elem for r in mesh.locate(spark.createDataFrame(pts, "point int, lon double, lat double"), mesh.element_corners(el, nd)).collect()}
     xy = {k: (x, y) for k, x, y in nodes}
 
     def host(px, py):
