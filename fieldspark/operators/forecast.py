@@ -25,12 +25,12 @@ def plan_records(hours: DataFrame, held: DataFrame, *, latest: str = "latest", e
     newest = F.least(times.hour_index(times.cycle_floor(F.col("time"), every)), times.hour_index(F.col(latest)))
     steps = F.sequence(F.lit(0), F.lit(reach // every))
     tries = wanted.withColumn("_h", times.hour_index(F.col("time"))).withColumn("_k", F.explode(steps)).select(
-        "time", latest, (newest - F.col("_k") * every).alias("_cycle"), (F.col("_h") - newest + F.col("_k") * every).cast("int").alias("_lead")
+        "time", latest, "_h", (newest - F.col("_k") * every).alias("_cycle"), (F.col("_h") - newest + F.col("_k") * every).cast("int").alias("_lead")
     ).where(F.col("_lead") <= reach)
     have = held.select(times.hour_index(F.col("cycle")).alias("_cycle"), F.col("lead").cast("int").alias("_lead")).distinct()
-    plan = tries.join(have, ["_cycle", "_lead"]).groupBy("time", latest).agg(F.max(F.struct("_cycle", "_lead")).alias("_p"))
+    plan = tries.join(have, ["_cycle", "_lead"]).groupBy("time", latest, "_h").agg(F.max("_cycle").alias("_cycle"))
     return hours.join(plan, ["time", latest], "left").select(
-        *hours.columns, times.from_hour(F.col("_p._cycle")).alias("cycle"), F.col("_p._lead").alias("lead")
+        *hours.columns, times.from_hour(F.col("_cycle")).alias("cycle"), (F.col("_h") - F.col("_cycle")).cast("int").alias("lead")
     )
 
 

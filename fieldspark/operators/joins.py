@@ -143,39 +143,65 @@ def rank_donors(requests: DataFrame, donors: DataFrame, delivered: DataFrame | N
 # Nearest ---------------------------------------------------------------------------------------
 
 
-def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", site: str = "site", size: float = 1 / 64, grow: float = 8.0) -> DataFrame:
+def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", site: str = "site", size: float = 1 / 32, grow: int = 16) -> DataFrame:
     """The nearest site to each point, longitude scaled by the point's own cosine. Distances equal to twelve
     decimals tie, and the lower id wins.
 
     Sites at one position count once, and a position shared by many points is looked up once. Sites within one
     tile ring are certain to include the nearest when the best found is closer than a tile, so crowded places are
-    settled on small tiles; places without such a site go on with larger ones. The last ring spans the globe, so
-    every point is answered."""
+    settled on small tiles; places without such a site go on with tiles `grow` times larger. There the occupied
+    small tiles are weighed first, by the least and the greatest distance their sites can have, and only the
+    sites of tiles that can hold the nearest are looked at. The last ring spans the globe."""
     s = sites.groupBy(F.col("lon").alias("_slon"), F.col("lat").alias("_slat")).agg(F.min(site).alias(site))
     where = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
     left = where.select("_plon", "_plat").distinct()
+    here = ["_plon", "_plat"]
     ring = F.sequence(F.lit(-1), F.lit(1))
     cos = F.cos(F.radians("_plat"))
-    dx, dy = (F.col("_slon") - F.col("_plon")) * cos, F.col("_slat") - F.col("_plat")
-    d2 = F.round(dx * dx + dy * dy, 12)
+
+    def probes(side: float) -> DataFrame:
+        around = left.withColumn("_dx", F.explode(ring)).withColumn("_dy", F.explode(ring))
+        return around.select(*here, (geo.tile(F.col("_plon"), side) + F.col("_dx")).alias("_cx"), (geo.tile(F.col("_plat"), side) + F.col("_dy")).alias("_cy"))
+
+    # A tile that does not exist, other for each place, so places without a tile do not crowd one task.
+    nowhere = F.lit(-(10**12)) - F.pmod(F.xxhash64(*here), F.lit(1_000_000))
+
+    def squared(dx: Column, dy: Column) -> Column:
+        return dx * cos * dx * cos + dy * dy
+
     answers = None
     while True:
         last = size >= 360.0
-        probe = left.withColumn("_dx", F.explode(ring)).withColumn("_dy", F.explode(ring)).select(
-            "_plon", "_plat", (geo.tile(F.col("_plon"), size) + F.col("_dx")).alias("_tx"), (geo.tile(F.col("_plat"), size) + F.col("_dy")).alias("_ty")
-        )
-        held = s.withColumns({"_tx": geo.tile(F.col("_slon"), size), "_ty": geo.tile(F.col("_slat"), size)})
-        best = probe.join(held, ["_tx", "_ty"], "left").groupBy("_plon", "_plat").agg(
-            F.min(F.when(F.col(site).isNotNull(), F.struct(d2.alias("d2"), F.col(site).alias(site)))).alias("_best")
-        )
-        sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2")) < cos * size, F.lit(False))
+        if answers is None:
+            fine = size
+            look = probes(size).withColumnsRenamed({"_cx": "_tx", "_cy": "_ty"})
+        else:
+            fine = size / grow
+            tiles = s.groupBy(geo.tile(F.col("_slon"), fine).alias("_tx"), geo.tile(F.col("_slat"), fine).alias("_ty")).agg(
+                F.min("_slon").alias("_w"), F.max("_slon").alias("_e"), F.min("_slat").alias("_s"), F.max("_slat").alias("_n")
+            ).withColumns({"_cx": F.floor(F.col("_tx") / grow), "_cy": F.floor(F.col("_ty") / grow)})
+            x, y = F.col("_plon"), F.col("_plat")
+            zero = F.lit(0.0)
+            least = squared(F.greatest(F.col("_w") - x, x - F.col("_e"), zero), F.greatest(F.col("_s") - y, y - F.col("_n"), zero))
+            most = squared(F.greatest(F.abs(F.col("_w") - x), F.abs(F.col("_e") - x)), F.greatest(F.abs(F.col("_s") - y), F.abs(F.col("_n") - y)))
+            near = probes(size).join(tiles, ["_cx", "_cy"], "left").select(*here, "_tx", "_ty", least.alias("_least"), most.alias("_most"))
+            bound = F.min("_most").over(Window.partitionBy(*here))
+            look = near.withColumn("_bound", bound).where(F.col("_bound").isNull() | (F.col("_least") <= F.col("_bound") * (1 + 1e-9))).select(
+                *here, F.coalesce(F.col("_tx"), nowhere).alias("_tx"), "_ty"
+            )
+        held = s.withColumns({"_tx": geo.tile(F.col("_slon"), fine), "_ty": geo.tile(F.col("_slat"), fine)})
+        d2 = F.floor(squared(F.col("_slon") - F.col("_plon"), F.col("_slat") - F.col("_plat")) * 1e12 + 0.5).cast("long")
+        # Points without a site in the ring stay, with nothing found.
+        hit = F.when(F.col(site).isNotNull(), F.struct(d2.alias("d2"), F.col(site).alias(site)))
+        best = look.join(held, ["_tx", "_ty"], "left").groupBy(*here).agg(F.min(hit).alias("_best"))
+        sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2") / 1e12) < cos * size, F.lit(False))
         done = best.where(sure)
         answers = done if answers is None else answers.unionByName(done)
         if last:
             break
-        left = best.where(~sure).select("_plon", "_plat")
-        size = size * grow if size * grow < 60.0 else 360.0
-    return where.join(answers, ["_plon", "_plat"]).select(point, F.col(f"_best.{site}").alias(site), F.col("_best.d2").alias("d2"))
+        left = best.where(~sure).select(*here)
+        size *= grow
+    return where.join(answers, here).select(point, F.col(f"_best.{site}").alias(site), (F.col("_best.d2") / 1e12).alias("d2"))
 
 
 def snap_pixels(pixels: DataFrame, base: DataFrame, step: float) -> DataFrame:

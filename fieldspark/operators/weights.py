@@ -22,7 +22,7 @@ def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float =
     point. Cells and points meet in tiles of the radius."""
     c = cells.select("iy", "ix", geo.wrap_lon(F.col("lon")).alias("_lon"), F.col("lat").alias("_lat"))
     left = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
-    order = Window.partitionBy(point).orderBy(F.round("km", 9), "iy", "ix")
+    order = Window.partitionBy(point).orderBy(F.floor(F.col("km") * 1e9 + 0.5), "iy", "ix")
     top = None
     for step in reversed(range(steps)):
         reach = max_km / shrink**step

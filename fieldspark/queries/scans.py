@@ -145,15 +145,14 @@ def catalog_footprint(x):
 SELECT store_id, 'Feature' AS type, west AS bbox_west, north AS bbox_north, strftime(time_start, '%Y-%m-%dT%H:%M:%SZ') AS start_datetime,
        strftime(time_end, '%Y-%m-%dT%H:%M:%SZ') AS end_datetime, kind, family AS donor, east AS corner_east FROM catalog""")
 def stac_items(x):
-    items = publish.stac_items(x.catalog, "https://example.org")
-
-    def at(path: str):
-        return F.get_json_object("feature", path)
-
+    layout = (
+        "type string, bbox array<double>, geometry struct<coordinates: array<array<array<double>>>>, "
+        "properties struct<start_datetime: string, end_datetime: string, kind: string, donor: string>"
+    )
+    items = publish.stac_items(x.catalog, "https://example.org").withColumn("f", F.from_json("feature", layout))
     return items.select(
-        "store_id", at("$.type").alias("type"), at("$.bbox[0]").cast("double").alias("bbox_west"), at("$.bbox[3]").cast("double").alias("bbox_north"),
-        at("$.properties.start_datetime").alias("start_datetime"), at("$.properties.end_datetime").alias("end_datetime"),
-        at("$.properties.kind").alias("kind"), at("$.properties.donor").alias("donor"), at("$.geometry.coordinates[0][1][0]").cast("double").alias("corner_east"),
+        "store_id", "f.type", F.col("f.bbox")[0].alias("bbox_west"), F.col("f.bbox")[3].alias("bbox_north"), "f.properties.*",
+        F.col("f.geometry.coordinates")[0][1][0].alias("corner_east"),
     )
 
 
