@@ -15,11 +15,18 @@ BOX = ("west", "south", "east", "north")
 
 def box_tiles(boxes: DataFrame, box: Sequence[str] = BOX) -> DataFrame:
     """Boxes listed under the tiles they touch, on the level that fits their own size (at most four each):
-    adds (_level, _tx, _ty). Large and small boxes do not share tiles, so neither a crowd of small boxes nor one
+    adds (_level, _tx, _ty) and the part of the box they belong to (_pw, _pe). Large and small boxes do not share tiles, so neither a crowd of small boxes nor one
     huge box makes every point nearby a candidate."""
     west, south, east, north = (F.col(c) for c in box)
-    rows = boxes.withColumn("_level", geo.box_level(east - west, north - south))
-    for mark, low, high in (("_tx", west, east), ("_ty", south, north)):
+
+    def part(low: Column, high: Column) -> Column:
+        return F.struct(low.alias("w"), high.alias("e"))
+
+    # A box across the seam (west > east) stands as its two parts.
+    parts = F.when(west > east, F.array(part(west, F.lit(180.0)), part(F.lit(-180.0), east))).otherwise(F.array(part(west, east)))
+    rows = boxes.withColumn("_part", F.explode(parts)).withColumns({"_pw": F.col("_part.w"), "_pe": F.col("_part.e")}).drop("_part")
+    rows = rows.withColumn("_level", geo.box_level(F.col("_pe") - F.col("_pw"), north - south))
+    for mark, low, high in (("_tx", F.col("_pw"), F.col("_pe")), ("_ty", south, north)):
         rows = rows.withColumn(mark, F.explode(F.sequence(geo.level_tile(low, F.col("_level")), geo.level_tile(high, F.col("_level")))))
     return rows
 
@@ -42,8 +49,8 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, *, salt: int = 1, lon:
         p = p.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)).cast("int"))
         b = b.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
         on.append("_salt")
-    inside = geo.in_box(F.col(lon), F.col(lat), *[F.col(c) for c in BOX])
-    return p.join(b, on).where(inside).drop(*on)
+    inside = geo.in_box(F.col(lon), F.col(lat), F.col("_pw"), F.col("south"), F.col("_pe"), F.col("north"))
+    return p.join(b, on).where(inside).drop(*on, "_pw", "_pe")
 
 
 def stations_for_boxes(sites: DataFrame, boxes: DataFrame, box: str, proxies: Sequence[int], site: str = "site") -> DataFrame:
@@ -86,7 +93,7 @@ def search_catalog(
 ) -> DataFrame:
     """(request, store_id) of the stores whose box and time span overlap a request's. Both are listed under their
     tiles on their own level and the coarser ones in use, and time buckets ride along in the key. A pair counts
-    only on the coarser of its two levels, in the first tile both touch."""
+    only on the coarser of its two levels, in the first tile both touch. Give boxes with west <= east."""
     if families is not None:
         catalog = catalog.where(F.col("family").isin(list(families)))
     if kind is not None:

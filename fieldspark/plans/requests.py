@@ -46,7 +46,7 @@ def rivers(
     temp = None
     if temperature is not None:
         t = series.hourly_centred(temperature.join(gauges.select("station"), "station", "left_semi"), ["station"])
-        temp = river_ops.apply_lag(t, gauges).drop("mouth")
+        temp = river_ops.apply_lag(series.interpolate_limit(t, windows, ["station"], max_gap), gauges).drop("mouth")
     return RiverResult(river_ops.river_discharge(at_mouth, gauges, summary, temp), selection, summary)
 
 

@@ -61,9 +61,18 @@ discharge AS (SELECT t.mouth, t.time, CASE WHEN t.n = s.g THEN t.q * s.k * 0.028
 @query("D2", sql=f"""
 WITH {RIVER_SQL},
 th AS (SELECT station, date_trunc('hour', time + INTERVAL '30' MINUTE)::TIMESTAMP AS time, avg(value) AS v FROM obs WHERE parameter = 'view' GROUP BY 1, 2),
-ts AS (SELECT mouth, arg_max(station, struct_pack(a := area_sqmi, s := -station)) AS station FROM kept WHERE station IN (SELECT station FROM th) GROUP BY 1)
-SELECT d.mouth, d.time, round(d.discharge, 5) AS discharge, d.fill, round(th.v, 5) AS temperature FROM discharge d LEFT JOIN ts ON d.mouth = ts.mouth
-LEFT JOIN th ON th.station = ts.station AND th.time + INTERVAL '1' HOUR * CAST(d.mouth AS INT) = d.time""")
+tpad AS (SELECT k.mouth, h.* FROM th h JOIN kept k ON h.station = k.station WHERE h.time BETWEEN TIMESTAMP '2024-01-03 00:00:00' - INTERVAL '1' HOUR * CAST(7 + k.mouth AS INT) AND TIMESTAMP '2024-01-28 00:00:00' + INTERVAL '1' HOUR * CAST(7 - k.mouth AS INT)),
+tuni AS (SELECT mouth, station, time FROM axis UNION SELECT mouth, station, time FROM tpad),
+tf AS (SELECT u.*, p.v, count(p.v) OVER (PARTITION BY u.station ORDER BY u.time) AS g FROM tuni u LEFT JOIN tpad p ON u.station = p.station AND u.time = p.time),
+tb AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN time END IGNORE NULLS) OVER p AS t0, last_value(v IGNORE NULLS) OVER p AS v0,
+              first_value(CASE WHEN v IS NOT NULL THEN time END IGNORE NULLS) OVER n AS t1, first_value(v IGNORE NULLS) OVER n AS v1,
+              count(*) FILTER (WHERE v IS NULL) OVER (PARTITION BY station, g ORDER BY time) AS pos
+       FROM tf WINDOW p AS (PARTITION BY station ORDER BY time ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY station ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+temp AS (SELECT b.station, b.time, CASE WHEN v IS NOT NULL THEN v WHEN pos <= 6 AND t0 IS NOT NULL AND t1 IS NOT NULL THEN v0 + (v1 - v0) * datediff('hour', t0, b.time) / datediff('hour', t0, t1) END AS v
+         FROM tb b JOIN axis a ON a.station = b.station AND a.time = b.time),
+ts AS (SELECT mouth, arg_max(station, struct_pack(a := area_sqmi, s := -station)) AS station FROM kept WHERE station IN (SELECT station FROM temp WHERE v IS NOT NULL) GROUP BY 1)
+SELECT d.mouth, d.time, round(d.discharge, 5) AS discharge, d.fill, round(t.v, 9) AS temperature FROM discharge d LEFT JOIN ts ON d.mouth = ts.mouth
+LEFT JOIN temp t ON t.station = ts.station AND t.time + INTERVAL '1' HOUR * CAST(d.mouth AS INT) = d.time""")
 def river_discharge(x):
     """The flagship: gauges -> lag -> hourly means -> gap ladder -> scaled sum at each mouth."""
     discharge, daily, normals, temperature = river_inputs(x)
@@ -71,7 +80,7 @@ def river_discharge(x):
         mouths(x), x.river_site, x.river_record, x.river_below, discharge, daily, normals, temperature,
         RIVER_START, RIVER_HOURS, gauge_window=("1996-06-01 00:00:00", "1999-06-01 00:00:00"),
     )
-    return out.discharge.withColumns({"discharge": F.round("discharge", 5), "temperature": F.round("temperature", 5)})
+    return out.discharge.withColumns({"discharge": F.round("discharge", 5), "temperature": F.round("temperature", 9)})
 
 
 @query("D3", sql=f"""

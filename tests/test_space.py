@@ -197,6 +197,14 @@ def test_points_in_boxes_with_a_crowded_tile(spark, salt):
     assert sorted((r.p, r.box) for r in got.collect()) == want
 
 
+def test_a_box_across_the_seam(spark):
+    pts = [(k, x, 0.5) for k, x in enumerate((179.0, -179.0, 0.0, -5.0, 180.0, -180.0, -15.0, 100.0))]
+    boxes = [(1, 178.0, 0.0, -178.0, 1.0), (2, -10.0, 0.0, -20.0, 1.0), (3, -6.0, 0.0, 6.0, 1.0)]
+    got = joins.points_in_boxes(spark.createDataFrame(pts, "p int, lon double, lat double"), spark.createDataFrame(boxes, "box int, west double, south double, east double, north double"))
+    want = {1: [0, 1, 4, 5], 2: [0, 1, 2, 3, 4, 5, 7], 3: [2, 3]}
+    assert sorted((r.box, r.p) for r in got.collect()) == [(b, p) for b in want for p in want[b]]
+
+
 def test_nearest_site_near_and_far(spark):
     rng = random.Random(9)
     sites = [(k, rng.uniform(-75, -74), rng.uniform(40, 41)) for k in range(50)] + [(50, 100.0, -60.0)]
