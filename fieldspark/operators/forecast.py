@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import ordered, times, winds
+from fieldspark.operators import sizes
 
 
 def newest_cycle(end_valid: Column, as_of: Column, *, lag_hours: int = 7, every: int = 12) -> Column:
@@ -66,7 +67,7 @@ def extract_points(grid: DataFrame, weights: DataFrame, leads: Sequence[int]) ->
     """Bitemporal rows (issue_time, valid_time, lead_h, point, field, value) of each point from its weighted
     cells. Leads past a cycle's longest are skipped; a point with a missing cell is null."""
     n = weights.groupBy("point").agg(F.count(F.lit(1)).alias("_n"))
-    w = weights.join(n, "point")
+    w = sizes.small(weights.join(n, "point"), sizes.MOST_NARROW_ROWS)
     wanted = grid.where(F.col("lead_h").isin(list(leads)) & (F.col("lead_h") <= times.max_lead(F.col("issue_time"))))
     out = wanted.join(w, ["iy", "ix"]).groupBy("issue_time", "lead_h", "field", "point").agg(
         F.sum(F.col("w") * F.col("value")).alias("_v"), F.count("value").alias("_c"), F.max("_n").alias("_n")
@@ -77,6 +78,20 @@ def extract_points(grid: DataFrame, weights: DataFrame, leads: Sequence[int]) ->
     )
 
 
+def rotate_points(rows: DataFrame, points: DataFrame, angle: Column, *, u: str = "u10", v: str = "v10") -> DataFrame:
+    """Point forecasts with the grid-relative wind pair turned to east and north; `angle` (radians, of the grid's x
+    axis from east) is a column over `points(point, ...)`. Other fields pass unchanged."""
+    ids = ["issue_time", "valid_time", "lead_h", "point"]
+    pair = rows.where(F.col("field").isin(u, v)).groupBy(*ids).agg(
+        *[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_{n}") for n, f in (("u", u), ("v", v))]
+    )
+    east, north = winds.rotate_by(F.col("_u"), F.col("_v"), F.col("_a"))
+    turned = pair.join(sizes.small(points.select("point", angle.alias("_a")), sizes.MOST_NARROW_ROWS), "point").select(
+        *ids, east.alias(u), north.alias(v)
+    ).unpivot(ids, [u, v], "field", "value")
+    return rows.where(~F.col("field").isin(u, v)).unionByName(turned)
+
+
 def score_by_lead(forecast: DataFrame, observed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Error of each lead against observations: count, mean error and root mean square error. Both sides carry
     `value`; `on` ends with the valid time."""

@@ -12,16 +12,17 @@ from fieldspark.operators import sizes
 
 
 def weighted_percentiles(
-    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int = 2, buckets: int = 1024
+    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int = 2, buckets: int = 1024, few_groups: bool = False
 ) -> DataFrame:
-    """(by..., q, value): the smallest value whose cumulative weight reaches q percent of the total. Exact. `qs` may be an array column over `by`.
+    """(by..., q, value): the smallest value whose cumulative weight reaches q percent of the total. Exact. `qs` may be an array column over `by`. Set `few_groups` where the groups are known
+    to be few: then the goals, a row per group and q, are broadcast.
 
     Weights are first summed per distinct value. Each level cuts the range in equal buckets, sums them, and goes
     on inside the one bucket where the running weight crosses the goal; only that bucket's values are ordered in
     the end. No window ever sees a field's whole set of values."""
     by = list(by)
     if not by:
-        out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets)
+        out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets, few_groups=True)
         return out.drop("_all")
     percents = qs if isinstance(qs, Column) else F.array(*[F.lit(float(q)) for q in qs])
     held = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
@@ -31,7 +32,7 @@ def weighted_percentiles(
     group = [*by, "q"]
 
     def inside() -> DataFrame:
-        return held.join(goals, by).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        return held.join(F.broadcast(goals) if few_groups else goals, by).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
 
     for _ in range(levels):
         share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
@@ -58,10 +59,12 @@ def shared_scale(
 ) -> DataFrame:
     """(field, lo, hi) from every value of every mesh, weighted by area: the q percentiles, or for a symmetric
     field -hi..hi with hi the q_abs percentile of the magnitude. `meta(field, symmetric)` says which."""
-    rows = long.join(sizes.small(meta.select(field, "symmetric")), field)
+    few = sizes.is_small(meta)
+    short = meta.select(field, "symmetric")
+    rows = long.join(F.broadcast(short) if few else short, field)
     size = F.when(F.col("symmetric"), F.abs(value)).otherwise(F.col(value))
     ends = F.when(F.col("symmetric"), F.array(F.lit(q_abs))).otherwise(F.array(F.lit(q[0]), F.lit(q[1])))
-    found = weighted_percentiles(rows.withColumn("_size", size), [field, "symmetric"], "_size", weight, ends)
+    found = weighted_percentiles(rows.withColumn("_size", size), [field, "symmetric"], "_size", weight, ends, few_groups=few)
     at = {p: F.max(F.when(F.col("q") == p, F.col("value"))) for p in (*q, q_abs)}
     return found.groupBy(field).agg(
         F.when(F.bool_or("symmetric"), -at[q_abs]).otherwise(at[q[0]]).alias("lo"), F.when(F.bool_or("symmetric"), at[q_abs]).otherwise(at[q[1]]).alias("hi")

@@ -196,7 +196,7 @@ def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1
         F.struct(F.col(time).alias("at"), (F.lit(1.0) - F.col("_w")).alias("w")),
         F.struct(F.col("_t1").alias("at"), F.col("_w").alias("w")),
     )).alias("_leg")).select(field, "_t", "_need", F.col("_leg.at").alias(time), F.col("_leg.w").alias("_w")).where(F.col("_w") > 0)
-    joined = present.join(legs, [field, time])
+    joined = present.join(sizes.small(legs, sizes.MOST_NARROW_ROWS), [field, time])
     return joined.groupBy(field, *cell, "_t").agg(
         F.sum(F.col("_w") * F.col(value)).alias("_v"), F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need")
     ).where(F.col("_n") == F.col("_need")).select(field, *cell, F.col("_t").alias(time), F.col("_v").alias(value))

@@ -6,12 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MOST_ROWS = 10_000
+# Narrow rows (a few numbers each): about 50 MB.
+MOST_NARROW_ROWS = 1_000_000
+
+
+def is_small(df: DataFrame, rows: int = MOST_ROWS) -> bool:
+    """Whether the frame is counted to have at most `rows` rows; the count stops there."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def small(df: DataFrame, rows: int = MOST_ROWS) -> DataFrame:
-    """A look-up table marked for broadcast when it is counted to have at most `rows` rows; a larger one is left
-    to the optimiser, which shuffles it. The count stops at the limit."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A look-up table marked for broadcast when it is small; a larger one is left to the optimiser, which
+    shuffles it. Without the mark the large side of such a join would be shuffled before adaptive execution
+    learns that it need not be."""
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
 def one_row(df: DataFrame) -> DataFrame:

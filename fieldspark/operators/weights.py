@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, times
+from fieldspark.operators import sizes
 
 
 def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float = 6.0, *, point: str = "point", steps: int = 2, shrink: float = 4.0) -> DataFrame:
@@ -51,7 +52,7 @@ def apply_weights(
     """Each target's weighted sum per step (time, layer, ...); null where any of its cells is missing, whether
     as a null or as an absent row. Steps with none of a target's cells have no row."""
     n = weights.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
-    w = weights.join(n, target)
+    w = sizes.small(weights.join(n, target), sizes.MOST_NARROW_ROWS)
     agg = [F.max("_n").alias("_n")]
     for v in values:
         agg += [F.sum(F.col("w") * F.col(v)).alias("_s_" + v), F.count(v).alias("_c_" + v)]

@@ -46,9 +46,11 @@ def publish(df: DataFrame, store: str, fields: Sequence[str], expected: int, sta
     listed is not listed again. Readers use `published`."""
     spark = df.sparkSession
     df.withColumn("day", F.to_date("time")).write.mode("append").partitionBy("day").parquet(staging)
-    gate = publish_gate(spark.read.parquet(staging), [store], fields, expected)
-    listed = read_manifest(spark, manifest, gate)
-    gate.where("complete").join(listed, [store], "left_anti").write.mode("append").parquet(manifest)
+    staged = spark.read.parquet(staging)
+    listed = read_manifest(spark, manifest, publish_gate(staged, [store], fields, expected))
+    # Stores already published are not checked again.
+    gate = publish_gate(staged.join(listed.select(store), [store], "left_anti"), [store], fields, expected)
+    gate.where("complete").write.mode("append").parquet(manifest)
     return gate
 
 

@@ -30,6 +30,7 @@ def resolve_source(wanted: DataFrame, files: DataFrame, *, time: str = "time") -
         "_hour", F.explode(F.sequence(times.hour_index(F.col("begin")) + 1, times.hour_index(F.col("end"))))
     )
     best = hours.groupBy("_hour").agg(F.min(F.struct("preference", "file")).alias("_best"))
+    best = sizes.small(best, sizes.MOST_NARROW_ROWS)
     return (
         wanted.withColumn("_hour", times.hour_index(F.col(time)))
         .join(best, "_hour", "left")

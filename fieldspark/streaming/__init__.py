@@ -79,11 +79,15 @@ def usable_cycles(stream: DataFrame, *, cycle: str = "cycle", lag: str = "7 hour
     return counted.withColumn(cycle, _clock(F.col(cycle)))
 
 
-def append_records(stream: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, staging: str, checkpoint: str) -> DataFrame:
-    """Append hourly records to staging as they come, then gate every store: only those with all expected hours
-    belong in the manifest (`where complete`). Staging is never read by consumers directly."""
+def append_records(
+    stream: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, staging: str, checkpoint: str, listed: DataFrame | None = None
+) -> DataFrame:
+    """Append hourly records to staging as they come, then gate the stores not yet `listed` in the manifest: only
+    those with all expected hours belong in it (`where complete`). Consumers never read staging directly."""
     run_available(stream, staging, checkpoint)
     staged = stream.sparkSession.read.schema(stream.schema).parquet(staging)
+    if listed is not None:
+        staged = staged.join(listed.select(*store), list(store), "left_anti")
     return publish.publish_gate(staged, store, fields, expected)
 
 

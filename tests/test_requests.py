@@ -85,6 +85,14 @@ def test_plan_walks_back_to_a_complete_cycle(spark):
     assert got[13] == (T0 + 12 * H, 1) and got[30] == (T0 + 12 * H, 18) and got[47] == (None, None)
 
 
+def test_point_winds_turn_and_other_fields_pass(spark):
+    rows = [(T0, T0 + H, 1, p, f, v) for p in (1, 2) for f, v in (("u10", 3.0), ("v10", 4.0), ("t2m", 280.0))]
+    df = spark.createDataFrame(rows, "issue_time timestamp_ntz, valid_time timestamp_ntz, lead_h int, point int, field string, value double")
+    points = spark.createDataFrame([(1, 0.0), (2, 90.0)], "point int, deg double")
+    got = {(r.point, r.field): r.value for r in forecast.rotate_points(df, points, F.radians("deg")).collect()}
+    assert got == {(1, "u10"): 3.0, (1, "v10"): 4.0, (1, "t2m"): 280.0, (2, "u10"): pytest.approx(-4.0), (2, "v10"): pytest.approx(3.0), (2, "t2m"): 280.0}
+
+
 def test_waves_use_complete_and_posted_cycles(spark):
     rows = [(T0, k, f) for k in range(0, 13) for f in ("hs", "tp")] + [(T0 + 12 * H, k, f) for k in range(0, 13) for f in ("hs", "tp") if not (k == 5 and f == "tp")]
     rows += [(T0 + 24 * H, k, f) for k in range(0, 13) for f in ("hs", "tp")]
