@@ -101,7 +101,8 @@ SELECT CAST(floor(datediff(CAST(l_shipdate AS DATE), DATE '1995-01-01') / 90e0)
 FROM {lineitem} WHERE NOT (l_suppkey % 4 = 3 AND l_partkey % 4 = 3) GROUP BY 1, 2, 3, 4""")
 
 _add("pixel", """
-SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS sensor, l_shipdate AS time,
+SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS sensor,
+       l_shipdate + INTERVAL '1' SECOND * CAST((l_orderkey * 7 + l_linenumber) % 86400 AS INT) AS time,
        CAST(l_suppkey % 20 AS INT) AS iy, CAST(l_partkey % 20 AS INT) AS ix,
        CASE WHEN l_tax < 0.02e0 THEN NULL ELSE l_quantity END AS value, l_orderkey, l_linenumber,
        l_orderkey * 8 + l_linenumber AS arrival

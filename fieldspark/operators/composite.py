@@ -11,20 +11,39 @@ from fieldspark.functions import times
 from fieldspark.operators import sizes
 
 
+# Sensors are ranked 0..63, so that time and rank order as one number.
+RANKS = 64
+
+
 def _valid(pixels: DataFrame) -> DataFrame:
     return pixels.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
+def newest(time: Column, rank: Column) -> Column:
+    """An order by time, then by rank, in one number: Spark can then pick the newest value by hash, which it
+    cannot with a struct. A sensor gives a pixel one value per time, so the order is unique."""
+    return times.micros(time) * RANKS + rank
+
+
+def newest_time(order: Column) -> Column:
+    return F.timestamp_add("MICROSECOND", F.shiftright(order, 6), times.ts(times.EPOCH))
+
+
+def newest_rank(order: Column) -> Column:
+    return F.pmod(order, F.lit(RANKS)).cast("int")
+
+
 def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Per pixel the newest valid value in [as_of - days, as_of], its age and which sensor gave it. At equal
     times the sensor listed first wins. `product_index` counts only the sensors with data in the window. One
-    shuffle; the few sensors are one broadcast row."""
+    shuffle, after partial aggregation; the few sensors are one broadcast row."""
     window = pixels.where((F.col("time") <= as_of) & (F.col("time") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
     used = window.agg(F.array_sort(F.collect_set("sensor")).alias("_used"))
-    best = _valid(window).groupBy("iy", "ix").agg(F.max(F.struct("time", (-F.col("sensor")).alias("order"), "value")).alias("_b"))
+    order = newest(F.col("time"), F.lit(RANKS - 1) - F.col("sensor"))
+    best = _valid(window).withColumn("_o", order).groupBy("iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     return best.join(sizes.one_row(used)).select(
-        "iy", "ix", F.col("_b.value").alias("value"), times.age_days(F.col("_b.time"), as_of).alias("age_days"),
-        (F.array_position("_used", -F.col("_b.order")) - 1).cast("int").alias("product_index"),
+        "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), as_of).alias("age_days"),
+        (F.array_position("_used", F.lit(RANKS - 1) - newest_rank(F.col("_o"))) - 1).cast("int").alias("product_index"),
     )
 
 
@@ -37,17 +56,15 @@ def composite_series(pixels: DataFrame, first: str, step_days: int, frames: int,
     step_us = step_days * times.DAY_US
     since = F.timestamp_diff("MICROSECOND", times.ts(first), F.col("time"))
     opened = F.greatest(F.lit(0), F.ceil(since / F.lit(float(step_us))).cast("int"))
-    newest = _valid(pixels).where(since <= F.lit((frames - 1) * step_us)).groupBy("iy", "ix", opened.alias("_k0")).agg(
-        F.max(F.struct("time", "sensor", "value")).alias("_b")
-    )
-    until = F.timestamp_diff("MICROSECOND", times.ts(first), F.col("_b.time")) + F.lit(days * times.DAY_US)
+    rows = _valid(pixels).where(since <= F.lit((frames - 1) * step_us)).withColumn("_o", newest(F.col("time"), F.col("sensor")))
+    kept = rows.groupBy("iy", "ix", opened.alias("_k0")).agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
+    until = F.timestamp_diff("MICROSECOND", times.ts(first), newest_time(F.col("_o"))) + F.lit(days * times.DAY_US)
     last = F.least(F.lit(frames - 1), F.floor(until / F.lit(float(step_us))).cast("int"))
-    served = newest.withColumn("_k1", last).where(F.col("_k0") <= F.col("_k1")).withColumn("frame", F.explode(F.sequence("_k0", "_k1")))
-    out = served.groupBy("frame", "iy", "ix").agg(F.max("_b").alias("_b"))
+    served = kept.withColumn("_k1", last).where(F.col("_k0") <= F.col("_k1")).withColumn("frame", F.explode(F.sequence("_k0", "_k1")))
+    out = served.groupBy("frame", "iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     end = F.timestamp_add("DAY", F.col("frame") * step_days, times.ts(first))
     return out.select(
-        "frame", end.alias("time"), "iy", "ix", F.col("_b.value").alias("value"), times.age_days(F.col("_b.time"), end).alias("age_days"),
-        F.col("_b.sensor").alias("sensor"),
+        "frame", end.alias("time"), "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), end).alias("age_days"), newest_rank(F.col("_o")).alias("sensor")
     )
 
 

@@ -47,9 +47,10 @@ def locate(points: DataFrame, corners: DataFrame, *, carry: Sequence[str] = ())
     p = joins.point_tiles(points, t)
     b = geo.barycentric(F.col("lon"), F.col("lat"), lon[0], lat[0], lon[1], lat[1], lon[2], lat[2])
     inside = (b[0] >= EDGE_TOLERANCE) & (b[1] >= EDGE_TOLERANCE) & (b[2] >= EDGE_TOLERANCE)
-    hit = F.when(inside, F.struct("elem", *[w.alias(f"b{k}") for k, w in enumerate(b)], *carry))
-    best = p.join(t, ["_level", "_tx", "_ty"], "left").groupBy(*points.columns).agg(F.min(hit).alias("_h"))
-    return best.select(*points.columns, *[F.col(f"_h.{c}").alias(c) for c in ("elem", "b0", "b1", "b2", *carry)])
+    hit = F.when(inside, F.col("elem"))
+    # Each number by itself, all for the lowest element: fixed-width buffers, so Spark groups by hash.
+    first = [F.min_by(v, hit).alias(c) for c, v in (("b0", b[0]), ("b1", b[1]), ("b2", b[2]), *[(c, F.col(c)) for c in carry])]
+    return p.join(t, ["_level", "_tx", "_ty"], "left").groupBy(*points.columns).agg(F.min(hit).alias("elem"), *first)
 
 
 def neighbours(elements: DataFrame) -> DataFrame:

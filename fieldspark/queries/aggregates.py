@@ -103,18 +103,18 @@ def reason_counts(x):
 WITH p AS (SELECT * FROM pixel WHERE time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-06-08 12:00:00'),
 u AS (SELECT sensor, row_number() OVER (ORDER BY sensor) - 1 AS product_index FROM (SELECT DISTINCT sensor FROM p) a),
 r AS (SELECT *, row_number() OVER (PARTITION BY iy, ix ORDER BY time DESC, sensor, value DESC) AS k FROM p WHERE value IS NOT NULL)
-SELECT r.iy, r.ix, r.value, round(datediff('second', r.time, TIMESTAMP '1999-06-15 12:00:00') / 86400e0, 6) AS age_days, u.product_index FROM r JOIN u ON r.sensor = u.sensor WHERE k = 1""")
+SELECT r.iy, r.ix, r.value, round(datediff('second', r.time, TIMESTAMP '1999-06-15 12:00:00') / 86400e0, 9) AS age_days, u.product_index FROM r JOIN u ON r.sensor = u.sensor WHERE k = 1""")
 def composite_latest(x):
-    return composite.composite(x.pixel, times.ts("1999-06-15 12:00:00"), 7).withColumn("age_days", F.round("age_days", 6))
+    return composite.composite(x.pixel, times.ts("1999-06-15 12:00:00"), 7).withColumn("age_days", F.round("age_days", 9))
 
 
 @query("D5", sql="""
 WITH f AS (SELECT CAST(id AS INT) AS frame, TIMESTAMP '1998-01-01 06:00:00' + INTERVAL '5' DAY * CAST(id AS INT) AS e FROM range(60) AS t(id)),
 r AS (SELECT f.frame, f.e AS time, p.iy, p.ix, p.value, p.sensor, p.time AS t, row_number() OVER (PARTITION BY f.frame, p.iy, p.ix ORDER BY p.time DESC, p.sensor DESC, p.value DESC) AS k
       FROM pixel p JOIN f ON p.time <= f.e AND p.time >= f.e - INTERVAL '12' DAY WHERE p.value IS NOT NULL)
-SELECT frame, time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 6) AS age_days, sensor FROM r WHERE k = 1""")
+SELECT frame, time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 9) AS age_days, sensor FROM r WHERE k = 1""")
 def composite_series(x):
-    return composite.composite_series(x.pixel, "1998-01-01 06:00:00", 5, 60, 12).withColumn("age_days", F.round("age_days", 6))
+    return composite.composite_series(x.pixel, "1998-01-01 06:00:00", 5, 60, 12).withColumn("age_days", F.round("age_days", 9))
 
 
 @query("D6", sql="""
@@ -155,12 +155,12 @@ def wet_mask(x):
 
 @query("D8", sql="""
 WITH p AS (SELECT DISTINCT iy, ix FROM pixel), v AS (SELECT iy, ix, max(time) AS t FROM pixel WHERE value IS NOT NULL AND time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-06-08 12:00:00' GROUP BY 1, 2)
-SELECT p.iy, count(*) AS pixels, round(avg(CASE WHEN t IS NULL THEN 0e0 ELSE 1e0 END), 6) AS valid_share, round(median(datediff('second', t, TIMESTAMP '1999-06-15 12:00:00') / 86400e0), 6) AS median_age_days FROM p LEFT JOIN v USING (iy, ix) GROUP BY 1""")
+SELECT p.iy, count(*) AS pixels, round(avg(CASE WHEN t IS NULL THEN 0e0 ELSE 1e0 END), 6) AS valid_share, round(median(datediff('second', t, TIMESTAMP '1999-06-15 12:00:00') / 86400e0), 9) AS median_age_days FROM p LEFT JOIN v USING (iy, ix) GROUP BY 1""")
 def valid_share(x):
     every = x.pixel.select("iy", "ix").distinct()
     best = composite.composite(x.pixel, times.ts("1999-06-15 12:00:00"), 7)
     out = composite.valid_share(every.join(best, ["iy", "ix"], "left"), ["iy"])
-    return out.withColumns({"valid_share": F.round("valid_share", 6), "median_age_days": F.round("median_age_days", 6)})
+    return out.withColumns({"valid_share": F.round("valid_share", 6), "median_age_days": F.round("median_age_days", 9)})
 
 
 @query("D9", sql="""

@@ -237,14 +237,14 @@ def classify_kind(x):
 
 
 @query("B20", sql="""
-SELECT store_id, round(datediff('second', time_start, TIMESTAMP '2001-08-02 06:00:00') / 86400e0, 6) AS age_days,
+SELECT store_id, round(datediff('second', time_start, TIMESTAMP '2001-08-02 06:00:00') / 86400e0, 9) AS age_days,
        provisional AND datediff('second', time_start, TIMESTAMP '2001-08-02 06:00:00') > 86400 AS stale,
        datediff('second', time_start, TIMESTAMP '2001-08-02 06:00:00') > 30 * 86400 AS expired FROM catalog""")
 def retention(x):
     now = times.ts("2001-08-02 06:00:00")
     t = F.col("time_start")
     return x.catalog.select(
-        "store_id", F.round(times.age_days(t, now), 6).alias("age_days"), times.is_stale(t, F.col("provisional"), now).alias("stale"), times.expired(t, now, 30).alias("expired")
+        "store_id", F.round(times.age_days(t, now), 9).alias("age_days"), times.is_stale(t, F.col("provisional"), now).alias("stale"), times.expired(t, now, 30).alias("expired")
     )
 
 

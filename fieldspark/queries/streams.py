@@ -54,15 +54,16 @@ def stream_publish(x):
 WITH e AS (SELECT unnest(generate_series(TIMESTAMP '1994-12-01', TIMESTAMP '2010-01-01', INTERVAL '10' DAY)) AS time),
 r AS (SELECT e.time, p.iy, p.ix, p.value, p.sensor, p.time AS t, row_number() OVER (PARTITION BY e.time, p.iy, p.ix ORDER BY p.time DESC, p.sensor DESC, p.value DESC) AS k
       FROM pixel p JOIN e ON p.time >= e.time - INTERVAL '30' DAY AND p.time < e.time WHERE p.value IS NOT NULL AND e.time <= (SELECT max(time) FROM pixel WHERE value IS NOT NULL) - INTERVAL '1' DAY)
-SELECT time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 6) AS age_days, sensor FROM r WHERE k = 1""")
+SELECT time, iy, ix, value, round(datediff('second', t, time) / 86400e0, 9) AS age_days, sensor FROM r WHERE k = 1""")
 def stream_composite(x):
     raw = streaming.read_folder(x.spark, x.folder, x.lineitem.schema, "lineitem.parquet")
     sensor = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    second = F.timestamp_add("SECOND", ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) % 86400).cast("int"), F.col("l_shipdate"))
     pixels = raw.select(
-        sensor.alias("sensor"), F.col("l_shipdate").alias("time"), (F.col("l_suppkey") % 20).cast("int").alias("iy"), (F.col("l_partkey") % 20).cast("int").alias("ix"),
+        sensor.alias("sensor"), second.alias("time"), (F.col("l_suppkey") % 20).cast("int").alias("iy"), (F.col("l_partkey") % 20).cast("int").alias("ix"),
         F.when(F.col("l_tax") >= 0.02, F.col("l_quantity")).alias("value"),
     )
-    return run(x, streaming.rolling_composite(pixels, 30, 10), "composite").withColumn("age_days", F.round("age_days", 6))
+    return run(x, streaming.rolling_composite(pixels, 30, 10), "composite").withColumn("age_days", F.round("age_days", 9))
 
 
 @query("S5", sql="""

@@ -58,11 +58,11 @@ WITH p AS (SELECT DISTINCT iy, ix FROM pixel),
 r AS (SELECT iy, ix, value, time, sensor, row_number() OVER (PARTITION BY iy, ix ORDER BY time DESC, sensor, value DESC) AS k FROM pixel WHERE value IS NOT NULL AND time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-04-16 12:00:00'),
 u AS (SELECT sensor, row_number() OVER (ORDER BY sensor) - 1 AS product_index FROM (SELECT DISTINCT sensor FROM pixel WHERE time <= TIMESTAMP '1999-06-15 12:00:00' AND time >= TIMESTAMP '1999-04-16 12:00:00') a),
 b AS (SELECT p.iy, p.ix, r.value, r.time, u.product_index FROM p LEFT JOIN r ON p.iy = r.iy AND p.ix = r.ix AND r.k = 1 LEFT JOIN u ON r.sensor = u.sensor)
-SELECT iy, ix, value, round(datediff('second', time, TIMESTAMP '1999-06-15 12:00:00') / 86400e0, 6) AS age_days, product_index FROM b
+SELECT iy, ix, value, round(datediff('second', time, TIMESTAMP '1999-06-15 12:00:00') / 86400e0, 9) AS age_days, product_index FROM b
 WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM b l WHERE l.value IS NULL AND abs(l.iy - b.iy) + abs(l.ix - b.ix) <= 1)""")
 def satellite_request(x):
     out = plans.satellite(x.pixel, times.ts("1999-06-15 12:00:00"), 60, 1)
-    return out.withColumn("age_days", F.round("age_days", 6))
+    return out.withColumn("age_days", F.round("age_days", 9))
 
 
 @query("C6", "E7", "B10", name="parent_ocean_field", sql="""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fieldspark.functions import times
+from fieldspark.operators import composite
 from fieldspark.sources import publish
 
 
@@ -63,13 +64,13 @@ def hourly_mean(stream: DataFrame, key: Sequence[str], *, time: str = "time", va
 def rolling_composite(stream: DataFrame, days: int, step_days: int, *, lag: str = "1 day") -> DataFrame:
     """The newest valid value per pixel in [end - days, end) for each frame end, emitted when the frame is closed.
     At equal times the sensor listed last wins."""
-    valid = _timed(stream.where(F.col("value").isNotNull()), "time", lag)
+    valid = _timed(stream.where(F.col("value").isNotNull()), "time", lag).withColumn("_o", composite.newest(_clock(F.col("time")), F.col("sensor")))
     frames = valid.groupBy(F.window("time", f"{days} days", f"{step_days} days"), "iy", "ix").agg(
-        F.max(F.struct("time", "sensor", "value")).alias("_b")
+        F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o")
     )
-    end = _clock(F.col("window.end"))
+    end, order = _clock(F.col("window.end")), F.col("_o")
     return frames.select(
-        end.alias("time"), "iy", "ix", F.col("_b.value").alias("value"), times.age_days(_clock(F.col("_b.time")), end).alias("age_days"), F.col("_b.sensor").alias("sensor")
+        end.alias("time"), "iy", "ix", "value", times.age_days(composite.newest_time(order), end).alias("age_days"), composite.newest_rank(order).alias("sensor")
     )
 
 
