@@ -82,7 +82,7 @@ def interpolate_track(
     """Values of `grid(it, iz, iy, ix, values...)` at each point of `track(key..., time, lon, lat, z)`: linear in
     time, height, latitude and longitude. `levels` are the heights of iz = 0, 1, ... in rising order; a point
     above the top level takes the top one. Outside the axes, below the lowest level, or with any of the sixteen
-    corners missing, the result is null. Brackets are arithmetic, so the join is on the corner's indices."""
+    corners missing, the result is null. Brackets are arithmetic, so the join is on the corners' indices."""
     z = F.least(F.col("z"), F.lit(float(max(levels))))
     fx, fy = (F.col("lon") - lon.start) / lon.step, (F.col("lat") - lat.start) / lat.step
     ft = F.timestamp_diff("MICROSECOND", times.ts(start), F.col("time")) / F.lit(float(step_hours * times.HOUR_US))
@@ -101,17 +101,24 @@ def interpolate_track(
 
     corners = F.array(*[
         F.struct(
-            (F.col("_it") + a).alias("it"), (F.col("_iz") + b).alias("iz"), (F.col("_iy") + c).alias("iy"), (F.col("_ix") + d).alias("ix"),
-            (leg("t", a) * leg("z", b) * leg("y", c) * leg("x", d)).alias("w"),
+            (F.col("_it") + a).alias("it"), (F.col("_iy") + c).alias("iy"), (F.col("_ix") + d).alias("ix"), (leg("t", a) * leg("y", c) * leg("x", d)).alias("w")
         )
-        for a, b, c, d in itertools.product((0, 1), repeat=4)
+        for a, c, d in itertools.product((0, 1), repeat=3)
     ])
-    legs = points.where("_in").select(*key, F.explode(corners).alias("_c")).select(*key, "_c.*")
+    legs = points.where("_in").select(*key, "_iz", "_wz", F.explode(corners).alias("_c")).select(*key, "_iz", "_wz", "_c.*")
+    # One row per water column holds its levels, so a point meets eight columns and not sixteen cells; the
+    # grouping leaves the columns partitioned as the join needs them.
+    column = F.map_from_entries(F.collect_list(F.struct("iz", F.struct(*values))))
+    columns = grid.groupBy("it", "iy", "ix").agg(column.alias("_column"))
+    met = legs.join(columns, ["it", "iy", "ix"]).withColumns(
+        {"_low": F.try_element_at("_column", F.col("_iz")), "_up": F.try_element_at("_column", F.col("_iz") + 1)}
+    )
     agg = []
     for v in values:
-        agg += [F.sum(F.col("w") * F.col(v)).alias("_s_" + v), F.count(v).alias("_n_" + v)]
-    found = legs.join(grid.select("it", "iz", "iy", "ix", *values), ["it", "iz", "iy", "ix"]).groupBy(*key).agg(*agg)
-    answered = found.select(*key, *[F.when(F.col("_n_" + v) == 16, F.col("_s_" + v)).alias(v) for v in values])
+        between = (F.lit(1.0) - F.col("_wz")) * F.col("_low")[v] + F.col("_wz") * F.col("_up")[v]
+        agg += [F.sum(F.col("w") * between).alias("_s_" + v), F.count(between).alias("_n_" + v)]
+    found = met.groupBy(*key).agg(*agg)
+    answered = found.select(*key, *[F.when(F.col("_n_" + v) == 8, F.col("_s_" + v)).alias(v) for v in values])
     return track.join(answered, list(key), "left")
 
 

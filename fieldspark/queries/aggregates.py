@@ -22,13 +22,14 @@ RIVER_START, RIVER_HOURS = "2024-01-03 00:00:00", 600
 
 
 def river_inputs(x):
-    """Discharge from every reading of a station, day means on even days, medians except for every third
-    station, and temperatures from one parameter."""
+    """Discharge from every reading of a station, day means of its large readings, medians from its very large
+    ones (both null where there are none), and temperatures from one parameter."""
     discharge = x.obs.select("station", "time", "value", "quality", "arrival")
     day = F.to_date("time")
-    daily = discharge.where(F.dayofmonth("time") % 2 == 0).groupBy("station", day.alias("date")).agg(F.avg("value").alias("value"))
-    normals = discharge.where(F.col("station") % 3 != 0).groupBy(F.lit("01-01").alias("first"), "station").agg(F.avg("value").alias("value"))
-    normals = normals.withColumn("mm_dd", F.explode(F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.concat(F.lit("01-"), F.lpad(d.cast("string"), 2, "0"))))).drop("first")
+    large, huge = (F.avg(F.when(F.col("value") > v, F.col("value"))).alias("value") for v in (40, 120))
+    daily = discharge.groupBy("station", day.alias("date")).agg(large)
+    days = F.transform(F.sequence(F.lit(1), F.lit(31)), lambda d: F.concat(F.lit("01-"), F.lpad(d.cast("string"), 2, "0")))
+    normals = discharge.groupBy("station").agg(huge).withColumn("mm_dd", F.explode(days))
     temperature = x.obs.where(F.col("parameter") == "view").select("station", "time", "value")
     return discharge, daily, normals, temperature
 
@@ -48,8 +49,8 @@ b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN time END IGNORE NULLS) O
       FROM f WINDOW p AS (PARTITION BY station ORDER BY time ROWS UNBOUNDED PRECEDING), n AS (PARTITION BY station ORDER BY time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 r1 AS (SELECT mouth, station, time, CASE WHEN v IS NOT NULL THEN v WHEN run <= 6 AND t0 IS NOT NULL AND t1 IS NOT NULL THEN v0 + (v1 - v0) * datediff('hour', t0, time) / datediff('hour', t0, t1) END AS v,
               CASE WHEN v IS NULL AND run <= 6 AND t0 IS NOT NULL AND t1 IS NOT NULL THEN 1 ELSE 0 END AS flag FROM b),
-dm AS (SELECT station, CAST(time AS DATE) AS d, avg(value) AS v FROM obs WHERE day(time) % 2 = 0 GROUP BY 1, 2),
-nm AS (SELECT station, avg(value) AS v FROM obs WHERE station % 3 <> 0 GROUP BY 1),
+dm AS (SELECT station, CAST(time AS DATE) AS d, avg(CASE WHEN value > 40 THEN value END) AS v FROM obs GROUP BY 1, 2),
+nm AS (SELECT station, avg(CASE WHEN value > 120 THEN value END) AS v FROM obs GROUP BY 1),
 filled AS (SELECT r1.mouth, r1.station, r1.time, coalesce(r1.v, dm.v, nm.v) AS value, CASE WHEN r1.v IS NOT NULL THEN flag WHEN dm.v IS NOT NULL THEN 2 WHEN nm.v IS NOT NULL THEN 3 ELSE 0 END AS flag
            FROM r1 JOIN axis a ON r1.station = a.station AND r1.time = a.time LEFT JOIN dm ON r1.station = dm.station AND CAST(r1.time AS DATE) = dm.d LEFT JOIN nm ON r1.station = nm.station),
 lagged AS (SELECT mouth, station, time + INTERVAL '1' HOUR * CAST(mouth AS INT) AS time, value, flag FROM filled),

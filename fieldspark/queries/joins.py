@@ -35,10 +35,10 @@ def points_in_boxes(x):
 
 @query("C2", sql="""
 WITH r AS (SELECT q.request, d.domain, (d.east - d.west) * (d.north - d.south) AS area, d.resolution_m FROM request q JOIN domain d ON d.west <= q.west AND d.south <= q.south AND d.east >= q.east AND d.north >= q.north),
-k AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY area, resolution_m, domain) AS rank, (request + domain) % 3 = 0 AS got FROM r)
+k AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY area, resolution_m, domain) AS rank, resolution_m > 100 AS got FROM r)
 SELECT request, domain, round(area, 6) AS area, resolution_m, rank, coalesce(got AND rank = min(rank) FILTER (WHERE got) OVER (PARTITION BY request), FALSE) AS chosen FROM k""")
 def rank_donors(x):
-    delivered = joins.rank_donors(x.request, x.domain).where((F.col("request") + F.col("domain")) % 3 == 0)
+    delivered = joins.rank_donors(x.request, x.domain).where("resolution_m > 100")
     return joins.rank_donors(x.request, x.domain, delivered).withColumn("area", F.round("area", 6))
 
 
@@ -321,13 +321,13 @@ def search_catalog(x):
 
 
 @query("C19", sql="""
-WITH f AS (SELECT l_partkey AS node, CAST(l_suppkey % 3 AS INT) AS layer, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) AS value FROM lineitem WHERE l_suppkey % 11 <> 0 OR l_partkey % 5 <> 0 GROUP BY 1, 2),
+WITH f AS (SELECT l_partkey AS node, CAST(l_suppkey % 3 AS INT) AS layer, CASE WHEN min(l_quantity) < 20 THEN CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) / count(*) END AS value FROM lineitem GROUP BY 1, 2),
 r AS (SELECT elem, unnest([n0, n1, n2]) AS node FROM mesh_element)
 SELECT layer, elem, CASE WHEN count(value) = 3 THEN round(avg(value), 6) END AS value FROM r JOIN f ON r.node = f.node GROUP BY 1, 2""")
 def node_to_element(x):
-    rows = x.lineitem.where((F.col("l_suppkey") % 11 != 0) | (F.col("l_partkey") % 5 != 0))
-    field = rows.groupBy(F.col("l_partkey").alias("node"), (F.col("l_suppkey") % 3).cast("int").alias("layer")).agg(
-        (F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count(F.lit(1))).alias("value")
+    mean = F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count(F.lit(1))
+    field = x.lineitem.groupBy(F.col("l_partkey").alias("node"), (F.col("l_suppkey") % 3).cast("int").alias("layer")).agg(
+        F.when(F.min("l_quantity") < 20, mean).alias("value")
     )
     return mesh.to_elements(field, x.mesh_element, ["layer"]).withColumn("value", F.round("value", 6))
 

@@ -101,10 +101,10 @@ def publish_gate(x):
 WITH d AS (SELECT parameter, date_trunc('day', time)::TIMESTAMP AS day, count(*) AS n, max(time) AS last FROM obs GROUP BY 1, 2),
 ready AS (SELECT parameter, day, n FROM (SELECT *, max(last) OVER (PARTITION BY parameter) AS newest FROM d) a
           WHERE newest >= day + INTERVAL '1' DAY AND TIMESTAMP '2024-01-29 03:00:00' >= day + INTERVAL '1' DAY + INTERVAL '6' HOUR)
-SELECT parameter, day, n FROM ready WHERE NOT (day(day) % 3 = 0 AND parameter <> 'view')""")
+SELECT parameter, day, n FROM ready WHERE NOT (day < TIMESTAMP '2024-01-12' AND parameter <> 'view')""")
 def archive_days(x):
     obs = x.obs.select("parameter", "time", "value")
-    kept = obs.select("parameter", times.floor_day(F.col("time")).alias("day")).distinct().where((F.dayofmonth("day") % 3 == 0) & (F.col("parameter") != "view"))
+    kept = obs.select("parameter", times.floor_day(F.col("time")).alias("day")).distinct().where((F.col("day") < times.ts("2024-01-12 00:00:00")) & (F.col("parameter") != "view"))
     new = scan.archive_days(obs, kept, ["parameter"], times.ts("2024-01-29 03:00:00"))
     return new.groupBy("parameter", "day").agg(F.count(F.lit(1)).alias("n"))
 
@@ -166,12 +166,13 @@ def parse_name(x):
 
 
 @query("A15", sql="""
-WITH o AS (SELECT *, list_position(['purchase', 'error', 'click', 'view', 'signup'], parameter) AS rank FROM obs WHERE NOT (parameter = 'purchase' AND station % 4 = 0)),
+WITH o AS (SELECT station, parameter, time, CASE WHEN NOT (parameter = 'purchase' AND station % 4 = 0) THEN value END AS value, list_position(['purchase', 'error', 'click', 'view', 'signup'], parameter) AS rank FROM obs),
 b AS (SELECT station, min(rank) AS rank FROM o WHERE value IS NOT NULL AND rank > 0 GROUP BY 1)
 SELECT o.station, o.parameter, o.time, o.value FROM o JOIN b ON o.station = b.station AND o.rank = b.rank""")
 def preferred_series(x):
-    obs = x.obs.where(~((F.col("parameter") == "purchase") & (F.col("station") % 4 == 0)))
-    return scan.preferred_series(obs.select("station", "parameter", "time", "value"), SERIES_ORDER)
+    held = ~((F.col("parameter") == "purchase") & (F.col("station") % 4 == 0))
+    obs = x.obs.select("station", "parameter", "time", F.when(held, F.col("value")).alias("value"))
+    return scan.preferred_series(obs, SERIES_ORDER)
 
 
 @query("A16", sql="""

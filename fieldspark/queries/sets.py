@@ -45,8 +45,8 @@ def missing_days(x):
 
 
 @query("F6", sql="""
-SELECT site FROM (SELECT site FROM site UNION SELECT point FROM point WHERE point % 7 = 0) a WHERE site NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey % 5 = 0)""")
+SELECT site FROM (SELECT site FROM site UNION SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') a WHERE site NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""")
 def id_sets(x):
-    added = x.point.where("point % 7 = 0").select(F.col("point").alias("site"))
-    removed = x.supplier.where("s_nationkey % 5 = 0").select(F.col("s_suppkey").alias("site"))
+    added = x.customer.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("site"))
+    removed = x.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("site"))
     return sets.id_sets(x.site.select("site"), added, removed)

@@ -33,9 +33,9 @@ def adapter_union(x):
 
 
 @query("U2", sql="""
-WITH n AS (SELECT CASE WHEN node % 91 = 1 THEN node + 1 ELSE node END AS node, CASE WHEN node % 333 = 7 THEN 361e0 ELSE lon END AS lon, lat FROM mesh_node WHERE node % 97 <> 5),
+WITH n AS (SELECT CASE WHEN node % 91 = 1 THEN node + 1 WHEN node % 97 = 5 THEN node + 1000000000 ELSE node END AS node, CASE WHEN node % 333 = 7 THEN 361e0 ELSE lon END AS lon, lat FROM mesh_node),
 e AS (SELECT elem, n0, n1, CASE WHEN elem % 401 = 3 THEN n1 ELSE n2 END AS n2 FROM mesh_element UNION ALL SELECT elem, n0, n1, n2 FROM mesh_element WHERE elem % 203 = 8),
-f AS (SELECT * FROM mesh_field WHERE NOT (elem % 211 = 4 AND layer = 2))
+f AS (SELECT elem, CASE WHEN elem % 211 = 4 THEN 0 ELSE layer END AS layer, value FROM mesh_field)
 SELECT 'corner without a node' AS rule, CAST(elem AS BIGINT) AS id, count(*) AS n FROM (SELECT elem, unnest([n0, n1, n2]) AS node FROM e) a WHERE node NOT IN (SELECT node FROM n) GROUP BY elem
 UNION ALL SELECT 'repeated corner', elem, count(*) FROM e WHERE n0 = n1 OR n1 = n2 OR n0 = n2 GROUP BY elem
 UNION ALL SELECT 'element listed twice', elem, count(*) FROM e GROUP BY elem HAVING count(*) > 1
@@ -45,11 +45,13 @@ UNION ALL SELECT 'layer count', elem, count(DISTINCT layer) FROM f GROUP BY elem
 UNION ALL SELECT 'field without an element', elem, count(*) FROM f WHERE elem NOT IN (SELECT elem FROM e) GROUP BY elem""")
 def mesh_contract(x):
     node = F.col("node")
-    nodes = x.mesh_node.where(node % 97 != 5).select(
-        F.when(node % 91 == 1, node + 1).otherwise(node).alias("node"), F.when(node % 333 == 7, 361.0).otherwise(F.col("lon")).alias("lon"), "lat"
+    nodes = x.mesh_node.select(
+        F.when(node % 91 == 1, node + 1).when(node % 97 == 5, node + 1_000_000_000).otherwise(node).alias("node"), F.when(node % 333 == 7, 361.0).otherwise(F.col("lon")).alias("lon"), "lat"
     )
-    elements = x.mesh_element.withColumn("n2", F.when(F.col("elem") % 401 == 3, F.col("n1")).otherwise(F.col("n2"))).unionByName(x.mesh_element.where("elem % 203 = 8"))
-    fields = x.mesh_field.where("NOT (elem % 211 = 4 AND layer = 2)")
+    elem = F.col("elem")
+    copies = F.explode(F.sequence(F.lit(1), F.when(elem % 203 == 8, 2).otherwise(1)))
+    elements = x.mesh_element.withColumn("copy", copies).withColumn("n2", F.when((elem % 401 == 3) & (F.col("copy") == 1), F.col("n1")).otherwise(F.col("n2"))).drop("copy")
+    fields = x.mesh_field.withColumn("layer", F.when(elem % 211 == 4, 0).otherwise(F.col("layer")))
     return mesh.contract_violations(nodes, elements, fields)
 
 
