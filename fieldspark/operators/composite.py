@@ -22,7 +22,8 @@ def _valid(pixels: DataFrame) -> DataFrame:
 def newest(time: Column, rank: Column) -> Column:
     """An order by time, then by rank, in one number: Spark can then pick the newest value by hash, which it
     cannot with a struct. A sensor gives a pixel one value per time, so the order is unique."""
-    return times.micros(time) * RANKS + rank
+    order = times.micros(time) * RANKS + rank
+    return F.when(rank.between(0, RANKS - 1), order).otherwise(F.raise_error(F.lit("sensors are ranked 0 to 63")).cast("long"))
 
 
 def newest_time(order: Column) -> Column:
