@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fieldspark.llm import quality_rules
+from fieldspark.llm import bpe, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,3 +26,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, folder, "documents"))
+
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+@query
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    done = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return digested(packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY)))
+
+
+def digested(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
