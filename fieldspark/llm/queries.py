@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, packing, quality_rules
+from fieldspark.llm import bpe, packing, quality_rules, sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,22 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def digested(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+RULES = (
+    url_filter.Rule("block", "net", "/"),
+    url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"),
+    url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+@query
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list: canonical URLs of pages of whose markup at least 2 % are symbols."""
+    pages = table(spark, folder, "pages")
+    junk = pages.filter(100 * F.regexp_count("html", F.lit("[#*$%|]")) >= 2 * F.length("html"))
+    return url_filter.judge(pages, junk.select(url_filter.canonical(F.col("url")).alias("canonical")), RULES)
+
+
+ORACLE["op5_url_filter"] = sql.URL_FILTER
