@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, packing, quality_rules, sql, url_filter
+from fieldspark.llm import bpe, jaccard, packing, quality_rules, sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,3 +63,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op5_url_filter"] = sql.URL_FILTER
+
+
+@query
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(table(spark, folder, "documents"), k=4, percent=85)
+
+
+ORACLE["op6_jaccard_join"] = sql.JACCARD
