@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, jaccard, packing, quality_rules, sql, url_filter
+from fieldspark.llm import bpe, embeddings, jaccard, packing, quality_rules, sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,11 @@ def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op6_jaccard_join"] = sql.JACCARD
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLE["op10_embedding_near_dedup"] = sql.EMBEDDINGS

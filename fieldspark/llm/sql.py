@@ -47,3 +47,15 @@ reach AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON r.x = s.doc_id
 """
+
+EMBEDDINGS = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT r.x AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
+FROM reach r LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = r.x GROUP BY r.x
+"""
