@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, quality_rules, sql, url_filter
+from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_rules, sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,9 @@ ORACLE["op10_embedding_near_dedup"] = sql.EMBEDDINGS
 @query
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return pii.digests(pii.find(docs, pii.train(docs)))
