@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_rules, sql, url_filter
+from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -90,3 +90,8 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return pii.digests(pii.find(docs, pii.train(docs)))
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
