@@ -272,8 +272,12 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group; among rows with one doc_id, the first by all columns. Rows
-    without a doc_id stay."""
-    groups = similar(docs, k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """The rows of `docs` whose doc_id is the smallest of its group, with all their columns; of rows that share a doc_id, the
+    least by all columns. Rows without a doc_id stay. Only rows that may go are moved."""
+    found = similar(docs, k, percent)
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("first"))
+    ids = materialise(ids.filter("doc_id is not null and (n > 1 or not first)").select("doc_id", "first"), "groups")
+    flagged = bloom.flagged(docs, bloom.build(ids, "doc_id"), "doc_id")
+    maybe = flagged.filter("_maybe").drop("_maybe").join(ids, "doc_id", "left").filter(F.coalesce("first", F.lit(True)))
+    maybe = maybe.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return flagged.filter(~F.col("_maybe")).select(*docs.columns).unionByName(maybe)

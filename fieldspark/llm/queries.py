@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter
+from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,39 @@ def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """WARC records of the pages: each page is captured in full, a minute for each page_id, and asked for again an hour and
+    a day later. Its site answers that nothing changed, with the page's digest as validator; those whose markup has an odd
+    length were edited in between and carry another one by the second time."""
+    at = F.timestamp_seconds(1_704_067_200 + 60 * F.col("page_id"))
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    edited = F.coalesce(F.length("html") % 2 == 1, F.lit(False))
+    stamp = lambda ts: F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    hour, day = at + F.expr("INTERVAL 1 HOUR"), at + F.expr("INTERVAL 1 DAY")
+
+    def record(k, ts, kind, status, etag, length, sha):
+        said = [F.lit("date"), stamp(ts), F.lit("etag"), etag, F.lit("content-length"), length, F.lit("cache-control"), F.lit(f"max-age={600 * (k + 1)}")]
+        return F.struct(
+            (3 * F.col("page_id") + k).alias("record_id"), ts.alias("ts"), F.lit(kind).alias("type"), F.lit(status).alias("status"),
+            F.create_map(*said).alias("headers"), sha.alias("body_sha256"),
+        )
+
+    nothing = F.lit(None).cast("string")
+    later = F.concat(F.lit("W/"), F.when(edited, F.concat(digest, F.lit("-2"))).otherwise(digest))
+    records = F.array(
+        record(0, at, "response", 200, digest, F.length("html").cast("string"), F.sha2(F.col("html"), 256)),
+        record(1, hour, "revisit", 304, digest, F.lit("0"), nothing),
+        record(2, day, "revisit", 304, later, F.lit("0"), nothing),
+    )
+    return pages.select(url_filter.canonical(F.col("url")).alias("canonical"), F.explode(records).alias("r")).select("canonical", "r.*")
+
+
+@query
+def op9_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(table(spark, folder, "pages")), ["body_sha256"])
+    return found.withColumn("headers", warc.header_lines(F.col("headers"))).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+ORACLE["op9_warc_revisits"] = sql.WARC

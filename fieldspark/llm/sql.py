@@ -5,7 +5,7 @@ from __future__ import annotations
 AFTER = "CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END"
 HOST = "coalesce(translate(regexp_extract(after, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
 
-URL_FILTER = rf"""
+NAMED = rf"""
 WITH cut AS (SELECT page_id, html, {AFTER} AS after FROM pages),
 parts AS (
   SELECT page_id, html, {HOST} AS host, coalesce(regexp_extract(after, '^[^/?#]*([^?#]*)', 1), '') AS path,
@@ -16,6 +16,9 @@ named AS (
   SELECT page_id, html, host, path,
     CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN args <> '' THEN '?' || args ELSE '' END END AS canonical
   FROM parts),
+"""
+
+URL_FILTER = NAMED + """
 rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 fitting AS (
   SELECT n.page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
@@ -59,3 +62,26 @@ reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y
 SELECT r.x AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(r.y) AS component_id, r.x = min(r.y) AS kept
 FROM reach r LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) n ON n.x = r.x GROUP BY r.x
 """
+
+WARC = (
+    NAMED
+    + r"""
+records AS (
+  SELECT 3 * page_id + k AS record_id, canonical, make_timestamp((1704067200 + 60 * page_id + [0, 3600, 86400][k + 1]) * 1000000) AS ts, k,
+    CASE WHEN k = 2 AND length(html) % 2 = 1 THEN md5(coalesce(html, '')) || '-2' ELSE md5(coalesce(html, '')) END AS tag,
+    length(html)::VARCHAR AS size, sha256(html) AS sha
+  FROM named, (VALUES (0), (1), (2)) AS ks(k)),
+met AS (
+  SELECT r.*, f.record_id AS source, f.tag AS old_tag, f.size AS old_size, f.sha AS old_sha
+  FROM (SELECT * FROM records WHERE k > 0) r
+  LEFT JOIN (SELECT * FROM records WHERE k = 0 AND canonical IS NOT NULL) f ON f.record_id = (
+    SELECT arg_max(x.record_id, (x.ts, x.record_id)) FROM records x WHERE x.k = 0 AND x.canonical = r.canonical AND x.ts < r.ts)),
+judged AS (SELECT *, source IS NOT NULL AND tag = old_tag AS ok FROM met)
+SELECT record_id, canonical, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, source,
+  CASE WHEN source IS NULL THEN 'no earlier response' WHEN ok THEN 'resolved' ELSE 'changed' END AS outcome,
+  'cache-control: max-age=' || (600 * (k + 1)) || chr(10) || 'content-length: ' || CASE WHEN ok THEN old_size ELSE '0' END || chr(10)
+    || 'date: ' || strftime(ts, '%Y-%m-%d %H:%M:%S') || chr(10) || 'etag: ' || CASE WHEN k = 2 THEN 'W/' ELSE '' END || tag AS headers,
+  CASE WHEN ok THEN old_sha END AS body_sha256
+FROM judged
+"""
+)
