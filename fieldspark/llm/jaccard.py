@@ -32,7 +32,9 @@ LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 TOP, LIST_COST = 16, 4
 #: Lists of at most so many members are finished in one go, by all pairs of different components; larger ones by
 #: LEADERS members a round.
-SHORT, LEADERS = 64, 8
+SHORT, LEADERS = 128, 16
+#: A list of more members than this is left out by the sets that can do without it.
+HOT = 16
 _U = np.uint64
 
 
@@ -88,10 +90,14 @@ def subset_sizes(n: int, percent: int) -> list[int]:
     return sorted({c for t in partners(n, percent) if (c := shared(n, t, percent)) <= min(n, t)})
 
 
+#: A key's last bits say its band.
+BAND_BITS = 6
+
+
 class Bands:
     """Bands of sizes, each half as wide again as its least size. A set is listed in its own band and in each that holds
-    the sizes of larger partners; a band has one part more than the differences of a link in it, and some to spare for
-    parts in which both sets have nothing."""
+    the sizes of larger partners; a band has more parts than a link in it has differences, so that linked sets agree in
+    several. A set may then do without some of its parts: those where it has nothing, and those in long lists."""
 
     def __init__(self, percent: int):
         self.percent, self.held = percent, [(6, 9)]
@@ -101,27 +107,34 @@ class Bands:
         while self.held[-1][1] < largest:
             low = self.held[-1][1] + 1
             self.held.append((low, low + low // 2))
-        for low, high in self.held:
+        for band, (low, high) in enumerate(self.held):
             if low <= largest and high >= n:
-                allowed = 2 * high * (100 - self.percent) // (100 + self.percent)
-                spare = 1 + allowed // 16
-                yield low, allowed + 1 + spare, spare
-
-
-def list_keys(h: np.ndarray, bands: Bands) -> np.ndarray:
-    out, fallback = [], False
-    for low, parts, spare in bands.of(len(h)):
+                rate = 100 - self.percent, 100 + self.percent
+                parts = 2 * high * rate[0] // rate[1]
+                parts += 2 + parts // 8
+                # In at least so many parts this set and a linked one of the band agree.
+                yield band, parts, parts - (n + min(high, largest)) * rate[0] // rate[1]
+
+
+def list_keys(h: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The keys, and by band how many of them a link can do without: -1 where some link may agree only in empty parts, and
+    then the keys of the first shingles by hash, of which a link has one in common, are among them too."""
+    out, spare = [], []
+    for band, parts, agree in bands.of(len(h)):
         part = ((h >> _U(32)) * _U(parts)) >> _U(32)  # never decreases, as h is sorted
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        fallback |= parts - len(start) > spare
+        room = agree - 1 - (parts - len(start))
+        spare.append((band, max(-1, room)))
         content = np.add.reduceat(_mix(h + _U(1)), start)
-        out.append(_mix(content ^ _mix(part[start] + _U(low << 32))))
-    if fallback and len(h):
-        # So many parts are empty that two sets could agree in those alone: the first shingles by hash, as many as a link
-        # needs to have one in common.
-        keep = len(h) - -(-bands.percent * len(h) // 100) + 1
-        out.append(_mix(h[:keep] ^ _U(0x5851F42D4C957F2D)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+        out.append(_in_band(_mix(content ^ _mix(part[start] + _U(1))), band))
+        if room < 0:
+            keep = len(h) - -(-bands.percent * len(h) // 100) + 1
+            out.append(_in_band(_mix(h[:keep] ^ _U(0x5851F42D4C957F2D)), band))
+    return (np.concatenate(out) if out else np.zeros(0, _U)), spare
+
+
+def _in_band(keys: np.ndarray, band: int) -> np.ndarray:
+    return (keys & ~_U((1 << BAND_BITS) - 1)) | _U(band)
 
 
 def subset_keys(h: np.ndarray, percent: int) -> np.ndarray:
@@ -129,7 +142,7 @@ def subset_keys(h: np.ndarray, percent: int) -> np.ndarray:
     for size in subset_sizes(len(h), percent):
         chosen = np.array(list(combinations(range(len(h)), size)))
         out.append(_mix(_mix(h + _U(2))[chosen].sum(1, dtype=_U) ^ _U(size)))
-    return np.concatenate(out) if out else np.zeros(0, _U)
+    return _in_band(np.concatenate(out), (1 << BAND_BITS) - 1) if out else np.zeros(0, _U)
 
 
 #: Sets that a task remembers to find exact copies by itself.
@@ -137,7 +150,8 @@ REMEMBERED = 200_000
 
 
 def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, rep, subsets, lists): the set's size and keys. Of equal sets that one task sees, the first carries the
+    """(doc_id, n, rep, subsets, lists, spare): the set's size and keys, and band by band how many of the list keys it can do
+    without. Of equal sets that one task sees, the first carries the
     keys and is the others' rep."""
 
     def make():
@@ -146,7 +160,7 @@ def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         def step(batch):
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
-                sizes, reps, subsets, lists = [], [], [], []
+                sizes, reps, subsets, lists, spare = [], [], [], [], []
                 for doc_id, text in zip(ids, part.column("text").to_pylist(), strict=True):
                     h = hashed(tokens(text), k)
                     sizes.append(len(h))
@@ -159,15 +173,17 @@ def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     reps.append(rep)
                     own = len(h) > 0 and doc_id is not None and rep == doc_id
                     subsets.append(subset_keys(h, percent).view(np.int64) if own and len(h) <= TOP else None)
-                    lists.append(list_keys(h, bands).view(np.int64) if own else None)
+                    keys, room = list_keys(h, bands) if own else (None, None)
+                    lists.append(keys.view(np.int64) if own else None)
+                    spare.append(room)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(reps, pa.int64()), pa.array(subsets, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64()))],
-                    ["doc_id", "n", "rep", "subsets", "lists"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(reps, pa.int64()), pa.array(subsets, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64())), pa.array(spare, pa.map_(pa.int32(), pa.int32()))],
+                    ["doc_id", "n", "rep", "subsets", "lists", "spare"],
                 )
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, rep long, subsets array<long>, lists array<long>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, rep long, subsets array<long>, lists array<long>, spare map<int, int>")
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -208,22 +224,42 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _cross(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of one list and different components that are to be compared next, and the rows that stay for later."""
+def _needed(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, id, lead, n) without the long lists of sets that can do without all theirs in a band: such a list often holds a
+    passage that unrelated texts share. Linked sets agree in a part that one of them can't do without, and then both
+    keep it: what they agree in is long for both. Large groups of near copies are in nothing but long lists, and stay."""
+    band = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+    lists = lists.withColumn("band", band)
+    long = lists.filter(F.col("c") > HOT).groupBy("id", "band").agg(F.count("*").alias("long"))
+    room = F.coalesce(F.try_element_at("spare", F.col("band")), F.lit(-1))
+    known = sets.select(F.col("doc_id").alias("id"), "n", "spare")
+    free = long.join(known, "id").filter(F.col("long") <= room).select("id", "band", F.lit(True).alias("free"))
+    marked = lists.join(free, ["id", "band"], "left").filter((F.col("c") <= HOT) | F.col("free").isNull())
+    return materialise(marked.join(known.drop("spare"), "id").select("sig", "id", "n", "lead"), "needed")
+
+
+def _near(n: Column, other: Column, percent: int) -> Column:
+    return 100 * F.least(n, other) >= percent * F.greatest(n, other)
+
+
+def _cross(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of one list, of different components and sizes that may link, to be compared next; and the rows that stay for
+    later."""
     short = rows.filter(F.col("members") <= SHORT)
-    other = short.select("sig", F.col("id").alias("b"), F.col("comp").alias("comp_b"))
-    pairs = short.join(other, "sig").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b"))).select(F.col("id").alias("a"), "b")
+    other = short.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+    apart = (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near(F.col("n"), F.col("n_b"), percent)
+    pairs = short.join(other, "sig").filter(apart).select(F.col("id").alias("a"), "b")
     long = rows.filter(F.col("members") > SHORT)
     if long.isEmpty():
         return pairs.distinct(), None
-    first = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), F.col("id").alias("id"), F.col("comp").alias("comp"))) for i in range(LEADERS)]
+    first = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "comp", "n")) for i in range(LEADERS)]
     leaders = long.groupBy("sig").agg(*[f.alias(f"l{i}") for i, f in enumerate(first)])
     leaders = leaders.select("sig", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
-    leaders = materialise(leaders.select("sig", F.col("l.id").alias("leader"), F.col("l.comp").alias("comp_l")), "leaders")
-    led = long.join(leaders, "sig").filter(F.col("comp") != F.col("comp_l"))
+    leaders = materialise(leaders.select("sig", F.col("l.id").alias("leader"), F.col("l.comp").alias("comp_l"), F.col("l.n").alias("n_l")), "leaders")
+    led = long.join(leaders, "sig").filter((F.col("comp") != F.col("comp_l")) & _near(F.col("n"), F.col("n_l"), percent))
     pairs = pairs.union(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
     rest = long.join(leaders.select("sig", F.col("leader").alias("id")), ["sig", "id"], "left_anti")
-    return pairs.distinct(), rest.select("sig", "id")
+    return pairs.distinct(), rest.select("sig", "id", "n")
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -239,8 +275,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = 100 * F.col("n") >= percent * (x + 1)
     keys: Column = F.when(F.col("n") <= x, F.concat(F.coalesce("subsets", none), F.when(near, F.col("lists")).otherwise(none))).otherwise(F.col("lists"))
     postings = own.select(F.col("doc_id").alias("id"), F.explode(keys).alias("sig"))
-    leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).filter("lead < hi").select("sig", "lead")
-    lists = materialise(postings.join(leads, "sig"), "lists")
+    leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("hi"), F.count("*").alias("c"))
+    lists = _needed(materialise(postings.join(leads.filter("lead < hi").drop("hi"), "sig"), "lists"), own)
     members = lists.select(F.col("id").alias("doc_id")).distinct()
     # Only texts of members are moved, and the few others that the filter lets pass.
     texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(members, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
@@ -249,13 +285,13 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     pairs = materialise(lists.filter("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b")), "pairs")
     links = materialise(verified(pairs, texts, k, percent), "links")
-    tested, edges, left = pairs, copies.union(links), lists.select("sig", "id")
+    tested, edges, left = pairs, copies.union(links), lists.select("sig", "id", "n")
     while True:
         found = materialise(components(edges), "components")
-        labels = left.join(found, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("comp"))
+        labels = left.join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
         live = labels.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
         rows = materialise(labels.join(live.filter("lo < hi").select("sig", "members"), "sig"), "live")
-        pairs, rest = _cross(rows)
+        pairs, rest = _cross(rows, percent)
         pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = materialise(verified(pairs, texts, k, percent), "links")
         if not more.isEmpty():

@@ -174,10 +174,9 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` that quality_rules keeps, with all their columns: one vote per row, no join."""
     listed = rules()
-    names = [f"_vote_{i}" for i in range(len(listed))]
-    own = [c for c in docs.columns]
-    inner = docs.select(F.struct(*[docs[c] for c in own]).alias("_row"), docs["text"].alias("text"))
-    m = measures(inner, "_row").filter(~base_failed()).select("_row", *[r.vote().alias(n) for r, n in zip(listed, names, strict=True)])
-    m = materialise(m, "voted")
-    known = estimate(m, names)
-    return m.filter(known.posterior([F.col(n) for n in names]) >= threshold).select("_row.*")
+    names = [f"vote_{r.name}" for r in listed]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    m = measures(whole, "row").select("row", base_failed().alias("failed"), *[r.vote().alias(n) for r, n in zip(listed, names, strict=True)])
+    # Filtered only once written: pushed below the measures, a filter would spell each of them out again and again.
+    m = materialise(m, "votes").filter("not failed")
+    return m.filter(estimate(m, names).posterior([F.col(n) for n in names]) >= threshold).select("row.*")
