@@ -6,12 +6,28 @@ minima are aggregated, so a node with a third of all edges is combined before th
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.session import materialise
 
 
+def reach(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row reachable from each of n rows by links a-b, in one task's memory."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        np.minimum.at(new, root, new)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _smallest(pairs: DataFrame) -> DataFrame:
     """For (u, v): each u with the least of itself and its v."""
     return pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm.base import ship
-from fieldspark.llm.components import components
+from fieldspark.llm.components import components, reach
 from fieldspark.session import materialise
 
 #: Rows of a block, and of a bucket on average.
@@ -44,21 +44,6 @@ def table_count(bits: int, cosine: float, recall: float) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log1p(-meet)))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest row reachable from each of n rows by links a-b, within one block pair."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, root, new)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def compare(left: tuple, right: tuple | None, at: int, cosine: float):
     """(ids, links, roots) of the rows that have a link: left and right are (ids, vectors, codes, copies); right is None
     for a block with itself. Links count each other class by its copies."""
@@ -79,7 +64,7 @@ def compare(left: tuple, right: tuple | None, at: int, cosine: float):
     order = np.argsort(ids, kind="stable")  # so that the smallest row is the smallest id
     place = np.empty_like(order)
     place[order] = np.arange(len(ids))
-    root = ids[order[_roots(len(ids), place[a], place[b])[place]]]
+    root = ids[order[reach(len(ids), place[a], place[b])[place]]]
     some = links > 0
     return ids[some], links[some], root[some]
 

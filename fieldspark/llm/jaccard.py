@@ -6,8 +6,8 @@ passage that many texts share would make such lists grow with its square. Shingl
 link allows differences, so that linked sets agree in a whole part, and a list holds the sets that are equal in one part.
 
 Candidates are compared by their words themselves. Within a list all members are first compared with one leader; only
-members that this leaves in different components are compared further, until none of their pairs is untested. So a large
-group of near copies costs a comparison for each copy, and no link between different components is lost."""
+members that this leaves in different components are compared further, and then with all of them. So a large group of near
+copies costs a comparison for each copy, and no link between different components is lost."""
 
 from __future__ import annotations
 
@@ -23,17 +23,16 @@ from pyspark.sql import functions as F
 from fieldspark.llm import bloom
 from fieldspark.llm.base import LOWER, UPPER, map_batches, ship
 from fieldspark.llm.bpe import slices
-from fieldspark.llm.components import components
+from fieldspark.llm.components import components, reach
 from fieldspark.session import materialise
 
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Sets above this size never list subsets, and a list key costs as much as so many subset keys, since its candidates
 #: are read and compared.
 TOP, LIST_COST = 16, 4
-#: Lists of at most so many members are finished in one go, by all pairs of different components; larger ones by
-#: LEADERS members a round.
-SHORT, LEADERS = 128, 16
-#: A list of more members than this is left out by the sets that can do without it.
+#: Lists of at most so many members are finished by pairs of different components, larger ones by blocks of members.
+SHORT, BLOCK = 64, 512
+#: A list of more members than this is long.
 HOT = 16
 _U = np.uint64
 
@@ -224,42 +223,116 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _needed(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """(sig, id, lead, n) without the long lists of sets that can do without all theirs in a band: such a list often holds a
-    passage that unrelated texts share. Linked sets agree in a part that one of them can't do without, and then both
-    keep it: what they agree in is long for both. Large groups of near copies are in nothing but long lists, and stay."""
-    band = F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
-    lists = lists.withColumn("band", band)
-    long = lists.filter(F.col("c") > HOT).groupBy("id", "band").agg(F.count("*").alias("long"))
+def _stuck(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id) of sets that can't do without all their long lists in some band. Linked sets agree in more parts than either can
+    do without; so if all lists that they share are long, both are stuck."""
+    long = lists.filter(F.col("c") > HOT).groupBy("id", F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
     room = F.coalesce(F.try_element_at("spare", F.col("band")), F.lit(-1))
-    known = sets.select(F.col("doc_id").alias("id"), "n", "spare")
-    free = long.join(known, "id").filter(F.col("long") <= room).select("id", "band", F.lit(True).alias("free"))
-    marked = lists.join(free, ["id", "band"], "left").filter((F.col("c") <= HOT) | F.col("free").isNull())
-    return materialise(marked.join(known.drop("spare"), "id").select("sig", "id", "n", "lead"), "needed")
+    met = long.agg(F.count("*").alias("long")).join(sets.select(F.col("doc_id").alias("id"), "spare"), "id")
+    return met.filter(F.col("long") > room).select("id").distinct()
+
+
+def _rare_first(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sig, id, lead, n): lists of single shingles, of each set's rarest ones among these texts, as many as a link needs to have
+    one in common. A passage that many share is never among them, unless a set consists of little else."""
+
+    def make():
+        def step(batch):
+            for part in slices(batch):
+                sets = [hashed(tokens(t), k) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array([xxhash.xxh64_intdigest(h) >> 1 for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))],
+                    ["id", "n", "key", "all"],
+                )
+
+        return step
+
+    flat = map_batches(texts.select("doc_id", "text"), make, "id long, n long, key long, all array<long>").distinct()
+    flat = flat.select("id", "n", "key", F.explode("all").alias("g"))
+    ranked = flat.join(flat.groupBy("g").agg(F.count("*").alias("f")).filter("f > 1"), "g")
+    # Shingles of one text only are the rarest and in no list: they take up places without being moved.
+    held = ranked.groupBy("id", "n", "key").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    places = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1 - alone
+    chosen = held.select("id", "n", F.explode(F.slice("own", 1, F.greatest(places, F.lit(0)).cast("int"))).alias("e"))
+    mask = F.lit((1 << BAND_BITS) - 1)
+    chosen = materialise(chosen.select("id", "n", F.col("e.g").bitwiseAND(F.bitwise_not(mask).cast("long")).bitwiseOR(F.lit((1 << BAND_BITS) - 2)).alias("sig")), "rare")
+    leads = chosen.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("hi")).filter("lead < hi").drop("hi")
+    return chosen.join(leads, "sig").select("sig", "id", "n", "lead")
 
 
 def _near(n: Column, other: Column, percent: int) -> Column:
     return 100 * F.least(n, other) >= percent * F.greatest(n, other)
 
 
-def _cross(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs of one list, of different components and sizes that may link, to be compared next; and the rows that stay for
-    later."""
-    short = rows.filter(F.col("members") <= SHORT)
-    other = short.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
+def _cross_short(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one list, of different components and sizes that may link."""
+    other = rows.select("sig", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
     apart = (F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & _near(F.col("n"), F.col("n_b"), percent)
-    pairs = short.join(other, "sig").filter(apart).select(F.col("id").alias("a"), "b")
-    long = rows.filter(F.col("members") > SHORT)
-    if long.isEmpty():
-        return pairs.distinct(), None
-    first = [F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "comp", "n")) for i in range(LEADERS)]
-    leaders = long.groupBy("sig").agg(*[f.alias(f"l{i}") for i, f in enumerate(first)])
-    leaders = leaders.select("sig", F.explode(F.array_distinct(F.array(*[f"l{i}" for i in range(LEADERS)]))).alias("l"))
-    leaders = materialise(leaders.select("sig", F.col("l.id").alias("leader"), F.col("l.comp").alias("comp_l"), F.col("l.n").alias("n_l")), "leaders")
-    led = long.join(leaders, "sig").filter((F.col("comp") != F.col("comp_l")) & _near(F.col("n"), F.col("n_l"), percent))
-    pairs = pairs.union(led.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")))
-    rest = long.join(leaders.select("sig", F.col("leader").alias("id")), ["sig", "id"], "left_anti")
-    return pairs.distinct(), rest.select("sig", "id", "n")
+    return rows.join(other, "sig").filter(apart).select(F.col("id").alias("a"), "b").distinct()
+
+
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of a with each of b, by products of parts of their incidence matrices."""
+    both = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)))
+    out = np.zeros((len(a), len(b)), np.int64)
+    for low in range(0, len(both), 4096):
+        part = both[low : low + 4096]
+        sides = []
+        for sets in (a, b):
+            m = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                at = np.searchsorted(part, own := s[(s >= part[0]) & (s <= part[-1])])
+                at = at[(at < len(part)) & (part[np.minimum(at, len(part) - 1)] == own)]
+                m[i, at] = 1
+            sides.append(m)
+        out += np.rint(sides[0] @ sides[1].T).astype(np.int64)
+    return out
+
+
+def _cross_long(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components within long lists. Members outside a list's largest component are compared with all its
+    members, block by block; a pair of blocks gives one edge for each member that links, to the smallest it reaches there."""
+    counts = rows.groupBy("sig", "comp").agg(F.count("*").alias("c"))
+    tops = counts.groupBy("sig").agg(F.max(F.struct("c", "comp")).alias("t"), F.sum("c").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    tops = tops.select("sig", F.col("t.comp").alias("top"), blocks(F.col("all") - F.col("t.c")).alias("asking"), blocks(F.col("all")).alias("asked"))
+    placed = rows.join(tops, "sig").withColumn("h", F.xxhash64("id"))
+    asking = placed.filter(F.col("comp") != F.col("top")).select(
+        "sig", "id", F.pmod("h", "asking").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("j"), F.lit(0).alias("side")
+    )
+    asked = placed.select(
+        "sig", "id", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.pmod("h", "asked").cast("int").alias("j"), F.lit(1).alias("side")
+    )
+    members = rows.select(F.col("id").alias("doc_id")).distinct()
+
+    def make():
+        def step(batch):
+            for part in slices(batch):
+                sets = [hashed(tokens(t), k).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "s"])
+
+        return step
+
+    sets = materialise(map_batches(texts.join(members, "doc_id", "left_semi").select("doc_id", "text"), make, "id long, s binary"), "members")
+
+    def meet(pdf):
+        import pandas as pd
+
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        ids = np.unique(pdf["id"].to_numpy(np.int64))
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        x, y = ([np.frombuffer(s, _U) for s in side["s"]] for side in (a, b))
+        size_x, size_y = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in y])[None, :]
+        both = _overlaps(x, y)
+        i, j = np.nonzero((both > 0) & (100 * both >= percent * (size_x + size_y - both)))
+        at_x, at_y = (np.searchsorted(ids, side["id"].to_numpy(np.int64)) for side in (a, b))
+        root = ids[reach(len(ids), at_x[i], at_y[j])]
+        return pd.DataFrame({"a": root[root != ids], "b": ids[root != ids]})
+
+    met = asking.union(asked).join(sets, "id").groupBy("sig", "i", "j").applyInPandas(meet, "a long, b long")
+    return met.distinct()
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -276,31 +349,32 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keys: Column = F.when(F.col("n") <= x, F.concat(F.coalesce("subsets", none), F.when(near, F.col("lists")).otherwise(none))).otherwise(F.col("lists"))
     postings = own.select(F.col("doc_id").alias("id"), F.explode(keys).alias("sig"))
     leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("hi"), F.count("*").alias("c"))
-    lists = _needed(materialise(postings.join(leads.filter("lead < hi").drop("hi"), "sig"), "lists"), own)
-    members = lists.select(F.col("id").alias("doc_id")).distinct()
+    lists = materialise(postings.join(leads.filter("lead < hi").drop("hi"), "sig"), "lists")
+    stuck = materialise(_stuck(lists, own), "stuck")
+    # Long lists often hold a passage that unrelated texts share; what only they could tell, rare shingles tell better.
+    short = lists.filter(F.col("c") <= HOT).drop("c")
+    members = short.select(F.col("id").alias("doc_id")).union(stuck).distinct()
     # Only texts of members are moved, and the few others that the filter lets pass.
     texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(members, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
     texts = materialise(texts, "texts")
+    rare = _rare_first(texts.join(stuck.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent)
+    short = short.join(own.select(F.col("doc_id").alias("id"), "n"), "id").select("sig", "id", "n", "lead")
+    lists = materialise(short.union(rare), "needed")
     copies = sets.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     pairs = materialise(lists.filter("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b")), "pairs")
     links = materialise(verified(pairs, texts, k, percent), "links")
-    tested, edges, left = pairs, copies.union(links), lists.select("sig", "id", "n")
-    while True:
-        found = materialise(components(edges), "components")
-        labels = left.join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
-        live = labels.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
-        rows = materialise(labels.join(live.filter("lo < hi").select("sig", "members"), "sig"), "live")
-        pairs, rest = _cross(rows, percent)
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(verified(pairs, texts, k, percent), "links")
-        if not more.isEmpty():
-            edges = edges.union(more)
-        if rest is None:
-            if not more.isEmpty():
-                found = materialise(components(edges), "components")
-            break
-        tested, left = tested.union(pairs), rest
+    edges = copies.union(links)
+    found = materialise(components(edges), "components")
+    # What the leaders left apart: lists whose members are in several components.
+    labels = lists.join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
+    live = labels.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
+    rows = materialise(labels.join(live.filter("lo < hi").select("sig", "members"), "sig"), "live")
+    asked = materialise(_cross_short(rows.filter(F.col("members") <= SHORT), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(asked, texts, k, percent).union(_cross_long(rows.filter(F.col("members") > SHORT), texts, k, percent))
+    more = materialise(more, "links")
+    if not more.isEmpty():
+        found = materialise(components(edges.union(more)), "components")
     known = found.withColumnRenamed("id", "doc_id")
     return sets.select("doc_id", F.col("n").alias("n_shingles")).join(known, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
