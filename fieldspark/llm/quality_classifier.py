@@ -70,7 +70,8 @@ def abuse_votes(text: str, ws: list[str], opinion: int) -> list[int]:
 
 def posterior(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each row, and each labeller's accuracy when voting for and against: expectation-maximisation from 0.8, the
-    first labeller (a reader's opinion) from 0.95. No accuracy falls below 0.55, so that no vote turns round."""
+    first labeller (a reader's opinion) from 0.95. A vote less often right than the prior alone counts nothing, so that none
+    turns round."""
     m = votes.shape[1]
     right = np.full((2, m), 0.8)
     right[:, 0] = 0.95
@@ -82,7 +83,7 @@ def posterior(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.nda
         p = 1 / (1 + np.exp(-(base + (votes > 0) @ up + (votes < 0) @ down)))
         was = right.copy()
         for row, side, good in ((0, votes > 0, p), (1, votes < 0, 1 - p)):
-            right[row] = np.clip((side.T @ good + 8) / (side.sum(0) + 10), 0.55, 0.99)
+            right[row] = np.clip((side.T @ good + 8) / (side.sum(0) + 10), 0.02, 0.99)
         prior = float(np.clip((p.sum() + 8) / (len(p) + 10), 0.5, 0.98)) if len(p) else prior
         if np.abs(was - right).max() < 1e-4:
             break

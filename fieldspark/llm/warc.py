@@ -29,7 +29,7 @@ def latest_before(records: DataFrame, piece: int = PIECE) -> DataFrame:
     across = Window.partitionBy("canonical").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("canonical", "_piece", F.max("_end").over(across).alias("_past"))
     found = rows.withColumn("_near", F.max("_own").over(inside)).join(pieces, ["canonical", "_piece"], "left")
-    return found.select(*records.columns, F.when(F.col("canonical").isNotNull(), F.coalesce("_near", "_past")["id"]).alias("source"))
+    return found.select(*records.columns, F.when(F.col("canonical").isNotNull() & F.col("_at").isNotNull(), F.coalesce("_near", "_past")["id"]).alias("source"))
 
 
 def merged_headers(of_response: Column, of_revisit: Column, permitted: Sequence[str] = PERMITTED) -> Column:
