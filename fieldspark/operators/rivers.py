@@ -36,22 +36,21 @@ def candidate_sites(sites: DataFrame, mouths: DataFrame, included: DataFrame | N
 
 
 def select_gauges(
-    sites: DataFrame, mouths: DataFrame, records: DataFrame, below: DataFrame, start: Column, end: Column, *, min_share: float = 0.01, slack_days: int = 1
+    sites: DataFrame, mouths: DataFrame, records: DataFrame, below: DataFrame, start: Column, end: Column, *, min_share: float = 0.01, slack_days: int = 1,
+    lagged: bool = False,
 ) -> DataFrame:
     """The lowest gauge on each branch: (mouth, station, area_sqmi, kept, reason). A candidate needs a discharge
     record over the window, and is dropped when another active gauge with a larger area lies downstream; equal
-    areas go by station. Included gauges stay, and one without a record carries a reason of its own. `below
+    areas go by station. With `lagged` the window of each mouth is earlier by its `lag_hours`. Included gauges stay, and one without a record carries a reason of its own. `below
     (mouth, station, below)` lists what lies downstream of each site."""
     rows = candidate_sites(sites, mouths, min_share=min_share)
-    covering = (
-        records.where(
-            F.col("statistic").isin(*DISCHARGE_STATISTICS)
-            & (F.col("begin_time") <= start)
-            & (F.col("end_time") >= F.timestamp_add("DAY", F.lit(-slack_days), end))
-        )
-        .select("station").distinct().withColumn("_covers", F.lit(True))
-    )
-    rows = rows.join(covering, "station", "left").withColumn(
+    held = records.where(F.col("statistic").isin(*DISCHARGE_STATISTICS))
+    first, last, by = start, F.timestamp_add("DAY", F.lit(-slack_days), end), ["station"]
+    if lagged:
+        held = held.join(rows.select("mouth", "station"), "station").join(mouths.select("mouth", "lag_hours"), "mouth")
+        first, last, by = times.add_hours(first, -F.col("lag_hours")), times.add_hours(last, -F.col("lag_hours")), ["mouth", "station"]
+    covering = held.where((F.col("begin_time") <= first) & (F.col("end_time") >= last)).select(*by).distinct().withColumn("_covers", F.lit(True))
+    rows = rows.join(covering, by, "left").withColumn(
         "reason",
         F.coalesce("reason", F.when(F.col("_covers").isNull(), F.when(F.col("pinned"), "included gauge without a record").otherwise("no discharge record over the window"))),
     ).drop("_covers")
@@ -100,10 +99,15 @@ def fills_counted(hours: DataFrame, by: Sequence[str], *, flag: str = "flag") ->
     )
 
 
+def _gauge(hourly: DataFrame) -> list[str]:
+    return [c for c in ("mouth", "station") if c in hourly.columns]
+
+
 def apply_lag(hourly: DataFrame, gauges: DataFrame, *, time: str = "time") -> DataFrame:
-    """Gauge hours at the time their water reaches the mouth: shifted by the river's lag."""
+    """Gauge hours at the time their water reaches the mouth: shifted by the river's lag. Hours without a mouth are those of
+    every mouth that their gauge serves."""
     lag = gauges.select("mouth", "station", "lag_hours")
-    return hourly.join(lag, "station").withColumn(time, times.add_hours(F.col(time), F.col("lag_hours"))).drop("lag_hours")
+    return hourly.join(lag, _gauge(hourly)).withColumn(time, times.add_hours(F.col(time), F.col("lag_hours"))).drop("lag_hours")
 
 
 def river_discharge(hourly: DataFrame, gauges: DataFrame, summary: DataFrame, temperature: DataFrame | None = None, *, time: str = "time") -> DataFrame:
@@ -111,7 +115,7 @@ def river_discharge(hourly: DataFrame, gauges: DataFrame, summary: DataFrame, te
     area, the worst fill flag, and the temperature of the largest gauge that has a record. `hourly(station,
     time, value, flag)` covers every hour; an hour that any gauge lacks is null."""
     kept = gauges.where("kept").select("mouth", "station", "area_sqmi")
-    total = hourly.join(kept, "station").groupBy("mouth", time).agg(
+    total = hourly.join(kept, _gauge(hourly)).groupBy("mouth", time).agg(
         F.sum("value").alias("_q"), F.count("value").alias("_n"), F.max("flag").alias("fill")
     )
     scale = summary.where("gauges > 0").select("mouth", F.col("gauges").alias("_g"), "scale_factor")
@@ -119,9 +123,10 @@ def river_discharge(hourly: DataFrame, gauges: DataFrame, summary: DataFrame, te
     out = total.join(scale, "mouth").select("mouth", time, q.alias("discharge"), F.col("fill").cast("int").alias("fill"))
     if temperature is None:
         return out
-    with_record = temperature.where(F.col("value").isNotNull()).select("station").distinct()
-    chosen = kept.join(with_record, "station").groupBy("mouth").agg(
+    by = _gauge(temperature)
+    with_record = temperature.where(F.col("value").isNotNull()).select(*by).distinct()
+    chosen = kept.join(with_record, by).groupBy("mouth").agg(
         F.min(F.struct((-F.col("area_sqmi")).alias("a"), F.col("station").alias("station"))).alias("_s")
     ).select("mouth", F.col("_s.station").alias("station"))
-    temp = temperature.join(chosen, "station").select("mouth", time, F.col("value").alias("temperature"))
+    temp = temperature.join(chosen, by).select("mouth", time, F.col("value").alias("temperature"))
     return out.join(temp, ["mouth", time], "left")

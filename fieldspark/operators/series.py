@@ -133,11 +133,11 @@ def fill_lookup(hours: DataFrame, daily: DataFrame, normals: DataFrame | None, k
 
 def gap_ladder(
     hourly: DataFrame, windows: DataFrame, key: Sequence[str], max_gap: int, daily: DataFrame, normals: DataFrame | None,
-    *, time: str = "time", value: str = "value", strict: bool = False,
+    *, time: str = "time", value: str = "value", strict: bool = False, lookup: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every hour of each window with a value and a fill flag: measured (0), a bounded run of at most `max_gap`
     hours interpolated (1), the day mean (2), the day-of-year median (3). Hours no rung fills stay null, or are
-    an error when `strict`."""
+    an error when `strict`. Day means and medians go by `lookup`, the key where it is not given."""
     rows = _gaps(hourly, windows, key, time, value, max_gap + 1)
     bounded = (F.col("_len") <= max_gap) & F.col("_h0").isNotNull() & F.col("_h1").isNotNull()
     hours = rows.select(
@@ -146,7 +146,7 @@ def gap_ladder(
         F.when(F.col("_v").isNotNull(), F.col("_v")).when(bounded, _between()).alias(value),
         F.when(F.col("_v").isNull() & bounded, FILL_INTERPOLATED).otherwise(FILL_NONE).alias("flag"),
     )
-    out = fill_lookup(hours, daily, normals, key, time=time, value=value)
+    out = fill_lookup(hours, daily, normals, lookup or key, time=time, value=value)
     if strict:
         stop = F.raise_error(F.concat(F.lit("no value for "), F.col(time).cast("string"))).cast("double")
         out = out.withColumn(value, F.coalesce(F.col(value), stop))

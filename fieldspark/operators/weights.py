@@ -28,8 +28,10 @@ def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float =
     for step in reversed(range(steps)):
         reach = max_km / shrink**step
         size = reach / geo.KM_PER_DEG_LAT
-        wide = F.lit(reach / geo.KM_PER_DEG_LON) / F.greatest(F.cos(F.radians("_plat")), F.lit(0.01))
-        p = left.withColumn("_tx", F.explode(geo.tile_range(F.col("_plon") - wide, F.col("_plon") + wide, size)))
+        # Degrees of longitude in reach; all of them close to a pole.
+        wide = F.lit(reach / geo.KM_PER_DEG_LON) / F.greatest(F.cos(F.radians("_plat")), F.lit(1e-9))
+        west, east = (F.when(wide < 180, F.col("_plon") + side * wide).otherwise(180.0 * side) for side in (-1, 1))
+        p = left.withColumn("_tx", F.explode(geo.tile_range(west, east, size)))
         p = p.withColumn("_ty", F.explode(geo.tile_range(F.col("_plat") - size, F.col("_plat") + size, size)))
         held = c.withColumns({"_tx": geo.tile(F.col("_lon"), size), "_ty": geo.tile(F.col("_lat"), size)})
         km = geo.planar_km(F.col("_lon"), F.col("_lat"), F.col("_plon"), F.col("_plat"))

@@ -28,25 +28,39 @@ def rivers(
     temperature: DataFrame | None, start: str, hours: int, *, gauge_window: tuple[str, str] | None = None, max_gap: int = 6, min_share: float = 0.01, strict: bool = False,
 ) -> RiverResult:
     """Gauges of each mouth, their hourly series with gaps filled, and the scaled sum at the mouth for start ..
-    start + hours. A gauge is read earlier by its river's lag."""
-    first, last = gauge_window or (start, start)
-    end = times.ts(last) if gauge_window else times.add_hours(times.ts(start), hours)
+    start + hours. A gauge is read earlier by its river's lag, and one that serves several mouths is read for each; its record
+    has to cover what is read, or `gauge_window` where that is given."""
+    begin, end = times.ts(start), times.add_hours(times.ts(start), hours)
+    if gauge_window:
+        selected = river_ops.select_gauges(sites, mouths, records, below, times.ts(gauge_window[0]), times.ts(gauge_window[1]), min_share=min_share)
+    else:
+        selected = river_ops.select_gauges(sites, mouths, records, below, begin, end, min_share=min_share, lagged=True)
     # A short list that the summary, the windows and the sum all need: written once, not derived in each.
-    selected = river_ops.select_gauges(sites, mouths, records, below, times.ts(first), end, min_share=min_share)
     selection = materialise(selected.join(mouths.select("mouth", "lag_hours"), "mouth"), "gauges")
     summary = river_ops.mouth_summary(selection)
     gauges = selection.where("kept")
-    begin = times.add_hours(times.ts(start), -F.col("lag_hours"))
-    windows = gauges.select("station", begin.alias("start"), times.add_hours(begin, hours).alias("end"))
-    # Only the kept gauges' readings go on.
-    own = readings.join(gauges.select("station"), "station", "left_semi")
-    hourly = series.clean_hourly(own, ["station"], "arrival")
-    filled = series.gap_ladder(hourly, windows, ["station"], max_gap, daily, normals, strict=strict)
-    at_mouth = river_ops.apply_lag(filled, gauges).drop("mouth")
+    key = ["mouth", "station"]
+    since = times.add_hours(begin, -F.col("lag_hours"))
+    windows = gauges.select(*key, since.alias("start"), times.add_hours(since, hours).alias("end"))
+    lags = selection.agg(F.min("lag_hours"), F.max("lag_hours")).first()
+    # Readings that can bear on any window: the ladder looks max_gap + 1 hours around it, an hourly mean half an hour more.
+    around = max_gap + 2
+    low, high = times.add_hours(begin, -around - int(lags[1] or 0)), times.add_hours(end, around - int(lags[0] or 0))
+    stations = gauges.select("station").distinct()
+
+    def in_reach(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("time").between(low, high)).join(stations, "station", "left_semi")
+
+    def of_mouths(hourly: DataFrame) -> DataFrame:
+        return hourly.join(gauges.select(*key), "station")
+
+    hourly = of_mouths(series.clean_hourly(in_reach(readings), ["station"], "arrival"))
+    filled = series.gap_ladder(hourly, windows, key, max_gap, daily, normals, strict=strict, lookup=["station"])
+    at_mouth = river_ops.apply_lag(filled, gauges)
     temp = None
     if temperature is not None:
-        t = series.hourly_centred(temperature.join(gauges.select("station"), "station", "left_semi"), ["station"])
-        temp = river_ops.apply_lag(series.interpolate_limit(t, windows, ["station"], max_gap), gauges).drop("mouth")
+        t = of_mouths(series.hourly_centred(in_reach(temperature), ["station"]))
+        temp = river_ops.apply_lag(series.interpolate_limit(t, windows, key, max_gap), gauges)
     return RiverResult(river_ops.river_discharge(at_mouth, gauges, summary, temp), selection, summary)
 
 

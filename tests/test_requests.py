@@ -76,6 +76,34 @@ def test_river_end_to_end_scales_and_lags(spark):
         assert got[T0 + (10 + k) * H].fill == 0
 
 
+def test_a_gauge_may_serve_two_mouths(spark):
+    sites, mouths, records, below = river(spark, exclude=(1,))
+    # A second mouth with the same gauges, two hours nearer.
+    again = lambda df: df.unionByName(df.withColumn("mouth", F.lit("n")))
+    lag = mouths.first().lag_hours
+    both = mouths.unionByName(mouths.withColumn("mouth", F.lit("n")).withColumn("lag_hours", (F.col("lag_hours") - 2).cast(mouths.schema["lag_hours"].dataType)))
+    rows = [(2, T0 + k * H / 4, float(k // 4), "v", k) for k in range(-400, 400)]
+    readings = spark.createDataFrame(rows, "station int, time timestamp_ntz, value double, quality string, arrival int").withColumn("value", F.abs("value"))
+    empty = spark.createDataFrame([], "station int, date date, value double")
+    warm = readings.select("station", "time", "value")
+    out = plans.rivers(both, again(sites), records, again(below), readings, empty, None, warm, str(T0 + 10 * H), 24)
+    got = {(r.mouth, r.time): r for r in out.discharge.collect()}
+    first = mouths.first().mouth
+    assert sorted(got) == sorted((m, T0 + (10 + k) * H) for m in (first, "n") for k in range(25))
+    for k in range(25):
+        for mouth, late in ((first, lag), ("n", lag - 2)):
+            row = got[mouth, T0 + (10 + k) * H]
+            assert row.discharge == pytest.approx((10 + k - late - 0.5) * 2 * 0.028316846592)
+            assert row.temperature == pytest.approx(10 + k - late - 0.5)
+
+
+def test_gauge_records_cover_the_lagged_window(spark):
+    sites, mouths, records, below = river(spark, exclude=(1,))
+    far = mouths.withColumn("lag_hours", F.lit(24 * 365 * 40).cast(mouths.schema["lag_hours"].dataType))
+    kept = lambda m: {r.station for r in rivers.select_gauges(sites, m, records, below, times.ts(str(T0)), times.ts(str(T0 + 100 * H)), lagged=True).where("kept").collect()}
+    assert kept(mouths) == {2} and kept(far) == set()
+
+
 def test_plan_walks_back_to_a_complete_cycle(spark):
     held = [(T0, k) for k in range(0, 30)] + [(T0 + 12 * H, k) for k in range(1, 30)] + [(T0 + 24 * H, k) for k in range(0, 30)]
     held = spark.createDataFrame(held, "cycle timestamp_ntz, lead int")

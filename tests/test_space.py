@@ -7,6 +7,7 @@ import math
 import random
 
 import pytest
+from fieldspark.functions import geo
 from fieldspark.operators import catalog, composite, joins, mesh, scales, sizes, vertical, weights
 from pyspark.sql import functions as F
 
@@ -303,3 +304,19 @@ def test_footprint_of_stores(spark):
     rows = [(1, 359.0, 10.0, T0), (1, 359.5, 11.0, T0), (2, 5.0, 95.0, T0), (3, 400.0, 1.0, T0)]
     got = {r.store_id: (r.west, r.south, r.east, r.north) for r in catalog.footprints(spark.createDataFrame(rows, "store_id int, lon double, lat double, time timestamp_ntz")).collect()}
     assert got == {1: (-1.0, 10.0, -0.5, 11.0), 2: (None,) * 4, 3: (None,) * 4}
+
+
+def test_weights_reach_across_longitudes_near_a_pole(spark):
+    cells = [(0, k, float(lon), lat) for k, (lon, lat) in enumerate([(10, 89.8), (-170, 89.81), (60, 89.79), (5, 89.99), (120, 89.999)])]
+    points = [(1, 0.0, 89.8), (2, 100.0, 89.9995)]
+    got = weights.idw_weights(
+        spark.createDataFrame(points, "point int, lon double, lat double"), spark.createDataFrame(cells, "iy int, ix int, lon double, lat double"), k=5, max_km=6.0
+    )
+    want = set()
+    for p, plon, plat in points:
+        for _, ix, lon, lat in cells:
+            dx = (lon - plon) * geo.KM_PER_DEG_LON * math.cos(math.radians(plat))
+            if math.hypot(dx, (lat - plat) * geo.KM_PER_DEG_LAT) <= 6.0:
+                want.add((p, ix))
+    assert (1, 0) in want and len(want) > 2
+    assert {(r.point, r.ix) for r in got.collect()} == want
