@@ -200,8 +200,11 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole texts link, compared by words."""
+    """The pairs (a, b) whose whole texts link, compared by words. Of `texts`, only those of the pairs are moved, and the few
+    others that a filter lets pass."""
     ship(pairs.sparkSession)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = bloom.flagged(texts, bloom.build(ends, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
     met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
         texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
     )
@@ -348,8 +351,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = 100 * F.col("n") >= percent * (x + 1)
     keys: Column = F.when(F.col("n") <= x, F.concat(F.coalesce("subsets", none), F.when(near, F.col("lists")).otherwise(none))).otherwise(F.col("lists"))
     postings = own.select(F.col("doc_id").alias("id"), F.explode(keys).alias("sig"))
-    leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.max("id").alias("hi"), F.count("*").alias("c"))
-    lists = materialise(postings.join(leads.filter("lead < hi").drop("hi"), "sig"), "lists")
+    leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1")
+    lists = materialise(postings.join(leads, "sig"), "lists")
     stuck = materialise(_stuck(lists, own), "stuck")
     # Long lists often hold a passage that unrelated texts share; what only they could tell, rare shingles tell better.
     short = lists.filter(F.col("c") <= HOT).drop("c")
