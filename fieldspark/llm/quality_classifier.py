@@ -20,7 +20,7 @@ from fieldspark.llm.base import LOWER_STR, SPACE, ship
 from fieldspark.llm.bpe import Memo, slices
 
 #: Documents that labellers read, a quarter of them held out for the thresholds.
-SAMPLE = 8_000
+SAMPLE = 4_000
 #: Hashed features, and how many standard errors apart a feature's frequency must be in the two classes to have a weight:
 #: among hundreds of words of a text, weights of chance would drown those of a few.
 DIMS, APART = 1 << 18, 5.0
@@ -160,7 +160,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray,
         return w, b
     weight = y / max(1e-9, y.sum()) + (1 - y) / max(1e-9, (1 - y).sum())
     used = np.unique(cols)
-    slot = np.zeros(DIMS, np.int64)
+    slot = np.zeros(DIMS, np.int32)
     slot[used] = np.arange(len(used))
     cols = slot[cols]
     v = np.zeros(len(used) + 1)
@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     def sparse(name):
         """Rows and entries of a column of lists."""
         lists = column[name]
-        return np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
+        return np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
 
     def votes(name):
         return np.array(column[name].to_pylist()).reshape(n, -1)
@@ -222,15 +222,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     q, _ = posterior(votes("q_votes"), 0.85)
     a, _ = posterior(votes("a_votes"), 0.9)
     rows, tally = sparse("tally")
-    share = SHARE * tally / np.maximum(1, np.bincount(rows, tally, n))[rows]
+    share = (SHARE * tally / np.maximum(1, np.bincount(rows, tally, n))[rows]).astype(np.float32)
     shapes, texts, names = sparse("shapes"), sparse("own"), sparse("names")
-    qx = tuple(np.concatenate([x, y]) for x, y in zip((*shapes, share), (*texts, np.ones(len(texts[0]))), strict=True))
-    ax = (*names, np.ones(len(names[0])))
+    qx = tuple(np.concatenate([x, y]) for x, y in zip((*shapes, share), (*texts, np.ones(len(texts[0]), np.float32)), strict=True))
+    ax = (*names, np.ones(len(names[0]), np.float32))
 
     def head(x, y):
         rows, cols, values = x
         train_rows = ~held[rows]
-        once = np.unique(rows[train_rows] * DIMS + cols[train_rows])
+        once = np.unique(rows[train_rows].astype(np.int64) * DIMS + cols[train_rows])
         seen, bad = (np.bincount(once % DIMS, v, DIMS) for v in (np.ones(len(once)), 1 - y[once // DIMS]))
         share = (1 - y[~held]).mean()
         z = (bad - share * seen) / np.sqrt(np.maximum(1e-9, share * (1 - share) * seen) + 1)
