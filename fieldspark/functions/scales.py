@@ -14,10 +14,15 @@ def _unit(v: Column, lo: Column, hi: Column, log: Column) -> Column:
     return F.when(log, curved).otherwise(linear)
 
 
+def finite(v: Column) -> Column:
+    """Neither missing nor NaN nor infinite."""
+    return F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+
+
 def encode(v: Column, lo: Column, hi: Column, log: Column) -> Column:
-    """1 at or below lo, 255 at or above hi, 0 where missing. A scale without an extent is an error."""
+    """1 at or below lo, 255 at or above hi, 0 where missing or not finite. A scale without an extent is an error."""
     ok = (hi > lo) & ~F.isnan(lo) & ~F.isnan(hi)
-    code = F.when(v.isNull() | F.isnan(v), 0).otherwise(F.rint(_unit(v, lo, hi, log) * 254.0).cast("int") + 1)
+    code = F.when(~finite(v), 0).otherwise(F.rint(_unit(v, lo, hi, log) * 254.0).cast("int") + 1)
     return F.when(ok, code).otherwise(F.raise_error(F.lit("no colour scale")).cast("int"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, ordered, times
+from fieldspark.functions.scales import finite
 from fieldspark.operators import sizes
 
 # The order keywords are looked for in a store's path and attributes, and in its file stem.
@@ -26,7 +27,8 @@ KIND_RULES = (
 
 def footprints(rows: DataFrame, store: str = "store_id") -> DataFrame:
     """Box, first and last time and record count of each store from its coordinates (lon, lat, time). Longitudes
-    past 180 are wrapped; a store whose coordinates are not positions gets a null box."""
+    past 180 are wrapped and coordinates that are not finite skipped; a store whose coordinates are not positions gets a null box."""
+    rows = rows.withColumns({c: F.when(finite(F.col(c)), F.col(c)) for c in ("lon", "lat")})
     lon = F.when(F.col("lon") > 180, F.col("lon") - 360.0).otherwise(F.col("lon"))
     ends = rows.groupBy(store).agg(
         F.min(lon).alias("_w"), F.min("lat").alias("_s"), F.max(lon).alias("_e"), F.max("lat").alias("_n"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import times
+from fieldspark.functions.scales import finite
 from fieldspark.operators import sizes
 
 
@@ -15,8 +16,8 @@ from fieldspark.operators import sizes
 RANKS = 64
 
 
-def _valid(pixels: DataFrame) -> DataFrame:
-    return pixels.where(F.col("value").isNotNull() & ~F.isnan("value"))
+def valid_pixels(pixels: DataFrame) -> DataFrame:
+    return pixels.where(finite(F.col("value")))
 
 
 def newest(time: Column, rank: Column) -> Column:
@@ -41,7 +42,7 @@ def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
     window = pixels.where((F.col("time") <= as_of) & (F.col("time") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
     used = window.agg(F.array_sort(F.collect_set("sensor")).alias("_used"))
     order = newest(F.col("time"), F.lit(RANKS - 1) - F.col("sensor"))
-    best = _valid(window).withColumn("_o", order).groupBy("iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
+    best = valid_pixels(window).withColumn("_o", order).groupBy("iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     return best.join(sizes.one_row(used)).select(
         "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), as_of).alias("age_days"),
         (F.array_position("_used", F.lit(RANKS - 1) - newest_rank(F.col("_o"))) - 1).cast("int").alias("product_index"),
@@ -57,7 +58,7 @@ def composite_series(pixels: DataFrame, first: str, step_days: int, frames: int,
     step_us = step_days * times.DAY_US
     since = F.timestamp_diff("MICROSECOND", times.ts(first), F.col("time"))
     opened = F.greatest(F.lit(0), F.ceil(since / F.lit(float(step_us))).cast("int"))
-    rows = _valid(pixels).where(since <= F.lit((frames - 1) * step_us)).withColumn("_o", newest(F.col("time"), F.col("sensor")))
+    rows = valid_pixels(pixels).where(since <= F.lit((frames - 1) * step_us)).withColumn("_o", newest(F.col("time"), F.col("sensor")))
     kept = rows.groupBy("iy", "ix", opened.alias("_k0")).agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     until = F.timestamp_diff("MICROSECOND", times.ts(first), newest_time(F.col("_o"))) + F.lit(days * times.DAY_US)
     last = F.least(F.lit(frames - 1), F.floor(until / F.lit(float(step_us))).cast("int"))

@@ -25,7 +25,7 @@ def weighted_percentiles(
         out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets, few_groups=True)
         return out.drop("_all")
     percents = qs if isinstance(qs, Column) else F.array(*[F.lit(float(q)) for q in qs])
-    held = df.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
+    held = df.where(scales.finite(F.col(x))).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
     goals = held.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_total")).select(
         *by, "_lo", "_hi", F.lit(0.0).alias("_off"), "_total", F.explode(percents).alias("q")
     ).withColumn("_goal", F.col("q") / 100.0 * F.col("_total")).drop("_total")

@@ -64,7 +64,7 @@ def hourly_mean(stream: DataFrame, key: Sequence[str], *, time: str = "time", va
 def rolling_composite(stream: DataFrame, days: int, step_days: int, *, lag: str = "1 day") -> DataFrame:
     """The newest valid value per pixel in [end - days, end) for each frame end, emitted when the frame is closed.
     At equal times the sensor listed last wins."""
-    valid = _timed(stream.where(F.col("value").isNotNull()), "time", lag).withColumn("_o", composite.newest(_clock(F.col("time")), F.col("sensor")))
+    valid = _timed(composite.valid_pixels(stream), "time", lag).withColumn("_o", composite.newest(_clock(F.col("time")), F.col("sensor")))
     frames = valid.groupBy(F.window("time", f"{days} days", f"{step_days} days"), "iy", "ix").agg(
         F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o")
     )

@@ -160,3 +160,15 @@ def test_request_ids_depend_on_the_schema(spark):
     a, b, c = (keys.request_id("atm", s, [F.lit(1), F.lit(v)]) for s, v in (("v1", "x"), ("v2", "x"), ("v1", "x")))
     got = one(spark, a, b, c)
     assert got[0] == got[2] != got[1] and len(got[0]) == len("atm_") + 12
+
+
+def test_values_that_are_not_finite_are_missing(spark):
+    from fieldspark.operators import catalog
+
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, inf), (2, -inf), (3, nan), (4, None), (5, 2.0)], "k int, v double")
+    got = {r.k: r.c for r in df.select("k", scales.encode(F.col("v"), F.lit(0.0), F.lit(4.0), F.lit(False)).alias("c")).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 0, 5: 128}
+    rows = spark.createDataFrame([(1, 10.0, 20.0), (1, nan, 21.0), (1, 12.0, inf)], "store_id int, lon double, lat double").withColumn("time", F.lit("2024-01-01").cast("timestamp_ntz"))
+    box = catalog.footprints(rows).first()
+    assert (box.west, box.south, box.east, box.north, box.records) == (10.0, 20.0, 12.0, 21.0, 3)
