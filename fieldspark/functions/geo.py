@@ -63,7 +63,7 @@ def seam_filter(lon: Column, west: Column | float, east: Column | float, low: fl
 
 
 def to_local(lon: Column, lat: Column, lon0, lat0) -> tuple[Column, Column]:
-    """Metres east and north of (lon0, lat0), equirectangular about lat0."""
+    """Plane coordinates in metres around a point: degrees times the arc of one, longitudes shortened by the point's own latitude."""
     x = F.radians(lon - _c(lon0)) * F.cos(F.radians(_c(lat0))) * EARTH_RADIUS_M
     y = F.radians(lat - _c(lat0)) * EARTH_RADIUS_M
     return x, y

@@ -86,12 +86,12 @@ def cycle_floor(t: Column, every: int = 12) -> Column:
 
 
 def cycle_for_valid(t: Column) -> Column:
-    """The cycle whose one-hour forecast is valid at t."""
+    """An hour is served by the cycle that began one hour earlier."""
     return add_hours(t, -1)
 
 
 def max_lead(cycle: Column) -> Column:
-    """48 h at 00, 06, 12 and 18 UTC (36 h before 2020-12-02), else 18 h."""
+    """How many hours a cycle reaches: every sixth one is a long run, whose length grew in December 2020; all others are short."""
     return (
         F.when(F.hour(cycle) % 6 != 0, 18).when(cycle >= ts("2020-12-02 00:00:00"), 48).otherwise(36).cast("int")
     )

@@ -12,8 +12,7 @@ from fieldspark.operators import sizes
 
 
 def newest_cycle(end_valid: Column, as_of: Column, *, lag_hours: int = 7, every: int = 12) -> Column:
-    """The newest cycle a window ending at `end_valid` may use: not after its end, and older than the posting
-    lag at `as_of`."""
+    """The last cycle that is both begun by `end_valid` and, at `as_of`, old enough to have been posted."""
     return times.cycle_floor(F.least(end_valid, times.add_hours(as_of, -lag_hours)), every)
 
 

@@ -14,7 +14,7 @@ from fieldspark.operators import sizes
 def weighted_percentiles(
     df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int = 2, buckets: int = 1024, few_groups: bool = False
 ) -> DataFrame:
-    """(by..., q, value): the smallest value whose cumulative weight reaches q percent of the total. Exact. `qs` may be an array column over `by`. Set `few_groups` where the groups are known
+    """(by..., q, value): going up the values, the one at which q percent of all weight is first gathered. Exact. `qs` may be an array column over `by`. Set `few_groups` where the groups are known
     to be few: then the goals, a row per group and q, are broadcast.
 
     Weights are first summed per distinct value. Each level cuts the range in equal buckets, sums them, and goes
