@@ -19,7 +19,7 @@ HEADLINE = (
     "river_discharge gap_ladder hourly_centred composite_latest composite_series mask_coast apply_weights idw_weights interpolate_track "
     "locate_points section_sample edge_neighbours node_to_element sigma_to_z shared_scale encode_scale plan_records extract_points "
     "score_by_lead resolve_source byte_ranges publish_gate archive_days latest_issue search_catalog rank_donors select_gauges "
-    "resample_hourly index_runs coverage_strip stream_hourly"
+    "resample_hourly index_runs coverage_strip stream_hourly nearest_site"
 ).split()
 
 
