@@ -112,6 +112,26 @@ def test_personal_data(spark):
     assert pii.redacted(documents(spark, [])).count() == 0
 
 
+def test_personal_data_of_any_length_and_form(spark):
+    code = lambda i: hashlib.sha512(str(i).encode()).hexdigest()
+    known = [f"{prose(i, 20)} password={code(i)[:40]} {prose(i, 9)} Tel: +1 (555) 123-{1000 + i} {prose(i, 5)} date 2024-01-{10 + i % 20} on" for i in range(90)]
+    long = (code(1) * 2)[:201]
+    secrets = [f"token = {long}", f"api_key: '{code(2) * 4}'", "password=correcthorsebatterystaple", "password: Hunter2xy", 'x "secret": "a b!c"', "passwd=p&s"]
+    values = [long, code(2) * 4, "correcthorsebatterystaple", "Hunter2xy", "a b!c", "p&s"]
+    national = ["Tel: (555) 123-4567 on", "they", "date 2024-01-15 on"]
+    docs = documents(spark, [*secrets, *national, *known])
+    clean = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    for i, v in enumerate(values):
+        assert v not in clean[i] and "[SECRET]" in clean[i], (secrets[i], clean[i])
+    assert clean[6] == "Tel: [PHONE] on" and [clean[7], clean[8]] == national[1:]
+    assert all("[SECRET]" in clean[9 + i] and clean[9 + i].count("[PHONE]") == 1 for i in range(90))
+    for text in ("token" * 20_000, "token=" * 20_000, "token='" * 20_000, "a " * 20_000 + "=", "x" * 200_000):
+        assert len(pii.candidates(text)) <= 20_000
+    national = pii.candidates("(555) 123-4567")
+    assert {c.by_format for c in national if c.kind == "phone"} == {-1}
+    assert not set(pii.FORMAT[4:]) & set(pii.CONTEXT[4:])
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.NET/x", "http://example.net/en/1?q#f", "https://www.Example.com/de/", "http://x.org/fr/a", "http://b.io/p/?utm_x=1&b=2&a=1", "https://b.io/p?a=1&b=2", "http://b.io", "http://net/"] * 2
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
