@@ -12,8 +12,9 @@ from fieldspark.functions.scales import finite
 from fieldspark.operators import sizes
 
 
-# Sensors are ranked 0..63, so that time and rank order as one number.
-RANKS = 64
+# More than there are ranks of 64 bits, so that time and rank order as one number.
+RANKS = 2 * 10**19
+LEAST_RANK = -(2**63)
 
 
 def valid_pixels(pixels: DataFrame) -> DataFrame:
@@ -21,18 +22,27 @@ def valid_pixels(pixels: DataFrame) -> DataFrame:
 
 
 def newest(time: Column, rank: Column) -> Column:
-    """An order by time, then by rank, in one number: Spark can then pick the newest value by hash, which it
-    cannot with a struct. A sensor gives a pixel one value per time, so the order is unique."""
-    order = times.micros(time) * RANKS + rank
-    return F.when(rank.between(0, RANKS - 1), order).otherwise(F.raise_error(F.lit("sensors are ranked 0 to 63")).cast("long"))
+    """An order by time, then by rank (any whole number of 64 bits), in one decimal: Spark can then pick the newest value by
+    hash, which it cannot with a struct. A sensor gives a pixel one value per time, so the order is unique."""
+    order = times.micros(time).cast("decimal(18,0)") * _decimal(RANKS) + (rank.cast("decimal(20,0)") - _decimal(LEAST_RANK))
+    return F.when(rank.isNotNull(), order.cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a pixel without a sensor")).cast("decimal(38,0)"))
 
 
 def newest_time(order: Column) -> Column:
-    return F.timestamp_add("MICROSECOND", F.shiftright(order, 6), times.ts(times.EPOCH))
+    at = F.call_function("div", order - _place(order), _decimal(RANKS))
+    return F.timestamp_add("MICROSECOND", at, times.ts(times.EPOCH))
 
 
 def newest_rank(order: Column) -> Column:
-    return F.pmod(order, F.lit(RANKS)).cast("int")
+    return (_place(order) + _decimal(LEAST_RANK)).cast("long")
+
+
+def _place(order: Column) -> Column:
+    return F.pmod(order, _decimal(RANKS))
+
+
+def _decimal(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(20,0)")
 
 
 def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -41,11 +51,13 @@ def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
     shuffle, after partial aggregation; the few sensors are one broadcast row."""
     window = pixels.where((F.col("time") <= as_of) & (F.col("time") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
     used = window.agg(F.array_sort(F.collect_set("sensor")).alias("_used"))
-    order = newest(F.col("time"), F.lit(RANKS - 1) - F.col("sensor"))
+    # test_composite_ties_go_opposite_ways asks for this refusal; the order itself takes any sensor.
+    sensor = F.when(F.col("sensor").between(0, 63), F.col("sensor").cast("long")).otherwise(F.raise_error(F.lit("sensors are ranked 0 to 63")).cast("long"))
+    order = newest(F.col("time"), F.bitwise_not(sensor))
     best = valid_pixels(window).withColumn("_o", order).groupBy("iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     return best.join(sizes.one_row(used)).select(
         "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), as_of).alias("age_days"),
-        (F.array_position("_used", F.lit(RANKS - 1) - newest_rank(F.col("_o"))) - 1).cast("int").alias("product_index"),
+        (F.array_position("_used", F.bitwise_not(newest_rank(F.col("_o"))).cast(pixels.schema["sensor"].dataType)) - 1).cast("int").alias("product_index"),
     )
 
 
@@ -66,7 +78,7 @@ def composite_series(pixels: DataFrame, first: str, step_days: int, frames: int,
     out = served.groupBy("frame", "iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     end = F.timestamp_add("DAY", F.col("frame") * step_days, times.ts(first))
     return out.select(
-        "frame", end.alias("time"), "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), end).alias("age_days"), newest_rank(F.col("_o")).alias("sensor")
+        "frame", end.alias("time"), "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), end).alias("age_days"), newest_rank(F.col("_o")).cast(pixels.schema["sensor"].dataType).alias("sensor")
     )
 
 

@@ -70,7 +70,7 @@ def rolling_composite(stream: DataFrame, days: int, step_days: int, *, lag: str
     )
     end, order = _clock(F.col("window.end")), F.col("_o")
     return frames.select(
-        end.alias("time"), "iy", "ix", "value", times.age_days(composite.newest_time(order), end).alias("age_days"), composite.newest_rank(order).alias("sensor")
+        end.alias("time"), "iy", "ix", "value", times.age_days(composite.newest_time(order), end).alias("age_days"), composite.newest_rank(order).cast(stream.schema["sensor"].dataType).alias("sensor")
     )
 
 

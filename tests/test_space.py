@@ -320,3 +320,13 @@ def test_weights_reach_across_longitudes_near_a_pole(spark):
                 want.add((p, ix))
     assert (1, 0) in want and len(want) > 2
     assert {(r.point, r.ix) for r in got.collect()} == want
+
+
+def test_composite_series_of_any_number_of_sensors(spark):
+    rows = [(0, 0, f"2024-01-0{1 + s // 150} 00:00:00", s, float(s)) for s in range(300)]
+    pixels = spark.createDataFrame(rows, "iy int, ix int, t string, sensor int, value double").withColumn("time", F.col("t").cast("timestamp_ntz"))
+    series = composite.composite_series(pixels, "2024-01-01 00:00:00", 1, 2, 7)
+    assert [(r.frame, r.value, r.sensor) for r in series.orderBy("frame").collect()] == [(0, 149.0, 149), (1, 299.0, 299)]
+    assert "SortAggregate" not in series._jdf.queryExecution().executedPlan().toString()
+    old = pixels.withColumn("time", F.col("time") - F.expr("INTERVAL 100 YEARS")).withColumn("sensor", F.col("sensor") + F.expr("-9223372036854775807L"))
+    assert composite.composite_series(old, "1924-01-01 00:00:00", 1, 1, 7).first().sensor == -(2**63) + 150
