@@ -94,20 +94,37 @@ def place(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "replace")) & (DIMS - 1)
 
 
-def shape(word: str) -> str:
+#: Characters of a piece of a word, and kinds of characters of one shape.
+PIECE, KINDS = 24, 8
+
+
+def shape(piece: str) -> str:
     """Letters, capitals, digits and other characters, each kind once in a row."""
     out = ""
-    for c in word[:24]:
+    for c in piece:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if out[-1:] != k:
             out += k
-    return out[:8]
+    return out
+
+
+def shapes(word: str) -> list[tuple[int, float]]:
+    """Places of the shapes of a word, and their weights, together 1 if it is no longer than PIECE. A run of more than PIECE characters, such as a line of a
+    script without spaces, counts as consecutive pieces: 1 each, and the last by its length. All of a piece's shape counts."""
+    out = []
+    for i in range(0, len(word), PIECE):
+        piece = word[i : i + PIECE]
+        whole = shape(piece)
+        parts = [whole[k : k + KINDS] for k in range(0, len(whole), KINDS)]
+        weight = (len(piece) / PIECE if len(word) > PIECE else 1.0) / len(parts)
+        out += [(place("s " + x), weight) for x in parts]
+    return out
 
 
-def word_features(word: str) -> tuple[int, ...]:
-    """Of the quality head: shape; of the abuse head: the letters and how they begin."""
+def word_features(word: str) -> tuple[int, int]:
+    """Of the abuse head: the letters and how they begin."""
     letters = "".join(LETTERS.findall(word)).lower()
-    return place("s " + shape(word)), place("w " + letters), place("p " + letters[:5])
+    return place("w " + letters), place("p " + letters[:5])
 
 
 def text_features(ws: list[str], distinct: int) -> tuple[int, ...]:
@@ -118,7 +135,7 @@ def text_features(ws: list[str], distinct: int) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class Scorer:
-    """quality: weights over shapes, by their shares of the words, and over text features; abuse: over distinct words. Cuts are least log odds of
+    """quality: weights over shapes, by their shares of all pieces of words, and over text features; abuse: over distinct words. Cuts are least log odds of
     quality and greatest of abuse that a kept document may have."""
 
     quality: np.ndarray
@@ -132,8 +149,8 @@ class Scorer:
         q, a = self.quality, self.abuse
 
         def of(word):
-            s, w, p = word_features(word)
-            return float(q[s]), float(a[w] + a[p])
+            own, (w, p) = shapes(word), word_features(word)
+            return sum(float(q[s]) * x for s, x in own), sum(x for _, x in own), float(a[w] + a[p])
 
         return Memo(of)
 
@@ -145,8 +162,8 @@ class Scorer:
         counts = Counter(ws)
         pairs = [*map(memo.__getitem__, counts)]
         own = sum(float(self.quality[k]) for k in text_features(ws, len(counts)))
-        shapes = sum([c * x[0] for c, x in zip(counts.values(), pairs, strict=True)])
-        return self.quality_bias + own + SHARE * shapes / len(ws), self.abuse_bias + sum([x[1] for x in pairs])
+        seen, weight = (sum([c * x[k] for c, x in zip(counts.values(), pairs, strict=True)]) for k in (0, 1))
+        return self.quality_bias + own + SHARE * seen / weight, self.abuse_bias + sum([x[2] for x in pairs])
 
 
 #: A share counts so many times, that weights of shares and of single features be of one size.
@@ -176,12 +193,13 @@ def _fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """Fit on at most `sample` documents that have labels, the smallest by a hash of doc_id. Without any, everything with a
-    word passes."""
+    """Fit on at most `sample` documents that have labels, the smallest by a hash of doc_id, of repeated ones the text that is
+    smallest by a hash. Without any, everything with a word passes."""
     own = labels.select("doc_id", "quality", "toxic").filter("doc_id is not null and quality is not null and toxic is not null")
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    every = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    chosen = every.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     ship(docs.sparkSession)
 
     def run(batches):
@@ -191,19 +209,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
                 for doc_id, text, good, toxic in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "quality", "toxic")], strict=True):
                     ws = words(text)
                     counts = Counter(ws)
-                    f = [word_features(w) for w in counts]
+                    weights: dict[int, float] = {}
+                    for w, c in counts.items():
+                        for k, x in shapes(w):
+                            weights[k] = weights.get(k, 0.0) + c * x
                     out.append(
                         {
                             "doc_id": doc_id,
                             "q_votes": quality_votes(text, ws, 1 if good else -1), "a_votes": abuse_votes(text, ws, -1 if toxic else 1),
-                            "shapes": [x[0] for x in f], "tally": [*counts.values()], "own": list(text_features(ws, len(counts))), "names": [y for x in f for y in x[1:]],
+                            "shapes": [*weights], "tally": [*weights.values()], "own": list(text_features(ws, len(counts))), "names": [x for w in counts for x in word_features(w)],
                         }
                     )
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     ints = pa.list_(pa.int32())
-    schema = pa.schema([("doc_id", pa.int64()), *((c, ints) for c in ("q_votes", "a_votes", "shapes", "tally", "own", "names"))])
-    ddl = "doc_id long, q_votes array<int>, a_votes array<int>, shapes array<int>, tally array<int>, own array<int>, names array<int>"
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.list_(pa.float32()) if c == "tally" else ints) for c in ("q_votes", "a_votes", "shapes", "tally", "own", "names"))])
+    ddl = "doc_id long, q_votes array<int>, a_votes array<int>, shapes array<int>, tally array<float>, own array<int>, names array<int>"
     got = chosen.mapInArrow(run, ddl).toArrow().sort_by("doc_id")
     n = got.num_rows
     if not n:
@@ -222,9 +243,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     q, _ = posterior(votes("q_votes"), 0.85)
     a, _ = posterior(votes("a_votes"), 0.9)
     rows, tally = sparse("tally")
-    share = (SHARE * tally / np.maximum(1, np.bincount(rows, tally, n))[rows]).astype(np.float32)
-    shapes, texts, names = sparse("shapes"), sparse("own"), sparse("names")
-    qx = tuple(np.concatenate([x, y]) for x, y in zip((*shapes, share), (*texts, np.ones(len(texts[0]), np.float32)), strict=True))
+    share = (SHARE * tally / np.maximum(1e-9, np.bincount(rows, tally, n))[rows]).astype(np.float32)
+    forms, texts, names = sparse("shapes"), sparse("own"), sparse("names")
+    qx = tuple(np.concatenate([x, y]) for x, y in zip((*forms, share), (*texts, np.ones(len(texts[0]), np.float32)), strict=True))
     ax = (*names, np.ones(len(names[0]), np.float32))
 
     def head(x, y):

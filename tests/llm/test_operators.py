@@ -74,6 +74,24 @@ def test_quality_classifier(spark):
     assert ((p > 0.5) == truth).mean() > 0.97 and right[0][1] < right[0][0]
 
 
+def test_quality_of_whole_runs_and_repeated_documents(spark):
+    good = [prose(i, 60) for i in range(160)]
+    bad = [prose(i, 60).replace(" ", "!#*$% ") for i in range(80)]
+    joined = lambda t: t.replace(" ", "")
+    texts = [*good, *bad, *["a" * 24 + joined(t) for t in good], *["a" * 24 + joined(t) for t in bad]]
+    labels = spark.createDataFrame([(i, int(i < 160 or 240 <= i < 400), 0) for i in range(480)], "doc_id long, quality int, toxic int")
+    scorer = quality_classifier.train(documents(spark, texts), labels)
+    memo = scorer.memos()
+    junk = [scorer.score("a" * 24 + joined(prose(i, 60).replace(" ", "!#*$% ")), memo)[0] for i in range(500, 540)]
+    clean = [scorer.score("a" * 24 + joined(prose(i, 60)), memo)[0] for i in range(500, 540)]
+    assert np.median(junk) < min(clean), (sorted(junk), sorted(clean))
+    assert quality_classifier.shapes("a" * 24 + "#1") != quality_classifier.shapes("a" * 24)
+    assert sum(x for _, x in quality_classifier.shapes("a" * 36)) == 1.5
+    repeated = documents(spark, texts).unionByName(documents(spark, texts).filter("doc_id = 3").crossJoin(spark.range(500)).drop("id"))
+    again = quality_classifier.train(repeated, labels)
+    assert (again.quality == scorer.quality).all() and (again.abuse == scorer.abuse).all()
+
+
 def test_bpe_round_trip(spark):
     own, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
     r = random.Random(3)
