@@ -76,7 +76,6 @@ class Automaton:
         self.passed = [sum(self.mandatory[:i]) for i in range(self.end + 1)]
         self.follow = [self._closure(i) for i in range(self.end + 1)]
         self.first = {self.words[i] for i in self.follow[0] if i < self.end}
-        self.anchor = max((w for w, m in zip(self.words, self.mandatory, strict=True) if m), key=len)
 
     def _closure(self, state: int) -> frozenset[int]:
         out, todo = {state}, [state]
@@ -129,7 +128,7 @@ class Scanner:
         stretches of one label, one that begins inside another is left out."""
         out, best = [], 0.0
         for a in self.automata:
-            if a.anchor not in present:
+            if a.first.isdisjoint(present):
                 continue
             inside = 0
             for at, word in enumerate(words):

@@ -271,6 +271,13 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, [])).count() == 0
 
 
+def test_license_score_of_a_text_that_is_cut(spark):
+    start = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
+    whole = licenses.Automaton("mit-text", licenses.TEMPLATES["mit-text"]).total
+    row = licenses.scan(documents(spark, [start])).first()
+    assert row.labels == "" and row.score == len(start.split()) / whole
+
+
 def test_revisits(spark):
     r = random.Random(4)
     rows = []
