@@ -22,14 +22,16 @@ def latest_before(records: DataFrame, piece: int = PIECE) -> DataFrame:
     and a smaller ts, the larger id among equals; null where there is none, or where canonical or ts is null."""
     micros = F.unix_micros("ts")
     own = F.when(F.col("full"), F.struct(F.col("_at").alias("at"), F.col("record_id").alias("id")))
-    rows = records.withColumn("_at", micros).withColumn("_piece", F.floor(F.col("_at") / (piece * 1_000_000)).cast("long")).withColumn("_own", own)
+    known = F.col("canonical").isNotNull() & F.col("ts").isNotNull()
+    apart = records.filter(~known).withColumn("source", F.lit(None).cast(records.schema["record_id"].dataType))  # in no window
+    rows = records.filter(known).withColumn("_at", micros).withColumn("_piece", F.floor(F.col("_at") / (piece * 1_000_000)).cast("long")).withColumn("_own", own)
     inside = Window.partitionBy("canonical", "_piece").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
-    ends = rows.filter("full and canonical is not null and _at is not null").groupBy("canonical", "_piece").agg(F.max("_own").alias("_end"))
-    pieces = rows.filter("canonical is not null and _at is not null").select("canonical", "_piece").distinct().join(ends, ["canonical", "_piece"], "left")
+    ends = rows.filter("full").groupBy("canonical", "_piece").agg(F.max("_own").alias("_end"))
+    pieces = rows.select("canonical", "_piece").distinct().join(ends, ["canonical", "_piece"], "left")
     across = Window.partitionBy("canonical").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("canonical", "_piece", F.max("_end").over(across).alias("_past"))
     found = rows.withColumn("_near", F.max("_own").over(inside)).join(pieces, ["canonical", "_piece"], "left")
-    return found.select(*records.columns, F.when(F.col("canonical").isNotNull() & F.col("_at").isNotNull(), F.coalesce("_near", "_past")["id"]).alias("source"))
+    return found.select(*records.columns, F.coalesce("_near", "_past")["id"].alias("source")).unionByName(apart)
 
 
 def merged_headers(of_response: Column, of_revisit: Column, permitted: Sequence[str] = PERMITTED) -> Column:

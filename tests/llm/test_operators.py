@@ -150,6 +150,17 @@ def test_personal_data_of_any_length_and_form(spark):
     assert not set(pii.FORMAT[4:]) & set(pii.CONTEXT[4:])
 
 
+def test_revisits_without_a_time_or_address_are_in_no_window(spark):
+    rows = spark.sql("SELECT id AS record_id, IF(id % 2 = 0, 'u', NULL) AS canonical, CAST(NULL AS TIMESTAMP) AS ts, id % 3 = 0 AS full FROM range(3000)")
+    known = spark.sql("SELECT id AS record_id, 'u' AS canonical, timestamp_seconds(id) AS ts, id = 3000 AS full FROM range(3000, 3010)")
+    got = warc.latest_before(rows.unionByName(known))
+    assert {r.record_id: r.source for r in got.collect()} == {i: 3000 if i > 3000 else None for i in range(3010)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window [max(_own") :]
+    window = window[: window.index("Project [canonical")]
+    assert "Range (3000, 3010" in window and "Range (0, 3000" not in window, plan
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://A.NET/x", "http://example.net/en/1?q#f", "https://www.Example.com/de/", "http://x.org/fr/a", "http://b.io/p/?utm_x=1&b=2&a=1", "https://b.io/p?a=1&b=2", "http://b.io", "http://net/"] * 2
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
