@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter, warc
+from fieldspark.llm import bpe, conversations, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op9_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op9_warc_revisits"] = sql.WARC
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.planted_and_repaired(table(spark, folder, "conversations"))
