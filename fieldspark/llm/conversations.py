@@ -234,6 +234,12 @@ def repair(conversations: DataFrame, rows: int = ROWS, size: int = BYTES) -> Dat
     blank, else said before by the same role in the conversation, else truncated. Blank and repeated rows must be deleted. A
     row whose role is empty has no initial and can't be kept, only reroled or deleted. All rows with a null conv_id are one
     conversation. Repeated rows count as such. An empty table gives no rows; other columns are ignored."""
+    whole, cut = _repaired(conversations, rows, size)
+    return whole if cut is None else whole.unionByName(cut)
+
+
+def _repaired(conversations: DataFrame, rows: int, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Conversations of one chapter, and those of several if there are any."""
     ship(conversations.sparkSession)
     turns = turns_of(conversations)
     schema = _schema(turns.schema["conv_id"].dataType.simpleString())
@@ -247,14 +253,14 @@ def repair(conversations: DataFrame, rows: int = ROWS, size: int = BYTES) -> Dat
     short = short.withColumns({"blank": blank(F.col("text")), "cut": truncated(F.col("text"))})
     done = short.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(_whole(_arrow(schema)), schema)
     if not total.n:
-        return done
+        return done, None
     parts = max(ceil(total.n / rows), ceil(total.bytes / size), 1)
     # Equal rows are one with a count, so any number of them moves as one row.
     long = turns.join(sizes.withColumnRenamed("conv_id", "long_id"), F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
     long = long.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
     ordered = long.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("pos", F.monotonically_increasing_id())
     ordered = materialise(ordered.withColumn("chapter", F.shiftright("pos", 33).cast("int")), "ordered-turns")
-    return done.unionByName(_in_chapters(ordered, schema))
+    return done, _in_chapters(ordered, schema)
 
 
 def _in_chapters(ordered: DataFrame, schema: str) -> DataFrame:
@@ -317,11 +323,13 @@ def _in_chapters(ordered: DataFrame, schema: str) -> DataFrame:
     return both.repartition("conv_id", "chapter").sortWithinPartitions("conv_id", "chapter", "pos").mapInArrow(apply, schema)
 
 
-def digests(chapters: DataFrame) -> DataFrame:
+def digests(whole: DataFrame, cut: DataFrame | None) -> DataFrame:
     """One row per conversation: its counts, cost and audit, and repaired_sha256 of its `role:text` lines. A hash reads a
     long conversation from its first line to its last, so one task reads its chapters in turn, one in memory at a time."""
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
-    one = chapters.filter("chapters = 1").select("conv_id", *COUNTS, "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+    one = whole.select("conv_id", *COUNTS, "audit", F.sha2(lines, 256).alias("repaired_sha256"))
+    if cut is None:
+        return one
     schema = one.schema
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +357,7 @@ def digests(chapters: DataFrame) -> DataFrame:
         arrow = arrow or to_arrow_schema(schema)
         return pa.RecordBatch.from_pylist([{k: row[k] for k in ("conv_id", *COUNTS)} | {"audit": "".join(state[1]), "repaired_sha256": state[0].hexdigest()}], arrow)
 
-    many = chapters.filter("chapters > 1").repartition("conv_id").sortWithinPartitions("conv_id", "chapter").mapInArrow(hashed, schema)
+    many = cut.repartition("conv_id").sortWithinPartitions("conv_id", "chapter").mapInArrow(hashed, schema)
     return one.unionByName(many)
 
 
@@ -371,7 +379,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 def planted_and_repaired(conversations: DataFrame, rows: int = ROWS, size: int = BYTES) -> DataFrame:
     """Every conv_id of the table with the digests of its damaged conversation; zeros and the hash of nothing where no row
     is left."""
-    found = digests(repair(damaged(conversations), rows, size)).withColumnRenamed("conv_id", "found_id")
+    found = digests(*_repaired(damaged(conversations), rows, size)).withColumnRenamed("conv_id", "found_id")
     ids = conversations.select("conv_id").distinct()
     joined = ids.join(found, F.col("conv_id").eqNullSafe(F.col("found_id")), "left")
     empty = hashlib.sha256(b"").hexdigest()

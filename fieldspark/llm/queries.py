@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, conversations, embeddings, jaccard, licenses, packing, pii, quality_classifier, quality_rules, sql, url_filter, warc
+from fieldspark.llm import bpe, conversations, embeddings, jaccard, licenses, packing, pii, pivots, quality_classifier, quality_rules, sql, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -136,3 +136,15 @@ ORACLE["op9_warc_revisits"] = sql.WARC
 @query
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.planted_and_repaired(table(spark, folder, "conversations"))
+
+
+ORACLE["op12_conversation_repair"] = sql.CONVERSATIONS
+
+
+@query
+def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").select("vec_id", pivots.quantised(F.col("embedding")).alias("v"))
+    return pivots.top_products(rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), rows)
+
+
+ORACLE["op11_top_products"] = sql.TOP_PRODUCTS

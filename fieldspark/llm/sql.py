@@ -85,3 +85,64 @@ SELECT record_id, canonical, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, source,
 FROM judged
 """
 )
+
+CONVERSATIONS = r"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes
+  FROM conversations),
+hit AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b:
+    list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS h
+  FROM named),
+kept AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, generate_series(1, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') AS c, row_number() OVER w AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS earlier, lag(role) OVER w AS before
+  FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN earlier THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+edits(old, letter, initial, new, cost) AS (
+  SELECT s, 'D', '', s, 2 FROM (VALUES (0), (1), (2), (3)) AS t(s)
+  UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+    (0, 'R', '', 2, 1), (1, 'R', '', 2, 1), (2, 'R', '', 3, 1), (3, 'R', '', 2, 1)),
+-- An insertion (5) is never among the cheapest edits: deleting a neighbour of the same role, or the last user, costs 2.
+ways AS (
+  SELECT c, 0::BIGINT AS i, 0 AS state, {'cost': 0, 'audit': ''} AS best FROM (SELECT DISTINCT c FROM judged)
+  UNION ALL
+  SELECT c, i, state, min(best) AS best FROM (
+    SELECT w.c, w.i + 1 AS i, e.new AS state, {'cost': (w.best).cost + e.cost + CASE WHEN j.fault = 't' AND e.letter <> 'D' THEN 5 ELSE 0 END, 'audit': (w.best).audit || e.letter} AS best
+    FROM ways w JOIN judged j ON j.c = w.c AND j.i = w.i + 1 JOIN edits e ON e.old = w.state
+    WHERE e.letter = 'D' OR (j.fault NOT IN ('b', 'd') AND (e.letter = 'R' OR e.initial = j.role[1]))) GROUP BY c, i, state),
+chosen AS (
+  SELECT w.c, min(w.best) AS best FROM ways w JOIN (SELECT c, max(i) AS n FROM judged GROUP BY c) l ON l.c = w.c AND l.n = w.i
+  WHERE w.state IN (0, 3) GROUP BY w.c),
+lines AS (
+  SELECT j.c, j.i, (b.best).audit[j.i] AS letter, j.role, j.text,
+    row_number() OVER (PARTITION BY j.c ORDER BY j.i) - max(CASE WHEN (b.best).audit[j.i] = 'K' AND j.role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY j.c) AS nth
+  FROM judged j JOIN chosen b ON b.c = j.c WHERE (b.best).audit[j.i] <> 'D'),
+hashed AS (
+  SELECT c, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS sha FROM lines GROUP BY c),
+counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY c)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce((best).cost, 0)::BIGINT AS cost, coalesce((best).audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c FROM conversations) o
+LEFT JOIN counted USING (c) LEFT JOIN chosen USING (c) LEFT JOIN hashed USING (c)
+"""
+
+TOP_PRODUCTS = r"""
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM rows q JOIN rows x ON q.vec_id <> x.vec_id AND len(q.v) = len(x.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
