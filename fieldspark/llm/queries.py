@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldspark.llm import bpe, conversations, embeddings, jaccard, licenses, packing, pii, pivots, quality_classifier, quality_rules, sql, url_filter, warc
+from fieldspark.llm import bpe, conversations, dual_tree, embeddings, jaccard, licenses, packing, pii, pivots, quality_classifier, quality_rules, sql, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,3 +148,11 @@ def op11_top_products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLE["op11_top_products"] = sql.TOP_PRODUCTS
+
+
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.rank_documents(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+ORACLE["op13_ranked_search"] = sql.RANKED

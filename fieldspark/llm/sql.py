@@ -146,3 +146,19 @@ scored AS (
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
 WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+
+RANKED = f"""
+WITH sized AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS t FROM documents),
+whole AS (SELECT count(*) AS docs, sum(len(t))::BIGINT AS total FROM sized WHERE len(t) > 0),
+counts AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM sized) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, whole GROUP BY term, docs),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, r, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN weights USING (term), whole WHERE doc_id IS NOT NULL GROUP BY item_id, r HAVING score > 0)
+SELECT item_id, (row_number() OVER w)::INTEGER AS rank, doc_id, score FROM scored
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10
+"""
