@@ -204,20 +204,17 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 20, pivots: in
 
     def seed(at, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         dims, cell, number, part = (int(x) for x in at)
-        hits, ranges = pd.DataFrame(), pd.DataFrame()
+        longs, lists = ["id", "q", "vec_id", "score"], ["lo", "hi"]
+        parts = []
         if len(left):
             here = block(left, dims)
             if part == 0:
-                ranges = pd.DataFrame({"lo": [here.distances.min(0).tolist()], "hi": [here.distances.max(0).tolist()], "top": [here.norms.max()]})
+                parts.append(pd.DataFrame({"lo": [here.distances.min(0).tolist()], "hi": [here.distances.max(0).tolist()], "top": [here.norms.max()]}))
             if len(right):
                 who, ids, scores = search(block(right, dims), np.full(len(right), -np.inf), here, k)
-                hits = pd.DataFrame({"id": right["id"].to_numpy()[who], "q": right["q"].to_numpy()[who], "vec_id": ids, "score": scores}, dtype="Int64")
+                parts.append(pd.DataFrame({"id": right["id"].to_numpy()[who], "q": right["q"].to_numpy()[who], "vec_id": ids, "score": scores}))
         # Of each row one half is null: a hit has no ranges, a block's ranges no query.
-        longs, lists = ["id", "q", "vec_id", "score"], ["lo", "hi"]
-        frame = pd.concat([hits.reindex(columns=[*longs, *lists, "top"]), ranges.reindex(columns=[*longs, *lists, "top"])])
-        frame = frame.astype(dict.fromkeys(longs, "Int64")).astype(dict.fromkeys(lists, object))
-        for name in lists:
-            frame[name] = pd.Series([x if isinstance(x, list) else None for x in frame[name]], dtype=object, index=frame.index)
+        frame = pd.DataFrame({c: pd.Series([x for p in parts for x in (p[c].tolist() if c in p else [None] * len(p))], dtype=object) for c in (*longs, *lists, "top")})
         return frame.assign(dims=dims, cell=cell, block=number)
 
     seeded = sent.groupBy(*key, "part").cogroup(first.groupBy(*key, "part")).applyInPandas(seed, seed_type)

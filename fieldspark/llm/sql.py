@@ -101,10 +101,10 @@ kept AS (
   FROM hit, generate_series(1, CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
 placed AS (
   SELECT *, coalesce(conv_id::VARCHAR, ' ') AS c, row_number() OVER w AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS earlier, lag(role) OVER w AS before
+    lag(role) OVER w AS before
   FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 judged AS (
-  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN earlier THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
+  SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM placed),
 edits(old, letter, initial, new, cost) AS (
   SELECT s, 'D', '', s, 2 FROM (VALUES (0), (1), (2), (3)) AS t(s)
   UNION ALL VALUES (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
