@@ -302,3 +302,14 @@ _add("radar_day", """
 SELECT DISTINCT CAST(o_custkey % 35 AS INT) AS box, o_orderdate AS day, -75e0 + (o_custkey % 5) / 10e0 AS west, 39e0 AS south,
        -73e0 + (o_custkey % 7) / 10e0 AS east, 41e0 AS north
 FROM {orders}""")
+
+# What the archive holds of its boxes, and what the live source still has.
+_add("radar_row", """
+SELECT o_orderkey AS obs_id, CAST(o_custkey % 35 AS INT) AS box, o_orderdate AS day, o_orderdate + INTERVAL '1' HOUR * CAST(o_orderkey % 24 AS INT) AS time,
+       -75e0 + (o_orderkey * 7 % 200) / 100e0 AS lon, 39e0 + (o_orderkey * 11 % 200) / 100e0 AS lat, o_orderkey % 97 / 10e0 AS u
+FROM {orders}""")
+
+_add("radar_live", """
+SELECT l_orderkey * 10 + l_linenumber AS obs_id, l_shipdate AS day, l_shipdate + INTERVAL '1' HOUR * CAST((l_orderkey + l_linenumber) % 24 AS INT) AS time,
+       -75e0 + (l_partkey * 7 % 200) / 100e0 AS lon, 39e0 + (l_suppkey * 11 % 200) / 100e0 AS lat, l_partkey % 97 / 10e0 AS u
+FROM {lineitem}""")

@@ -88,41 +88,80 @@ def overlap_join(
     return a.join(b, [*on, "_bucket"]).where(keep).drop("_bucket", "_fa", "_fb")
 
 
-def search_catalog(
-    catalog: DataFrame, requests: DataFrame, *, bucket_days: int = 7, families: Sequence[str] | None = None, kind: str | None = None
-) -> DataFrame:
-    """(request, store_id) of the stores whose box and time span overlap a request's. Both are listed under their
-    tiles on their own level and the coarser ones in use, and time buckets ride along in the key. A pair counts
-    only on the coarser of its two levels, in the first tile both touch. Give boxes with west <= east."""
-    if families is not None:
-        catalog = catalog.where(F.col("family").isin(list(families)))
-    if kind is not None:
-        catalog = catalog.where(F.col("kind") == kind)
+#: The shortest bucket of time spans; each level doubles it.
+FINEST_SPAN_US = 3_600_000_000
+
+
+def span_level(first: Column, last: Column) -> Column:
+    """The first level whose buckets are at least as long as the span."""
+    steps = F.ceil(F.log2((times.micros(last) - times.micros(first)) / F.lit(float(FINEST_SPAN_US)))).cast("int")
+    return F.greatest(F.lit(0), F.coalesce(steps, F.lit(0)))
+
+
+def _span_bucket(t: Column, level: Column) -> Column:
+    return F.floor(times.micros(t) / (F.pow(F.lit(2.0), level) * FINEST_SPAN_US)).cast("long")
+
+
+def catalog_candidates(catalog: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, store_id) and both boxes and spans (marked _b and _a) of the pairs that share a place in two hierarchies, one of tiles and one
+    of time buckets, whose levels fit the boxes' and spans' own sizes.
+
+    Of a pair the coarser one is listed on its own level only, under the tiles it touches and those before them; the finer one under
+    the tile of its low corner on each level that the other side uses. Two fine boxes so never meet on a coarse level, and a pair
+    meets once: the finer one starts in a touched tile or in the one before. Spans do the same, each independently."""
 
     def slim(df: DataFrame, key: str, mark: str) -> DataFrame:
         own = geo.box_level(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
+        start, end = F.col("time_start"), F.col("time_end")
         return df.select(
-            key, F.col("time_start").alias(mark + "0"), F.col("time_end").alias(mark + "1"), own.alias(mark + "level"), *[F.col(c).alias(mark + c) for c in BOX]
+            key, start.alias(mark + "0"), end.alias(mark + "1"), own.alias(mark + "level"), span_level(start, end).alias(mark + "span"), *[F.col(c).alias(mark + c) for c in BOX]
         )
 
-    def side(df: DataFrame, mark: str, used: DataFrame) -> DataFrame:
-        rows = df.join(used).withColumn("_level", F.explode(F.filter("_used", lambda v: v >= F.col(mark + "level")))).drop("_used")
-        for axis, low, high in (("_tx", "west", "east"), ("_ty", "south", "north")):
-            first, last = (geo.level_tile(F.col(mark + c), F.col("_level")) for c in (low, high))
-            rows = rows.withColumn(mark + axis, first).withColumn(axis, F.explode(F.sequence(first, last)))
-        return rows
-
     a, b = slim(catalog, "store_id", "_a"), slim(requests, "request", "_b")
-    levels = a.select(F.col("_alevel").alias("v")).union(b.select("_blevel"))
-    used = sizes.one_row(levels.agg(F.collect_set("v").alias("_used")))
-    pairs = overlap_join(side(a, "_a", used), side(b, "_b", used), ("_a0", "_a1"), ("_b0", "_b1"), bucket_days * times.DAY_US, on=["_level", "_tx", "_ty"])
-    once = (
-        (F.col("_level") == F.greatest("_alevel", "_blevel"))
-        & (F.col("_tx") == F.greatest("_a_tx", "_b_tx"))
-        & (F.col("_ty") == F.greatest("_a_ty", "_b_ty"))
-    )
+    used = [sizes.one_row(df.agg(F.collect_set(mark + "level").alias(mark + "_levels"), F.collect_set(mark + "span").alias(mark + "_spans"))) for df, mark in ((a, "_a"), (b, "_b"))]
+
+    def touched(low: Column, high: Column) -> Column:
+        """The indices from the one before the first touched to the last; none for a null or reversed range."""
+        return F.when(low <= high, F.sequence(low - 1, high))
+
+    def side(df: DataFrame, mark: str, other: str, equal: bool) -> DataFrame:
+        def coarser(levels: str, own: str) -> Column:
+            v = F.col(mark + own)
+            return F.filter(other + levels, lambda x: (x >= v) if equal else (x > v))
+
+        west, south, east, north = (F.col(mark + c) for c in BOX)
+        level, span, start, end = (F.col(mark + c) for c in ("level", "span", "0", "1"))
+
+        def tile(owner: str, at: Column, x: Column, y: Column) -> Column:
+            return F.struct(F.lit(owner).alias("_so"), at.alias("_sl"), x.alias("_tx"), y.alias("_ty"))
+
+        def bucket(owner: str, at: Column, i: Column) -> Column:
+            return F.struct(F.lit(owner).alias("_to"), at.alias("_tl"), i.alias("_tb"))
+
+        rows = touched(geo.level_tile(south, level), geo.level_tile(north, level))
+        own = F.flatten(F.transform(touched(geo.level_tile(west, level), geo.level_tile(east, level)), lambda x: F.transform(rows, lambda y: tile(mark, level, x, y))))
+        lifted = F.transform(coarser("_levels", "level"), lambda v: tile(other, v, geo.level_tile(west, v), geo.level_tile(south, v)))
+        spans = F.transform(touched(_span_bucket(start, span), _span_bucket(end, span)), lambda i: bucket(mark, span, i))
+        lifted_spans = F.transform(coarser("_spans", "span"), lambda v: bucket(other, v, _span_bucket(start, v)))
+        for each in used:
+            df = df.join(each)
+        df = df.withColumn("_s", F.explode(F.concat(own, lifted))).withColumn("_t", F.explode(F.concat(spans, lifted_spans)))
+        return df.drop("_a_levels", "_b_levels", "_a_spans", "_b_spans").select("*", "_s.*", "_t.*").drop("_s", "_t")
+
+    on = ["_so", "_sl", "_tx", "_ty", "_to", "_tl", "_tb"]
+    return side(a, "_a", "_b", True).join(side(b, "_b", "_a", False), on).drop(*on)
+
+
+def search_catalog(catalog: DataFrame, requests: DataFrame, *, families: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
+    """(request, store_id) of the stores whose box and time span overlap a request's, ends included. Give boxes with
+    west <= east; one with a null side or end, or whose end is before its start, overlaps nothing."""
+    if families is not None:
+        catalog = catalog.where(F.col("family").isin(list(families)))
+    if kind is not None:
+        catalog = catalog.where(F.col("kind") == kind)
     both = geo.overlaps(*[F.col("_a" + c) for c in BOX], *[F.col("_b" + c) for c in BOX])
-    return pairs.where(once & both).select("request", "store_id")
+    together = (F.col("_a0") <= F.col("_b1")) & (F.col("_b0") <= F.col("_a1"))
+    return catalog_candidates(catalog, requests).where(both & together).select("request", "store_id")
 
 
 # Donors ----------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geo, times
 from fieldspark.operators import joins
 from fieldspark.registry import query
+from fieldspark.session import work_dir
 from fieldspark.sources import publish, scan, text
 
 SERIES_ORDER = ("purchase", "error", "click", "view", "signup")
@@ -97,6 +98,23 @@ def publish_gate(x):
     return publish.publish_gate(hourly, ["parameter", "day"], ["value"], 24)
 
 
+@query("A8", sql="""
+WITH h AS (SELECT parameter, CAST(time AS DATE) AS day, date_trunc('hour', time)::TIMESTAMP AS time, avg(value) FILTER (quality = 'v') AS value FROM obs GROUP BY 1, 2, 3),
+g AS (SELECT parameter, day FROM h GROUP BY 1, 2 HAVING count(*) = 24 AND count(value) = 24)
+SELECT parameter, day, time, round(value, 6) AS value FROM h SEMI JOIN g USING (parameter, day)""")
+def publish_and_read(x):
+    # The second attempt brings every third hour, other values for hours that came before, and is made twice.
+    base = work_dir(x.spark, "attempts")
+    hours = x.obs.groupBy("parameter", F.to_date("time").alias("day"), times.floor_hour(F.col("time")).alias("time")).agg(F.avg(F.when(F.col("quality") == "v", F.col("value"))).alias("value"))
+    held = F.hour("time") % 3 == 2
+    first = hours.where(~held)
+    again = hours.where(held).unionByName(hours.where(F.hour("time") == 0).withColumn("value", F.col("value") + 1000))
+    store, staging, manifest = ["parameter", "day"], base + "/staging", base + "/manifest"
+    for attempt, rows in ((1, first), (2, again), (2, again), (3, hours.withColumn("value", F.lit(-1.0)))):
+        publish.publish(rows, store, ["value"], 24, staging, manifest, attempt, cells=["time"])
+    return publish.read_published(x.spark, hours.schema, store, staging, manifest).withColumn("value", F.round("value", 6))
+
+
 @query("A9", sql="""
 WITH d AS (SELECT parameter, date_trunc('day', time)::TIMESTAMP AS day, count(*) AS n, max(time) AS last FROM obs GROUP BY 1, 2),
 ready AS (SELECT parameter, day, n FROM (SELECT *, max(last) OVER (PARTITION BY parameter) AS newest FROM d) a
@@ -109,19 +127,38 @@ def archive_days(x):
     return new.groupBy("parameter", "day").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("A10", sql="""
-WITH rd AS (SELECT request, west, south, east, north, TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '1' DAY * CAST(request % 1800 + k.id AS INT) AS day
-            FROM request CROSS JOIN range(5) AS k(id)),
+CHOICE_SQL = """rq AS (SELECT request, west, south, east, north, TIMESTAMP '1996-01-01 00:00:00' + INTERVAL '1' DAY * CAST(request % 1800 AS INT) AS d0 FROM request),
+rd AS (SELECT request, west, south, east, north, d0 + INTERVAL '1' DAY * CAST(k.id AS INT) AS day FROM rq CROSS JOIN range(5) AS k(id)),
 hit AS (SELECT r.request, r.day, a.box, row_number() OVER (PARTITION BY r.request, r.day ORDER BY (a.east - a.west) * (a.north - a.south), a.box) AS k
-        FROM rd r JOIN radar_day a ON a.day = r.day AND a.west <= r.west AND a.south <= r.south AND a.east >= r.east AND a.north >= r.north)
-SELECT r.request, r.day, h.box, CASE WHEN h.box IS NULL THEN 'live' ELSE 'archive' END AS source
-FROM rd r LEFT JOIN hit h ON h.request = r.request AND h.day = r.day AND h.k = 1""")
-def load_window(x):
+        FROM rd r JOIN radar_day a ON a.day = r.day AND a.west <= r.west AND a.south <= r.south AND a.east >= r.east AND a.north >= r.north),
+choice AS (SELECT r.request, r.day, h.box, CASE WHEN h.box IS NULL THEN 'live' ELSE 'archive' END AS source
+           FROM rd r LEFT JOIN hit h ON h.request = r.request AND h.day = r.day AND h.k = 1)"""
+
+
+def chosen_days(x):
     first = F.timestamp_add("DAY", F.col("request") % 1800, times.ts("1996-01-01 00:00:00"))
-    days = x.request.select("request", "west", "south", "east", "north", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), first.alias("d0")).select(
-        "request", "west", "south", "east", "north", F.timestamp_add("DAY", F.col("k"), F.col("d0")).alias("day")
+    requests = x.request.select("request", *joins.BOX, first.alias("d0"))
+    days = requests.select("request", *joins.BOX, F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"), "d0").select(
+        "request", *joins.BOX, F.timestamp_add("DAY", F.col("k"), F.col("d0")).alias("day")
     )
-    return scan.choose_archive(days, x.radar_day)
+    return requests, scan.choose_archive(days, x.radar_day)
+
+
+@query("A10", sql=f"WITH {CHOICE_SQL} SELECT * FROM choice")
+def choose_archive(x):
+    return chosen_days(x)[1]
+
+
+@query("A10", sql=f"""
+WITH {CHOICE_SQL},
+cut AS (SELECT c.*, q.west, q.south, q.east, q.north, q.d0 + INTERVAL '6' HOUR AS t0, q.d0 + INTERVAL '114' HOUR AS t1 FROM choice c JOIN rq q USING (request)),
+rows AS (SELECT 'archive' AS source, box, day, obs_id, time, lon, lat, u FROM radar_row UNION ALL SELECT 'live', NULL, day, obs_id, time, lon, lat, u FROM radar_live)
+SELECT c.request, c.source, r.obs_id, r.day, r.time, r.lon, r.lat, r.u FROM cut c JOIN rows r ON r.source = c.source AND r.day = c.day AND r.box IS NOT DISTINCT FROM c.box
+WHERE r.lon >= c.west AND r.lon <= c.east AND r.lat >= c.south AND r.lat <= c.north AND r.time >= c.t0 AND r.time < c.t1""")
+def load_window(x):
+    requests, choice = chosen_days(x)
+    window = requests.withColumns({"start": F.timestamp_add("HOUR", F.lit(6), F.col("d0")), "end": F.timestamp_add("HOUR", F.lit(114), F.col("d0"))})
+    return scan.load_window(x.radar_row, x.radar_live, choice, window)
 
 
 @query("A11", sql="""

@@ -9,6 +9,7 @@ from fieldspark.functions import times
 from fieldspark.operators import forecast
 from fieldspark.registry import query
 from fieldspark.session import work_dir
+from fieldspark.sources import publish
 
 
 def events(x):
@@ -40,14 +41,24 @@ def stream_first_write(x):
     return run(x, streaming.first_write(twice, ["station", "parameter"]), "first_write", ["day"]).select("station", "parameter", "time", "value", "day")
 
 
+def arriving(x, name, rows, order, parts=3):
+    """The rows in files that arrive one after another, and a stream that takes one file a batch."""
+    folder = work_dir(x.spark, name)
+    rows.repartitionByRange(parts, order).write.parquet(folder)
+    return streaming.read_folder(x.spark, folder, rows.schema, files_per_batch=1)
+
+
 @query("S3", sql="""
 WITH h AS (SELECT DISTINCT parameter, CAST(time AS DATE) AS day, date_trunc('hour', time)::TIMESTAMP AS time FROM obs)
 SELECT parameter, day, count(*) AS records, min(time) AS first_time, max(time) AS last_time FROM h GROUP BY 1, 2 HAVING count(*) = 24""")
 def stream_publish(x):
     base = work_dir(x.spark, "publish")
-    records = events(x).select("parameter", F.to_date("time").alias("day"), times.floor_hour(F.col("time")).alias("time"), "value")
-    gate = streaming.append_records(records, ["parameter", "day"], ["value"], 24, base + "/staging", base + "/checkpoint")
-    return gate.where("complete").select("parameter", "day", "records", "first_time", "last_time")
+    hours = x.obs.select("parameter", F.to_date("time").alias("day"), times.floor_hour(F.col("time")).alias("time"), "value", "station", "arrival")
+    records = arriving(x, "records", hours, "arrival")
+    store = ["parameter", "day"]
+    streaming.append_records(records, store, ["value"], 24, base + "/staging", base + "/checkpoint", base + "/manifest")
+    seen = publish.read_published(x.spark, records.schema, store, base + "/staging", base + "/manifest")
+    return seen.groupBy(*store).agg(F.count_distinct("time").alias("records"), F.min("time").alias("first_time"), F.max("time").alias("last_time"))
 
 
 @query("S4", sql="""
@@ -70,8 +81,12 @@ def stream_composite(x):
 WITH h AS (SELECT station, date_trunc('hour', time)::TIMESTAMP AS hour, value, quality, arrival FROM obs)
 SELECT station, hour, value, quality, arrival FROM (SELECT *, row_number() OVER (PARTITION BY station, hour ORDER BY quality = 'v' DESC, arrival DESC) AS k FROM h) a WHERE k = 1""")
 def stream_upsert_quality(x):
-    arrivals = events(x).select("station", times.floor_hour(F.col("time")).alias("hour"), "value", "quality", "arrival")
-    return streaming.upsert_quality(run(x, arrivals, "quality_log"), ["station", "hour"])
+    hour = times.floor_hour(F.col("time"))
+    readings = x.obs.select("station", hour.alias("hour"), F.to_date(hour).alias("day"), "value", "quality", "arrival")
+    arrivals = arriving(x, "readings", readings, "arrival")
+    base = work_dir(x.spark, "quality")
+    streaming.upsert_days(arrivals, base + "/table", base + "/checkpoint", ["station", "hour"], streaming.quality_order())
+    return streaming.read_days(x.spark, base + "/table", readings.schema).drop("day")
 
 
 @query("S6", sql="SELECT issue_time AS cycle, count(*) AS rows FROM forecast GROUP BY 1 HAVING issue_time <= TIMESTAMP '2024-01-20 02:00:00' - INTERVAL '7' HOUR")

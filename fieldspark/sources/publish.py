@@ -1,70 +1,172 @@
-"""Publication: a store becomes visible only when it is complete."""
+"""Publication: a store becomes visible only when it is complete.
+
+Rows are staged under the number of the attempt that brought them, with a log of the records they make up. Once a store's records
+are complete the attempt lists it in the manifest, with the attempt that each record is taken from. Readers join on
+that, so rows which come later, a second time, or from an attempt that failed half-way are never seen."""
 
 from __future__ import annotations
 
+import time as clock
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DateType, LongType, StringType, StructType, TimestampNTZType
 
 from fieldspark.functions import keys, times
 
 
-def publish_gate(df: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, *, time: str = "time") -> DataFrame:
-    """One row per store: records, first and last time, the faults found, and whether it may be published. A
-    store passes when it has the expected count of distinct record times, they are exactly an hour apart, and
-    no field lacks a record. One aggregate; `expected` may use the store's key columns.
+def records_of(df: DataFrame, store: Sequence[str], fields: Sequence[str], *, time: str = "time", cells: Sequence[str] = ()) -> DataFrame:
+    """One row per record (store..., time): whether every field is there, and whether a cell is there twice. `cells` are the
+    columns that tell rows of one record apart; without them rows of one time belong together however many they are."""
+    if cells:
+        df = df.groupBy(*store, time, *cells).agg(*[F.count(c).alias(f"_n_{c}") for c in fields], F.count(F.lit(1)).alias("_rows"))
+        have, twice = [F.sum(f"_n_{c}") for c in fields], F.max("_rows") > 1
+    else:
+        have, twice = [F.count(c) for c in fields], F.lit(False)
+    whole = F.lit(True)
+    for n in have:
+        whole = whole & (n > 0)
+    return df.groupBy(*store, time).agg(whole.alias("whole"), twice.alias("repeated"))
+
+
+def gate_records(records: DataFrame, store: Sequence[str], expected: Column | int, *, time: str = "time", more: Sequence[Column] = ()) -> DataFrame:
+    """The verdict on each store from its records, one row per time.
 
     With n distinct times that share one offset within the hour, last - first == (n - 1) hours holds exactly
     when every step is one hour, so no window over the records is needed."""
-    per_time = df.groupBy(*store, time).agg(*[F.count(c).alias("_n_" + c) for c in fields])
     offset = F.pmod(times.micros(F.col(time)), F.lit(times.HOUR_US))
-    gate = per_time.groupBy(*store).agg(
+    gate = records.groupBy(*store).agg(
         F.count(F.lit(1)).alias("records"),
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
         (F.min(offset) == F.max(offset)).alias("_same_offset"),
-        *[F.count_if(F.col("_n_" + c) > 0).alias("_has_" + c) for c in fields],
+        F.min("whole").alias("_whole"),
+        F.max("repeated").alias("_repeated"),
+        *more,
     )
     span = times.hours_between(F.col("first_time"), F.col("last_time"))
     hourly = F.col("_same_offset") & (span == (F.col("records") - 1).cast("double"))
-    complete = F.lit(True)
-    for c in fields:
-        complete = complete & (F.col("_has_" + c) == F.col("records"))
     expected = expected if isinstance(expected, Column) else F.lit(expected)
     fault = keys.reason([
         (F.col("records") != expected, "record count"),
         (~hourly, "not hourly"),
-        (~complete, "field missing"),
+        (~F.col("_whole"), "field missing"),
+        (F.col("_repeated"), "repeated record"),
     ])
-    return gate.select(*store, "records", "first_time", "last_time", fault.alias("fault"), fault.isNull().alias("complete"))
+    kept = [c for c in gate.columns if not c.startswith("_")]
+    return gate.select(*kept, fault.alias("fault"), fault.isNull().alias("complete"))
 
 
-def publish(df: DataFrame, store: str, fields: Sequence[str], expected: int, staging: str, manifest: str) -> DataFrame:
-    """Stage rows by day, check the staged copy, and list the complete stores in the manifest. A store already
-    listed is not listed again. Readers use `published`."""
-    spark = df.sparkSession
-    df.withColumn("day", F.to_date("time")).write.mode("append").partitionBy("day").parquet(staging)
-    staged = spark.read.parquet(staging)
-    listed = read_manifest(spark, manifest, publish_gate(staged, [store], fields, expected))
-    # Stores already published are not checked again.
-    gate = publish_gate(staged.join(listed.select(store), [store], "left_anti"), [store], fields, expected)
-    gate.where("complete").write.mode("append").parquet(manifest)
-    return gate
+def publish_gate(df: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, *, time: str = "time", cells: Sequence[str] = ()) -> DataFrame:
+    """One row per store: records, first and last time, the faults found, and whether it may be published. A
+    store passes when it has the expected count of distinct record times, they are exactly an hour apart, no
+    record lacks a field, and no cell of a record is there twice. `expected` may use the store's key columns."""
+    return gate_records(records_of(df, store, fields, time=time, cells=cells), store, expected, time=time)
+
+
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written the folder to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
 
+def _folder_column(columns: Sequence[str]) -> str:
+    """A name for the staged days that no column has."""
+    name = "day"
+    while name in columns:
+        name = "staged_" + name
+    return name
 
-def read_manifest(spark: SparkSession, manifest: str, like: DataFrame) -> DataFrame:
-    """The manifest so far; empty, with the columns of `like`, before anything was published."""
+
+def _log(staging: str) -> str:
+    return staging.rstrip("/") + "-records"
+
+
+def _log_schema(like: StructType, store: Sequence[str]) -> StructType:
+    out = StructType().add("time", TimestampNTZType()).add("whole", BooleanType()).add("repeated", BooleanType()).add("attempt", LongType())
+    for c in store:
+        out = out.add(like[c])
+    return out
+
+
+def manifest_schema(like: StructType, store: Sequence[str]) -> StructType:
+    """A row for each listed store. `taken` has the attempt of each of its records, `listing` the attempt that listed it."""
+    out = StructType()
+    for c in store:
+        out = out.add(like[c])
+    for name, kind in (("records", LongType()), ("first_time", TimestampNTZType()), ("last_time", TimestampNTZType())):
+        out = out.add(name, kind)
+    taken = ArrayType(StructType().add("time", TimestampNTZType()).add("attempt", LongType()))
+    return out.add("taken", taken).add("fault", StringType()).add("complete", BooleanType()).add("listing", LongType())
+
+
+def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows so far; none before anything was written."""
     try:
-        return spark.read.schema(like.schema).parquet(manifest)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException:  # the path does not exist yet
-        return spark.createDataFrame([], like.schema)
+        return spark.createDataFrame([], schema)
 
 
-def published(staged: DataFrame, manifest: DataFrame, store: str) -> DataFrame:
-    """The rows of published stores only."""
-    return staged.join(manifest.select(store).distinct(), [store], "left_semi")
+def publish(
+    df: DataFrame, store: str | Sequence[str], fields: Sequence[str], expected: Column | int, staging: str, manifest: str, attempt: int | None = None, *, cells: Sequence[str] = ()
+) -> DataFrame:
+    """Stage the rows under `attempt`, a number that grows from one attempt to the next (the clock without one), check every
+    store that they touch, and list the complete ones. Returns the verdict on the touched stores, readers use `published`.
+
+    Of records that come twice the first whole one counts; a listed store is never listed again. An attempt that has ended changes
+    nothing when it is run again; one that broke off starts anew. Only log rows of the touched stores are read (the log
+    is laid out by store), the staged rows of other attempts never. A store with a null key can't be listed."""
+    spark = df.sparkSession
+    store = [store] if isinstance(store, str) else list(store)
+    attempt = clock.time_ns() // 1000 if attempt is None else attempt
+    log, done = _log(staging), f"{manifest}/listing={attempt}"
+    if not finished(spark, done):
+        staged = f"{staging}/attempt={attempt}"
+        day = _folder_column(df.columns)
+        df.withColumn(day, F.to_date("time")).write.mode("overwrite").partitionBy(day).parquet(staged)
+        rows = _read(spark, staged, StructType(list(df.schema)).add(day, DateType()))
+        records_of(rows, store, fields, cells=cells).write.mode("overwrite").partitionBy(*store).parquet(f"{log}/attempt={attempt}")
+        listed = _read(spark, manifest, manifest_schema(df.schema, store)).where(F.col("listing") < attempt).select(*store)
+        gate = _touched_gate(spark, df.schema, store, expected, log, attempt).join(listed, store, "left_anti")
+        gate.where("complete").write.mode("overwrite").parquet(done)
+    return _touched_gate(spark, df.schema, store, expected, log, attempt).drop("taken")
+
+
+def _touched_gate(spark: SparkSession, like: StructType, store: list[str], expected: Column | int, log: str, attempt: int) -> DataFrame:
+    """The verdict on the stores of an attempt as things stood when it ended."""
+    schema = _log_schema(like, store)
+    touched = _read(spark, log, schema).where(F.col("attempt") == attempt).select(*store).distinct()
+    records = _read(spark, log, schema).where(F.col("attempt") <= attempt).join(touched, store, "left_semi")
+    # A whole record goes before one that isn't, then the first to come.
+    best = F.min(F.struct((~F.col("whole") | F.col("repeated")).alias("bad"), "attempt", "whole", "repeated")).alias("_r")
+    once = records.groupBy(*store, "time").agg(best).select(*store, "time", "_r.attempt", "_r.whole", "_r.repeated")
+    return gate_records(once, store, expected, more=[F.collect_list(F.struct("time", "attempt")).alias("taken")])
+
+
+def all_stores(spark: SparkSession, like: StructType, store: list[str], expected: Column | int, staging: str) -> DataFrame:
+    """The verdict on every store in the log: a report, not read while publishing."""
+    records = _read(spark, _log(staging), _log_schema(like, store))
+    best = F.min(F.struct((~F.col("whole") | F.col("repeated")).alias("bad"), "attempt", "whole", "repeated")).alias("_r")
+    once = records.groupBy(*store, "time").agg(best).select(*store, "time", "_r.whole", "_r.repeated")
+    return gate_records(once, store, expected)
+
+
+def published(staged: DataFrame, manifest: DataFrame, store: str | Sequence[str]) -> DataFrame:
+    """The rows of listed stores from the attempts that the manifest names, and no others. Should two attempts have listed one store at
+    once, the lower number stands."""
+    store = [store] if isinstance(store, str) else list(store)
+    taken = manifest.groupBy(*store).agg(F.min_by("taken", "listing").alias("taken")).select(*store, F.inline("taken"))
+    return staged.join(taken, [*store, "time", "attempt"], "left_semi").drop("attempt")
+
+
+def read_published(spark: SparkSession, schema: StructType, store: str | Sequence[str], staging: str, manifest: str) -> DataFrame:
+    """`published` from the folders, for rows of `schema`; empty before anything was listed."""
+    keys_ = [store] if isinstance(store, str) else list(store)
+    rows = _read(spark, staging, StructType(list(schema)).add(_folder_column(schema.names), DateType()).add("attempt", LongType()))
+    return published(rows, _read(spark, manifest, manifest_schema(schema, keys_)), keys_).select(*schema.names)
 
 
 def write_archive(days: DataFrame, archive: str, group: Sequence[str]) -> None:

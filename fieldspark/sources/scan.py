@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, keys, scales, times
-from fieldspark.operators import sizes
+from fieldspark.operators import joins, sizes
 
 
 def scan_window(
@@ -86,35 +86,48 @@ def archive_days(
 
 def choose_archive(request_days: DataFrame, archive: DataFrame, request: str = "request") -> DataFrame:
     """Per requested day the smallest archived box that contains the request (ties: the lower box), else live.
-    Requests carry (west, south, east, north, day), the archive (box, day, west, south, east, north)."""
-    a = archive.select(
-        "day", "box", *[F.col(c).alias("_" + c) for c in ("west", "south", "east", "north")]
-    )
-    fits = geo.contains(
-        F.col("_west"), F.col("_south"), F.col("_east"), F.col("_north"),
-        F.col("west"), F.col("south"), F.col("east"), F.col("north"),
-    )
-    area = geo.box_area(F.col("_west"), F.col("_south"), F.col("_east"), F.col("_north"))
+    Requests carry (west, south, east, north, day), the archive (box, day, west, south, east, north).
+
+    A box that contains a request holds its south-western corner, so boxes are listed by day under tiles of their own size
+    and each corner looks into one tile on each level in use: no request meets all boxes of a day."""
+    mine = [f"_{c}" for c in joins.BOX]
+    # Boxes archived twice under several ids are one.
+    boxes = archive.groupBy("day", *joins.BOX).agg(F.min("box").alias("box")).select("day", "box", *[F.col(c).alias("_" + c) for c in joins.BOX])
+    tiled = joins.box_tiles(boxes, mine)
+    corners = joins.point_tiles(request_days.select(request, "day", *joins.BOX), tiled, "west", "south")
+    fits = geo.contains(*[F.col(c) for c in mine], *[F.col(c) for c in joins.BOX])
+    found = corners.join(tiled, ["day", "_level", "_tx", "_ty"]).where(fits & (F.col("west") >= F.col("_pw")) & (F.col("west") <= F.col("_pe")))
+    area = geo.box_area(*[F.col(c) for c in mine])
+    best = found.groupBy(request, "day").agg(F.min(F.struct(area.alias("area"), F.col("box").alias("box"))).alias("_best"))
     return (
-        request_days.join(a, "day", "left")
-        .groupBy(request, "day")
-        .agg(F.min(F.when(fits, F.struct(area.alias("area"), F.col("box").alias("box")))).alias("_best"))
-        .select(
-            request,
-            "day",
-            F.col("_best.box").alias("box"),
-            F.when(F.col("_best").isNull(), "live").otherwise("archive").alias("source"),
-        )
+        request_days.select(request, "day").distinct().join(best, [request, "day"], "left")
+        .select(request, "day", F.col("_best.box").alias("box"), F.when(F.col("_best").isNull(), "live").otherwise("archive").alias("source"))
     )
 
 
-def load_window(archive_rows: DataFrame, live_rows: DataFrame, choice: DataFrame) -> DataFrame:
-    """Archived rows of the chosen (box, day), with the live rows of the days no archived box serves."""
-    chosen = choice.where(F.col("source") == "archive").select("box", "day").distinct()
-    live = choice.where(F.col("source") == "live").select("day").distinct()
-    return archive_rows.join(chosen, ["box", "day"], "left_semi").unionByName(
-        live_rows.join(live, "day", "left_semi"), allowMissingColumns=True
+def load_window(archive_rows: DataFrame, live_rows: DataFrame, choice: DataFrame, requests: DataFrame | None = None, request: str = "request") -> DataFrame:
+    """Archived rows of the chosen (box, day), with the live rows of the days no archived box serves.
+
+    With `requests` (request, west, south, east, north, start, end) each request gets its own rows, marked with its id and source:
+    those in its box and in [start, end). Requests are listed by source, day and tiles of their own size, so a box and day
+    that many requests chose is not met whole by each of them. Without them the rows of all chosen days come uncut."""
+    if requests is None:
+        chosen = choice.where(F.col("source") == "archive").select("box", "day").distinct()
+        live = choice.where(F.col("source") == "live").select("day").distinct()
+        return archive_rows.join(chosen, ["box", "day"], "left_semi").unionByName(
+            live_rows.join(live, "day", "left_semi"), allowMissingColumns=True
+        )
+    wanted = choice.join(requests.select(request, *joins.BOX, "start", "end"), request)
+    tiled = joins.box_tiles(wanted.withColumnsRenamed({c: "_" + c for c in (*joins.BOX, "start", "end")}), [f"_{c}" for c in joins.BOX])
+    tiled = tiled.withColumn("_from", F.coalesce(F.concat(F.lit("box "), F.col("box").cast("string")), F.lit("live"))).drop("box")
+    rows = archive_rows.withColumn("_from", F.concat(F.lit("box "), F.col("box").cast("string"))).drop("box").unionByName(
+        live_rows.drop("box").withColumn("_from", F.lit("live")), allowMissingColumns=True
     )
+    placed = joins.point_tiles(rows, tiled)
+    on = ["_from", "day", "_level", "_tx", "_ty"]
+    inside = geo.in_box(F.col("lon"), F.col("lat"), F.col("_pw"), F.col("_south"), F.col("_pe"), F.col("_north"))
+    met = placed.join(tiled, on).where(inside & (F.col("time") >= F.col("_start")) & (F.col("time") < F.col("_end")))
+    return met.select(request, "source", *[c for c in rows.columns if c != "_from"])
 
 
 def latest_issue(df: DataFrame, key: Sequence[str], issue: Sequence[str]) -> DataFrame:

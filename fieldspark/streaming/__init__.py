@@ -1,12 +1,14 @@
 """Structured Streaming forms of the hourly and daily rules.
 
-Streams write through the file sink, whose log makes a replayed batch harmless; results that change rows already
-written are read from that append-only log instead (`upsert_quality`, `append_records`)."""
+Streams write through the file sink, whose log makes a replayed batch harmless. Those that list stores or change rows already
+written (`append_records`, `upsert_days`) do so batch by batch under the batch's number, which a replay finds done."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -80,22 +82,80 @@ def usable_cycles(stream: DataFrame, *, cycle: str = "cycle", lag: str = "7 hour
     return counted.withColumn(cycle, _clock(F.col(cycle)))
 
 
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], object], checkpoint: str) -> None:
+    """Hand everything that has arrived to `each` in batches with their numbers, and stop."""
+    writer = stream.writeStream.foreachBatch(lambda df, number: each(df, number) and None).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def append_records(
-    stream: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, staging: str, checkpoint: str, listed: DataFrame | None = None
+    stream: DataFrame, store: Sequence[str], fields: Sequence[str], expected: Column | int, staging: str, checkpoint: str, manifest: str | None = None, *, cells: Sequence[str] = ()
 ) -> DataFrame:
-    """Append hourly records to staging as they come, then gate the stores not yet `listed` in the manifest: only
-    those with all expected hours belong in it (`where complete`). Consumers never read staging directly."""
-    run_available(stream, staging, checkpoint)
-    staged = stream.sparkSession.read.schema(stream.schema).parquet(staging)
-    if listed is not None:
-        staged = staged.join(listed.select(*store), list(store), "left_anti")
-    return publish.publish_gate(staged, store, fields, expected)
+    """Append hourly records to staging as they come and list each store when its last record is there. Every batch is
+    an attempt at publication (`publish.publish`), so a replayed batch, late rows and repeated records change nothing that readers
+    get. Returns the verdict on all stores seen, from the log of records. Keep one checkpoint for one staging folder."""
+    spark, store = stream.sparkSession, list(store)
+    manifest = manifest or staging.rstrip("/") + "-manifest"
+    run_batches(stream, lambda df, number: publish.publish(df, store, fields, expected, staging, manifest, number, cells=cells), checkpoint)
+    return publish.all_stores(spark, stream.schema, store, expected, staging)
+
+
+def upsert_batch(df: DataFrame, number: int, table: str, key: Sequence[str], order: Sequence[Column], *, day: str = "day") -> None:
+    """Merge a batch into the days that it touches: of each (day, key...) the row with the greatest `order` stays.
+
+    The merged days are written under the batch's number, then listed; readers take the newest listed copy of a day, so
+    no row is ever gone, as it would be for a while if a day's files were replaced. A batch that is listed changes nothing when it
+    comes again, one that broke off is written anew. Only the touched days are read."""
+    spark, listing = df.sparkSession, f"{table}/days/version={number}"
+    if publish.finished(spark, listing):
+        return
+    # Days of a calendar: a few thousand rows at most.
+    touched = [r[0] for r in df.select(day).distinct().collect()]
+    held = {d: v for d, v in _newest(spark, table, number).items() if d in set(touched)}
+    rows = df
+    if held:
+        paths = [f"{table}/rows/version={v}/{day}={d}" for d, v in held.items()]
+        before = spark.read.schema(df.schema).option("basePath", f"{table}/rows").parquet(*paths)
+        rows = before.select(*df.columns).unionByName(df)
+    rest = [c for c in df.columns if c not in key and c != day]
+    best = rows.groupBy(*key, day).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    best = best.select(*key, day, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    best.write.mode("overwrite").partitionBy(day).parquet(f"{table}/rows/version={number}")
+    spark.createDataFrame([(d,) for d in touched], "day date").write.mode("overwrite").parquet(listing)
+
+
+def _newest(spark: SparkSession, table: str, before: int | None = None) -> dict[dt.date, int]:
+    """The newest listed version of each day, below `before` if given."""
+    try:
+        listed = spark.read.schema("day date, version long").parquet(f"{table}/days")
+    except AnalysisException:  # nothing was listed yet
+        return {}
+    if before is not None:
+        listed = listed.where(F.col("version") < before)
+    return {r.day: r.version for r in listed.groupBy("day").agg(F.max("version").alias("version")).collect()}
+
+
+def upsert_days(stream: DataFrame, table: str, checkpoint: str, key: Sequence[str], order: Sequence[Column], *, day: str = "day") -> None:
+    """Everything that has arrived, upserted batch by batch. Work grows with a batch and the days it touches."""
+    run_batches(stream, lambda df, number: upsert_batch(df, number, table, key, order, day=day), checkpoint)
+
+
+def read_days(spark: SparkSession, table: str, schema: StructType, *, day: str = "day") -> DataFrame:
+    """The current rows of a table that `upsert_days` keeps."""
+    paths = [f"{table}/rows/version={v}/{day}={d}" for d, v in _newest(spark, table).items()]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{table}/rows").parquet(*paths).select(*schema.names)
+
+
+def quality_order(quality: str = "quality", arrival: str = "arrival", verified: str = "v") -> list[Column]:
+    """A verified reading replaces preliminary ones and never goes back; among equals the last arrival stands."""
+    return [(F.col(quality) == verified).alias("v"), F.col(arrival).alias("a")]
 
 
 def upsert_quality(log: DataFrame, key: Sequence[str], *, quality: str = "quality", arrival: str = "arrival", verified: str = "v") -> DataFrame:
-    """The current reading of each key from the append-only log of arrivals: a verified one replaces preliminary
-    ones and never goes back; among equals the last arrival stands."""
+    """The current reading of each key from a whole log of arrivals, by `quality_order`. A stream keeps the same by `upsert_days`."""
     rest = [c for c in log.columns if c not in key]
-    order = F.struct((F.col(quality) == verified).alias("v"), F.col(arrival).alias("a"))
+    order = F.struct(*quality_order(quality, arrival, verified))
     best = log.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row"))
     return best.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])

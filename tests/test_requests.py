@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from fieldspark import schemas, streaming
@@ -181,6 +182,67 @@ def test_gate_and_publication(spark, tmp_path):
     assert publish.published(spark.read.parquet(staging), listed, "store_id").count() == 10
 
 
+def hours_of(spark, rows):
+    return spark.createDataFrame([(k, T0 + h * H, cell, v) for k, h, cell, v in rows], "k string, time timestamp_ntz, cell int, v double")
+
+
+def test_replays_late_rows_and_repeats_leave_what_readers_get(spark, tmp_path):
+    staging, manifest = str(tmp_path / "staging"), str(tmp_path / "manifest")
+
+    def attempt(number, rows):
+        gate = publish.publish(hours_of(spark, rows), ["k"], ["v"], 4, staging, manifest, number, cells=["cell"])
+        return {r.k: r.fault for r in gate.collect()}
+
+    def seen():
+        return sorted((r.k, int((r.time - T0) / H), r.cell, r.v) for r in publish.read_published(spark, hours_of(spark, []).schema, ["k"], staging, manifest).collect())
+
+    two = lambda k, hours, v: [(k, h, c, v) for h in hours for c in (0, 1)]
+    assert seen() == []
+    assert attempt(1, two("a", (0, 1), 1.0) + two("b", range(4), 2.0) + two("c", range(4), 3.0) + [("c", 2, 0, 9.0)]) == {"a": "record count", "b": None, "c": "repeated record"}
+    b = two("b", range(4), 2.0)
+    assert seen() == sorted(b)
+    # An attempt that has ended is not made again, whatever it brings.
+    assert attempt(1, two("a", range(4), 7.0)) == {"a": "record count", "b": None, "c": "repeated record"}
+    # Late rows of a listed store stay out; of hours that come twice the first counts; a whole hour replaces a repeated one.
+    assert attempt(2, two("b", (3, 4), 8.0) + two("a", (1, 2), 5.0) + two("c", (2,), 6.0)) == {"a": "record count", "b": "record count", "c": None}
+    c = two("c", (0, 1, 3), 3.0) + two("c", (2,), 6.0)
+    assert seen() == sorted(b + c)
+    assert attempt(3, two("a", (3,), 4.0)) == {"a": None}
+    a = two("a", (0, 1), 1.0) + two("a", (2,), 5.0) + two("a", (3,), 4.0)
+    assert seen() == sorted(a + b + c)
+    # One that broke off before it was listed starts anew.
+    rows = hours_of(spark, two("d", range(4), 1.0))
+    rows.withColumn("day", F.to_date("time")).write.partitionBy("day").parquet(f"{staging}/attempt=4")
+    assert attempt(4, two("d", range(4), 2.0)) == {"d": None}
+    assert seen() == sorted(a + b + c + two("d", range(4), 2.0))
+    assert attempt(5, []) == {}
+
+
+def test_upsert_reads_and_writes_touched_days_only(spark, tmp_path):
+    table = str(tmp_path / "table")
+    schema = "station int, hour timestamp_ntz, day date, value double, quality string, arrival int"
+
+    def batch(number, rows):
+        df = spark.createDataFrame([(s, T0 + h * H, (T0 + h * H).date(), v, q, n) for s, h, v, q, n in rows], schema)
+        streaming.upsert_batch(df, number, table, ["station", "hour"], streaming.quality_order())
+        return df.schema
+
+    def now(shape):
+        return {(r.station, int((r.hour - T0) / H)): (r.value, r.quality) for r in streaming.read_days(spark, table, shape).collect()}
+
+    shape = batch(0, [(1, h, float(h), "p", 1) for h in range(72)])
+    assert len(now(shape)) == 72
+    batch(1, [(1, 30, 100.0, "v", 2), (1, 31, 101.0, "p", 2), (2, 31, 5.0, "p", 2)])
+    batch(2, [(1, 30, 200.0, "p", 3), (1, 31, 201.0, "p", 3)])
+    want = {(1, h): (float(h), "p") for h in range(72)} | {(1, 30): (100.0, "v"), (1, 31): (201.0, "p"), (2, 31): (5.0, "p")}
+    assert now(shape) == want
+    assert [p.name for p in (tmp_path / "table/rows/version=2").iterdir() if p.is_dir()] == ["day=2024-03-02"]
+    batch(1, [(1, 0, -1.0, "v", 9)])  # a number that was listed before
+    assert now(shape) == want
+    batch(3, [])
+    assert now(shape) == want
+
+
 def test_archive_is_create_only(spark, tmp_path):
     rows = [("g", T0 + k * H, float(k)) for k in range(80)]
     df = spark.createDataFrame(rows, "grid string, time timestamp_ntz, v double")
@@ -194,6 +256,55 @@ def test_archive_is_create_only(spark, tmp_path):
     assert sorted({r.day for r in later.select("day").distinct().collect()}) == [T0 + 24 * H, T0 + 48 * H]  # nothing was published past the fourth day
 
 
+def test_catalogue_search_with_boxes_of_the_whole_earth(spark):
+    r = random.Random(2)
+
+    def boxes(n, big):
+        out = [(k, w := r.uniform(-170, 170), s := r.uniform(-80, 80), w + r.choice([0, 0.1, 0.5, 8]) * r.random(), s + r.choice([0, 0.1, 0.5, 8]) * r.random(), t := T0 + r.randint(0, 9000) * H, t + r.choice([0, 1, 30, 3000]) * H) for k in range(n)]
+        out += [(n + k, -180.0, -90.0, 180.0, 90.0, T0, T0 + 9000 * H) for k in range(big)]
+        return out + [(-1, None, 0.0, 1.0, 1.0, T0, T0), (-2, 0.0, 0.0, 1.0, 1.0, T0 + H, T0), (-3, 0.0, 0.0, 1.0, 1.0, None, T0)]
+
+    shape = "west double, south double, east double, north double, time_start timestamp_ntz, time_end timestamp_ntz"
+    stores, asks = boxes(700, 1), boxes(500, 2)
+    a, b = spark.createDataFrame(stores, "store_id int, " + shape), spark.createDataFrame(asks, "request int, " + shape)
+    want = sorted(
+        (q[0], s[0]) for q in asks if q[0] >= 0 for s in stores if s[0] >= 0 and s[1] <= q[3] and s[3] >= q[1] and s[2] <= q[4] and s[4] >= q[2] and s[5] <= q[6] and s[6] >= q[5]
+    )
+    got = joins.search_catalog(a, b)
+    assert sorted((x.request, x.store_id) for x in got.collect()) == want and len(want) > 1000
+    assert joins.catalog_candidates(a, b).count() < 3 * len(want)
+
+
+def test_window_rows_are_cut_to_each_request(spark):
+    r = random.Random(8)
+    day = [T0 + 24 * k * H for k in range(3)]
+    boxes = [(b, d, w := r.uniform(-20, 5), s := r.uniform(-20, 5), w + r.uniform(1, 30), s + r.uniform(1, 30)) for b in range(30) for d in day if r.random() < 0.8]
+    boxes += [(99, day[0], -180.0, -90.0, 180.0, 90.0)]
+    asks = [(q, w := r.uniform(-10, 10), s := r.uniform(-10, 10), w + r.uniform(0, 4), s + r.uniform(0, 4), T0 + r.randint(0, 20) * H, T0 + r.randint(30, 70) * H) for q in range(40)]
+    held = [(b, d, d + r.randint(0, 23) * H, r.uniform(-15, 15), r.uniform(-15, 15), n) for n, (b, d) in enumerate([(b, d) for b, d, *_ in boxes] * 20)]
+    live = [(d, d + r.randint(0, 23) * H, r.uniform(-15, 15), r.uniform(-15, 15), 10_000 + n) for n, d in enumerate(day * 1500)]
+    requests = spark.createDataFrame(asks, "request int, west double, south double, east double, north double, start timestamp_ntz, end timestamp_ntz")
+    archive = spark.createDataFrame(boxes, "box int, day timestamp_ntz, west double, south double, east double, north double")
+    days = requests.crossJoin(spark.createDataFrame([(d,) for d in day], "day timestamp_ntz"))
+    choice = scan.choose_archive(days, archive)
+    want = {}
+    for q, w, s, e, n, *_ in asks:
+        for d in day:
+            fit = [((be - bw) * (bn - bs), b) for b, bd, bw, bs, be, bn in boxes if bd == d and bw <= w and bs <= s and be >= e and bn >= n]
+            want[q, d] = min(fit)[1] if fit else None
+    assert {(c.request, c.day): c.box for c in choice.collect()} == want
+    shape = "day timestamp_ntz, time timestamp_ntz, lon double, lat double, n int"
+    got = scan.load_window(spark.createDataFrame(held, "box int, " + shape), spark.createDataFrame(live, shape), choice, requests)
+    assert got.columns == ["request", "source", "day", "time", "lon", "lat", "n"]
+    rows = sorted((x.request, x.source, x.n) for x in got.collect())
+    expect = []
+    for q, w, s, e, n, t0, t1 in asks:
+        for b, d, t, lon, lat, k in [*held, *((None, *x) for x in live)]:
+            if want[q, d] == b and w <= lon <= e and s <= lat <= n and t0 <= t < t1:
+                expect.append((q, "live" if b is None else "archive", k))
+    assert rows == sorted(expect) and {x[1] for x in rows} == {"live", "archive"}
+
+
 def test_archive_or_live(spark):
     days = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0, T0), (1, 0.0, 0.0, 1.0, 1.0, T0 + 24 * H)], "request int, west double, south double, east double, north double, day timestamp_ntz")
     archive = spark.createDataFrame([(7, T0, -1.0, -1.0, 2.0, 2.0), (8, T0, 0.0, 0.0, 1.5, 1.5), (9, T0, 0.2, 0.0, 1.0, 1.0)], "box int, day timestamp_ntz, west double, south double, east double, north double")
