@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, ordered, times
 from fieldspark.functions.scales import finite
-from fieldspark.operators import sizes
+from fieldspark.operators import selection, sizes
+from fieldspark.session import materialise
 
 # The order keywords are looked for in a store's path and attributes, and in its file stem.
 FAMILY_RULES = (
@@ -57,10 +58,13 @@ def coverage(catalog: DataFrame, box: Sequence[float] | None = None) -> DataFram
 
 
 def axis_spacing(axes: DataFrame, axis: str = "axis", value: str = "value", block: float = 1.0) -> DataFrame:
-    """Median step between the distinct values of each axis."""
+    """Median step between the distinct values of each axis, with their number and mean; steps are selected for all axes at once."""
     distinct = axes.select(axis, value).distinct()
     stepped = ordered.with_neighbours(distinct, [axis], [value], F.floor(F.col(value) / F.lit(block)).cast("long"), next={"_next": value})
-    return stepped.groupBy(axis).agg(F.median(F.col("_next") - F.col(value)).alias("step"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("middle"))
+    stepped = materialise(stepped.withColumn("_step", F.col("_next") - F.col(value)), "steps")
+    step = selection.medians(stepped, [axis], "_step").withColumnRenamed("median", "step")
+    whole = stepped.groupBy(axis).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("middle"))
+    return whole.join(step, axis, "left").select(axis, "step", "n", "middle")
 
 
 def resolution(spacing: DataFrame) -> DataFrame:
@@ -73,10 +77,12 @@ def resolution(spacing: DataFrame) -> DataFrame:
 
 
 def cadence(rows: DataFrame, store: Sequence[str], *, time: str = "time") -> DataFrame:
-    """Median time step of each store in hours."""
+    """Median time step of each store in hours, null for a store of one time; selected for all stores at once."""
     distinct = rows.select(*store, time).distinct()
     stepped = ordered.with_neighbours(distinct, store, [time], times.hour_index(F.col(time)), next={"_next": time})
-    return stepped.groupBy(*store).agg(F.median(times.hours_between(F.col(time), F.col("_next"))).alias("step_h"))
+    stepped = materialise(stepped.withColumn("_step", times.hours_between(F.col(time), F.col("_next"))).select(*store, "_step"), "steps")
+    step = selection.medians(stepped, store, "_step").withColumnRenamed("median", "step_h")
+    return stepped.select(*store).distinct().join(step, list(store), "left")
 
 
 def same_cells(rows: DataFrame, window: Sequence[str], file: Sequence[str], cell: Sequence[str]) -> DataFrame:

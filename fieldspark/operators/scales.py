@@ -8,50 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, scales
-from fieldspark.operators import sizes
+from fieldspark.operators import selection, sizes
+from fieldspark.session import materialise
 
 
 def weighted_percentiles(
-    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int = 2, buckets: int = 1024, few_groups: bool = False
+    df: DataFrame, by: Sequence[str], x: str, w: str, qs: Sequence[float] | Column, *, levels: int | None = None, buckets: int = selection.CUTS, size: int = selection.SIZE, few_groups: bool = False
 ) -> DataFrame:
     """(by..., q, value): going up the values, the one at which q percent of all weight is first gathered. Exact. `qs` may be an array column over `by`. Set `few_groups` where the groups are known
     to be few: then the goals, a row per group and q, are broadcast.
 
-    Weights are first summed per distinct value. Each level cuts the range in equal buckets, sums them, and goes
-    on inside the one bucket where the running weight crosses the goal; only that bucket's values are ordered in
-    the end. No window ever sees a field's whole set of values."""
+    Weights are first summed per distinct value and stored; then `selection.crossings` narrows each goal's range until it holds
+    `size` values at most, which is all that one task ever orders, be the tail as heavy as it may."""
     by = list(by)
     if not by:
-        out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets, few_groups=True)
+        out = weighted_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], x, w, qs, levels=levels, buckets=buckets, size=size, few_groups=True)
         return out.drop("_all")
     percents = qs if isinstance(qs, Column) else F.array(*[F.lit(float(q)) for q in qs])
-    held = df.where(scales.finite(F.col(x))).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w"))
-    goals = held.groupBy(*by).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_w").alias("_total")).select(
-        *by, "_lo", "_hi", F.lit(0.0).alias("_off"), "_total", F.explode(percents).alias("q")
-    ).withColumn("_goal", F.col("q") / 100.0 * F.col("_total")).drop("_total")
-    group = [*by, "q"]
-
-    def inside() -> DataFrame:
-        return held.join(F.broadcast(goals) if few_groups else goals, by).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
-
-    for _ in range(levels):
-        share = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-        bucket = F.coalesce(F.least(F.lit(buckets - 1), F.floor(share * buckets).cast("int")), F.lit(0))
-        hist = inside().groupBy(*group, "_goal", "_off", bucket.alias("_b")).agg(
-            F.sum("_w").alias("_s"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-        )
-        run = F.sum("_s").over(Window.partitionBy(*group).orderBy("_b"))
-        hist = hist.withColumn("_cum", F.col("_off") + run)
-        row = F.struct("_b", "_lo", "_hi", (F.col("_cum") - F.col("_s")).alias("_off"), "_goal")
-        # Rounding may leave the last sum a hair below the goal: then the last bucket holds the answer.
-        goals = hist.groupBy(*group).agg(
-            F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_goal"), row)), F.max(row)).alias("_r")
-        ).select(*group, *[F.col(f"_r.{c}").alias(c) for c in ("_lo", "_hi", "_off", "_goal")])
-    run = F.col("_off") + F.sum("_w").over(Window.partitionBy(*group).orderBy("_x"))
-    last = inside().withColumn("_cum", run)
-    return last.groupBy(*group).agg(
-        F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_goal"), F.col("_x"))), F.max("_x")).alias("value")
-    )
+    held = materialise(df.where(scales.finite(F.col(x))).groupBy(*by, F.col(x).alias("_x")).agg(F.sum(w).alias("_w")), "weights")
+    total = held.groupBy(*by).agg(F.sum("_w").alias("_total")).select(*by, "_total", F.explode(percents).alias("q"))
+    goals = total.select(*by, "q", (F.col("q") / 100.0 * F.col("_total")).alias("_goal"))
+    return selection.crossings(held, by, goals, size=size, cuts=buckets, levels=levels, few_goals=few_groups)
 
 
 def shared_scale(

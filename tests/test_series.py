@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
+import math
 import random
+import statistics
 
 import pandas as pd
 import pytest
 from fieldspark.functions import ordered
-from fieldspark.operators import forecast, scales, series
+from fieldspark.operators import forecast, scales, selection, series
 from pyspark.sql import functions as F
 
 T0 = dt.datetime(2024, 3, 1)
@@ -207,6 +210,26 @@ def test_weighted_percentiles_match_brute_force(spark):
                 assert got[(f, q)] == x
 
 
+def test_no_task_orders_more_than_the_stated_size(spark, monkeypatch):
+    """Heavy tails: nearly all values lie in a millionth of the range, and one value has a third of all rows."""
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), math.exp(rng.gauss(0, 9)) if rng.random() < 0.66 else 1.0, rng.randrange(1, 9)) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "field string, x double, w int")
+    ranges = []
+    stored = selection.materialise
+    monkeypatch.setattr(selection, "materialise", lambda frame, name: ranges.append(stored(frame, name)) or ranges[-1])
+    got = {(r.field, r.q): r.value for r in scales.weighted_percentiles(df, ["field"], "x", "w", [1.0, 50.0, 99.9], size=50, buckets=16).collect()}
+    assert len(ranges) > 2 and max(r["_n"] for r in ranges[-1].collect()) <= 50
+    for f in "ab":
+        mine = sorted((x, w) for g, x, w in rows if g == f)
+        runs = list(itertools.accumulate(w for _, w in mine))
+        for q in (1.0, 50.0, 99.9):
+            assert got[f, q] == next(x for (x, _), run in zip(mine, runs, strict=True) if run >= q / 100 * runs[-1])
+    middle = {r.field: r.median for r in selection.medians(df, ["field"], "x", size=50).collect()}
+    assert middle == {f: pytest.approx(statistics.median([x for g, x, _ in rows if g == f])) for f in "ab"}
+    assert selection.medians(df.limit(0), ["field"], "x").count() == 0
+
+
 def test_centred_rate_needs_the_next_hour(spark):
     df = hourly_frame(spark, {0: 3600.0, 1: 7200.0, 3: 1.0})
     got = {int((r.time - T0).total_seconds() // 3600): r.rate for r in forecast.centred_rate(df, ["station"]).collect()}
