@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from fieldspark.functions import ordered, times
 from fieldspark.operators import sizes
+from fieldspark.session import materialise
 
 # Fill flags, worst last.
 FILL_NONE, FILL_INTERPOLATED, FILL_DAILY_MEAN, FILL_CLIMATOLOGY = 0, 1, 2, 3
@@ -165,16 +166,20 @@ def interpolate_limit(hourly: DataFrame, windows: DataFrame, key: Sequence[str],
 
 def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1, field: str = "field", time: str = "time", value: str = "value") -> DataFrame:
     """Each field on the axis first..last of all fields in steps of `step_hours`, linear between the field's own
-    times: those at which any of its cells has data. A cell without a value at one of the two bracketing times is
-    null, and a field with a single time keeps it where it lies on the axis.
+    times: those at which any of its cells has data. Every cell of a field has a row for each time of the axis: null before the
+    field's first and after its last time, and where the cell has no value at one of the two bracketing times. A field with
+    a single time keeps it where it lies on the axis. The axis also counts times at which no cell has a value.
 
-    Brackets are found on the short list of a field's times, not along every cell's series."""
+    The input is read once. Both brackets of every target come from one pass, in pieces, over the short list of a field's
+    times; a value then goes to the targets between its time's neighbours, so no cell's series is ever ordered."""
     step_us = step_hours * times.HOUR_US
+    long = materialise(long.select(field, *cell, time, value), "fields")
     present = long.where(F.col(value).isNotNull())
-    steps = present.select(field, time).distinct()
+    seen = materialise(long.groupBy(field, time).agg((F.count(value) > 0).alias("_any")), "steps")
+    steps = seen.where("_any").select(field, time)
     year = times.step_index(F.col(time), 8766 * times.HOUR_US)
     pairs = ordered.with_neighbours(steps, [field], [time], year, next={"_t1": time})
-    axis = long.agg(
+    axis = seen.agg(
         times.step_index(F.min(time), step_us).alias("_lo"), times.step_index(F.max(time), step_us).alias("_hi")
     )
     m = times.micros(F.col(time))
@@ -196,10 +201,13 @@ def resample_hourly(long: DataFrame, cell: Sequence[str], *, step_hours: int = 1
         F.struct(F.col(time).alias("at"), (F.lit(1.0) - F.col("_w")).alias("w")),
         F.struct(F.col("_t1").alias("at"), F.col("_w").alias("w")),
     )).alias("_leg")).select(field, "_t", "_need", F.col("_leg.at").alias(time), F.col("_leg.w").alias("_w")).where(F.col("_w") > 0)
-    joined = present.join(sizes.small(legs, sizes.MOST_NARROW_ROWS), [field, time])
-    return joined.groupBy(field, *cell, "_t").agg(
-        F.sum(F.col("_w") * F.col(value)).alias("_v"), F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need")
-    ).where(F.col("_n") == F.col("_need")).select(field, *cell, F.col("_t").alias(time), F.col("_v").alias(value))
+    # One row for each cell and target, to which nothing need add up.
+    targets = long.select(field, *cell).distinct().join(sizes.one_row(axis)).withColumn("_k", F.explode(F.sequence("_lo", "_hi")))
+    blank = targets.select(field, *cell, target.alias("_t"), F.lit(None).cast("double").alias("_p"), F.lit(None).cast("int").alias("_need"))
+    # Legs are a few numbers for each field and target.
+    met = present.join(sizes.small(legs, sizes.MOST_NARROW_ROWS), [field, time]).select(field, *cell, "_t", (F.col("_w") * F.col(value)).alias("_p"), "_need")
+    whole = blank.unionByName(met).groupBy(field, *cell, "_t").agg(F.sum("_p").alias("_v"), F.count("_p").alias("_n"), F.max("_need").alias("_need"))
+    return whole.select(field, *cell, F.col("_t").alias(time), F.when(F.col("_n") == F.col("_need"), F.col("_v")).alias(value))
 
 
 # Runs and contiguity ---------------------------------------------------------------------------

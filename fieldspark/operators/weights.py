@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, times
 from fieldspark.operators import sizes
+from fieldspark.session import materialise
 
 
 def idw_weights(points: DataFrame, cells: DataFrame, k: int = 4, max_km: float = 6.0, *, point: str = "point", steps: int = 2, shrink: float = 4.0) -> DataFrame:
@@ -77,6 +78,33 @@ def _bracket(x: Column, n: int) -> tuple[Column, Column]:
     return low, x - low
 
 
+COLUMN = ("it", "iy", "ix")
+
+
+def needed_cells(grid: DataFrame, corners: DataFrame, most: int = sizes.MOST_NARROW_ROWS) -> DataFrame:
+    """The rows of `grid` in one of the columns that `corners(it, iy, ix)` names, and perhaps some near them: what is worth moving.
+
+    The distinct corners are stored once. Their ends prune the scan of the grid as plain comparisons; the corners themselves, or where
+    they are more than `most` the squares of columns that hold them, are a look-up table small enough to send to the scan."""
+    wanted = materialise(corners.distinct(), "corners")
+    ends = wanted.agg(*[f(c).alias(f"{n}_{c}") for c in COLUMN for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends is None or ends[0] is None:
+        return grid.where(F.lit(False))
+    for c in COLUMN:
+        grid = grid.where(F.col(c).between(ends[f"lo_{c}"], ends[f"hi_{c}"]))
+    side = 1
+    while True:
+        squares = [F.floor(F.col(c) / F.lit(1 if c == "it" else side)).cast("long").alias(f"_{c}") for c in COLUMN]
+        held = wanted.select(*squares).distinct()
+        if sizes.is_small(held, most):
+            break
+        if side > max(ends["hi_iy"] - ends["lo_iy"], ends["hi_ix"] - ends["lo_ix"]):
+            return grid  # more times than a look-up table may have rows
+        side *= 4
+    marked = grid.select("*", *squares)
+    return marked.join(F.broadcast(held), [f"_{c}" for c in COLUMN], "left_semi").select(*grid.columns)
+
+
 def interpolate_track(
     track: DataFrame, grid: DataFrame, lon: Axis, lat: Axis, start: str, step_hours: int, steps: int, levels: Sequence[float],
     values: Sequence[str], *, key: Sequence[str] = ("trajectory_id", "obs"),
@@ -111,8 +139,8 @@ def interpolate_track(
     # One row per water column holds its levels, so a point meets eight columns and not sixteen cells; the
     # grouping leaves the columns partitioned as the join needs them.
     column = F.map_from_entries(F.collect_list(F.struct("iz", F.struct(*values))))
-    columns = grid.groupBy("it", "iy", "ix").agg(column.alias("_column"))
-    met = legs.join(columns, ["it", "iy", "ix"]).withColumns(
+    columns = needed_cells(grid, legs.select(*COLUMN)).groupBy(*COLUMN).agg(column.alias("_column"))
+    met = legs.join(columns, list(COLUMN)).withColumns(
         {"_low": F.try_element_at("_column", F.col("_iz")), "_up": F.try_element_at("_column", F.col("_iz") + 1)}
     )
     agg = []

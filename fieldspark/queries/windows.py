@@ -54,24 +54,26 @@ def interpolate_limit(x):
 
 
 @query("E3", sql="""
-WITH l AS (SELECT 'click' AS field, date_trunc('hour', time)::TIMESTAMP AS time, station % 2 AS cell, max(value) AS value FROM obs WHERE parameter = 'click' AND time >= TIMESTAMP '2024-01-03' GROUP BY 1, 2, 3
+WITH l AS (SELECT 'click' AS field, date_trunc('hour', time)::TIMESTAMP AS time, station % 2 AS cell, max(value) AS value FROM obs WHERE parameter = 'click' GROUP BY 1, 2, 3
            UNION ALL SELECT 'view', date_trunc('day', time)::TIMESTAMP + INTERVAL '3' HOUR * CAST(floor(hour(time) / 3e0) AS INT), station % 2, max(value) FROM obs WHERE parameter = 'view' GROUP BY 1, 2, 3
+           UNION ALL SELECT 'error', date_trunc('day', time)::TIMESTAMP + INTERVAL '6' HOUR * CAST(floor(hour(time) / 6e0) AS INT), station % 2, max(value) FROM obs WHERE parameter = 'error' GROUP BY 1, 2, 3
+           UNION ALL SELECT 'signup', date_trunc('day', time)::TIMESTAMP, station % 2, max(value) FROM obs WHERE parameter = 'signup' GROUP BY 1, 2, 3
            UNION ALL SELECT 'purchase', TIMESTAMP '2024-01-09 00:00:00', station % 2, max(value) FROM obs WHERE parameter = 'purchase' GROUP BY 1, 2, 3),
 axis AS (SELECT unnest(generate_series((SELECT min(time) FROM l), (SELECT max(time) FROM l), INTERVAL '1' HOUR)) AS t),
 st AS (SELECT DISTINCT field, time FROM l),
+cells AS (SELECT DISTINCT field, cell FROM l),
 br AS (SELECT field, t, max(time) FILTER (WHERE time <= t) AS t0, min(time) FILTER (WHERE time > t) AS t1 FROM axis CROSS JOIN st GROUP BY 1, 2)
-SELECT b.field, b.t AS time, CAST(a.cell AS INT) AS cell, round(CASE WHEN b.t0 = b.t THEN a.value ELSE a.value + (c.value - a.value) * datediff('hour', b.t0, b.t) / datediff('hour', b.t0, b.t1) END, 5) AS value
-FROM br b JOIN l a ON a.field = b.field AND a.time = b.t0 LEFT JOIN l c ON c.field = b.field AND c.time = b.t1 AND c.cell = a.cell WHERE b.t0 = b.t OR c.value IS NOT NULL""")
+SELECT b.field, b.t AS time, CAST(g.cell AS INT) AS cell, round(CASE WHEN b.t0 = b.t THEN a.value ELSE a.value + (c.value - a.value) * datediff('hour', b.t0, b.t) / datediff('hour', b.t0, b.t1) END, 5) AS value
+FROM cells g JOIN br b ON b.field = g.field LEFT JOIN l a ON a.field = b.field AND a.time = b.t0 AND a.cell = g.cell LEFT JOIN l c ON c.field = b.field AND c.time = b.t1 AND c.cell = g.cell""")
 def resample_hourly(x):
-    cell = (F.col("station") % 2).cast("int").alias("cell")
-
-    def field(name, rows, when):
-        return rows.where(F.col("parameter") == name).groupBy(F.lit(name).alias("field"), when.alias("time"), cell).agg(F.max("value").alias("value"))
-
     hour = times.hour_index(F.col("time"))
-    long = field("click", x.obs.where(F.col("time") >= times.ts("2024-01-03 00:00:00")), times.floor_hour(F.col("time")))
-    long = long.unionByName(field("view", x.obs, times.from_hour(hour - F.pmod(hour, F.lit(3)))))
-    long = long.unionByName(field("purchase", x.obs, times.ts("2024-01-09 00:00:00")))
+    every = {"click": 1, "view": 3, "error": 6, "signup": 24}
+    when = F.lit(None).cast("timestamp_ntz")
+    for name, step in every.items():
+        when = F.when(F.col("parameter") == name, times.from_hour(hour - F.pmod(hour, F.lit(step)))).otherwise(when)
+    when = F.when(F.col("parameter") == "purchase", times.ts("2024-01-09 00:00:00")).otherwise(when)
+    cell = (F.col("station") % 2).cast("int").alias("cell")
+    long = x.obs.groupBy(F.col("parameter").alias("field"), when.alias("time"), cell).agg(F.max("value").alias("value"))
     return series.resample_hourly(long, ["cell"]).withColumn("value", F.round("value", 5))
 
 

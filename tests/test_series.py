@@ -165,6 +165,9 @@ def test_resample_bridges_each_field_on_its_own_steps(spark):
     rows += [("once", T0 + dt.timedelta(hours=2), 1, 5.0)]
     df = spark.createDataFrame(rows, "field string, time timestamp_ntz, cell int, value double")
     got = {(r.field, r.cell, int((r.time - T0).total_seconds() // 3600)): r.value for r in series.resample_hourly(df, ["cell"]).collect()}
+    # Every cell of a field has a row for each hour of the axis, null where a bracket is missing.
+    assert set(got) == {(f, c, h) for f, c in (("zeta", 1), ("u", 1), ("u", 2), ("once", 1)) for h in range(7)}
+    got = {k: v for k, v in got.items() if v is not None}
     assert all(got[("zeta", 1, h)] == h * h for h in range(7))
     assert all(got[("u", 1, h)] == pytest.approx(10 * h + 1) for h in range(7))
     assert [h for f, c, h in sorted(got) if f == "u" and c == 2] == [0, 6]

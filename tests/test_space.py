@@ -270,6 +270,19 @@ def test_levels_reach_the_deepest_wet_layer(spark):
     assert [r.u for r in sorted((r for r in got if r.col == 1), key=lambda r: r.slot)] == [1.0, None, None]
 
 
+def test_only_columns_that_points_need_are_moved(spark):
+    grid = spark.createDataFrame([(t, k, j, i, 1.0) for t in range(3) for k in range(2) for j in range(20) for i in range(20)], "it int, iz int, iy int, ix int, u double")
+    wanted = {(1, 4, 5), (1, 4, 6), (2, 17, 3)}
+    corners = spark.createDataFrame([*wanted, *wanted], "it int, iy int, ix int")
+    got = weights.needed_cells(grid, corners).collect()
+    assert {(r.it, r.iy, r.ix) for r in got} == wanted and len(got) == 6
+    # A look-up table of two rows only: whole squares of columns.
+    some = {(r.it, r.iy, r.ix) for r in weights.needed_cells(grid, corners, most=2).collect()}
+    assert wanted < some and len(some) < 100
+    assert wanted < {(r.it, r.iy, r.ix) for r in weights.needed_cells(grid, corners, most=1).collect()}
+    assert weights.needed_cells(grid, corners.limit(0)).count() == 0
+
+
 def test_quantised_tracks_are_within_half_a_step(spark):
     rng = random.Random(13)
     rows = [(k, -73 + rng.uniform(0, 0.2), 41 + rng.uniform(0, 0.2), -rng.uniform(0, 30), k % 10 != 0) for k in range(300)]
