@@ -234,12 +234,12 @@ _add("wanted_hour", """
 SELECT DISTINCT l_orderkey AS request, l_shipdate + INTERVAL '1' HOUR * CAST(l_partkey % 24 AS INT) AS time FROM {lineitem}""")
 
 _add("segment", """
-SELECT r_regionkey AS segment, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '150' HOUR * CAST(r_regionkey AS INT) AS start,
-       r_regionkey >= 3 AS tidal
-FROM {region}""", spark="""
-SELECT r_regionkey AS segment, TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '150' HOUR * CAST(r_regionkey AS INT) AS start,
-       r_regionkey >= 3 AS tidal
-FROM {region}""")
+SELECT c_custkey AS segment, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '30' MINUTE * CAST(c_custkey AS INT) AS start,
+       c_custkey % 5 >= 3 AS tidal
+FROM {customer}""", spark="""
+SELECT c_custkey AS segment, TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '30' MINUTE * CAST(c_custkey AS INT) AS start,
+       c_custkey % 5 >= 3 AS tidal
+FROM {customer}""")
 
 _add("track", """
 SELECT o_custkey AS trajectory_id, o_orderkey AS obs, o_orderdate AS time, -75e0 + (o_orderkey * 7 % 1400) / 1000e0 AS lon,

@@ -19,17 +19,17 @@ def newest_cycle(end_valid: Column, as_of: Column, *, lag_hours: int = 7, every:
 def plan_records(hours: DataFrame, held: DataFrame, *, latest: str = "latest", every: int = 12, reach: int = 144) -> DataFrame:
     """Add (cycle, lead) to each row of `hours(time, latest, ...)`: the newest cycle at or before the hour and
     not past `latest` that holds the lead, walking back one cycle at a time to `reach` hours. `held(cycle, lead)`
-    lists what complete cycles hold. The candidates are enumerated, so the join is on equality; each distinct
-    (time, latest) is planned once."""
-    wanted = hours.select("time", latest).distinct()
+    lists what complete cycles hold.
+
+    What cycles hold is turned round first: for each valid hour the cycles that reach it, reach / every + 1 at most. An hour then meets
+    one row and picks from its list, however many cycles it would have to walk back; hours are never multiplied nor aggregated."""
+    cycle, lead = times.hour_index(F.col("cycle")), F.col("lead").cast("long")
+    reached = held.where(lead.between(0, reach)).select((cycle + lead).alias("_h"), cycle.alias("_c"))
+    reached = reached.groupBy("_h").agg(F.collect_set("_c").alias("_cycles"))
     newest = F.least(times.hour_index(times.cycle_floor(F.col("time"), every)), times.hour_index(F.col(latest)))
-    steps = F.sequence(F.lit(0), F.lit(reach // every))
-    tries = wanted.withColumn("_h", times.hour_index(F.col("time"))).withColumn("_k", F.explode(steps)).select(
-        "time", latest, "_h", (newest - F.col("_k") * every).alias("_cycle"), (F.col("_h") - newest + F.col("_k") * every).cast("int").alias("_lead")
-    ).where(F.col("_lead") <= reach)
-    have = held.select(times.hour_index(F.col("cycle")).alias("_cycle"), F.col("lead").cast("int").alias("_lead")).distinct()
-    plan = tries.join(have, ["_cycle", "_lead"]).groupBy("time", latest, "_h").agg(F.max("_cycle").alias("_cycle"))
-    return hours.join(plan, ["time", latest], "left").select(
+    met = hours.withColumns({"_h": times.hour_index(F.col("time")), "_newest": newest}).join(reached, "_h", "left")
+    fits = F.filter("_cycles", lambda c: (c <= F.col("_newest")) & (F.pmod(F.col("_newest") - c, F.lit(every)) == 0))
+    return met.withColumn("_cycle", F.array_max(fits)).select(
         *hours.columns, times.from_hour(F.col("_cycle")).alias("cycle"), (F.col("_h") - F.col("_cycle")).cast("int").alias("lead")
     )
 

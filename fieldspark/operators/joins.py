@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions import geo, times
+from fieldspark.functions import geo, ordered, times
 from fieldspark.operators import sizes
 
 BOX = ("west", "south", "east", "north")
@@ -277,14 +277,14 @@ def snap_pixels(pixels: DataFrame, base: DataFrame, step: float) -> DataFrame:
 def split_window(requests: DataFrame, segments: DataFrame, *, width_us: int = 30 * times.DAY_US) -> DataFrame:
     """Each request's window [start, end] cut at source switches: (request, segment, piece_start, piece_end,
     tidal). The last segment is open-ended, a switch time belongs to the newer one, and a request that begins
-    before the first segment gets no pieces. The segment list is a catalogue of a few switches."""
-    far = requests.agg(F.max("end").alias("_far"))
-    order = Window.partitionBy(F.lit(0)).orderBy("start")
+    before the first segment gets no pieces. The ends of segments are found in pieces of a day, so switches may be as
+    many as they like; of two at one time the lower segment ends at once."""
+    ends = requests.agg(F.max("end").alias("_far")).join(segments.agg(F.min("start").alias("_first")))
+    one = segments.select(F.lit(0).alias("_all"), "segment", "start", "tidal")
+    swept = ordered.with_neighbours(one, ["_all"], ["start", "segment"], times.day_index(F.col("start")), next={"_next": "start"})
     spans = (
-        segments.withColumn("_next", F.lead("start").over(order))
-        .withColumn("_first", F.min("start").over(Window.partitionBy(F.lit(0))))
-        .select("segment", F.col("start").alias("_s0"), "_next", "tidal", "_first")
-        .join(sizes.one_row(far))
+        swept.select("segment", F.col("start").alias("_s0"), "_next", "tidal")
+        .join(sizes.one_row(ends))
         .withColumn("_s1", F.greatest(F.col("_s0"), F.coalesce(F.col("_next"), F.col("_far"))))
         .where(F.col("_s0") <= F.col("_far"))
     )

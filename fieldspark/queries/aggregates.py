@@ -182,11 +182,11 @@ def quality_rollup(x):
 
 
 @query("D11", sql="""
-WITH l AS (SELECT issue_time, lead_h, count(DISTINCT field) AS f FROM forecast WHERE field IN ('click', 'view', 'error') GROUP BY 1, 2)
-SELECT issue_time, count(*) AS leads, count(*) FILTER (WHERE f = 3) AS whole_leads, count(*) FILTER (WHERE f = 3 AND lead_h BETWEEN 1 AND 12) AS forecast_leads, CAST(sum(f) AS BIGINT) AS field_leads,
-       count(*) FILTER (WHERE f = 3 AND lead_h BETWEEN 1 AND 12) = 12 AS complete FROM l GROUP BY 1""")
+WITH l AS (SELECT issue_time, lead_h, count(DISTINCT field) AS f FROM forecast GROUP BY 1, 2)
+SELECT issue_time, count(*) AS leads, count(*) FILTER (WHERE f = 5) AS whole_leads, count(*) FILTER (WHERE f = 5 AND lead_h BETWEEN 1 AND 12) AS forecast_leads, CAST(sum(f) AS BIGINT) AS field_leads,
+       count(*) FILTER (WHERE f = 5 AND lead_h BETWEEN 1 AND 12) = 12 AS complete FROM l GROUP BY 1""")
 def audit_cycles(x):
-    return forecast.audit_cycles(x.forecast, ["click", "view", "error"], 12)
+    return forecast.audit_cycles(x.forecast, ["click", "view", "error", "signup", "purchase"], 12)
 
 
 @query("D11", sql="""
@@ -197,14 +197,15 @@ def audit_stores(x):
 
 
 @query("D12", sql="""
-WITH c AS (SELECT store_id, family, time_start + INTERVAL '1' HOUR * CAST(store_id % 24 AS INT) AS a, time_end + INTERVAL '1' HOUR * CAST(store_id % 40 AS INT) AS b FROM catalog WHERE west <= -72 AND east >= -74),
+WITH c AS (SELECT store_id, family, time_start + INTERVAL '1' HOUR * CAST(store_id % 24 AS INT) AS a, time_end + INTERVAL '1' HOUR * CAST(store_id % 24 + store_id % 40 AS INT) AS b FROM catalog),
 h AS (SELECT store_id, family, unnest(generate_series(date_trunc('hour', a)::TIMESTAMP, date_trunc('hour', b)::TIMESTAMP, INTERVAL '1' HOUR)) AS hr FROM c)
 SELECT family, date_trunc('day', hr)::TIMESTAMP AS day, CAST(count(DISTINCT hr) AS INT) AS hours, count(DISTINCT store_id) AS stores FROM h GROUP BY 1, 2""")
 def coverage_strip(x):
     spans = x.catalog.withColumns({
-        "time_start": times.add_hours(F.col("time_start"), (F.col("store_id") % 24).cast("int")), "time_end": times.add_hours(F.col("time_end"), (F.col("store_id") % 40).cast("int")),
-    }).where(F.col("time_start") <= F.col("time_end"))
-    return catalog.coverage(spans, (-74.0, -90.0, -72.0, 90.0))
+        "time_start": times.add_hours(F.col("time_start"), (F.col("store_id") % 24).cast("int")),
+        "time_end": times.add_hours(F.col("time_end"), (F.col("store_id") % 24 + F.col("store_id") % 40).cast("int")),
+    })
+    return catalog.coverage(spans)
 
 
 @query("D13", sql="""
@@ -262,7 +263,8 @@ def layer_summary(x):
 
 
 @query("D18", sql="""
-SELECT station, date_trunc('hour', time)::TIMESTAMP AS time, max(value) FILTER (WHERE parameter = 'click') AS click, max(value) FILTER (WHERE parameter = 'view') AS view, max(value) FILTER (WHERE parameter = 'error') AS error FROM obs GROUP BY 1, 2""")
+SELECT station, date_trunc('hour', time)::TIMESTAMP AS time, max(value) FILTER (WHERE parameter = 'click') AS click, max(value) FILTER (WHERE parameter = 'view') AS view, max(value) FILTER (WHERE parameter = 'error') AS error,
+       max(value) FILTER (WHERE parameter = 'signup') AS signup, max(value) FILTER (WHERE parameter = 'purchase') AS purchase FROM obs GROUP BY 1, 2""")
 def pivot_fields(x):
     rows = x.obs.select("station", times.floor_hour(F.col("time")).alias("time"), "parameter", "value")
-    return series.to_wide(rows, ["station", "time"], ["click", "view", "error"], field="parameter")
+    return series.to_wide(rows, ["station", "time"], ["click", "view", "error", "signup", "purchase"], field="parameter")

@@ -43,12 +43,12 @@ def rank_donors(x):
 
 
 @query("C3", sql="""
-WITH h AS (SELECT request, start + INTERVAL '1' HOUR * CAST(k.id - 1 AS INT) AS time,
-                  least(start + INTERVAL '1' HOUR * hours, TIMESTAMP '2024-01-20 03:00:00' - INTERVAL '7' HOUR) AS e FROM request JOIN range(130) AS k(id) ON k.id <= hours + 2),
+WITH h AS (SELECT request, unnest(generate_series(start - INTERVAL '1' HOUR, start + INTERVAL '1' HOUR * (hours + 1), INTERVAL '1' HOUR)) AS time,
+                  least(start + INTERVAL '1' HOUR * hours, TIMESTAMP '2024-01-19 20:00:00') AS e FROM request),
 l AS (SELECT request, time, date_trunc('day', e)::TIMESTAMP + CASE WHEN hour(e) >= 12 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END AS latest FROM h),
-held AS (SELECT DISTINCT issue_time AS cycle, lead_h AS lead, valid_time FROM forecast),
-hit AS (SELECT l.request, l.time, max(c.cycle) AS cycle FROM l JOIN held c ON c.valid_time = l.time AND c.cycle <= l.latest AND c.lead BETWEEN 0 AND 36 GROUP BY 1, 2)
-SELECT l.request, l.time, l.latest, hit.cycle, CAST(datediff('hour', hit.cycle, l.time) AS INT) AS lead FROM l LEFT JOIN hit ON l.request = hit.request AND l.time = hit.time""")
+held AS (SELECT valid_time, list(DISTINCT issue_time) AS cycles FROM forecast WHERE lead_h BETWEEN 0 AND 36 GROUP BY 1),
+p AS (SELECT l.*, list_max(list_filter(cycles, lambda c: c <= latest)) AS cycle FROM l LEFT JOIN held ON valid_time = time)
+SELECT request, time, latest, cycle, CAST(datediff('hour', cycle, time) AS INT) AS lead FROM p""")
 def plan_records(x):
     hours = times.frame_times(x.request.select("request", "start", "hours"), "start", "hours")
     latest = forecast.newest_cycle(times.add_hours(F.col("start"), F.col("hours")), times.ts("2024-01-20 03:00:00"))
@@ -177,18 +177,20 @@ def mouth_summary(x):
 
 
 @query("C11", sql="""
-WITH c AS (SELECT date_trunc('hour', time)::TIMESTAMP AS time, station, max(value) AS v FROM obs WHERE parameter = 'click' AND time >= TIMESTAMP '2024-01-02 05:00:00' GROUP BY 1, 2),
-v AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL '3' HOUR * CAST(floor(datediff('hour', TIMESTAMP '2024-01-01', time) / 3e0) AS INT) AS time, station, max(value) AS v FROM obs WHERE parameter = 'view' AND time < TIMESTAMP '2024-01-28' GROUP BY 1, 2),
-j AS (SELECT time, station, c.v AS click, v.v AS view FROM c FULL JOIN v USING (time, station)),
-s AS (SELECT greatest((SELECT min(time) FROM c), (SELECT min(time) FROM v)) AS t0, least((SELECT max(time) FROM c), (SELECT max(time) FROM v)) AS t1)
-SELECT j.* FROM j, s WHERE time BETWEEN t0 AND t1""")
+WITH l AS (SELECT parameter, date_trunc('day', time)::TIMESTAMP + INTERVAL '1' HOUR * CAST(CASE parameter WHEN 'view' THEN 3 * floor(hour(time) / 3e0) WHEN 'error' THEN 6 * floor(hour(time) / 6e0) WHEN 'signup' THEN 12 * floor(hour(time) / 12e0) ELSE hour(time) END AS INT) AS time, station, max(value) AS v FROM obs GROUP BY 1, 2, 3),
+w AS (SELECT time, station, max(v) FILTER (parameter = 'click') AS click, max(v) FILTER (parameter = 'view') AS view, max(v) FILTER (parameter = 'error') AS error,
+             max(v) FILTER (parameter = 'signup') AS signup, max(v) FILTER (parameter = 'purchase') AS purchase FROM l GROUP BY 1, 2),
+s AS (SELECT max(t0) AS t0, min(t1) AS t1 FROM (SELECT parameter, min(time) AS t0, max(time) AS t1 FROM l GROUP BY 1) a)
+SELECT w.* FROM w, s WHERE time BETWEEN t0 AND t1""")
 def merge_fields(x):
-    click = x.obs.where((F.col("parameter") == "click") & (F.col("time") >= times.ts("2024-01-02 05:00:00")))
-    view = x.obs.where((F.col("parameter") == "view") & (F.col("time") < times.ts("2024-01-28 00:00:00")))
-    click = click.groupBy(times.floor_hour(F.col("time")).alias("time"), "station").agg(F.max("value").alias("value"))
-    third = times.hour_index(F.col("time"))
-    view = view.groupBy(times.from_hour(third - F.pmod(third, F.lit(3))).alias("time"), "station").agg(F.max("value").alias("value"))
-    return joins.merge_fields({"click": click, "view": view}, ["time", "station"])
+    hour = times.hour_index(F.col("time"))
+
+    def every(name, step):
+        rows = x.obs.where(F.col("parameter") == name)
+        return rows.groupBy(times.from_hour(hour - F.pmod(hour, F.lit(step))).alias("time"), "station").agg(F.max("value").alias("value"))
+
+    cadences = {"click": 1, "view": 3, "error": 6, "signup": 12, "purchase": 1}
+    return joins.merge_fields({name: every(name, step) for name, step in cadences.items()}, ["time", "station"])
 
 
 def windows_of(x):
@@ -221,7 +223,7 @@ c AS (SELECT h.*, s.segment FROM h JOIN s ON h.time >= s.start AND (s.nxt IS NUL
 SELECT station, time, max(segment) AS segment, max(value) AS value FROM c GROUP BY 1, 2""")
 def stitch_segments(x):
     hourly = x.obs.groupBy("station", times.floor_hour(F.col("time")).alias("time")).agg(F.max("value").alias("value"))
-    span = hourly.agg(F.min("time").alias("start"), F.max("time").alias("end")).withColumn("request", F.lit(0))
+    span = hourly.agg(F.min("time").alias("start"), times.add_hours(F.max("time"), 1).alias("end")).withColumn("request", F.lit(0))
     pieces = joins.split_window(span, x.segment)
     # Each piece is read with both ends, so the time of a switch comes twice.
     copies = joins.overlap_join(hourly.withColumn("until", F.col("time")), pieces, ("time", "until"), ("piece_start", "piece_end"), times.DAY_US)

@@ -35,13 +35,13 @@ def resolve_source(x):
 
 
 @query("A3", "F5", sql="""
-WITH expected AS (SELECT request, start + INTERVAL '1' HOUR * CAST(h.id AS INT) AS time FROM request CROSS JOIN range(0, 12) AS h(id)),
+WITH expected AS (SELECT request, unnest(generate_series(start, start + INTERVAL '1' HOUR * (hours - 1), INTERVAL '1' HOUR)) AS time FROM request),
 got AS (SELECT DISTINCT station AS request, date_trunc('hour', time) AS time FROM obs)
 SELECT e.request, count(*) AS n_expected, count(*) FILTER (WHERE g.time IS NULL) AS n_missing,
        min(e.time) FILTER (WHERE g.time IS NULL) AS first_missing, count(*) FILTER (WHERE g.time IS NULL) = 0 AS may_serve
 FROM expected e LEFT JOIN got g ON e.request = g.request AND e.time = g.time GROUP BY 1""")
 def missing_hours(x):
-    asked = times.frame_times(x.request.select("request", "start", F.lit(11).alias("hours")), "start", "hours", before=0, after=0)
+    asked = times.frame_times(x.request.select("request", "start", (F.col("hours") - 1).alias("hours")), "start", "hours", before=0, after=0)
     got = x.obs.select(F.col("station").alias("request"), times.floor_hour(F.col("time")).alias("time"))
     return scan.serve_decision(asked.select("request", "time"), got, "request", ["request", "time"])
 
@@ -110,7 +110,7 @@ def publish_and_read(x):
     first = hours.where(~held)
     again = hours.where(held).unionByName(hours.where(F.hour("time") == 0).withColumn("value", F.col("value") + 1000))
     store, staging, manifest = ["parameter", "day"], base + "/staging", base + "/manifest"
-    for attempt, rows in ((1, first), (2, again), (2, again), (3, hours.withColumn("value", F.lit(-1.0)))):
+    for attempt, rows in ((1, first), (2, again), (2, again), (3, hours.withColumn("value", -F.col("value")))):
         publish.publish(rows, store, ["value"], 24, staging, manifest, attempt, cells=["time"])
     return publish.read_published(x.spark, hours.schema, store, staging, manifest).withColumn("value", F.round("value", 6))
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldspark.functions import geo, times
+from fieldspark.functions import times
 from fieldspark.operators import sets
 from fieldspark.registry import query
 from fieldspark.sources import scan
 
 
-@query("F1", sql="SELECT point, lon, lat FROM point WHERE lon BETWEEN -74.5 AND -72 AND lat BETWEEN 39.5 AND 42 ORDER BY lon, point")
+@query("F1", sql="SELECT point, lon, lat FROM point ORDER BY lon, point")
 def ordered_sites(x):
-    return x.point.where(geo.in_box(F.col("lon"), F.col("lat"), -74.5, 39.5, -72.0, 42.0)).orderBy("lon", "point")
+    return x.point.orderBy("lon", "point")
 
 
 @query("F2", sql="""
@@ -37,9 +37,10 @@ def union_parts(x):
 
 
 @query("F5", sql="""
-WITH a AS (SELECT DISTINCT request AS station, CAST(start AS DATE) + CAST(k.id AS INT) AS day FROM request CROSS JOIN range(5) AS k(id)) SELECT station, day FROM a EXCEPT SELECT station, CAST(time AS DATE) FROM obs""")
+WITH a AS (SELECT DISTINCT request AS station, CAST(unnest(generate_series(date_trunc('day', start)::TIMESTAMP, start + INTERVAL '1' HOUR * (hours - 1), INTERVAL '1' DAY)) AS DATE) AS day FROM request)
+SELECT station, day FROM a EXCEPT SELECT station, CAST(time AS DATE) FROM obs""")
 def missing_days(x):
-    days = F.explode(F.sequence(F.to_date("start"), F.date_add(F.to_date("start"), 4)))
+    days = F.explode(F.sequence(F.to_date("start"), F.to_date(times.add_hours(F.col("start"), F.col("hours") - 1))))
     wanted = x.request.select(F.col("request").alias("station"), days.alias("day"))
     return scan.missing_hours(wanted, x.obs.select("station", F.to_date("time").alias("day")), ["station", "day"]).distinct()
 

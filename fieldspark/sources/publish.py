@@ -117,8 +117,8 @@ def publish(
     store that they touch, and list the complete ones. Returns the verdict on the touched stores, readers use `published`.
 
     Of records that come twice the first whole one counts; a listed store is never listed again. An attempt that has ended changes
-    nothing when it is run again; one that broke off starts anew. Only log rows of the touched stores are read (the log
-    is laid out by store), the staged rows of other attempts never. A store with a null key can't be listed."""
+    nothing when it is run again; one that broke off starts anew. Of other attempts the log is read, a short row per record, their
+    staged rows never. A store with a null key can't be listed."""
     spark = df.sparkSession
     store = [store] if isinstance(store, str) else list(store)
     attempt = clock.time_ns() // 1000 if attempt is None else attempt
@@ -128,7 +128,7 @@ def publish(
         day = _folder_column(df.columns)
         df.withColumn(day, F.to_date("time")).write.mode("overwrite").partitionBy(day).parquet(staged)
         rows = _read(spark, staged, StructType(list(df.schema)).add(day, DateType()))
-        records_of(rows, store, fields, cells=cells).write.mode("overwrite").partitionBy(*store).parquet(f"{log}/attempt={attempt}")
+        records_of(rows, store, fields, cells=cells).write.mode("overwrite").parquet(f"{log}/attempt={attempt}")
         listed = _read(spark, manifest, manifest_schema(df.schema, store)).where(F.col("listing") < attempt).select(*store)
         gate = _touched_gate(spark, df.schema, store, expected, log, attempt).join(listed, store, "left_anti")
         gate.where("complete").write.mode("overwrite").parquet(done)
