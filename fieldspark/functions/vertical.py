@@ -19,17 +19,16 @@ def stretching(s: Column, cs: Column, h: Column, hc: float) -> Column:
 
 
 def z_levels(depth: float, spacing: float) -> tuple[list[float], list[float]]:
-    """Fixed z level centres and faces covering 0 to -depth, bottom to top. Index times spacing, never
-    repeated addition."""
-    if spacing <= 0:
-        raise ValueError(f"vertical spacing must be positive, got {spacing}")
-    n = max(1, math.ceil(depth / spacing))
-    faces = [-spacing * k for k in range(n, -1, -1)]
-    return [0.5 * (a + b) for a, b in zip(faces, faces[1:])], faces
+    """Centres and faces of the fewest layers `spacing` thick that reach from the surface down to `depth`, one at least, from
+    the lowest up: what `levels_for_depth` gives, for one depth known beforehand."""
+    if not spacing > 0:
+        raise ValueError("layers need a thickness above zero")
+    upward = range(max(1, math.ceil(depth / spacing)), 0, -1)
+    return [spacing * (0.5 - k) for k in upward], [*(-spacing * k for k in upward), 0.0]
 
 
 def levels_for_depth(depth: Column, spacing: float) -> Column:
-    """The same level centres as an array column, one array per row's own depth."""
+    """Level centres as an array column, one array per row's own depth."""
     n = F.greatest(F.lit(1), F.ceil(depth / spacing).cast("int"))
     return F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: (k.cast("double") - 0.5) * (-spacing))
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.functions import geo, ordered, times
+from fieldspark.functions import geo, keys, ordered, times
 from fieldspark.functions.scales import finite
 from fieldspark.operators import selection, sizes
 from fieldspark.session import materialise
@@ -41,6 +41,44 @@ def footprints(rows: DataFrame, store: str = "store_id") -> DataFrame:
     return ends.select(store, *box, "time_start", "time_end", "records")
 
 
+ATTRIBUTES = ("type", "source", "donor_id", "donor", "schema")
+
+
+def entries(stores: DataFrame, axes: DataFrame, moments: DataFrame, files: DataFrame) -> DataFrame:
+    """Whole catalogue entries, one per row of `stores(store_id, path, attributes map<string,string>)`: box, first and last time,
+    records, cadence in hours, family, kind, bytes and number of files; each null where it can't be told.
+
+    `axes(store_id, axis, position, value)` holds each store's lon and lat in order: axes that only count their positions, and
+    latitudes past 90 or longitudes outside -180..360, are no places, and then the attribute `bbox` (west,south,east,north) may
+    say. `moments(store_id, time)` may be empty for a store: then `target_date`, else `start_time`, is its first and last time.
+    `files(store_id, bytes)` are its parts. Axes, times and files are each combined before they are moved; no list of a store is held."""
+    good = axes.where(finite(F.col("value")))
+    per_axis = good.groupBy("store_id", "axis").agg(
+        F.min("value").alias("_least"), F.max("value").alias("_most"),
+        ((F.count(F.lit(1)) > 2) & F.bool_and(F.col("value") == F.col("position"))).alias("_index"),
+        F.min(F.when(F.col("value") > 180, F.col("value") - 360.0).otherwise(F.col("value"))).alias("_west"),
+        F.max(F.when(F.col("value") > 180, F.col("value") - 360.0).otherwise(F.col("value"))).alias("_east"),
+    )
+    at = {f"{a}{c}": F.max(F.when(F.col("axis") == a, F.col(c))) for a in ("lon", "lat") for c in ("_least", "_most", "_index", "_west", "_east")}
+    wide = per_axis.groupBy("store_id").agg(*[c.alias(n) for n, c in at.items()])
+    places = ~F.col("lon_index") & F.col("lat_least").between(-90, 90) & F.col("lat_most").between(-90, 90) & (F.col("lon_least") >= -180) & (F.col("lon_most") <= 360)
+    named = F.transform(F.split(F.try_element_at("attributes", F.lit("bbox")), ","), lambda v: F.trim(v).try_cast("double"))
+    told = F.when((F.size(named) == 4) & ~F.exists(named, lambda v: v.isNull()), named)
+    spans = moments.groupBy("store_id").agg(F.min("time").alias("_t0"), F.max("time").alias("_t1"), F.count_distinct("time").alias("records"))
+    sizes_ = files.groupBy("store_id").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    out = stores.join(wide, "store_id", "left").join(spans, "store_id", "left").join(cadence(moments, ["store_id"]), "store_id", "left").join(sizes_, "store_id", "left")
+    said = F.coalesce(*[F.try_element_at("attributes", F.lit(c)).try_cast("timestamp_ntz") for c in ("target_date", "start_time")])
+    text = F.concat_ws(" ", "path", *[F.try_element_at("attributes", F.lit(c)) for c in ATTRIBUTES])
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.coalesce(keys.classify_stem(name, KIND_RULES), F.when(F.lower(name).rlike("\\.(grib2?|nc)$"), "raw donor file"))
+    box = {"west": ("lon_west", 0), "south": ("lat_least", 1), "east": ("lon_east", 2), "north": ("lat_most", 3)}
+    return out.select(
+        "store_id", *[F.coalesce(F.when(places, F.round(c, 4)), F.get(told, F.lit(i))).alias(n) for n, (c, i) in box.items()],
+        F.coalesce("_t0", said).alias("time_start"), F.coalesce("_t1", said).alias("time_end"), F.coalesce("records", F.lit(0)).alias("records"), F.col("step_h").alias("cadence_h"),
+        keys.classify(text, FAMILY_RULES).alias("family"), kind.alias("kind"), "bytes", F.coalesce("files", F.lit(0)).alias("files"),
+    )
+
+
 def coverage(catalog: DataFrame, box: Sequence[float] | None = None) -> DataFrame:
     """Per family and UTC day: hours covered (of 24) and stores. A store's span is listed by day with the hours
     as bits, so hours are never listed one by one and nothing needs a distinct."""

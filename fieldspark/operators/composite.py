@@ -47,13 +47,11 @@ def _decimal(number: int) -> Column:
 
 def composite(pixels: DataFrame, as_of: Column, days: int) -> DataFrame:
     """Per pixel the newest valid value in [as_of - days, as_of], its age and which sensor gave it. At equal
-    times the sensor listed first wins. `product_index` counts only the sensors with data in the window. One
+    times the sensor listed first wins, whatever its number. `product_index` counts only the sensors with data in the window. One
     shuffle, after partial aggregation; the few sensors are one broadcast row."""
     window = pixels.where((F.col("time") <= as_of) & (F.col("time") >= F.timestamp_add("DAY", F.lit(-days), as_of)))
     used = window.agg(F.array_sort(F.collect_set("sensor")).alias("_used"))
-    # test_composite_ties_go_opposite_ways asks for this refusal; the order itself takes any sensor.
-    sensor = F.when(F.col("sensor").between(0, 63), F.col("sensor").cast("long")).otherwise(F.raise_error(F.lit("sensors are ranked 0 to 63")).cast("long"))
-    order = newest(F.col("time"), F.bitwise_not(sensor))
+    order = newest(F.col("time"), F.bitwise_not(F.col("sensor").cast("long")))
     best = valid_pixels(window).withColumn("_o", order).groupBy("iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     return best.join(sizes.one_row(used)).select(
         "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), as_of).alias("age_days"),
@@ -70,15 +68,17 @@ def composite_series(pixels: DataFrame, first: str, step_days: int, frames: int,
     step_us = step_days * times.DAY_US
     since = F.timestamp_diff("MICROSECOND", times.ts(first), F.col("time"))
     opened = F.greatest(F.lit(0), F.ceil(since / F.lit(float(step_us))).cast("int"))
-    rows = valid_pixels(pixels).where(since <= F.lit((frames - 1) * step_us)).withColumn("_o", newest(F.col("time"), F.col("sensor")))
+    # Both ends as plain comparisons of the stored column, which prune files and row groups.
+    begin, end = F.timestamp_add("DAY", F.lit(-days), times.ts(first)), F.timestamp_add("DAY", F.lit((frames - 1) * step_days), times.ts(first))
+    rows = valid_pixels(pixels.where(F.col("time").between(begin, end))).withColumn("_o", newest(F.col("time"), F.col("sensor")))
     kept = rows.groupBy("iy", "ix", opened.alias("_k0")).agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
     until = F.timestamp_diff("MICROSECOND", times.ts(first), newest_time(F.col("_o"))) + F.lit(days * times.DAY_US)
     last = F.least(F.lit(frames - 1), F.floor(until / F.lit(float(step_us))).cast("int"))
     served = kept.withColumn("_k1", last).where(F.col("_k0") <= F.col("_k1")).withColumn("frame", F.explode(F.sequence("_k0", "_k1")))
     out = served.groupBy("frame", "iy", "ix").agg(F.max_by("value", "_o").alias("value"), F.max("_o").alias("_o"))
-    end = F.timestamp_add("DAY", F.col("frame") * step_days, times.ts(first))
+    at = F.timestamp_add("DAY", F.col("frame") * step_days, times.ts(first))
     return out.select(
-        "frame", end.alias("time"), "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), end).alias("age_days"), newest_rank(F.col("_o")).cast(pixels.schema["sensor"].dataType).alias("sensor")
+        "frame", at.alias("time"), "iy", "ix", "value", times.age_days(newest_time(F.col("_o")), at).alias("age_days"), newest_rank(F.col("_o")).cast(pixels.schema["sensor"].dataType).alias("sensor")
     )
 
 

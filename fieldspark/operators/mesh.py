@@ -58,7 +58,7 @@ def neighbours(elements: DataFrame) -> DataFrame:
     more than two elements is an error. Each edge is one group of at most two rows."""
     edges = _edge_groups(elements)
     checked = edges.withColumn(
-        "_n", F.when(F.col("_n") > 2, F.raise_error(F.lit("an edge is shared by more than two elements")).cast("long")).otherwise(F.col("_n"))
+        "_n", F.when(F.col("_n") > 2, F.raise_error(F.lit("more than two elements meet at one edge")).cast("long")).otherwise(F.col("_n"))
     )
     both = F.array(
         F.struct(F.col("_a.elem").alias("elem"), F.col("_a.k").alias("k"), F.when(F.col("_n") == 2, F.col("_b.elem")).otherwise(COAST).alias("neighbour")),
@@ -94,8 +94,8 @@ def subset_elements(corners: DataFrame, box: Sequence[float]) -> DataFrame:
 
 def subset_mesh(elements: DataFrame, nodes: DataFrame, box: Sequence[float]) -> tuple[DataFrame, DataFrame]:
     """(elements, nodes) of a box. Elements carry nb0..nb2: the neighbour's global id, -1 at the coast, -2 where
-    it lies outside the subset. Nodes carry `on_boundary`. Both are found on the whole mesh, so the subset's own
-    rim does not look like coast."""
+    it lies outside the subset. Nodes carry `on_boundary`. The whole mesh decides both: where the box cuts through water there is
+    no shore."""
     kept = subset_elements(element_corners(elements, nodes), box).select("elem", "n0", "n1", "n2")
     ids = kept.select("elem")
     across = neighbours(elements).join(ids, "elem", "left_semi")

@@ -60,7 +60,8 @@ def rivers(
     temp = None
     if temperature is not None:
         t = of_mouths(series.hourly_centred(in_reach(temperature), ["station"]))
-        temp = river_ops.apply_lag(series.interpolate_limit(t, windows, key, max_gap), gauges)
+        # Needed twice: for which gauges have a record, and for the values.
+        temp = materialise(river_ops.apply_lag(series.interpolate_limit(t, windows, key, max_gap), gauges), "temperature")
     return RiverResult(river_ops.river_discharge(at_mouth, gauges, summary, temp), selection, summary)
 
 

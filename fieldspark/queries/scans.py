@@ -178,18 +178,56 @@ def catalog_footprint(x):
     return catalog.footprints(rows)
 
 
+@query("A12", "B19", "D13", sql="""
+WITH c AS (SELECT *, store_id % 7 = 0 AS counted, store_id % 5 = 1 AS timeless,
+                  CASE store_id % 4 WHEN 0 THEN 'hycom' WHEN 1 THEN 'era5' WHEN 2 THEN 'nwps' ELSE 'other' END || CASE WHEN store_id % 6 = 0 THEN '/raw.grib2' ELSE '/obc_x.zarr' END AS p FROM catalog),
+t AS (SELECT store_id, unnest([time_start, time_start + INTERVAL '2' HOUR, time_end]) AS time FROM c WHERE NOT timeless),
+s AS (SELECT store_id, time, lead(time) OVER (PARTITION BY store_id ORDER BY time) AS n FROM t),
+d AS (SELECT store_id, min(time) AS t0, max(time) AS t1, count(*) AS records, median(datediff('second', time, n) / 3600e0) AS step FROM s GROUP BY 1)
+SELECT c.store_id, CASE WHEN counted THEN -70e0 ELSE round(west, 4) END AS west, CASE WHEN counted THEN 40e0 ELSE round(south, 4) END AS south, CASE WHEN counted THEN -69.5e0 ELSE round(east, 4) END AS east,
+       CASE WHEN counted THEN 41e0 ELSE round(north, 4) END AS north, coalesce(d.t0, TIMESTAMP '2001-02-03') AS time_start, coalesce(d.t1, TIMESTAMP '2001-02-03') AS time_end, coalesce(d.records, 0) AS records, d.step AS cadence_h,
+       CASE store_id % 4 WHEN 0 THEN 'HYCOM' WHEN 1 THEN 'ERA5' WHEN 2 THEN 'NWPS' END AS family, CASE WHEN store_id % 6 = 0 THEN 'raw donor file' ELSE 'ocean boundary' END AS kind,
+       CAST(round(bytes) AS BIGINT) AS bytes, 2 AS files FROM c LEFT JOIN d USING (store_id)""")
+def catalog_entries(x):
+    from fieldspark.operators import catalog
+
+    every = F.col("store_id")
+    donor = F.when(every % 4 == 0, "hycom").when(every % 4 == 1, "era5").when(every % 4 == 2, "nwps").otherwise("other")
+    c = x.catalog.withColumns({"counted": every % 7 == 0, "timeless": every % 5 == 1})
+    attributes = F.when(F.col("timeless") | F.col("counted"), F.create_map(F.lit("target_date"), F.lit("2001-02-03"), F.lit("bbox"), F.lit("-70, 40, -69.5, 41")))
+    stores = c.select("store_id", F.concat(donor, F.when(every % 6 == 0, "/raw.grib2").otherwise("/obc_x.zarr")).alias("path"), attributes.alias("attributes"))
+
+    def axis(name, low, high):
+        # Some stores count 0, 1, 2 instead of giving longitudes, others give them as 0..360.
+        values = F.array(F.col(low) + F.lit(360.0 if name == "lon" else 0.0), (F.col(low) + F.col(high)) / 2, F.col(high), F.lit(float("nan")))
+        if name == "lon":
+            values = F.when(F.col("counted"), F.array(*[F.lit(float(k)) for k in range(4)])).otherwise(values)
+        return c.select("store_id", F.lit(name).alias("axis"), F.posexplode(values).alias("position", "value"))
+
+    axes = axis("lon", "west", "east").unionByName(axis("lat", "south", "north"))
+    moments = c.where("NOT timeless").select("store_id", F.explode(F.array("time_start", times.add_hours(F.col("time_start"), 2), "time_end")).alias("time"))
+    whole = F.round("bytes").cast("long")
+    files = c.select("store_id", F.explode(F.array(F.floor(whole / 3).cast("long"), whole - F.floor(whole / 3).cast("long"))).alias("bytes"))
+    out = catalog.entries(stores, axes, moments, files)
+    return out.withColumn("files", F.col("files").cast("int"))
+
+
 @query("A13", sql="""
 SELECT store_id, 'Feature' AS type, west AS bbox_west, north AS bbox_north, strftime(time_start, '%Y-%m-%dT%H:%M:%SZ') AS start_datetime,
-       strftime(time_end, '%Y-%m-%dT%H:%M:%SZ') AS end_datetime, kind, family AS donor, east AS corner_east FROM catalog""")
+       strftime(time_end, '%Y-%m-%dT%H:%M:%SZ') AS end_datetime, kind, family AS donor, east AS corner_east, '1.0.0' AS stac_version, 1 AS extensions,
+       CASE WHEN provisional THEN 'obc-2' ELSE 'legacy' END AS schema, CAST(store_id % 3 AS VARCHAR) AS store_version, 'https://example.org/stores/' || store_id AS href, 2 AS zarr_format FROM catalog""")
 def stac_items(x):
     layout = (
-        "type string, bbox array<double>, geometry struct<coordinates: array<array<array<double>>>>, "
-        "properties struct<start_datetime: string, end_datetime: string, kind: string, donor: string>"
+        "type string, stac_version string, stac_extensions array<string>, bbox array<double>, geometry struct<coordinates: array<array<array<double>>>>, "
+        "properties struct<start_datetime: string, end_datetime: string, kind: string, donor: string, schema: string, store_version: string>, "
+        "assets struct<data: struct<href: string, `xarray:open_kwargs`: struct<zarr_format: int>>>"
     )
-    items = publish.stac_items(x.catalog, "https://example.org").withColumn("f", F.from_json("feature", layout))
+    stores = x.catalog.withColumns({"schema": F.when(F.col("provisional"), "obc-2"), "version": F.col("store_id") % 3})
+    items = publish.stac_items(stores, "https://example.org").withColumn("f", F.from_json("feature", layout))
     return items.select(
         "store_id", "f.type", F.col("f.bbox")[0].alias("bbox_west"), F.col("f.bbox")[3].alias("bbox_north"), "f.properties.*",
-        F.col("f.geometry.coordinates")[0][1][0].alias("corner_east"),
+        F.col("f.geometry.coordinates")[0][1][0].alias("corner_east"), "f.stac_version", F.size("f.stac_extensions").alias("extensions"),
+        F.col("f.assets.data.href").alias("href"), F.col("f.assets.data")["xarray:open_kwargs"]["zarr_format"].alias("zarr_format"),
     )
 
 

@@ -89,3 +89,18 @@ def parent_ocean_field(x):
         layer_z=F.col("layer") * -1.9 + 0.7, bed=-(F.col("target") % 9 + 6.0),
     )
     return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 6).alias("value"))
+
+
+@query("C3", "D11", "S6", sql="""
+WITH held AS (SELECT issue_time AS cycle, lead_h AS lead, valid_time, count(DISTINCT event_id % 2) AS f FROM forecast WHERE issue_time <= TIMESTAMP '2024-01-25 03:00:00' - INTERVAL '7' HOUR GROUP BY 1, 2, 3),
+complete AS (SELECT cycle FROM held WHERE lead BETWEEN 1 AND 6 AND f = 2 GROUP BY 1 HAVING count(*) = 6),
+hour AS (SELECT valid_time, list(DISTINCT cycle) AS cycles FROM held SEMI JOIN complete USING (cycle) WHERE lead BETWEEN 0 AND 6 GROUP BY 1),
+r AS (SELECT request, start, unnest(generate_series(start - INTERVAL '1' HOUR, start + INTERVAL '1' HOUR * (hours + 1), INTERVAL '1' HOUR)) AS time, least(start + INTERVAL '1' HOUR * hours, TIMESTAMP '2024-01-24 20:00:00') AS e FROM request),
+l AS (SELECT *, date_trunc('day', e)::TIMESTAMP + CASE WHEN hour(e) >= 12 THEN INTERVAL '12' HOUR ELSE INTERVAL '0' HOUR END AS latest FROM r),
+p AS (SELECT l.*, list_max(list_filter(cycles, lambda c: c <= latest)) AS cycle FROM l LEFT JOIN hour ON valid_time = time)
+SELECT request, time, cycle, CAST(datediff('hour', cycle, time) AS INT) AS lead FROM p""")
+def waves_request(x):
+    field = F.when(F.col("event_id") % 2 == 0, "hs").otherwise("tp")
+    cycles = x.forecast.select(F.col("issue_time").alias("cycle"), F.col("lead_h").alias("lead"), field.alias("field"))
+    out = plans.waves(x.request.select("request", "start", "hours"), cycles, times.ts("2024-01-25 03:00:00"), fields=["hs", "tp"], leads=6)
+    return out.select("request", "time", "cycle", "lead")

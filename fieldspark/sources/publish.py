@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DateType, LongType, StringType, StructType, TimestampNTZType
 
-from fieldspark.functions import keys, times
+from fieldspark.functions import geo, keys, times
 
 
 def records_of(df: DataFrame, store: Sequence[str], fields: Sequence[str], *, time: str = "time", cells: Sequence[str] = ()) -> DataFrame:
@@ -174,30 +174,56 @@ def write_archive(days: DataFrame, archive: str, group: Sequence[str]) -> None:
     days.sortWithinPartitions(*group, "day", "time").write.mode("append").partitionBy(*group, "day").parquet(archive)
 
 
-def stac_items(catalog: DataFrame, base_url: str = "") -> DataFrame:
-    """One JSON feature per finished store of `catalog(store_id, kind, family, box, time_start, time_end)`."""
+# The version of the item layout and the extension that names how an asset is opened.
+STAC_VERSION = "1.0.0"
+XARRAY_ASSETS = "https://stac-extensions.github.io/xarray-assets/v1.0.0/schema.json"
+ZARR_MEDIA_TYPE = "application/vnd+zarr"
+
+
+def stac_items(catalog: DataFrame, base_url: str = "", prefix: str = "") -> DataFrame:
+    """One JSON feature (STAC item) per finished store of `catalog(store_id, kind, family, west, south, east, north, time_start, time_end)`, and
+    where it has them `schema` (else legacy) and `version`. `prefix` stands before the names of the properties that are not STAC's
+    own. Longitudes past 180 are wrapped; a store without a box has neither bbox nor geometry."""
     def iso(c: str) -> Column:
         return F.date_format(F.col(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
-    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
+    def held(c: str) -> Column:
+        return F.col(c).cast("string") if c in catalog.columns else F.lit(None).cast("string")
+
+    def wrapped(c: str) -> Column:
+        return F.when(F.col(c) > 180, geo.wrap_lon(F.col(c))).otherwise(F.col(c))
+
+    base = base_url.rstrip("/")
+    s, n = F.col("south"), F.col("north")
+    w, e = wrapped("west"), wrapped("east")
     ring = F.array(F.array(w, s), F.array(e, s), F.array(e, n), F.array(w, n), F.array(w, s))
     bounded = w.isNotNull() & s.isNotNull() & e.isNotNull() & n.isNotNull()
+    ident = F.col("store_id").cast("string")
     feature = F.struct(
         F.lit("Feature").alias("type"),
-        F.col("store_id").cast("string").alias("id"),
+        F.lit(STAC_VERSION).alias("stac_version"),
+        F.array(F.lit(XARRAY_ASSETS)).alias("stac_extensions"),
+        ident.alias("id"),
         F.when(bounded, F.array(w, s, e, n)).alias("bbox"),
         F.when(bounded, F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))).alias("geometry"),
         F.struct(
             F.lit(None).cast("string").alias("datetime"),
             iso("time_start").alias("start_datetime"),
             iso("time_end").alias("end_datetime"),
-            F.col("kind").alias("kind"),
-            F.col("family").alias("donor"),
+            F.col("kind").alias(prefix + "kind"),
+            F.coalesce(held("schema"), F.lit("legacy")).alias(prefix + "schema"),
+            F.col("family").alias(prefix + "donor"),
+            held("version").alias(prefix + "store_version"),
         ).alias("properties"),
+        F.array(
+            F.struct(F.lit("self").alias("rel"), F.concat(F.lit(base + "/items/"), ident).alias("href"), F.lit("application/json").alias("type"))
+        ).alias("links"),
         F.struct(
             F.struct(
-                F.concat(F.lit(base_url.rstrip("/") + "/stores/"), F.col("store_id").cast("string")).alias("href"),
+                F.concat(F.lit(base + "/stores/"), ident).alias("href"),
+                F.lit(ZARR_MEDIA_TYPE).alias("type"),
                 F.array(F.lit("data")).alias("roles"),
+                F.struct(F.lit(True).alias("consolidated"), F.lit(2).alias("zarr_format")).alias("xarray:open_kwargs"),
             ).alias("data")
         ).alias("assets"),
     )

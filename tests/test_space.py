@@ -240,8 +240,10 @@ def test_composite_ties_go_opposite_ways(spark):
     frames = {(r.frame, r.ix): r for r in composite.composite_series(df, "2024-02-29 00:00:00", 1, 12, 2).collect()}
     assert frames[(1, 0)].value == 2.0 and frames[(3, 0)].value == 2.0 and (4, 0) not in frames
     assert {f for f, x in frames if x == 1} == {0, 1, 2} and (0, 0) not in frames
-    with pytest.raises(Exception, match="ranked 0 to 63"):
-        composite.composite(df.withColumn("sensor", F.lit(64)), end, 7).collect()
+    # Sensors of any number, and of either sign, keep their order at equal times.
+    many = spark.createDataFrame([(s, t, 0, s % 5, float(s)) for s in range(-100, 400)], df.schema)
+    for lowest in ({r.ix: (r.value, r.product_index) for r in composite.composite(many, end, 7).collect()},):
+        assert lowest == {x: (float(-100 + x), x) for x in range(5)}
 
 
 def test_coast_mask_is_erosion_by_a_cross(spark):
