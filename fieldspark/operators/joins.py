@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions import geo, ordered, times
 from fieldspark.operators import sizes
+from fieldspark.session import materialise
 
 BOX = ("west", "south", "east", "north")
 
@@ -197,8 +198,9 @@ def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", s
     tile ring are certain to include the nearest when the best found is closer than a tile, so crowded places are
     settled on small tiles; places without such a site go on with tiles `grow` times larger. There the occupied
     small tiles are weighed first, by the least and the greatest distance their sites can have, and only the
-    sites of tiles that can hold the nearest are looked at. The last ring spans the globe."""
-    s = sites.groupBy(F.col("lon").alias("_slon"), F.col("lat").alias("_slat")).agg(F.min(site).alias(site))
+    sites of tiles that can hold the nearest are looked at. Each ring's answers are stored, so the next one starts from the few
+    places that are left, and the search ends with the first ring that leaves none. The last ring spans the globe, poles too."""
+    s = materialise(sites.groupBy(F.col("lon").alias("_slon"), F.col("lat").alias("_slat")).agg(F.min(site).alias(site)), "positions")
     where = points.select(point, F.col("lon").alias("_plon"), F.col("lat").alias("_plat"))
     left = where.select("_plon", "_plat").distinct()
     here = ["_plon", "_plat"]
@@ -241,11 +243,12 @@ def nearest_site(points: DataFrame, sites: DataFrame, *, point: str = "point", s
         hit = F.when(F.col(site).isNotNull(), F.struct(d2.alias("d2"), F.col(site).alias(site)))
         best = look.join(held, ["_tx", "_ty"], "left").groupBy(*here).agg(F.min(hit).alias("_best"))
         sure = F.lit(True) if last else F.coalesce(F.sqrt(F.col("_best.d2") / 1e12) < cos * size, F.lit(False))
-        done = best.where(sure)
+        found = materialise(best.withColumn("_sure", sure), "ring")
+        done = found.where("_sure").drop("_sure")
         answers = done if answers is None else answers.unionByName(done)
-        if last:
+        left = found.where(~F.col("_sure")).select(*here)
+        if last or left.isEmpty():
             break
-        left = best.where(~sure).select(*here)
         size *= grow
     return where.join(answers, here).select(point, F.col(f"_best.{site}").alias(site), (F.col("_best.d2") / 1e12).alias("d2"))
 

@@ -99,6 +99,20 @@ def fills_counted(hours: DataFrame, by: Sequence[str], *, flag: str = "flag") ->
     )
 
 
+def mouth_report(summary: DataFrame, selection: DataFrame, hours: DataFrame, used: DataFrame, *, quality: str = "quality", verified: str = "v") -> DataFrame:
+    """(mouth, gauges, fault, provisional, interpolated, daily_mean, climatology_median, dropped): one row for every mouth of
+    `summary`. Of its gauges' `hours(mouth, time, flag)` the worst fill of each hour counts; `used` are the readings they rest on,
+    provisional unless verified (never where they carry no quality); `dropped` maps each reason to its number of sites. A row per reason is all
+    that is gathered."""
+    worst = fills_counted(hours.groupBy("mouth", "time").agg(F.max("flag").alias("flag")), ["mouth"])
+    loose = (F.coalesce(F.col(quality) != verified, F.lit(True))) if quality in used.columns else F.lit(False)
+    doubt = used.groupBy("mouth").agg(F.bool_or(loose).alias("provisional"))
+    why = reason_counts(selection, ["mouth"]).groupBy("mouth").agg(F.map_from_entries(F.collect_list(F.struct("reason", "n"))).alias("dropped"))
+    out = summary.select("mouth", "gauges", "fault").join(worst, "mouth", "left").join(doubt, "mouth", "left").join(why, "mouth", "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("interpolated", "daily_mean", "climatology_median")]
+    return out.select("mouth", "gauges", "fault", F.coalesce("provisional", F.lit(False)).alias("provisional"), *counts, F.coalesce("dropped", F.create_map().cast("map<string,bigint>")).alias("dropped"))
+
+
 def _gauge(hourly: DataFrame) -> list[str]:
     return [c for c in ("mouth", "station") if c in hourly.columns]
 

@@ -16,11 +16,13 @@ from fieldspark.sources import scan
 
 @dataclass(frozen=True)
 class RiverResult:
-    """Discharge per mouth and hour, the gauge selection with reasons, and a summary per mouth."""
+    """Discharge per mouth and hour, the gauge selection with reasons, a summary per mouth, and a report per mouth: its fault, whether any
+    reading it rests on is provisional, hours filled of each kind, and how many sites each reason dropped."""
 
     discharge: DataFrame
     selection: DataFrame
     summary: DataFrame
+    report: DataFrame
 
 
 def rivers(
@@ -62,7 +64,9 @@ def rivers(
         t = of_mouths(series.hourly_centred(in_reach(temperature), ["station"]))
         # Needed twice: for which gauges have a record, and for the values.
         temp = materialise(river_ops.apply_lag(series.interpolate_limit(t, windows, key, max_gap), gauges), "temperature")
-    return RiverResult(river_ops.river_discharge(at_mouth, gauges, summary, temp), selection, summary)
+    discharge = river_ops.river_discharge(at_mouth, gauges, summary, temp)
+    used = in_reach(readings).join(windows, "station").where(F.col("time").between(F.col("start"), F.col("end")))
+    return RiverResult(discharge, selection, summary, river_ops.mouth_report(summary, selection, at_mouth, used))
 
 
 def satellite(pixels: DataFrame, as_of: Column, days: int, coast_steps: int) -> DataFrame:

@@ -95,6 +95,26 @@ def fills_counted(x):
     return rivers.fills_counted(out.discharge, ["mouth"], flag="fill")
 
 
+@query("D3", "D10", sql=f"""
+WITH {RIVER_SQL},
+fills AS (SELECT mouth, count(*) FILTER (WHERE fill = 1) AS interpolated, count(*) FILTER (WHERE fill = 2) AS daily_mean, count(*) FILTER (WHERE fill = 3) AS climatology_median FROM discharge GROUP BY 1),
+doubt AS (SELECT k.mouth, bool_or(o.quality <> 'v') AS provisional FROM kept k JOIN obs o ON o.station = k.station
+          WHERE o.time BETWEEN TIMESTAMP '2024-01-03 00:00:00' - INTERVAL '1' HOUR * CAST(k.mouth AS INT) AND TIMESTAMP '2024-01-28 00:00:00' - INTERVAL '1' HOUR * CAST(k.mouth AS INT) GROUP BY 1),
+why AS (SELECT mouth, regexp_replace(reason, ' \\(.*', '') AS reason, count(*) AS n FROM selected WHERE reason IS NOT NULL GROUP BY 1, 2),
+drops AS (SELECT mouth, string_agg(reason || ': ' || n, '; ' ORDER BY reason) AS dropped FROM why GROUP BY 1)
+SELECT m.mouth, coalesce(provisional, FALSE) AS provisional, coalesce(interpolated, 0) AS interpolated, coalesce(daily_mean, 0) AS daily_mean, coalesce(climatology_median, 0) AS climatology_median, coalesce(dropped, '') AS dropped
+FROM (SELECT DISTINCT mouth FROM selected) m LEFT JOIN fills USING (mouth) LEFT JOIN doubt USING (mouth) LEFT JOIN drops USING (mouth)""")
+def river_report(x):
+    """One row a mouth: what a user has to know of the river's record."""
+    discharge, daily, normals, _ = river_inputs(x)
+    out = plans.rivers(
+        mouths(x), x.river_site, x.river_record, x.river_below, discharge, daily, normals, None,
+        RIVER_START, RIVER_HOURS, gauge_window=("1996-06-01 00:00:00", "1999-06-01 00:00:00"),
+    )
+    lines = F.transform(F.map_entries("dropped"), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string")))
+    return out.report.drop("gauges", "fault").withColumn("dropped", F.array_join(F.array_sort(lines), "; "))
+
+
 @query("D3", sql=f"WITH {SELECT_SQL} SELECT mouth, regexp_replace(reason, ' \\(.*', '') AS reason, count(*) AS n FROM selected WHERE reason IS NOT NULL GROUP BY 1, 2")
 def reason_counts(x):
     return rivers.reason_counts(selection(x), ["mouth"])
