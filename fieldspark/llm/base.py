@@ -39,6 +39,17 @@ def ship(spark: SparkSession) -> None:
         spark.sparkContext.addFile(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), recursive=True)
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The frame with doc_id and text as they are and c0, c1, ... for all other columns, which so clash with nothing; `named`
+    gives them their names again."""
+    return df.toDF(*[c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(df.columns)])
+
+
+def named(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of `plain_names(...)` under their own names, in their order."""
+    return df.select(*[F.col(c if c in ("doc_id", "text") else f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """Arrow batches through the function that `make` builds once in each task."""
     ship(df.sparkSession)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom
-from fieldspark.llm.base import LOWER, UPPER, map_batches, ship
+from fieldspark.llm.base import LOWER, UPPER, map_batches, named, plain_names, ship
 from fieldspark.llm.bpe import slices
 from fieldspark.llm.components import components, reach
 from fieldspark.session import materialise
@@ -359,6 +359,10 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     members = short.select(F.col("id").alias("doc_id")).union(stuck).distinct()
     # Only texts of members are moved, and the few others that the filter lets pass.
     texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(members, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
+    # Rows that share a doc_id and a text are one, else each of them would be compared with each of a partner's.
+    again = materialise(sets.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
+    if not again.isEmpty():
+        texts = texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").distinct())
     texts = materialise(texts, "texts")
     rare = _rare_first(texts.join(stuck.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent)
     short = short.join(own.select(F.col("doc_id").alias("id"), "n"), "id").select("sig", "id", "n", "lead")
@@ -385,12 +389,16 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is the smallest of its group, with all their columns; of rows that share a doc_id, the
-    least by all columns. Rows without a doc_id stay. Only rows that may go are moved."""
+    """The rows of `docs` whose doc_id is the smallest of its group, with all their columns, whatever their names and types; of
+    rows that share a doc_id, the least by all columns. Rows without a doc_id stay. Only rows that may go are moved."""
+    columns = docs.columns
+    docs = plain_names(docs)
     found = similar(docs, k, percent)
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("first"))
     ids = materialise(ids.filter("doc_id is not null and (n > 1 or not first)").select("doc_id", "first"), "groups")
     flagged = bloom.flagged(docs, bloom.build(ids, "doc_id"), "doc_id")
     maybe = flagged.filter("_maybe").drop("_maybe").join(ids, "doc_id", "left").filter(F.coalesce("first", F.lit(True)))
-    maybe = maybe.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return flagged.filter(~F.col("_maybe")).select(*docs.columns).unionByName(maybe)
+    # Maps have no order, nor what holds one; their JSON does.
+    key = [F.to_json(F.struct(f.name)).alias(f.name) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in docs.schema.fields]
+    maybe = maybe.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*key)).alias("row")).select("row.*")
+    return named(flagged.filter(~F.col("_maybe")).select(*docs.columns).unionByName(maybe), columns)

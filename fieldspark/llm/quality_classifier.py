@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.base import LOWER_STR, SPACE, ship
+from fieldspark.llm.base import LOWER_STR, SPACE, named, plain_names, ship
 from fieldspark.llm.bpe import Memo, slices
 
 #: Documents that labellers read, a quarter of them held out for the thresholds.
@@ -294,5 +294,6 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, keep: tup
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that the classifier keeps, with all their columns."""
-    return classify(docs, labels, sample, tuple(docs.columns)).filter("kept").select(*docs.columns)
+    """The rows of `docs` that the classifier keeps, with all their columns, whatever these are called."""
+    plain = plain_names(docs)
+    return named(classify(plain, labels, sample, tuple(plain.columns)).filter("kept"), docs.columns)
