@@ -90,6 +90,35 @@ def parent_ocean(
     return choice, vertical.sigma_to_z(columns, ["time", "target"], levels, bed)
 
 
+def donor_fields(
+    requests: DataFrame, donors: DataFrame, field: DataFrame, cell_weights: DataFrame, targets: DataFrame, start: str, end: str, records: int, levels: Sequence[float],
+    *, layer_z: Column, bed: Column,
+) -> tuple[DataFrame, DataFrame]:
+    """(donor of each request, its field): every request is served by the best ranked donor whose domain contains it and that delivers the
+    whole window, and by that one only.
+
+    `field` carries (domain, time, layer, iy, ix, value), `cell_weights` (domain, target, iy, ix, w), `targets` (request, target). A donor
+    delivers when it has all `records` times of [start, end); one that has fewer is passed over for the next, as a whole: no
+    request gets some hours from one donor and some from another. `fallback` says that the first choice did not deliver; a request
+    without any donor has no row. Fields of donors that nobody chose are not regridded, and of a chosen one each target once, however many requests share it."""
+    window = scan.scan_window(field, start, end)
+    whole = window.groupBy("domain").agg(F.count_distinct("time").alias("_n")).where(F.col("_n") == records).select("domain")
+    ranked = materialise(joins.rank_donors(requests, donors), "ranked")
+    delivers = ranked.join(whole, "domain", "left_semi")
+    choice = delivers.groupBy("request").agg(F.min_by("domain", "rank").alias("domain"), (F.min("rank") > 1).alias("fallback"))
+    choice = materialise(choice, "chosen")
+    used = choice.join(targets, "request").select("domain", "target").distinct()
+    asked = cell_weights.join(used, ["domain", "target"], "left_semi").withColumn("pair", F.struct("domain", "target"))
+    cells = window.join(used.select("domain").distinct(), "domain", "left_semi")
+    on_target = weights.apply_weights(cells, asked.select("domain", "iy", "ix", "pair", "w"), ["time", "layer"], ["value"], cell=("domain", "iy", "ix"), target="pair")
+    on_target = on_target.select("time", "layer", "pair.domain", "pair.target", "value")
+    key = ["time", "domain", "target"]
+    columns = vertical.build_columns(on_target.withColumn("z", layer_z), key)
+    fields = vertical.sigma_to_z(columns, key, levels, bed)
+    served = choice.select("request", "domain").join(targets, "request")
+    return choice, served.join(fields, ["domain", "target"])
+
+
 def waves(requests: DataFrame, cycles: DataFrame, as_of: Column, *, fields: Sequence[str], leads: int = 144, every: int = 12) -> DataFrame:
     """The cycle and lead that serve each record of each request: complete and posted cycles only. `cycles` has
     (cycle, lead, field)."""

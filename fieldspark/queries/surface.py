@@ -91,6 +91,43 @@ def parent_ocean_field(x):
     return out.select(F.to_date("time").alias("time"), "target", "level", "z", F.round("value", 6).alias("value"))
 
 
+@query("C2", "C6", "E7", name="donor_request", sql="""
+WITH g AS (SELECT time::TIMESTAMP AS time, layer, iy % 4 AS iy, ix % 4 AS ix, CAST(sum(CAST(round(temp * 100000) AS BIGINT)) AS DOUBLE) / count(*) / 100000 AS value FROM grid WHERE time >= DATE '1996-01-01' AND time < DATE '1996-03-01' GROUP BY 1, 2, 3, 4),
+f AS (SELECT d.domain, g.time, g.layer, g.iy, g.ix, g.value + d.domain AS value FROM g CROSS JOIN domain d WHERE NOT (d.domain % 3 = 0 AND day(time) % 5 = 0)),
+whole AS (SELECT domain FROM f GROUP BY 1 HAVING count(DISTINCT time) = (SELECT count(DISTINCT time) FROM grid WHERE time >= DATE '1996-01-01' AND time < DATE '1996-03-01')),
+r AS (SELECT q.request, d.domain, row_number() OVER (PARTITION BY q.request ORDER BY (d.east - d.west) * (d.north - d.south), d.resolution_m, d.domain) AS rank
+      FROM request q JOIN domain d ON d.west <= q.west AND d.south <= q.south AND d.east >= q.east AND d.north >= q.north),
+choice AS (SELECT request, arg_min(domain, rank) AS domain, min(rank) > 1 AS fallback FROM r SEMI JOIN whole USING (domain) GROUP BY 1),
+w AS (SELECT s_suppkey AS target, CAST(s_suppkey % 3 + k.id AS INT) AS iy, CAST(s_suppkey % 4 AS INT) AS ix, CASE WHEN k.id = 0 THEN 0.35355339e0 ELSE 0.64644661e0 END AS w FROM supplier CROSS JOIN range(2) AS k(id) WHERE s_suppkey <= 10),
+t AS (SELECT f.domain, f.time, f.layer, w.target, sum(w.w * f.value) AS v, count(*) AS n FROM f JOIN w ON f.iy = w.iy AND f.ix = w.ix GROUP BY 1, 2, 3, 4),
+c AS (SELECT domain, time, target, layer * -1.9e0 + 0.7e0 AS z, CASE WHEN n = 2 THEN v END AS v FROM t),
+l AS (SELECT CAST(id AS INT) AS level, -1.5e0 - 3 * id AS zt FROM range(3) AS t(id)),
+p AS (SELECT domain, time, target, level, zt, min(z) FILTER (WHERE z >= zt) AS zu, struct_extract(arg_min(struct_pack(v := v), z) FILTER (WHERE z >= zt), 'v') AS vu, max(z) FILTER (WHERE z < zt) AS zl, struct_extract(arg_max(struct_pack(v := v), z) FILTER (WHERE z < zt), 'v') AS vl FROM c CROSS JOIN l GROUP BY 1, 2, 3, 4, 5)
+SELECT h.request, h.domain, h.fallback, p.time, p.target, p.level, CASE WHEN zt >= -(6e0 + p.target % 9) THEN round(CASE WHEN zu IS NULL THEN vl WHEN zl IS NULL THEN vu ELSE vu + (vl - vu) * (zu - zt) / (zu - zl) END, 5) END AS value
+FROM choice h JOIN p ON p.domain = h.domain AND p.target = 1 + h.request % 10""")
+def donor_request(x):
+    window = ("1996-01-01 00:00:00", "1996-03-01 00:00:00")
+    times_ = x.grid.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    records = scan.scan_window(times_, *window).select("time").distinct().count()
+    coarse = times_.groupBy("time", "layer", (F.col("iy") % 4).alias("iy"), (F.col("ix") % 4).alias("ix")).agg(
+        (F.sum(F.round(F.col("temp") * 100000).cast("long")).cast("double") / F.count(F.lit(1)) / 100000.0).alias("value")
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("domain")  # a domain for each nation
+    field = coarse.select(every, "time", "layer", "iy", "ix", "value").withColumn("value", F.col("value") + F.col("domain"))
+    field = field.where(~((F.col("domain") % 3 == 0) & (F.dayofmonth("time") % 5 == 0)))
+    k = F.explode(F.array(F.lit(0), F.lit(1))).alias("k")
+    cells = x.supplier.where("s_suppkey <= 10").select(F.col("s_suppkey").alias("target"), k, F.sequence(F.lit(0), F.lit(24)).alias("d")).select(
+        F.explode("d").alias("domain"), "target", (F.col("target") % 3 + F.col("k")).cast("int").alias("iy"), (F.col("target") % 4).cast("int").alias("ix"),
+        F.when(F.col("k") == 0, 0.35355339).otherwise(0.64644661).alias("w"),
+    )
+    targets = x.request.select("request", (F.col("request") % 10 + 1).alias("target"))
+    choice, fields = plans.donor_fields(
+        x.request, x.domain, field, cells, targets, *window, records, [-1.5, -4.5, -7.5], layer_z=F.col("layer") * -1.9 + 0.7, bed=-(F.col("target") % 9 + 6.0)
+    )
+    out = fields.join(choice.select("request", "fallback"), "request")
+    return out.select("request", "domain", "fallback", "time", "target", "level", F.round("value", 5).alias("value"))
+
+
 @query("C3", "D11", "S6", sql="""
 WITH held AS (SELECT issue_time AS cycle, lead_h AS lead, valid_time, count(DISTINCT event_id % 2) AS f FROM forecast WHERE issue_time <= TIMESTAMP '2024-01-25 03:00:00' - INTERVAL '7' HOUR GROUP BY 1, 2, 3),
 complete AS (SELECT cycle FROM held WHERE lead BETWEEN 1 AND 6 AND f = 2 GROUP BY 1 HAVING count(*) = 6),
