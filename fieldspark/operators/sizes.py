@@ -3,23 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from fieldspark.session import materialise
+
 MOST_ROWS = 10_000
-# Narrow rows (a few numbers each): about 50 MB.
+# Narrow rows (a few numbers each).
 MOST_NARROW_ROWS = 1_000_000
+#: What a broadcast table may take by the width of its columns, whatever its rows.
+MOST_BYTES = 64_000_000
+
+
+def width(schema: T.DataType) -> int:
+    """Bytes that a row of numbers takes, and a guess on the high side for text and lists."""
+    if isinstance(schema, T.StructType):
+        return 16 + sum(width(f.dataType) for f in schema.fields)
+    return 8 if isinstance(schema, (T.NumericType, T.BooleanType, T.DatetimeType)) else 128
 
 
 def is_small(df: DataFrame, rows: int = MOST_ROWS) -> bool:
-    """Whether the frame is counted to have at most `rows` rows; the count stops there."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether the frame is counted to have at most `rows` rows and, by their width, MOST_BYTES; the count stops there."""
+    most = min(rows, MOST_BYTES // width(df.schema))
+    return df.limit(most + 1).count() <= most
 
 
 def small(df: DataFrame, rows: int = MOST_ROWS) -> DataFrame:
-    """A look-up table marked for broadcast when it is small; a larger one is left to the optimiser, which
-    shuffles it. Without the mark the large side of such a join would be shuffled before adaptive execution
-    learns that it need not be."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    """A look-up table, stored once and marked for broadcast when it is small; a larger one is left to the optimiser, which
+    knows its size from its files and shuffles it. The table is computed once, and counted from what is stored. Without the mark the
+    large side of such a join would be shuffled before adaptive execution learns that it need not be."""
+    stored = materialise(df, "look-up")
+    return F.broadcast(stored) if is_small(stored, rows) else stored
 
 
 def one_row(df: DataFrame) -> DataFrame:
