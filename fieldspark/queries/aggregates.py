@@ -84,6 +84,26 @@ def river_discharge(x):
     return out.discharge.withColumns({"discharge": F.round("discharge", 5), "temperature": F.round("temperature", 9)})
 
 
+# Records moved to the years of the readings; each mouth's gauges must cover its own, lagged window.
+LAGGED_SQL = RIVER_SQL.replace(
+    SELECT_SQL[SELECT_SQL.index("covering AS"):SELECT_SQL.index("rule AS")],
+    """covering AS (SELECT DISTINCT s.mouth, s.station FROM river_site s JOIN river_record r ON r.station = s.station WHERE statistic IN ('00011', '00003')
+             AND r.begin_time + INTERVAL '10227' DAY <= TIMESTAMP '2024-01-03 00:00:00' - INTERVAL '1' HOUR * CAST(s.mouth AS INT)
+             AND r.end_time + INTERVAL '10227' DAY >= TIMESTAMP '2024-01-27 00:00:00' - INTERVAL '1' HOUR * CAST(s.mouth AS INT)),
+""",
+).replace("WHEN s.station NOT IN (SELECT station FROM covering) THEN", "WHEN NOT EXISTS (SELECT 1 FROM covering c WHERE c.mouth = s.mouth AND c.station = s.station) THEN")
+
+
+@query("D2", "C10", "E16", sql=f"WITH {LAGGED_SQL} SELECT mouth, time, round(discharge, 5) AS discharge, fill FROM discharge")
+def river_lagged(x):
+    """Each gauge's record must cover the request's window as much earlier as the river takes to its mouth."""
+    discharge, daily, normals, _ = river_inputs(x)
+    move = lambda c: F.timestamp_add("DAY", F.lit(10227), F.col(c))
+    records = x.river_record.withColumns({"begin_time": move("begin_time"), "end_time": move("end_time")})
+    out = plans.rivers(mouths(x), x.river_site, records, x.river_below, discharge, daily, normals, None, RIVER_START, RIVER_HOURS)
+    return out.discharge.withColumn("discharge", F.round("discharge", 5)).select("mouth", "time", "discharge", "fill")
+
+
 @query("D3", sql=f"""
 WITH {RIVER_SQL} SELECT mouth, count(*) FILTER (WHERE fill = 1) AS interpolated, count(*) FILTER (WHERE fill = 2) AS daily_mean, count(*) FILTER (WHERE fill = 3) AS climatology_median FROM discharge GROUP BY 1""")
 def fills_counted(x):
