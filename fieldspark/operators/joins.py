@@ -107,50 +107,45 @@ def catalog_candidates(catalog: DataFrame, requests: DataFrame) -> DataFrame:
     """(request, store_id) and both boxes and spans (marked _b and _a) of the pairs that share a place in two hierarchies, one of tiles and one
     of time buckets, whose levels fit the boxes' and spans' own sizes.
 
-    Of a pair the coarser one is listed on its own level only, under the tiles it touches and those before them; the finer one under
-    the tile of its low corner on each level that the other side uses. Two fine boxes so never meet on a coarse level, and a pair
-    meets once: the finer one starts in a touched tile or in the one before. Spans do the same, each independently."""
+    Of a pair the coarser one is listed on its own level only, the finer one on each coarser level that the other side uses; both
+    under the tiles that they touch there, mostly one or two. Two fine boxes so never meet on a coarse level. A pair counts in the
+    first tile that both touch. Spans do the same, each independently."""
 
     def slim(df: DataFrame, key: str, mark: str) -> DataFrame:
         own = geo.box_level(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
         start, end = F.col("time_start"), F.col("time_end")
-        return df.select(
+        whole = (F.col("west") <= F.col("east")) & (F.col("south") <= F.col("north")) & (start <= end)
+        return df.where(whole).select(
             key, start.alias(mark + "0"), end.alias(mark + "1"), own.alias(mark + "level"), span_level(start, end).alias(mark + "span"), *[F.col(c).alias(mark + c) for c in BOX]
         )
 
     a, b = slim(catalog, "store_id", "_a"), slim(requests, "request", "_b")
     used = [sizes.one_row(df.agg(F.collect_set(mark + "level").alias(mark + "_levels"), F.collect_set(mark + "span").alias(mark + "_spans"))) for df, mark in ((a, "_a"), (b, "_b"))]
 
-    def touched(low: Column, high: Column) -> Column:
-        """The indices from the one before the first touched to the last; none for a null or reversed range."""
-        return F.when(low <= high, F.sequence(low - 1, high))
-
     def side(df: DataFrame, mark: str, other: str, equal: bool) -> DataFrame:
-        def coarser(levels: str, own: str) -> Column:
-            v = F.col(mark + own)
-            return F.filter(other + levels, lambda x: (x >= v) if equal else (x > v))
-
         west, south, east, north = (F.col(mark + c) for c in BOX)
-        level, span, start, end = (F.col(mark + c) for c in ("level", "span", "0", "1"))
-
-        def tile(owner: str, at: Column, x: Column, y: Column) -> Column:
-            return F.struct(F.lit(owner).alias("_so"), at.alias("_sl"), x.alias("_tx"), y.alias("_ty"))
+        start, end = F.col(mark + "0"), F.col(mark + "1")
 
-        def bucket(owner: str, at: Column, i: Column) -> Column:
-            return F.struct(F.lit(owner).alias("_to"), at.alias("_tl"), i.alias("_tb"))
+        def owned(name: str, levels: str) -> Column:
+            """Levels to be listed on, with the side whose level it is: the own one, and the other side's coarser ones."""
+            v = F.col(mark + name)
+            above = F.filter(other + levels, lambda x: (x >= v) if equal else (x > v))
+            mine = F.array(F.struct(F.lit(mark).alias("o"), v.alias("v")))
+            return F.concat(mine, F.transform(above, lambda x: F.struct(F.lit(other).alias("o"), x.alias("v"))))
 
-        rows = touched(geo.level_tile(south, level), geo.level_tile(north, level))
-        own = F.flatten(F.transform(touched(geo.level_tile(west, level), geo.level_tile(east, level)), lambda x: F.transform(rows, lambda y: tile(mark, level, x, y))))
-        lifted = F.transform(coarser("_levels", "level"), lambda v: tile(other, v, geo.level_tile(west, v), geo.level_tile(south, v)))
-        spans = F.transform(touched(_span_bucket(start, span), _span_bucket(end, span)), lambda i: bucket(mark, span, i))
-        lifted_spans = F.transform(coarser("_spans", "span"), lambda v: bucket(other, v, _span_bucket(start, v)))
         for each in used:
             df = df.join(each)
-        df = df.withColumn("_s", F.explode(F.concat(own, lifted))).withColumn("_t", F.explode(F.concat(spans, lifted_spans)))
-        return df.drop("_a_levels", "_b_levels", "_a_spans", "_b_spans").select("*", "_s.*", "_t.*").drop("_s", "_t")
+        df = df.withColumn("_s", F.explode(owned("level", "_levels"))).withColumn("_t", F.explode(owned("span", "_spans")))
+        level, span = F.col("_s.v"), F.col("_t.v")
+        df = df.withColumns({mark + "x": geo.level_tile(west, level), mark + "y": geo.level_tile(south, level), mark + "b": _span_bucket(start, span)})
+        for name, first, last in (("_tx", "x", geo.level_tile(east, level)), ("_ty", "y", geo.level_tile(north, level)), ("_tb", "b", _span_bucket(end, span))):
+            df = df.withColumn(name, F.explode(F.sequence(F.col(mark + first), last)))
+        return df.withColumns({"_so": F.col("_s.o"), "_sl": level, "_to": F.col("_t.o"), "_tl": span}).drop("_a_levels", "_b_levels", "_a_spans", "_b_spans", "_s", "_t")
 
     on = ["_so", "_sl", "_tx", "_ty", "_to", "_tl", "_tb"]
-    return side(a, "_a", "_b", True).join(side(b, "_b", "_a", False), on).drop(*on)
+    met = side(a, "_a", "_b", True).join(side(b, "_b", "_a", False), on)
+    first = [F.col(tile) == F.greatest("_a" + c, "_b" + c) for tile, c in (("_tx", "x"), ("_ty", "y"), ("_tb", "b"))]
+    return met.where(first[0] & first[1] & first[2]).drop(*on)
 
 
 def search_catalog(catalog: DataFrame, requests: DataFrame, *, families: Sequence[str] | None = None, kind: str | None = None) -> DataFrame:
