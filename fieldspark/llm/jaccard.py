@@ -5,9 +5,10 @@ boundary between them is the one of least cost for the sizes at hand. An inverte
 passage that many texts share would make such lists grow with its square. Shingles are dealt by hash over more parts than a
 link allows differences, so that linked sets agree in a whole part, and a list holds the sets that are equal in one part.
 
-Candidates are compared by their words themselves. Within a list all members are first compared with one leader; only
-members that this leaves in different components are compared further, and then with all of them. So a large group of near
-copies costs a comparison for each copy, and no link between different components is lost."""
+A linked set shares more lists with its partner than one, and how many at least is known for each set and band; pairs that share
+fewer go before any text is moved. The others are compared by their words themselves, each set first with the smallest it may
+link with; only pairs that this leaves in different components are compared further. So a large group of near copies costs a
+comparison for each copy, and no link between different components is lost."""
 
 from __future__ import annotations
 
@@ -34,6 +35,8 @@ TOP, LIST_COST = 16, 4
 SHORT, BLOCK = 64, 512
 #: A list of more members than this is long.
 HOT = 16
+#: Slots of the filter on lists, each a word in which a key, random bits itself, sets three: 2 MB of bits.
+SLOTS = 1 << 18
 _U = np.uint64
 
 
@@ -203,11 +206,12 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) whose whole texts link, compared by words. Of `texts`, only those of the pairs are moved, and the few
     others that a filter lets pass."""
     ship(pairs.sparkSession)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = bloom.flagged(texts, bloom.build(ends, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
-    met = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"
-    )
+
+    def ends(name: str) -> DataFrame:
+        own = texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
+        return bloom.flagged(own, bloom.build(pairs, name), name).filter("_maybe").drop("_maybe")
+
+    met = pairs.join(ends("b"), "b").join(ends("a"), "a")
 
     def run(batches):
         last, one = None, set()
@@ -226,13 +230,47 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return met.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _stuck(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """(id) of sets that can't do without all their long lists in some band. Linked sets agree in more parts than either can
-    do without; so if all lists that they share are long, both are stuck."""
-    long = lists.filter(F.col("c") > HOT).groupBy("id", F.col("sig").bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int").alias("band"))
-    room = F.coalesce(F.try_element_at("spare", F.col("band")), F.lit(-1))
-    met = long.agg(F.count("*").alias("long")).join(sets.select(F.col("doc_id").alias("id"), "spare"), "id")
-    return met.filter(F.col("long") > room).select("id").distinct()
+def _band(sig: str = "sig") -> Column:
+    return F.col(sig).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).cast("int")
+
+
+def _members(postings: DataFrame, lists: DataFrame) -> DataFrame:
+    """(sig, id, c) of the lists of three and more; of two, the smallest and the largest id are all. Only their postings are moved,
+    and the few others that the filter lets pass."""
+    more = lists.filter("c > 2").select("sig", "c")
+    slot = F.shiftright("sig", BAND_BITS).bitwiseAND(F.lit(SLOTS - 1)).alias("_slot")
+    one, two, three = (F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("sig", at).bitwiseAND(F.lit(63)).cast("int")) for at in (28, 34, 40))
+    bits = one.bitwiseOR(two).bitwiseOR(three)
+    held = more.groupBy(slot).agg(F.bit_or(bits).alias("_held"))
+    maybe = postings.select("sig", "id", slot).join(F.broadcast(held), "_slot").filter(F.col("_held").bitwiseAND(bits) == bits)
+    return maybe.join(more, "sig").select("sig", "id", "c")
+
+
+def _limits(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, band, room, long): how many lists of the band a set can do without, and how many of its lists are long. Linked sets share
+    more than either can do without; a set with more long lists than that is stuck: all that it shares may be long."""
+    room = sets.select(F.col("doc_id").alias("id"), F.explode("spare").alias("band", "room")).groupBy("id", "band").agg(F.min("room").alias("room"))
+    long = members.filter(F.col("c") > HOT).groupBy("id", _band().alias("band")).agg(F.count("*").alias("long"))
+    return room.join(long, ["id", "band"], "full").select("id", "band", F.coalesce("room", F.lit(-1)).alias("room"), F.coalesce("long", F.lit(0)).alias("long"))
+
+
+def _likely(lists: DataFrame, members: DataFrame, limits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b, of sizes that may link, which in some band share as many lists that are not long as a link asks of both.
+    A list gives pairs of at most HOT members, and a pair has to share several, so pairs grow with the sets."""
+    two = lists.filter("c = 2 AND lo < hi").select("sig", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    few = members.filter(F.col("c") <= HOT).groupBy("sig").agg(F.collect_set("id").alias("ids"))
+    more = few.select("sig", F.explode("ids").alias("a"), "ids").select("sig", "a", F.explode(F.filter("ids", lambda x: x > F.col("a"))).alias("b"))
+    pairs = two.union(more).groupBy("a", "b", _band().alias("band")).agg(F.count("*").alias("common"))
+    need = limits.select("id", "band", (F.col("room") + 1 - F.col("long")).alias("need"))
+    for end in ("a", "b"):
+        pairs = pairs.join(need.withColumnsRenamed({"id": end, "need": f"_{end}"}), [end, "band"], "left")
+    # Subsets have no band of their own: one in common is enough.
+    pairs = pairs.filter(F.col("common") >= F.greatest(F.lit(1), F.coalesce("_a", F.lit(1)), F.coalesce("_b", F.lit(1)))).select("a", "b").distinct()
+    spans = sets.groupBy(F.col("doc_id").alias("id")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    for end in ("a", "b"):
+        pairs = pairs.join(spans.toDF(end, f"least_{end}", f"most_{end}"), end)
+    near = (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+    return pairs.filter(near).select("a", "b")
 
 
 def _rare_first(texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -351,33 +389,39 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = 100 * F.col("n") >= percent * (x + 1)
     keys: Column = F.when(F.col("n") <= x, F.concat(F.coalesce("subsets", none), F.when(near, F.col("lists")).otherwise(none))).otherwise(F.col("lists"))
     postings = own.select(F.col("doc_id").alias("id"), F.explode(keys).alias("sig"))
-    leads = postings.groupBy("sig").agg(F.min("id").alias("lead"), F.count("*").alias("c")).filter("c > 1")
-    lists = materialise(postings.join(leads, "sig"), "lists")
-    stuck = materialise(_stuck(lists, own), "stuck")
+    lists = postings.groupBy("sig").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).filter("c > 1")
+    lists = materialise(lists, "lists")
+    members = materialise(_members(postings, lists), "members")
+    limits = materialise(_limits(own, members), "limits")
+    stuck = materialise(limits.filter("long > room").select("id").distinct(), "stuck")
     # Long lists often hold a passage that unrelated texts share; what only they could tell, rare shingles tell better.
-    short = lists.filter(F.col("c") <= HOT).drop("c")
-    members = short.select(F.col("id").alias("doc_id")).union(stuck).distinct()
+    likely = materialise(_likely(lists, members, limits, own, percent), "likely")
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(stuck).distinct()
     # Only texts of members are moved, and the few others that the filter lets pass.
-    texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(members, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
+    texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(wanted, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
     # Rows that share a doc_id and a text are one, else each of them would be compared with each of a partner's.
     again = materialise(sets.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "again")
     if not again.isEmpty():
         texts = texts.join(again, "doc_id", "left_anti").union(texts.join(again, "doc_id", "left_semi").distinct())
     texts = materialise(texts, "texts")
-    rare = _rare_first(texts.join(stuck.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent)
-    short = short.join(own.select(F.col("doc_id").alias("id"), "n"), "id").select("sig", "id", "n", "lead")
-    lists = materialise(short.union(rare), "needed")
+    rare = materialise(_rare_first(texts.join(stuck.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent), "rare")
     copies = sets.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    pairs = materialise(lists.filter("id <> lead").groupBy("id").agg(F.min("lead").alias("a")).select("a", F.col("id").alias("b")), "pairs")
+    leads = likely.union(rare.filter("id <> lead").select("lead", "id"))
+    pairs = materialise(leads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = materialise(verified(pairs, texts, k, percent), "links")
     edges = copies.union(links)
     found = materialise(components(edges), "components")
-    # What the leaders left apart: lists whose members are in several components.
-    labels = lists.join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
+    # What the leaders left apart: likely pairs and lists whose members are in several components.
+    labels = rare.join(found, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("comp"))
     live = labels.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("members"))
     rows = materialise(labels.join(live.filter("lo < hi").select("sig", "members"), "sig"), "live")
-    asked = materialise(_cross_short(rows.filter(F.col("members") <= SHORT), percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    apart = likely
+    for end in ("a", "b"):
+        apart = apart.join(found.toDF(end, f"_{end}"), end, "left")
+    apart = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    asked = apart.union(_cross_short(rows.filter(F.col("members") <= SHORT), percent)).distinct()
+    asked = materialise(asked.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = verified(asked, texts, k, percent).union(_cross_long(rows.filter(F.col("members") > SHORT), texts, k, percent))
     more = materialise(more, "links")
     if not more.isEmpty():
