@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geo, keys, ordered, times
 from fieldspark.functions.scales import finite
 from fieldspark.operators import selection, sizes
-from fieldspark.session import materialise
+from fieldspark.session import materialise, spread
 
 # The order keywords are looked for in a store's path and attributes, and in its file stem.
 FAMILY_RULES = (
@@ -157,7 +157,7 @@ def target_grid(requests: DataFrame, step: float, pad: float) -> DataFrame:
     def count(low: str, high: str):
         return F.ceil((F.col(high) - F.col(low) + 2 * pad + step / 2) / step).cast("int")
 
-    rows = requests.select("request", "west", "south", count("west", "east").alias("_nx"), count("south", "north").alias("_ny"))
+    rows = spread(requests.select("request", "west", "south", "east", "north")).select("request", "west", "south", count("west", "east").alias("_nx"), count("south", "north").alias("_ny"))
     rows = rows.withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)))
     return rows.select(
         "request", "iy", "ix", (F.col("west") - pad + F.col("ix") * step).alias("lon"), (F.col("south") - pad + F.col("iy") * step).alias("lat")
