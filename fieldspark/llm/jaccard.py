@@ -6,7 +6,8 @@ passage that many texts share would make such lists grow with its square. Shingl
 link allows differences, so that linked sets agree in a whole part, and a list holds the sets that are equal in one part.
 
 A linked set shares more lists with its partner than one, and how many at least is known for each set and band; pairs that share
-fewer go before any text is moved. The others are compared by their words themselves, each set first with the smallest it may
+fewer go before any text is moved, and so do pairs whose sketches differ in more places than a link's sets differ in shingles.
+The others are compared by their words themselves, each set first with the smallest it may
 link with; only pairs that this leaves in different components are compared further. So a large group of near copies costs a
 comparison for each copy, and no link between different components is lost."""
 
@@ -147,13 +148,29 @@ def subset_keys(h: np.ndarray, percent: int) -> np.ndarray:
     return _in_band(np.concatenate(out), (1 << BAND_BITS) - 1) if out else np.zeros(0, _U)
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """For each place that shingles fall on by hash, whether they are odd in number; places are a power of two and more than
+    the shingles. Sets differ in at least as many shingles as their sketches do in places."""
+    places = 1 << max(3, len(h).bit_length())
+    odd = np.bincount((h & _U(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(n: int, a: bytes, m: int, b: bytes, percent: int) -> bool:
+    """False only for sketches of sets, of n and m shingles, that do not link."""
+    x, y = (np.frombuffer(one, np.uint8) for one in ((a, b) if len(a) <= len(b) else (b, a)))
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= n + m - 2 * shared(n, m, percent)
+
+
 #: Sets that a task remembers to find exact copies by itself.
 REMEMBERED = 200_000
 
 
 def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, rep, subsets, lists, spare): the set's size and keys, and band by band how many of the list keys it can do
-    without. Of equal sets that one task sees, the first carries the
+    """(doc_id, n, rep, subsets, lists, spare, sketch): the set's size and keys, band by band how many of the list keys it can do
+    without, and its sketch. Of equal sets that one task sees, the first carries the
     keys and is the others' rep."""
 
     def make():
@@ -162,7 +179,7 @@ def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
         def step(batch):
             for part in slices(batch):
                 ids = part.column("doc_id").to_pylist()
-                sizes, reps, subsets, lists, spare = [], [], [], [], []
+                sizes, reps, subsets, lists, spare, sketches = [], [], [], [], [], []
                 for doc_id, text in zip(ids, part.column("text").to_pylist(), strict=True):
                     h = hashed(tokens(text), k)
                     sizes.append(len(h))
@@ -178,14 +195,15 @@ def keyed(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     keys, room = list_keys(h, bands) if own else (None, None)
                     lists.append(keys.view(np.int64) if own else None)
                     spare.append(room)
+                    sketches.append(sketch(h) if own else None)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(reps, pa.int64()), pa.array(subsets, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64())), pa.array(spare, pa.map_(pa.int32(), pa.int32()))],
-                    ["doc_id", "n", "rep", "subsets", "lists", "spare"],
+                    [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(reps, pa.int64()), pa.array(subsets, pa.list_(pa.int64())), pa.array(lists, pa.list_(pa.int64())), pa.array(spare, pa.map_(pa.int32(), pa.int32())), pa.array(sketches, pa.binary())],
+                    ["doc_id", "n", "rep", "subsets", "lists", "spare", "sketch"],
                 )
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, rep long, subsets array<long>, lists array<long>, spare map<int, int>")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, rep long, subsets array<long>, lists array<long>, spare map<int, int>, sketch binary")
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -202,6 +220,19 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(5, TOP + 1), key=lambda x: (cost(x), x))
 
 
+def close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) that their sketches (doc_id, n, sketch) allow to link. A sketch is about a fiftieth of its text."""
+    ship(pairs.sparkSession)
+    met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
+
+    def run(batches):
+        for batch in batches:
+            ok = [may_link(*row, percent) for row in zip(*[batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts link, compared by words. Of `texts`, only those of the pairs are moved, and the few
     others that a filter lets pass."""
@@ -355,7 +386,9 @@ def _cross_long(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
         return step
 
-    sets = materialise(map_batches(texts.join(members, "doc_id", "left_semi").select("doc_id", "text"), make, "id long, s binary"), "members")
+    # Few texts are in long lists: a filter passes them before they are moved.
+    few = bloom.flagged(texts.select("doc_id", "text"), bloom.build(members, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
+    sets = materialise(map_batches(few.join(members, "doc_id", "left_semi").select("doc_id", "text"), make, "id long, s binary"), "members")
 
     def meet(pdf):
         import pandas as pd
@@ -396,7 +429,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stuck = materialise(limits.filter("long > room").select("id").distinct(), "stuck")
     # Long lists often hold a passage that unrelated texts share; what only they could tell, rare shingles tell better.
     likely = materialise(_likely(lists, members, limits, own, percent), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(stuck).distinct()
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(stuck).distinct()
+    sketches = bloom.flagged(own.select("doc_id", "n", "sketch"), bloom.build(ends(likely), "doc_id"), "doc_id").filter("_maybe")
+    sketches = materialise(sketches.drop("_maybe").distinct(), "sketches")
+    likely = materialise(close(likely, sketches, percent), "likely")
+    wanted = ends(likely)
     # Only texts of members are moved, and the few others that the filter lets pass.
     texts = bloom.flagged(docs.select("doc_id", "text"), bloom.build(wanted, "doc_id"), "doc_id").filter("_maybe").drop("_maybe")
     # Rows that share a doc_id and a text are one, else each of them would be compared with each of a partner's.
@@ -407,7 +444,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rare = materialise(_rare_first(texts.join(stuck.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), k, percent), "rare")
     copies = sets.filter("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
-    leads = likely.union(rare.filter("id <> lead").select("lead", "id"))
+    leads = likely.union(close(rare.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sketches, percent))
     pairs = materialise(leads.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = materialise(verified(pairs, texts, k, percent), "links")
     edges = copies.union(links)
@@ -421,7 +458,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         apart = apart.join(found.toDF(end, f"_{end}"), end, "left")
     apart = apart.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
     asked = apart.union(_cross_short(rows.filter(F.col("members") <= SHORT), percent)).distinct()
-    asked = materialise(asked.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    asked = materialise(close(asked.join(pairs, ["a", "b"], "left_anti"), sketches, percent), "pairs")
     more = verified(asked, texts, k, percent).union(_cross_long(rows.filter(F.col("members") > SHORT), texts, k, percent))
     more = materialise(more, "links")
     if not more.isEmpty():
