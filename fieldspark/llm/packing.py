@@ -24,6 +24,8 @@ from fieldspark.llm.bpe import codec, slices
 WINDOW = 2048
 #: Tokens of a block, and columns of its least squares problem.
 BLOCK, COLUMNS = 3_000_000, 6_000
+#: Lengths that are met with all others at once when triples are sought.
+ROWS = 128
 END_ID = 1
 
 
@@ -34,12 +36,15 @@ def combinations(lengths: np.ndarray, window: int = WINDOW, most: int = COLUMNS)
     present[lengths] = True
     a = lengths[(lengths * 2 >= window) & present[window - lengths]]
     pairs = np.stack([a, window - a, np.zeros_like(a)], 1)
-    x, y = np.meshgrid(lengths, lengths, indexing="ij")
-    z = window - x - y
-    ok = (x >= y) & (y >= z) & (z > 0)
-    x, y, z = x[ok], y[ok], z[ok]
-    ok = present[z]
-    triples = np.stack([x[ok], y[ok], z[ok]], 1)
+    parts = []
+    for low in range(0, max(1, len(lengths)), ROWS):
+        x, y = np.meshgrid(lengths[low : low + ROWS], lengths, indexing="ij")
+        z = window - x - y
+        ok = (x >= y) & (y >= z) & (z > 0)
+        x, y, z = x[ok], y[ok], z[ok]
+        ok = present[z]
+        parts.append(np.stack([x[ok], y[ok], z[ok]], 1))
+    triples = np.concatenate(parts)
     if len(triples) > most:
         triples = triples[np.linspace(0, len(triples) - 1, most).astype(int)]
     return np.concatenate([pairs, triples])

@@ -28,6 +28,8 @@ DIMS, APART = 1 << 18, 5.0
 LOSS = 0.002
 WORD = re.compile(f"[^{SPACE}]+")
 SYMBOLS = frozenset("#*$%&|<>!=_~^@{}[]\\")
+#: Words whose weights a task remembers, at about 300 bytes each.
+WORDS = 100_000
 INSULTS = frozenset(("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "jerk"))
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -152,7 +154,7 @@ class Scorer:
             own, (w, p) = shapes(word), word_features(word)
             return sum(float(q[s]) * x for s, x in own), sum(x for _, x in own), float(a[w] + a[p])
 
-        return Memo(of)
+        return Memo(of, WORDS)
 
     def score(self, text: str | None, memo: Memo) -> tuple[float, float]:
         """Log odds of quality and of abuse."""
