@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldspark.llm import bloom
-from fieldspark.llm.base import LOWER, UPPER, map_batches, named, plain_names, ship
+from fieldspark.llm.base import LOWER, UPPER, map_batches, named, plain_names, ship, small_batches
 from fieldspark.llm.bpe import slices
 from fieldspark.llm.components import components, reach
 from fieldspark.session import materialise
@@ -223,6 +223,7 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
 def close(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs (a, b) that their sketches (doc_id, n, sketch) allow to link. A sketch is about a fiftieth of its text."""
     ship(pairs.sparkSession)
+    small_batches(pairs.sparkSession)
     met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "sa", "nb", "sb")
 
     def run(batches):
@@ -237,6 +238,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     """The pairs (a, b) whose whole texts link, compared by words. Of `texts`, only those of the pairs are moved, and the few
     others that a filter lets pass."""
     ship(pairs.sparkSession)
+    small_batches(pairs.sparkSession)
 
     def ends(name: str) -> DataFrame:
         own = texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))

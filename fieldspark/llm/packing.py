@@ -18,12 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldspark.llm.base import ship
+from fieldspark.llm.base import ship, small_batches
 from fieldspark.llm.bpe import codec, slices
 
 WINDOW = 2048
 #: Tokens of a block, and columns of its least squares problem.
 BLOCK, COLUMNS = 3_000_000, 6_000
+#: Pieces of an output batch: 2 MB of ids at most.
+PIECES = 256
 #: Lengths that are met with all others at once when triples are sought.
 ROWS = 128
 END_ID = 1
@@ -163,6 +165,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
     for itself; other columns are ignored. Sequences have `window` tokens or a power of two, so none is padded."""
     spark = docs.sparkSession
     ship(spark)
+    small_batches(spark)
 
     def run(batches):
         from pyspark import TaskContext
@@ -176,8 +179,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFram
         def flush():
             nonlocal at, held
             pieces = pack([len(x) // 4 for x in ids], window)
-            for low in range(0, len(pieces), 2048):
-                now = pieces[low : low + 2048]
+            for low in range(0, len(pieces), PIECES):
+                now = pieces[low : low + PIECES]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([doc_ids[p[0]] for p in now], pa.int64()),

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.base import LOWER_STR, SPACE, named, plain_names, ship
+from fieldspark.llm.base import LOWER_STR, SPACE, named, plain_names, ship, small_batches
 from fieldspark.llm.bpe import Memo, slices
 
 #: Documents that labellers read, a quarter of them held out for the thresholds.
@@ -203,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     every = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
     chosen = every.groupBy("doc_id", "quality", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
