@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import times
-from fieldspark.operators import catalog, forecast, weights
+from fieldspark.operators import catalog, forecast, joins, weights
 
 T0 = datetime(2024, 1, 1)
 
@@ -44,3 +45,31 @@ def test_targets_of_few_cells_are_dealt(spark):
     out = forecast.extract_points(grid, cells.withColumnRenamed("target", "point"), [0])
     assert tasks(out) > 4
     assert {(r.point, r.value) for r in out.collect()} == {(t, 3.0) for t in range(200)}
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_pairs_of_one_crowded_tile_come_box_by_box_from_many_tasks(spark, monkeypatch, most):
+    if most is not None:
+        monkeypatch.setattr(joins, "MOST_SITES", most)
+    sites = [(k, -74.5 + k % 20 / 100, 40.5 + k % 30 / 100) for k in range(120)] + [(900, -70.0, 30.0)]
+    boxes = [(b, -74.5 + b % 7 / 100, 40.5, -74.4 + b % 7 / 100, 40.6) for b in range(300)]
+    boxes += [(0, 10.0, 10.0, 10.1, 10.1), (300, 10.0, 10.0, 10.1, 10.1), (301, 179.9, 30.0, -69.9, 30.1), (None, -74.5, 40.5, -74.4, 40.6)]
+    s = spark.createDataFrame(sites, "site int, lon double, lat double")
+    r = spark.createDataFrame(boxes, "request int, west double, south double, east double, north double")
+    # Without a broadcast by the optimiser, as for tables beyond its threshold.
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = joins.stations_for_boxes(s, r, "request", [3, 900]).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    hit = lambda x, y, w, s, e, n: (w <= x <= e if w <= e else x >= w or x <= e) and s <= y <= n
+    want = Counter((b[0], k, True) for b in boxes for k, x, y in sites if hit(x, y, *b[1:]))
+    met = {b for b, _, _ in want if b is not None}
+    want.update((b[0], k, False) for b in boxes if b[0] not in met for k in (3, 900))
+    assert Counter((x.request, x.site, x.within_box) for x in rows) == want
+    if most is None:
+        pairs = [(x.task, x.request) for x in rows if x.within_box]
+        assert len({task for task, _ in pairs}) >= 4
+        turns = sum(a != b for a, b in zip(pairs, pairs[1:], strict=False)) + 1
+        assert turns <= 4 * len(boxes)  # a box lies in four tiles at most
